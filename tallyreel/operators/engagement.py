@@ -2,11 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreel.functions import figures
-from tallyreel.operators.grouping import attach, top_n, with_group_columns
+from tallyreel.operators.grouping import attach, beside, top_n, with_group_columns
 
 # Videos at or under this many views are left out of the engagement figures.
 MIN_VIEWS = 100
@@ -47,17 +47,26 @@ def baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def under_baseline() -> Column:
+    return F.col("avg_retention") < F.col("baseline_retention")
+
+
 def below_baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Videos strictly under their group's mean retention."""
     compared = attach(engaged, baseline(engaged, by), by, ["video_id"])
-    return compared.filter(F.col("avg_retention") < F.col("baseline_retention"))
+    return compared.filter(under_baseline())
 
 
 def weak_videos(
     engaged: DataFrame, n: int = WEAK_VIDEOS, by: Sequence[str] = ()
 ) -> DataFrame:
-    """The n videos with the lowest retention among those under the mean."""
-    worst = top_n(below_baseline(engaged, by), [F.asc("avg_retention"), F.asc("video_id")], n, by)
+    """The n videos with the lowest retention among those under the mean.
+
+    The videos under the mean come first in retention order, so the n lowest of all
+    are taken before the comparison, which then sees n rows per group.
+    """
+    lowest = top_n(engaged, [F.asc("avg_retention"), F.asc("video_id")], n, by)
+    worst = beside(lowest, [baseline(engaged, by)], by).filter(under_baseline())
     return worst.select(
         *by,
         "video_id",
@@ -73,9 +82,4 @@ def weak_videos(
 def weak_count(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How many videos are under the mean, before any top-n."""
     compared = attach(engaged, baseline(engaged, by), by, ["video_id"])
-    under = F.col("avg_retention") < F.col("baseline_retention")
-    return compared.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(under, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(
-            "total_weak_count"
-        )
-    )
+    return compared.groupBy(*by).agg(F.count_if(under_baseline()).alias("total_weak_count"))

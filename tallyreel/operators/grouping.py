@@ -32,19 +32,19 @@ def attach(
     return salted.join(copies, [*by, "_salt"]).drop("_salt")
 
 
-def beside(first: DataFrame, others: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Put one-row-per-group frames next to each other.
+def beside(rows: DataFrame, summaries: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """Put per-group summaries next to rows that are few per group.
 
-    Groups of the first frame are kept; columns of a missing group are null.
+    Every row is kept; columns of a missing group are null. Use ``attach`` for rows
+    whose groups may be large.
     """
-    for other in others:
-        extra = [c for c in other.columns if c not in by]
+    for summary in summaries:
         if by:
-            first = first.join(other, list(by), "left")
+            rows = rows.join(summary, list(by), "left")
         else:
-            part = other.select(F.struct(*extra).alias("s")).scalar()
-            first = first.select("*", part.alias("_part")).select(*first.columns, "_part.*")
-    return first
+            part = summary.select(F.struct(*summary.columns).alias("s")).scalar()
+            rows = rows.select("*", part.alias("_part")).select(*rows.columns, "_part.*")
+    return rows
 
 
 def top_n(rows: DataFrame, order: Sequence[Column], n: int, by: Sequence[str]) -> DataFrame:

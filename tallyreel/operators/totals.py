@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreel.functions import clock, figures, titles
-from tallyreel.operators.grouping import attach, with_group_columns
+from tallyreel.operators.grouping import beside, with_group_columns
 
 # Days until a figure is final at the source, and the default series length.
 SOURCE_DELAY_DAYS = 2
@@ -31,16 +31,16 @@ def videos_with_totals(
     return with_group_columns(video_totals(daily), videos, by, columns)
 
 
-# What each profile dimension reads, and its level as an integer.
+# Level of each profile dimension, as an integer made from one column of the video.
 PROFILE_DIMENSIONS = {
-    "all": (None, lambda _: F.lit(0).cast("bigint")),
-    "hour": ("published_at", clock.publish_hour),
-    "weekday": ("published_at", clock.weekday_number),
-    "short": ("is_short", lambda c: c.cast("bigint")),
-    "non_ascii": ("title", lambda c: titles.has_non_ascii(c).cast("bigint")),
-    "exclamation": ("title", lambda c: titles.has_exclamation(c).cast("bigint")),
-    "question": ("title", lambda c: titles.has_question(c).cast("bigint")),
-    "length_bucket": ("title", titles.length_bucket_number),
+    "all": lambda: F.lit(0),
+    "hour": lambda: clock.publish_hour(F.col("published_at")),
+    "weekday": lambda: clock.weekday_number(F.col("published_at")),
+    "short": lambda: F.col("is_short"),
+    "non_ascii": lambda: titles.has_non_ascii(F.col("title")),
+    "exclamation": lambda: titles.has_exclamation(F.col("title")),
+    "question": lambda: titles.has_question(F.col("title")),
+    "length_bucket": lambda: titles.length_bucket_number(F.col("title")),
 }
 
 
@@ -52,26 +52,23 @@ def profile(
 ) -> DataFrame:
     """One row per (group, dimension, level): videos, views and mean views.
 
-    All dimensions come out of one pass: unpivoted rows meet a partial aggregate in
-    the same stage, so a task sends at most one row per group and level (43 levels
-    over all dimensions) however many videos it read.
+    Levels are computed before the join, so titles are not shuffled. All dimensions
+    come out of one pass: unpivoted rows meet a partial aggregate in the same stage,
+    so a task sends at most one row per group and level (43 levels over all
+    dimensions) however many videos it read.
     """
-    needs = [PROFILE_DIMENSIONS[d][0] for d in dimensions]
-    with_title = "all" in dimensions
-    columns = [c for c in dict.fromkeys(needs) if c] + (["title"] if with_title else [])
-    base = videos_with_totals(videos, daily, columns, by)
-    length = titles.title_length(F.col("title")) if with_title else F.lit(None).cast("bigint")
-    wide = base.select(
+    # Title lengths are only needed in the row that covers all videos.
+    length = titles.title_length(F.col("title")) if "all" in dimensions else F.lit(None)
+    described = videos.select(
+        "video_id",
         *by,
-        F.col("total_views"),
-        length.alias("title_chars"),
-        *[
-            PROFILE_DIMENSIONS[d][1](F.col(PROFILE_DIMENSIONS[d][0] or "total_views")).alias(d)
-            for d in dimensions
-        ],
+        length.cast("bigint").alias("title_chars"),
+        *[PROFILE_DIMENSIONS[d]().cast("bigint").alias(d) for d in dimensions],
     )
-    long = wide.unpivot(
-        [*by, "total_views", "title_chars"], list(dimensions), "dimension", "level"
+    long = (
+        video_totals(daily)
+        .join(described, "video_id")
+        .unpivot([*by, "total_views", "title_chars"], list(dimensions), "dimension", "level")
     )
     return (
         long.filter(F.col("level").isNotNull())
@@ -149,9 +146,9 @@ def yes_no_means(
 def average_title_length(
     videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    base = videos_with_totals(videos, daily, ["title"], by)
-    mean = F.avg(titles.title_length(F.col("title")))
-    return base.groupBy(*by).agg(F.bround(mean, 1).alias("avg_title_length"))
+    everything = profile(videos, daily, ["all"], by)
+    mean = figures.ratio(F.sum("title_chars"), F.sum("titled"))
+    return everything.groupBy(*by).agg(F.bround(mean, 1).alias("avg_title_length"))
 
 
 def traffic_totals(
@@ -169,7 +166,7 @@ def traffic_shares(
     totals = traffic_totals(traffic, videos, by)
     grand = totals.groupBy(*by).agg(F.sum("total_views").alias("_grand"))
     share = figures.ratio(F.col("total_views"), F.col("_grand")) * 100
-    return attach(totals, grand, by, ["traffic_source_type"]).select(
+    return beside(totals, [grand], by).select(
         *by, "traffic_source_type", "total_views", F.bround(share, 1).alias("percentage")
     )
 
@@ -180,9 +177,9 @@ def first_week_views(
     """Views up to seven days after publication, and in total, for videos with views.
 
     Days before publication count too. (video, date) is the fact's key, so a video
-    brings one row per calendar day to the join and cannot outgrow a task. The
-    carried columns join the grouping key: they depend on the video, and the
-    aggregate then runs on the join's own partitioning without another shuffle.
+    brings one row per calendar day to the join and cannot outgrow a task. Carried
+    columns, which should be small, join the grouping key: they depend on the video,
+    and the aggregate then runs on the join's own partitioning without a shuffle.
     """
     keep = list(dict.fromkeys(["published_at", *carry]))
     early = clock.days_after(F.col("date"), F.col("published_at")) <= FIRST_WEEK_DAYS

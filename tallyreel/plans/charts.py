@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyreel.functions import clock, figures
-from tallyreel.operators.grouping import attach
+from tallyreel.operators.grouping import beside
 from tallyreel.operators.ranking import top_sources
 from tallyreel.operators.totals import mean_views_by, mean_views_by_weekday
 
@@ -22,7 +22,7 @@ def traffic_chart(
     )
     total = shown.groupBy(*by).agg(F.sum("total_views").alias("_shown"))
     part = figures.ratio(F.col("total_views"), F.col("_shown")) * 100
-    return attach(shown, total, by, ["traffic_source_type"]).select(
+    return beside(shown, [total], by).select(
         *by,
         figures.display_name(F.col("traffic_source_type")).alias("name"),
         F.col("total_views").alias("value"),
@@ -39,7 +39,7 @@ def _best_level(means: DataFrame, level: str, by: Sequence[str]) -> DataFrame:
 def hours_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean views per publish hour with the best hour marked."""
     means = mean_views_by(videos, daily, "hour", by)
-    marked = attach(means, _best_level(means, "level", by), by, ["level"])
+    marked = beside(means, [_best_level(means, "level", by)], by)
     return marked.select(
         *by,
         F.concat(F.col("level").cast("string"), F.lit(":00")).alias("hour"),
@@ -52,7 +52,7 @@ def hours_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) ->
 def days_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean views per weekday, Monday first, 0 where nothing was published."""
     means = mean_views_by_weekday(videos, daily, by)
-    marked = attach(means, _best_level(means, "weekday", by), by, ["weekday"])
+    marked = beside(means, [_best_level(means, "weekday", by)], by)
     return marked.select(
         *by,
         F.substring(clock.weekday_name(F.col("weekday")), 1, 3).alias("day"),

@@ -2,7 +2,10 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,16 +49,21 @@ def feature_columns(title: Column, hour: Column, weekday: Column, month: Column)
 def training_rows(videos: DataFrame, daily: DataFrame) -> DataFrame:
     """Features and view class per video; rows with a missing feature are dropped."""
     ts = F.col("published_at")
-    rows = first_week_views(videos, daily, ["title", "published_at"]).select(
+    described = videos.select(
         "video_id",
+        "published_at",
         *feature_columns(
             F.col("title"), clock.publish_hour(ts), clock.weekday_number(ts), clock.publish_month(ts)
         ),
+    )
+    rows = first_week_views(described.dropna(subset=FEATURES), daily, FEATURES)
+    return rows.dropna(subset=["views_7d"]).select(
+        "video_id",
+        *FEATURES,
         "views_7d",
         "total_views",
         figures.performance_class(F.col("views_7d")).alias("category"),
     )
-    return rows.dropna(subset=[*FEATURES, "views_7d"])
 
 
 def class_distribution(rows: DataFrame) -> DataFrame:
@@ -187,19 +195,20 @@ def predict(forecaster: Forecaster, rows: DataFrame) -> DataFrame:
 def cross_predictions(
     rows: DataFrame, k: int = FOLDS, max_iter: int = TREES, max_depth: int = DEPTH
 ) -> DataFrame:
-    """Each video's class as predicted by a model that has not seen it."""
+    """Each video's class as predicted by a model that has not seen it.
+
+    The k fits are independent and made of many short jobs, so they run side by side.
+    """
     dealt = settle(folds(rows, k), "folds")
-    parts = [
-        predict(
-            fit(dealt.filter(F.col("fold") != i), max_iter, max_depth),
-            dealt.filter(F.col("fold") == i),
-        ).select("video_id", "fold", "category", "predicted_class")
-        for i in range(k)
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+
+    def held_out(i: int) -> DataFrame:
+        model = fit(dealt.filter(F.col("fold") != i), max_iter, max_depth)
+        scored = predict(model, dealt.filter(F.col("fold") == i))
+        return scored.select("video_id", "fold", "category", "predicted_class")
+
+    with ThreadPool(k) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(held_out)
+        return reduce(DataFrame.unionByName, pool.map(run, range(k)))
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:

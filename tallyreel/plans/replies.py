@@ -13,23 +13,25 @@ UNREADABLE = "Could not parse AI response"
 NOT_AN_OBJECT = "AI response was valid JSON, but not a JSON object"
 KEPT_CHARS = 500
 
-_SPACE = r"(?U)[\s\x1C-\x1F]+"
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE + "$", "")
+# The characters that count as white space around a reply.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The opening fence line up to its line break, and a closing fence line at the end.
+OPENING_FENCE = r"^```[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]*([\x1C-\x1E]|\R|$)"
+CLOSING_FENCE = r"(^|[\x1C-\x1E]|\R)[^\S\n\r]*```$"
 
 
 def reply_body(text: Column) -> Column:
     """The text without its code fence lines and without a leading ``json`` word."""
-    clean = _strip(text)
-    opened = F.regexp_replace(clean, r"^```[^\n\r\x0B\f\x1C-\x1E\x85  ]*(\R|$)", "")
-    closed = _strip(F.regexp_replace(opened, r"(^|\R)[^\S\n\r]*```$", ""))
-    body = F.when(clean.startswith("```"), closed).otherwise(clean)
-    return F.when(
-        F.lower(F.substring(body, 1, 4)) == "json",
-        F.regexp_replace(F.substring(body, 5, 2_147_483_647), "^" + _SPACE, ""),
-    ).otherwise(body)
+    space = F.lit(WHITE_SPACE)
+    clean = F.trim(text, space)
+    unfenced = F.regexp_replace(F.regexp_replace(clean, OPENING_FENCE, ""), CLOSING_FENCE, "")
+    body = F.when(clean.startswith("```"), F.trim(unfenced, space)).otherwise(clean)
+    rest = F.ltrim(F.substring(body, 5, 2_147_483_647), space)
+    return F.when(F.lower(F.substring(body, 1, 4)) == "json", rest).otherwise(body)
 
 
 def normalise(replies: DataFrame) -> DataFrame:
@@ -46,11 +48,10 @@ def normalise(replies: DataFrame) -> DataFrame:
     )
     elements = F.col("_array").cast("array<variant>")
     readable = F.coalesce((F.size(elements) == 1) & F.col("_field").isNotNull(), F.lit(False))
-    value = F.when(readable, elements[0])
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    is_object = readable & F.col("_body").startswith("{")
     return parsed.select(
         *replies.columns,
-        F.when(is_object, F.to_json(value)).alias("reply"),
+        F.when(is_object, F.to_json(elements[0])).alias("reply"),
         F.when(~readable, F.lit(UNREADABLE)).when(~is_object, F.lit(NOT_AN_OBJECT)).alias("error"),
         F.when(~is_object, F.substring("response", 1, KEPT_CHARS)).alias("raw"),
     )
