@@ -247,8 +247,12 @@ def _engaged(spark, folder, by=()):
     return engagement.engagement_by_video(*_vd(spark, folder), by)
 
 
+def _settled(spark, folder, by=()):
+    return engagement.settled_engagement(*_vd(spark, folder), by)
+
+
 def _below(spark, folder, by):
-    rows = engagement.below_baseline(_engaged(spark, folder, by), by)
+    rows = engagement.below_baseline(_settled(spark, folder, by), by)
     return rows.select(
         *by,
         "video_id",
@@ -296,8 +300,9 @@ def having_positive_views(spark, folder):
 
 @query("join_videos_totals")
 def join_videos_totals(spark, folder):
+    videos, daily = _vd(spark, folder)
     columns = ["channel_id", "title", "published_at"]
-    return totals.videos_with_totals(*_vd(spark, folder), columns).select(
+    return totals.videos_with_totals(videos, totals.video_totals(daily), columns).select(
         "video_id", *columns, "total_views"
     )
 
@@ -382,7 +387,7 @@ def channel_engagement_baseline(spark, folder):
 
 @query("weak_count")
 def weak_count(spark, folder):
-    return engagement.weak_count(_engaged(spark, folder))
+    return engagement.weak_summary(_settled(spark, folder)).select("total_weak_count")
 
 
 def _yes_no(name, flag):
@@ -411,8 +416,9 @@ def avg_title_length(spark, folder):
 
 @query("title_and_time_means")
 def title_and_time_means(spark, folder):
+    videos, daily = _vd(spark, folder)
     dimensions = list(totals.PROFILE_DIMENSIONS)
-    return totals.profile(*_vd(spark, folder), dimensions, CHANNEL).select(
+    return totals.profile(videos, totals.video_totals(daily), dimensions, CHANNEL).select(
         "channel_id", "dimension", "level", "videos", "views", "mean_views"
     )
 
@@ -498,7 +504,7 @@ def top_3_hours_by_channel(spark, folder):
 
 
 def _weak(spark, folder, by=()):
-    return engagement.weak_videos(_engaged(spark, folder, by), by=by).drop("_order")
+    return engagement.weak_videos(_settled(spark, folder, by), by=by).drop("_order")
 
 
 @query("weak_videos")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyreel.functions import figures
 from tallyreel.operators.grouping import attach, beside, top_n, with_group_columns
+from tallyreel.operators.totals import video_facts
+from tallyreel.sources.store import settle
 
 # Videos at or under this many views are left out of the engagement figures.
 MIN_VIEWS = 100
@@ -19,24 +21,32 @@ def watched_days(daily: DataFrame) -> DataFrame:
     return daily.filter(F.col("average_view_percentage") > 0)
 
 
-def engagement_by_video(
-    videos: DataFrame,
-    daily: DataFrame,
-    by: Sequence[str] = (),
-    min_views: int = MIN_VIEWS,
+def engaged_videos(
+    videos: DataFrame, facts: DataFrame, by: Sequence[str] = (), min_views: int = MIN_VIEWS
 ) -> DataFrame:
-    """Plain mean of daily retention, views and net subscribers over watched days."""
-    per_video = (
-        watched_days(daily)
-        .groupBy("video_id")
-        .agg(
-            F.avg("average_view_percentage").alias("avg_retention"),
-            F.sum("views").alias("total_views"),
-            (F.sum("subscribers_gained") - F.sum("subscribers_lost")).alias("net_subs"),
-        )
-        .filter(F.col("total_views") > min_views)
+    """Retention, watched views and net subscribers of videos above the view limit."""
+    above = facts.filter(F.col("watched_views") > min_views).select(
+        "video_id", "avg_retention", F.col("watched_views").alias("total_views"), "net_subs"
     )
-    return with_group_columns(per_video, videos, by, ["title"])
+    return with_group_columns(above, videos, by, ["title"])
+
+
+def engagement_by_video(
+    videos: DataFrame, daily: DataFrame, by: Sequence[str] = (), min_views: int = MIN_VIEWS
+) -> DataFrame:
+    """The same from the fact, of which only watched days are read."""
+    return engaged_videos(videos, video_facts(watched_days(daily)), by, min_views)
+
+
+def settled_engagement(
+    videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Engagement written out once, for comparisons that read it more than once.
+
+    One row per video is far smaller than the fact, which is then scanned once
+    instead of once for the means and again for the rows compared with them.
+    """
+    return settle(engagement_by_video(videos, daily, by), "engaged")
 
 
 def baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +89,11 @@ def weak_videos(
     )
 
 
-def weak_count(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """How many videos are under the mean, before any top-n."""
+def weak_summary(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rounded baseline per group, and how many videos are under it before any top-n."""
     compared = attach(engaged, baseline(engaged, by), by, ["video_id"])
-    return compared.groupBy(*by).agg(F.count_if(under_baseline()).alias("total_weak_count"))
+    return compared.groupBy(*by).agg(
+        F.bround(F.max("baseline_retention"), 1).alias("channel_avg_retention"),
+        figures.whole(F.max("baseline_views")).alias("channel_avg_views"),
+        F.count_if(under_baseline()).alias("total_weak_count"),
+    )

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyreel.operators.grouping import top_n
-from tallyreel.operators.totals import mean_views_by, traffic_shares, videos_with_totals
+from tallyreel.operators.totals import (
+    mean_views_by,
+    traffic_shares,
+    video_totals,
+    videos_with_totals,
+)
 
 
 def top_hours(videos: DataFrame, daily: DataFrame, n: int = 3, by: Sequence[str] = ()):
@@ -28,7 +33,7 @@ def top_videos(
     videos: DataFrame, daily: DataFrame, n: int, by: Sequence[str] = ()
 ) -> DataFrame:
     """Most viewed videos with their titles."""
-    ranked = videos_with_totals(videos, daily, ["title"], by)
+    ranked = videos_with_totals(videos, video_totals(daily), ["title"], by)
     order = [F.desc("total_views"), F.asc("video_id")]
     return top_n(ranked.select(*by, "video_id", "title", "total_views"), order, n, by)
 

@@ -15,20 +15,42 @@ SERIES_DAYS = 30
 FIRST_WEEK_DAYS = 7
 
 
+def video_facts(daily: DataFrame) -> DataFrame:
+    """Everything the reports need per video, from one pass over the fact.
+
+    Retention is the plain mean over watched days, those with retention above zero;
+    watched views and net subscribers cover the same days. Aggregates that a report
+    does not read are pruned, and their columns are not scanned.
+    """
+    watched = F.col("average_view_percentage") > 0
+
+    def over_watched(name: str) -> Column:
+        return F.when(watched, F.col(name))
+
+    return daily.groupBy("video_id").agg(
+        F.sum("views").alias("total_views"),
+        F.avg(over_watched("average_view_percentage")).alias("avg_retention"),
+        F.sum(over_watched("views")).alias("watched_views"),
+        (
+            F.sum(over_watched("subscribers_gained")) - F.sum(over_watched("subscribers_lost"))
+        ).alias("net_subs"),
+    )
+
+
 def video_totals(daily: DataFrame) -> DataFrame:
     """Lifetime views per video."""
-    return daily.groupBy("video_id").agg(F.sum("views").alias("total_views"))
+    return video_facts(daily).select("video_id", "total_views")
 
 
 def videos_with_totals(
-    videos: DataFrame, daily: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
+    videos: DataFrame, facts: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Videos that have metrics, with their lifetime views.
 
     The fact is aggregated first: its partial sums shrink a busy video to one row
     per task, and the join reuses the partitioning of that aggregate.
     """
-    return with_group_columns(video_totals(daily), videos, by, columns)
+    return with_group_columns(facts.select("video_id", "total_views"), videos, by, columns)
 
 
 # Level of each profile dimension, as an integer made from one column of the video.
@@ -46,7 +68,7 @@ PROFILE_DIMENSIONS = {
 
 def profile(
     videos: DataFrame,
-    daily: DataFrame,
+    facts: DataFrame,
     dimensions: Sequence[str],
     by: Sequence[str] = (),
 ) -> DataFrame:
@@ -66,7 +88,7 @@ def profile(
         *[PROFILE_DIMENSIONS[d]().cast("bigint").alias(d) for d in dimensions],
     )
     long = (
-        video_totals(daily)
+        facts.select("video_id", "total_views")
         .join(described, "video_id")
         .unpivot([*by, "total_views", "title_chars"], list(dimensions), "dimension", "level")
     )
@@ -87,7 +109,7 @@ def mean_views_by(
     videos: DataFrame, daily: DataFrame, dimension: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Mean lifetime views per level of one dimension; levels with no video are absent."""
-    return profile(videos, daily, [dimension], by).select(
+    return profile(videos, video_totals(daily), [dimension], by).select(
         *by, "level", "videos", "views", "mean_views"
     )
 
@@ -123,7 +145,7 @@ def level_value(dimension: str, level: int, column: str) -> Column:
 
 def format_stats(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean, count and sum of views for shorts and long-form; 0 when a side is empty."""
-    return profile(videos, daily, ["short"], by).groupBy(*by).agg(
+    return profile(videos, video_totals(daily), ["short"], by).groupBy(*by).agg(
         level_value("short", 1, "mean_views").alias("mean_shorts"),
         level_value("short", 0, "mean_views").alias("mean_longform"),
         level_value("short", 1, "videos").alias("total_shorts"),
@@ -137,7 +159,7 @@ def yes_no_means(
     videos: DataFrame, daily: DataFrame, flag: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Mean views with and without a title flag; a missing side is 0."""
-    return profile(videos, daily, [flag], by).groupBy(*by).agg(
+    return profile(videos, video_totals(daily), [flag], by).groupBy(*by).agg(
         level_value(flag, 1, "mean_views").alias("mean_with"),
         level_value(flag, 0, "mean_views").alias("mean_without"),
     )
@@ -146,7 +168,7 @@ def yes_no_means(
 def average_title_length(
     videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    everything = profile(videos, daily, ["all"], by)
+    everything = profile(videos, video_totals(daily), ["all"], by)
     mean = figures.ratio(F.sum("title_chars"), F.sum("titled"))
     return everything.groupBy(*by).agg(F.bround(mean, 1).alias("avg_title_length"))
 
@@ -171,28 +193,25 @@ def traffic_shares(
     )
 
 
-def first_week_views(
-    videos: DataFrame, daily: DataFrame, carry: Sequence[str] = ()
-) -> DataFrame:
+def first_week_views(videos: DataFrame, daily: DataFrame) -> DataFrame:
     """Views up to seven days after publication, and in total, for videos with views.
 
     Days before publication count too. (video, date) is the fact's key, so a video
-    brings one row per calendar day to the join and cannot outgrow a task. Carried
-    columns, which should be small, join the grouping key: they depend on the video,
-    and the aggregate then runs on the join's own partitioning without a shuffle.
+    brings one row per calendar day to the join and cannot outgrow a task. The publish
+    time joins the grouping key, as it depends on the video; the aggregate then runs
+    on the join's own partitioning without another shuffle.
     """
-    keep = list(dict.fromkeys(["published_at", *carry]))
     early = clock.days_after(F.col("date"), F.col("published_at")) <= FIRST_WEEK_DAYS
     return (
         daily.select("video_id", "date", "views")
-        .join(videos.select("video_id", *keep), "video_id")
-        .groupBy("video_id", *keep)
+        .join(videos.select("video_id", "published_at"), "video_id")
+        .groupBy("video_id", "published_at")
         .agg(
             F.sum(F.when(early, F.col("views")).otherwise(0)).alias("views_7d"),
             F.sum("views").alias("total_views"),
         )
         .filter(F.col("total_views") > 0)
-        .select("video_id", *carry, "views_7d", "total_views")
+        .select("video_id", "views_7d", "total_views")
     )
 
 

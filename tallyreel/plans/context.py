@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import attach, beside
 from tallyreel.operators.ranking import top_videos
-from tallyreel.operators.totals import profile
+from tallyreel.operators.totals import profile, video_totals
 from tallyreel.plans import reports
 
 NEXT_TITLES = 15
@@ -22,7 +22,7 @@ def _only(frame: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
 def _format_and_titles(videos: DataFrame, daily: DataFrame, by: Sequence[str]) -> DataFrame:
     """Format comparison and title patterns from one profile pass."""
     dimensions = [*reports.FORMAT_DIMENSIONS, *reports.TITLE_DIMENSIONS]
-    return profile(videos, daily, dimensions, by).groupBy(*by).agg(
+    return profile(videos, video_totals(daily), dimensions, by).groupBy(*by).agg(
         *reports.format_columns(), *reports.title_columns()
     )
 
@@ -105,7 +105,7 @@ def audit_context(
     videos: DataFrame, daily: DataFrame, traffic: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
     dimensions = [*reports.UPLOAD_DIMENSIONS, *reports.FORMAT_DIMENSIONS]
-    patterns = profile(videos, daily, dimensions, by).groupBy(*by).agg(
+    patterns = profile(videos, video_totals(daily), dimensions, by).groupBy(*by).agg(
         *reports.upload_columns(), *reports.format_columns()
     )
     return beside(
@@ -125,7 +125,7 @@ def audit_context(
                 reports.traffic(traffic, videos, by), by, "top_source", "top_source_percentage"
             ),
             _only(
-                reports.weak_engagement(videos, daily, by=by),
+                engagement.weak_summary(engagement.settled_engagement(videos, daily, by), by),
                 by,
                 "channel_avg_retention",
                 "total_weak_count",

@@ -47,17 +47,20 @@ def feature_columns(title: Column, hour: Column, weekday: Column, month: Column)
 
 
 def training_rows(videos: DataFrame, daily: DataFrame) -> DataFrame:
-    """Features and view class per video; rows with a missing feature are dropped."""
+    """Features and view class per video; rows with a missing feature are dropped.
+
+    Every feature comes from the title or the publish time, so testing those two
+    tests all features without computing them twice.
+    """
     ts = F.col("published_at")
-    described = videos.select(
+    described = videos.filter(F.col("title").isNotNull() & ts.isNotNull()).select(
         "video_id",
-        "published_at",
         *feature_columns(
             F.col("title"), clock.publish_hour(ts), clock.weekday_number(ts), clock.publish_month(ts)
         ),
     )
-    rows = first_week_views(described.dropna(subset=FEATURES), daily, FEATURES)
-    return rows.dropna(subset=["views_7d"]).select(
+    rows = first_week_views(videos, daily).dropna(subset=["views_7d"]).join(described, "video_id")
+    return rows.select(
         "video_id",
         *FEATURES,
         "views_7d",
@@ -93,9 +96,10 @@ def folds(rows: DataFrame, k: int = FOLDS, label: str = "category", key: str = "
     Numbering a whole class in one window would put it in one task. Rows are numbered
     inside buckets of the hash instead, and each bucket starts where the ones before
     it end. The bucket counts are at most classes x 4,096 rows, so their running sum
-    and the broadcast stay small at any number of rows.
+    and the broadcast stay small at any number of rows. The rows are written out
+    first, as they are read for the counts and again for the numbering.
     """
-    hashed = rows.withColumn("_hash", F.md5(F.col(key).cast("binary"))).withColumn(
+    hashed = settle(rows, "unfolded").withColumn("_hash", F.md5(F.col(key).cast("binary"))).withColumn(
         "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
     )
     earlier = W.partitionBy(label).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

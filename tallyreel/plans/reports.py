@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import beside
-from tallyreel.operators.totals import level_value, profile, traffic_shares
+from tallyreel.operators.totals import (
+    level_value,
+    profile,
+    traffic_shares,
+    video_facts,
+    video_totals,
+)
 from tallyreel.schemas import DAY_NAMES
+from tallyreel.sources.store import settle
 
 UPLOAD_DIMENSIONS = ["hour", "weekday"]
 FORMAT_DIMENSIONS = ["short"]
@@ -114,17 +121,17 @@ def title_columns() -> list[Column]:
 
 def upload_times(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Best and worst publish hour and weekday by mean lifetime views."""
-    return profile(videos, daily, UPLOAD_DIMENSIONS, by).groupBy(*by).agg(*upload_columns())
+    return profile(videos, video_totals(daily), UPLOAD_DIMENSIONS, by).groupBy(*by).agg(*upload_columns())
 
 
 def video_length(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Shorts against long-form. Equal means count as long-form, no long-form as 1.0."""
-    return profile(videos, daily, FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
+    return profile(videos, video_totals(daily), FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
 
 
 def title_patterns(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Title features against mean lifetime views."""
-    return profile(videos, daily, TITLE_DIMENSIONS, by).groupBy(*by).agg(*title_columns())
+    return profile(videos, video_totals(daily), TITLE_DIMENSIONS, by).groupBy(*by).agg(*title_columns())
 
 
 def traffic(
@@ -168,21 +175,22 @@ def weak_engagement(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Retention baseline, how many videos are under it, and the n lowest of those."""
-    engaged = engagement.engagement_by_video(videos, daily, by)
-    means = engagement.baseline(engaged, by).select(
-        *by,
-        F.bround("baseline_retention", 1).alias("channel_avg_retention"),
-        figures.whole(F.col("baseline_views")).alias("channel_avg_views"),
-    )
+    return weak_report(engagement.settled_engagement(videos, daily, by), n, by)
+
+
+def weak_report(
+    engaged: DataFrame, n: int = engagement.WEAK_VIDEOS, by: Sequence[str] = ()
+) -> DataFrame:
     worst = engagement.weak_videos(engaged, n, by)
     shown = ["video_id", "title", "avg_retention", "total_views", "net_subs", "below_avg_by"]
+    # At most n videos per group.
     in_order = F.array_sort(F.collect_list(F.struct("_order", *shown)))
     listed = worst.groupBy(*by).agg(
         F.transform(in_order, lambda v: F.struct(*[v[c].alias(c) for c in shown])).alias(
             "weak_videos"
         )
     )
-    return beside(means, [listed, engagement.weak_count(engaged, by)], by)
+    return beside(engagement.weak_summary(engaged, by), [listed], by)
 
 
 def all_patterns(
@@ -191,9 +199,14 @@ def all_patterns(
     traffic_sources: DataFrame,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """All five reports as nested columns of one row per group."""
+    """All five reports as nested columns of one row per group.
+
+    The fact is scanned once: its per-video aggregate is written out and feeds both
+    the profile and the engagement report.
+    """
+    facts = settle(video_facts(daily), "facts")
     dimensions = [*UPLOAD_DIMENSIONS, *FORMAT_DIMENSIONS, *TITLE_DIMENSIONS]
-    patterns = profile(videos, daily, dimensions, by).groupBy(*by).agg(
+    patterns = profile(videos, facts, dimensions, by).groupBy(*by).agg(
         F.struct(*upload_columns()).alias("upload_times"),
         F.struct(*format_columns()).alias("video_length"),
         F.struct(*title_columns()).alias("title_patterns"),
@@ -203,12 +216,10 @@ def all_patterns(
         inner = [c for c in report.columns if c not in by]
         return report.select(*by, F.struct(*inner).alias(name))
 
+    weak = weak_report(engagement.engaged_videos(videos, facts, by), by=by)
     return beside(
         patterns,
-        [
-            nested(traffic(traffic_sources, videos, by), "traffic"),
-            nested(weak_engagement(videos, daily, by=by), "weak_engagement"),
-        ],
+        [nested(traffic(traffic_sources, videos, by), "traffic"), nested(weak, "weak_engagement")],
         by,
     ).select(
         *by, "upload_times", "video_length", "traffic", "weak_engagement", "title_patterns"
@@ -221,11 +232,7 @@ def kpi_tiles(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> Da
         video_length(videos, daily, by).select(
             *by, "total_shorts", "total_longform", "better_format"
         ),
-        [
-            weak_engagement(videos, daily, by=by).select(
-                *by, "channel_avg_retention", "total_weak_count"
-            )
-        ],
+        [engagement.weak_summary(engagement.settled_engagement(videos, daily, by), by)],
         by,
     )
     retention = F.coalesce("channel_avg_retention", F.lit(0.0)).cast("string")

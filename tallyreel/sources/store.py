@@ -85,12 +85,11 @@ def replace_months(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     The merged months are written to the shared folder before any stored file is
     replaced, so a run that dies in between can be repeated without loss.
     """
-    stored = spark.read.schema(_STORED_DAILY).parquet(path)
-    batch = with_month(incoming)
-    # A broadcastable list: one row per calendar month. It prunes the stored folders.
-    months = batch.select("month").distinct()
-    touched = stored.join(months, "month", "left_semi")
-    merged = settle(upsert(touched, batch, schemas.KEYS["daily_metrics"]), "months")
+    batch = settle(with_month(incoming), "batch")
+    # Calendar months, twelve a year at most. As a literal list they prune folders.
+    months = [r["month"] for r in batch.select("month").distinct().collect()]
+    stored = spark.read.schema(_STORED_DAILY).parquet(path).filter(F.col("month").isin(months))
+    merged = settle(upsert(stored, batch, schemas.KEYS["daily_metrics"]), "months")
     (
         merged.repartitionByRange("month", "video_id", "date")
         .write.mode("overwrite")
@@ -98,4 +97,3 @@ def replace_months(spark: SparkSession, path: str, incoming: DataFrame) -> None:
         .partitionBy("month")
         .parquet(path)
     )
-
