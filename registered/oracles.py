@@ -626,8 +626,7 @@ Q["display_name"] = f"""SELECT p_partkey, {capitals('lower(p_type)')} AS type, {
 
 for channel in (False, True):
     suffix = "_by_channel" if channel else ""
-    per_group = f"FROM ranked GROUP BY g"
-    joined_weak = "JOIN weak USING (g)"
+    per_group = "FROM ranked GROUP BY g"
     Q["upload_times" + suffix] = with_star(
         f"SELECT {shown(channel)} {_columns(UPLOAD)} {per_group}", levels(channel)
     )
@@ -651,6 +650,17 @@ for channel in (False, True):
         engaged(channel),
     )
     facts = f"facts AS (SELECT g, {_columns({**UPLOAD, **FORMAT, **TITLES})} {per_group})"
+    Q["all_patterns_flat" + suffix] = with_star(
+        f"""SELECT {shown(channel)} best_hour, worst_day, best_day_avg_views, better_format, multiplier,
+                   longform_total_views, top_source, top_source_percentage, channel_avg_retention,
+                   total_weak_count, weak_videos, emoji_helps, best_title_length_bucket,
+                   avg_title_length
+            FROM facts LEFT JOIN ({traffic_row}) USING (g) LEFT JOIN weak USING (g)""",
+        levels(channel),
+        facts,
+        sources(channel),
+        engaged(channel),
+    )
     Q["kpi_tiles" + suffix] = with_star(
         f"""SELECT {shown(channel)} {compact('total_shorts')} AS total_shorts,
                    {compact('total_longform')} AS total_longform, better_format,
@@ -756,6 +766,9 @@ Q["responses_live"] = f"""WITH {RESPONSES}
     SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, response DESC) AS rn
     FROM responses)
   WHERE rn = 1 AND kind = 'object' AND created_at >= TIMESTAMP '2024-01-29 12:00:00'"""
+Q["upsert_responses"] = f"""WITH {RESPONSES}
+  SELECT cache_key, created_at, response FROM responses
+  QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, response DESC) = 1"""
 Q["context_fingerprint"] = with_star(
     """SELECT g AS channel_id,
               md5(CAST(json_object('best_day', best_day, 'best_day_avg_views', best_day_avg_views,

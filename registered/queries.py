@@ -771,7 +771,31 @@ def _weak_engagement(spark, folder, by):
     )
 
 
+def _all_patterns_flat(spark, folder, by):
+    """Plain columns of the nested report."""
+    return reports.all_patterns(*_star(spark, folder), by).select(
+        *by,
+        "upload_times.best_hour",
+        "upload_times.worst_day",
+        "upload_times.best_day_avg_views",
+        "video_length.better_format",
+        "video_length.multiplier",
+        "video_length.longform_total_views",
+        "traffic.top_source",
+        "traffic.top_source_percentage",
+        "weak_engagement.channel_avg_retention",
+        "weak_engagement.total_weak_count",
+        F.array_join(
+            F.transform("weak_engagement.weak_videos", lambda v: v["video_id"]), "|"
+        ).alias("weak_videos"),
+        "title_patterns.emoji_helps",
+        "title_patterns.best_title_length_bucket",
+        "title_patterns.avg_title_length",
+    )
+
+
 _report("upload_times", _upload_times)
+_report("all_patterns_flat", _all_patterns_flat)
 _report("video_length", lambda s, f, by: reports.video_length(*_vd(s, f), by))
 _report("traffic", _traffic)
 _report("weak_engagement", _weak_engagement)
@@ -894,6 +918,14 @@ def responses_live(spark, folder):
     return replies.live(binding.responses(spark, folder), REPLIES_AS_OF)
 
 
+@query("upsert_responses")
+def upsert_responses(spark, folder):
+    rows = binding.responses(spark, folder)
+    half = F.lit(HALFWAY).cast("timestamp_ntz")
+    stored = replies.upsert_replies(None, rows.filter(F.col("created_at") < half))
+    return replies.upsert_replies(stored, rows.filter(F.col("created_at") >= half))
+
+
 @query("context_fingerprint")
 def context_fingerprint(spark, folder):
     """Upload contexts whose reply is not stored under their present statistics."""

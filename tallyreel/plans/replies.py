@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyreel.operators.upserts import latest_by_key
+from tallyreel.operators.upserts import latest_by_key, upsert
 
 LIVE_HOURS = 24
 # Error texts, and how much of a bad reply is kept with them.
@@ -57,6 +57,11 @@ def normalise(replies: DataFrame) -> DataFrame:
     )
 
 
+def upsert_replies(stored: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """Stored replies with newer ones replacing those of the same key."""
+    return upsert(stored, incoming, ["cache_key"], "created_at")
+
+
 def live(
     replies: DataFrame, as_of: dt.datetime, hours: int = LIVE_HOURS, keep_errors: bool = False
 ) -> DataFrame:
@@ -71,3 +76,11 @@ def live(
     checked = normalise(fresh)
     kept = checked if keep_errors else checked.filter(F.col("error").isNull())
     return kept.select("cache_key", "reply", "created_at")
+
+
+def with_replies(fingerprints: DataFrame, live_replies: DataFrame) -> DataFrame:
+    """Contexts next to the live reply to the same statistics, if there is one."""
+    found = live_replies.select("cache_key", "reply")
+    return fingerprints.join(found, "cache_key", "left").withColumn(
+        "from_cache", F.col("reply").isNotNull()
+    )

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from tallyreel.functions import titles
 
 
+# Columns read from each table. A fixed schema saves Spark the job that infers one.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint",
+    "orders": "o_custkey bigint, o_totalprice double",
+    "part": "p_partkey bigint, p_name string, p_type string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _video_id() -> Column:

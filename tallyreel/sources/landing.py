@@ -55,8 +55,11 @@ def schema_of(page: str) -> T.StructType:
     return T.StructType.fromDDL(page)
 
 
-def read_landed(spark: SparkSession, path: str, page: str) -> DataFrame:
-    return spark.read.schema(schema_of(page)).json(path)
+def read_landed(
+    spark: SparkSession, path: str, page: str, one_page_per_file: bool = False
+) -> DataFrame:
+    """Pages from files with a page per line, or with one page over many lines."""
+    return spark.read.schema(schema_of(page)).json(path, multiLine=one_page_per_file)
 
 
 def parse_landed(lines: DataFrame, page: str, column: str = "value") -> DataFrame:

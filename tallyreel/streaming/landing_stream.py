@@ -50,8 +50,17 @@ FEEDS = {
 }
 
 
+# Files per micro-batch, so that a long backlog is loaded in steps of a known size.
+BATCH_FILES = 10_000
+
+
 def load_new_files(
-    spark: SparkSession, table: str, landed: str, sink: str, progress: str
+    spark: SparkSession,
+    table: str,
+    landed: str,
+    sink: str,
+    progress: str,
+    batch_files: int = BATCH_FILES,
 ) -> None:
     """Flatten every file that arrived since the last call.
 
@@ -65,6 +74,7 @@ def load_new_files(
 
     (
         spark.readStream.schema(landing.schema_of(feed.page))
+        .option("maxFilesPerTrigger", batch_files)
         .json(landed)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", progress)

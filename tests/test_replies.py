@@ -63,3 +63,10 @@ def test_unreadable_replies_are_not_live(spark):
     )
     assert replies.live(rows, now).count() == 0
     assert replies.live(rows, now, keep_errors=True).count() == 1
+
+
+def test_contexts_meet_their_live_replies(spark):
+    keys = spark.createDataFrame([("c1", "k"), ("c2", "x")], "channel_id string, cache_key string")
+    live = spark.createDataFrame([("k", "{}")], "cache_key string, reply string")
+    rows = {r["channel_id"]: (r["reply"], r["from_cache"]) for r in replies.with_replies(keys, live).collect()}
+    assert rows == {"c1": ("{}", True), "c2": (None, False)}
