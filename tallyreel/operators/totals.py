@@ -114,26 +114,27 @@ def mean_views_by(
     )
 
 
-def weekday_spine(spark, groups: DataFrame | None = None) -> DataFrame:
-    """The seven weekdays, once per group when groups are given."""
-    if groups is None:
-        return spark.range(7).select(F.col("id").alias("level"))
-    days = F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))
-    return groups.select("*", F.explode(days).alias("level"))
-
-
 def mean_views_by_weekday(
     videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean views for all seven weekdays, null where nothing was published."""
-    means = mean_views_by(videos, daily, "weekday", by)
-    groups = means.select(*by).distinct() if by else None
-    spine = weekday_spine(videos.sparkSession, groups)
-    return spine.join(means, [*by, "level"], "left").select(
-        *by,
-        F.col("level").alias("weekday"),
-        clock.weekday_name(F.col("level")).alias("day"),
-        "mean_views",
+    """Mean views for all seven weekdays, null where nothing was published.
+
+    A group's means, seven at most, become a map that the full week looks into, so
+    the means are computed once rather than again for the list of groups.
+    """
+    known = F.map_from_entries(F.collect_list(F.struct("level", "mean_views")))
+    week = F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))
+    return (
+        mean_views_by(videos, daily, "weekday", by)
+        .groupBy(*by)
+        .agg(known.alias("_known"))
+        .select(*by, "_known", F.explode(week).alias("weekday"))
+        .select(
+            *by,
+            "weekday",
+            clock.weekday_name(F.col("weekday")).alias("day"),
+            F.try_element_at("_known", F.col("weekday")).alias("mean_views"),
+        )
     )
 
 

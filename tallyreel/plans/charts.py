@@ -30,16 +30,23 @@ def traffic_chart(
     )
 
 
-def _best_level(means: DataFrame, level: str, by: Sequence[str]) -> DataFrame:
+def _with_best(means: DataFrame, level: str, by: Sequence[str]) -> DataFrame:
+    """Level means with the group's best level; a group has 24 levels at most."""
     order = F.struct(F.col("mean_views"), (-F.col(level)).alias("tie"))
     known = F.when(F.col("mean_views").isNotNull(), order)
-    return means.groupBy(*by).agg(F.max_by(level, known).alias("_best"))
+    return (
+        means.groupBy(*by)
+        .agg(
+            F.collect_list(F.struct(level, "mean_views")).alias("_levels"),
+            F.max_by(level, known).alias("_best"),
+        )
+        .select(*by, "_best", F.inline("_levels"))
+    )
 
 
 def hours_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean views per publish hour with the best hour marked."""
-    means = mean_views_by(videos, daily, "hour", by)
-    marked = beside(means, [_best_level(means, "level", by)], by)
+    marked = _with_best(mean_views_by(videos, daily, "hour", by), "level", by)
     return marked.select(
         *by,
         F.concat(F.col("level").cast("string"), F.lit(":00")).alias("hour"),
@@ -51,8 +58,7 @@ def hours_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) ->
 
 def days_chart(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean views per weekday, Monday first, 0 where nothing was published."""
-    means = mean_views_by_weekday(videos, daily, by)
-    marked = beside(means, [_best_level(means, "weekday", by)], by)
+    marked = _with_best(mean_views_by_weekday(videos, daily, by), "weekday", by)
     return marked.select(
         *by,
         F.substring(clock.weekday_name(F.col("weekday")), 1, 3).alias("day"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import attach, beside
 from tallyreel.operators.ranking import top_videos
-from tallyreel.operators.totals import profile, video_totals
+from tallyreel.operators.totals import profile, video_facts, video_totals
 from tallyreel.plans import reports
+from tallyreel.sources.store import settle
 
 NEXT_TITLES = 15
 COMPARED_TITLES = 10
@@ -65,8 +66,10 @@ def weak_video_context(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Each weak video next to its group's means and better format."""
-    weak = reports.weak_engagement(videos, daily, n, by)
-    formats = reports.video_length(videos, daily, by).select(
+    facts = settle(video_facts(daily), "facts")
+    weak = reports.weak_report(engagement.engaged_videos(videos, facts, by), n, by)
+    levels = profile(videos, facts, reports.FORMAT_DIMENSIONS, by)
+    formats = levels.groupBy(*by).agg(*reports.format_columns()).select(
         *by, "better_format", "multiplier", "has_baseline"
     )
     return (
@@ -104,8 +107,9 @@ def thumbnail_context(
 def audit_context(
     videos: DataFrame, daily: DataFrame, traffic: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
+    facts = settle(video_facts(daily), "facts")
     dimensions = [*reports.UPLOAD_DIMENSIONS, *reports.FORMAT_DIMENSIONS]
-    patterns = profile(videos, video_totals(daily), dimensions, by).groupBy(*by).agg(
+    patterns = profile(videos, facts, dimensions, by).groupBy(*by).agg(
         *reports.upload_columns(), *reports.format_columns()
     )
     return beside(
@@ -125,7 +129,7 @@ def audit_context(
                 reports.traffic(traffic, videos, by), by, "top_source", "top_source_percentage"
             ),
             _only(
-                engagement.weak_summary(engagement.settled_engagement(videos, daily, by), by),
+                engagement.weak_summary(engagement.engaged_videos(videos, facts, by), by),
                 by,
                 "channel_avg_retention",
                 "total_weak_count",

@@ -37,23 +37,29 @@ def reply_body(text: Column) -> Column:
 def normalise(replies: DataFrame) -> DataFrame:
     """Add the reply as a JSON object, or an error with the start of the raw text.
 
-    The parser alone ignores what follows the first value. A text is one whole
-    value exactly when it parses both as the only element of an array and as a
-    field of an object.
+    The parser alone ignores what follows the first value. A text is one whole value
+    exactly when it parses as the only element of an array and does not close that
+    array itself, which a text without ``]`` cannot do and any other text shows by
+    also parsing as a field of an object.
     """
-    parsed = replies.withColumn("_body", reply_body(F.col("response"))).select(
-        "*",
-        F.try_parse_json(F.concat(F.lit("["), "_body", F.lit("]"))).alias("_array"),
-        F.try_parse_json(F.concat(F.lit('{"v":'), "_body", F.lit("}"))).alias("_field"),
+    body = F.col("_body")
+    as_array = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    alone = F.size("_elements") == 1
+    closed = F.when(body.contains("]"), as_field.isNotNull()).otherwise(F.lit(True))
+    parsed = (
+        replies.withColumn("_body", reply_body(F.col("response")))
+        .withColumn("_elements", as_array.cast("array<variant>"))
+        .withColumn("_readable", F.coalesce(F.when(alone, closed), F.lit(False)))
+        .withColumn("_object", F.col("_readable") & body.startswith("{"))
     )
-    elements = F.col("_array").cast("array<variant>")
-    readable = F.coalesce((F.size(elements) == 1) & F.col("_field").isNotNull(), F.lit(False))
-    is_object = readable & F.col("_body").startswith("{")
     return parsed.select(
         *replies.columns,
-        F.when(is_object, F.to_json(elements[0])).alias("reply"),
-        F.when(~readable, F.lit(UNREADABLE)).when(~is_object, F.lit(NOT_AN_OBJECT)).alias("error"),
-        F.when(~is_object, F.substring("response", 1, KEPT_CHARS)).alias("raw"),
+        F.when(F.col("_object"), F.to_json(F.col("_elements")[0])).alias("reply"),
+        F.when(~F.col("_readable"), F.lit(UNREADABLE))
+        .when(~F.col("_object"), F.lit(NOT_AN_OBJECT))
+        .alias("error"),
+        F.when(~F.col("_object"), F.substring("response", 1, KEPT_CHARS)).alias("raw"),
     )
 
 

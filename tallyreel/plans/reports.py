@@ -228,15 +228,13 @@ def all_patterns(
 
 def kpi_tiles(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Headline figures as display text."""
-    both = beside(
-        video_length(videos, daily, by).select(
-            *by, "total_shorts", "total_longform", "better_format"
-        ),
-        [engagement.weak_summary(engagement.settled_engagement(videos, daily, by), by)],
-        by,
-    )
+    facts = settle(video_facts(daily), "facts")
+    formats = profile(videos, facts, FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
+    weak = engagement.weak_summary(engagement.engaged_videos(videos, facts, by), by)
     retention = F.coalesce("channel_avg_retention", F.lit(0.0)).cast("string")
-    return both.select(
+    return beside(
+        formats.select(*by, "total_shorts", "total_longform", "better_format"), [weak], by
+    ).select(
         *by,
         figures.compact_number(F.col("total_shorts")).alias("total_shorts"),
         figures.compact_number(F.col("total_longform")).alias("total_longform"),
