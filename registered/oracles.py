@@ -394,6 +394,7 @@ Q["filter_complete_features"] = with_star(
 )
 SERIES_DAYS = "date BETWEEN DATE '2024-01-14' AND DATE '2024-02-13'"
 Q["filter_last_n_days"] = with_star(f"SELECT video_id, date, views FROM daily_metrics WHERE {SERIES_DAYS}")
+Q["stored_last_n_days"] = Q["filter_last_n_days"]
 Q["filter_one_video"] = with_star("SELECT video_id, date, views FROM daily_metrics WHERE video_id = 'v7'")
 Q["having_min_views"] = with_star("SELECT video_id, total_views FROM engaged", engaged(False))
 Q["having_positive_views"] = with_star("SELECT video_id, total_views FROM first_week", FIRST_WEEK)

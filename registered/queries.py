@@ -14,7 +14,13 @@ from tallyreel.operators import audits, engagement, ranking, totals, upserts
 from tallyreel.plans import charts, context, forecast, replies, reports
 from tallyreel.schemas import DAILY_METRICS, FEATURES, KEYS, conform
 from tallyreel.sources import binding, landing
-from tallyreel.sources.store import fresh_folder, read_table, replace_months, write_table
+from tallyreel.sources.store import (
+    fresh_folder,
+    read_days,
+    read_table,
+    replace_months,
+    write_table,
+)
 from tallyreel.streaming import landing_stream
 
 AS_OF = dt.date(2024, 1, 30)
@@ -94,6 +100,16 @@ def stored_daily_metrics(spark, folder):
     return read_table(spark, path, "daily_metrics").select("video_id", "date", "views")
 
 
+@query("stored_last_n_days")
+def stored_last_n_days(spark, folder):
+    """Write the fact by month and read back the days of a series."""
+    daily = binding.daily_metrics(spark, folder)
+    path = fresh_folder(spark, "daily")
+    write_table(conform(daily, DAILY_METRICS, F.lit("2024-02-01 00:00:00")), path, "daily_metrics")
+    rows = read_days(spark, path, *totals.final_days(SERIES_AS_OF))
+    return rows.select("video_id", "date", "views")
+
+
 @query("landing_video_ids")
 def landing_video_ids(spark, folder):
     return landing.video_ids(landing.parse_landed(binding.id_pages(spark, folder), landing.ID_PAGE))

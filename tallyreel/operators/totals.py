@@ -138,10 +138,10 @@ def mean_views_by_weekday(
     )
 
 
-def level_value(dimension: str, level: int, column: str) -> Column:
-    """Aggregate over profile rows: one level's figure, 0 when the level is absent."""
-    here = (F.col("dimension") == dimension) & (F.col("level") == level)
-    return F.coalesce(F.max(F.when(here, F.col(column))), F.lit(0))
+def level_value(dimension: str, level: int, column: str, absent: str = "0") -> Column:
+    """Aggregate over profile rows: one level's figure, or ``absent`` without that level."""
+    here = f"dimension = '{dimension}' AND level = {level}"
+    return F.expr(f"coalesce(max(CASE WHEN {here} THEN {column} END), {absent})")
 
 
 def format_stats(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -216,10 +216,16 @@ def first_week_views(videos: DataFrame, daily: DataFrame) -> DataFrame:
     )
 
 
+def final_days(as_of: dt.date, days: int = SERIES_DAYS) -> tuple[dt.date, dt.date]:
+    """First and last day of the n days up to the last final one."""
+    end = as_of - dt.timedelta(days=SOURCE_DELAY_DAYS)
+    return end - dt.timedelta(days=days), end
+
+
 def last_n_days(daily: DataFrame, as_of: dt.date, days: int = SERIES_DAYS) -> DataFrame:
     """Rows of the n days up to the last final day, both ends included."""
-    end = as_of - dt.timedelta(days=SOURCE_DELAY_DAYS)
-    return daily.filter(F.col("date").between(F.lit(end - dt.timedelta(days=days)), F.lit(end)))
+    start, end = final_days(as_of, days)
+    return daily.filter(F.col("date").between(F.lit(start), F.lit(end)))
 
 
 def channel_daily(

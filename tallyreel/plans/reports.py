@@ -54,8 +54,7 @@ def upload_columns() -> list[Column]:
     first_three = F.transform(F.slice(F.array_sort(hours), 1, 3), lambda h: h["level"])
     hour_pairs = F.collect_list(_of("hour", F.struct("level", "mean_views")))
     day_means = [
-        F.max(F.when((F.col("dimension") == "weekday") & (F.col("level") == i), F.col("mean_views")))
-        for i in range(len(DAY_NAMES))
+        level_value("weekday", i, "mean_views", absent="NULL") for i in range(len(DAY_NAMES))
     ]
     return [
         _best("hour").alias("best_hour"),

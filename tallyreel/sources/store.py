@@ -1,5 +1,6 @@
 """Star tables on shared storage."""
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -61,6 +62,13 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_days(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Stored daily metrics of a span of days; only the folders of its months are read."""
+    months = F.col("month").between(f"{start:%Y-%m}", f"{end:%Y-%m}")
+    days = F.col("date").between(F.lit(start), F.lit(end))
+    return spark.read.schema(_STORED_DAILY).parquet(path).filter(months & days).drop("month")
+
+
 def with_month(daily: DataFrame) -> DataFrame:
     return daily.withColumn("month", F.date_format("date", "yyyy-MM"))
 
@@ -68,15 +76,23 @@ def with_month(daily: DataFrame) -> DataFrame:
 def write_table(rows: DataFrame, path: str, table: str) -> None:
     """Write a table version to a new folder.
 
-    Daily metrics go into one folder per month. Ranges over (month, video) keep the
-    tasks even when one month holds most rows, give each file a narrow span of
-    videos, and keep the number of files near the number of tasks.
+    Daily metrics go into one folder per month.
     """
-    if table != "daily_metrics":
+    if table == "daily_metrics":
+        _in_ranges(with_month(rows)).write.partitionBy("month").parquet(path)
+    else:
         rows.write.parquet(path)
-        return
-    ranged = with_month(rows).repartitionByRange("month", "video_id", "date")
-    ranged.write.partitionBy("month").parquet(path)
+
+
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows in the order they are stored.
+
+    Ranges over (month, video) keep the tasks even when one month holds most rows and
+    the number of files near the number of tasks. Sorted files have narrow spans of
+    videos per row group, which a filter on the video skips by their statistics.
+    """
+    order = ["month", "video_id", "date"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def replace_months(spark: SparkSession, path: str, incoming: DataFrame) -> None:
@@ -91,7 +107,7 @@ def replace_months(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     stored = spark.read.schema(_STORED_DAILY).parquet(path).filter(F.col("month").isin(months))
     merged = settle(upsert(stored, batch, schemas.KEYS["daily_metrics"]), "months")
     (
-        merged.repartitionByRange("month", "video_id", "date")
+        _in_ranges(merged)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")

@@ -176,6 +176,18 @@ def test_month_upsert_leaves_other_months_alone(spark):
     assert january() == untouched
 
 
+def test_reading_days_opens_only_their_months(spark):
+    path = store.fresh_folder(spark, "test")
+    days = [dt.date(2024, m, d) for m in (1, 2, 3) for d in (1, 15)]
+    store.write_table(fx.daily(spark, *[("a", d, 1) for d in days]), path, "daily_metrics")
+    rows = store.read_days(spark, path, dt.date(2024, 1, 10), dt.date(2024, 2, 10))
+    assert sorted(r["date"] for r in rows.collect()) == [dt.date(2024, 1, 15), dt.date(2024, 2, 1)]
+    scan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in scan and "GreaterThanOrEqual(date" in scan
+    one = store.read_table(spark, path, "daily_metrics").filter("video_id = 'a'")
+    assert "EqualTo(video_id,a)" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_takes_new_files_once(spark):
     root = store.fresh_folder(spark, "test")
     landed, sink, progress = f"{root}/landed", f"{root}/rows", f"{root}/progress"
