@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyreel.functions import figures
 from tallyreel.operators.grouping import attach, beside, top_n, with_group_columns
-from tallyreel.operators.totals import video_facts
+from tallyreel.operators.totals import COMPARED_DECIMALS, video_facts
 from tallyreel.sources.store import settle
 
 # Videos at or under this many views are left out of the engagement figures.
@@ -52,7 +52,7 @@ def settled_engagement(
 def baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean over videos of their retention and of their views."""
     return engaged.groupBy(*by).agg(
-        F.avg("avg_retention").alias("baseline_retention"),
+        F.bround(F.avg("avg_retention"), COMPARED_DECIMALS).alias("baseline_retention"),
         F.avg("total_views").alias("baseline_views"),
     )
 

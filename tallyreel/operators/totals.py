@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators.grouping import beside, with_group_columns
 
-# Days until a figure is final at the source, and the default series length.
+# Days until a figure is final at the source, the default length of a series, and the
+# days after publication that count as the first week.
 SOURCE_DELAY_DAYS = 2
 SERIES_DAYS = 30
 FIRST_WEEK_DAYS = 7
 
+# Decimals of a mean that is compared with others.
+COMPARED_DECIMALS = 9
+
 
 def video_facts(daily: DataFrame) -> DataFrame:
     """Everything the reports need per video, from one pass over the fact.
@@ -21,6 +25,10 @@ def video_facts(daily: DataFrame) -> DataFrame:
     Retention is the plain mean over watched days, those with retention above zero;
     watched views and net subscribers cover the same days. Aggregates that a report
     does not read are pruned, and their columns are not scanned.
+
+    A sum of doubles depends in its last digits on the order of the rows, so means
+    that are compared or ranked are taken to nine decimals: equal stays equal under
+    any partitioning.
     """
     watched = F.col("average_view_percentage") > 0
 
@@ -29,7 +37,9 @@ def video_facts(daily: DataFrame) -> DataFrame:
 
     return daily.groupBy("video_id").agg(
         F.sum("views").alias("total_views"),
-        F.avg(over_watched("average_view_percentage")).alias("avg_retention"),
+        F.bround(F.avg(over_watched("average_view_percentage")), COMPARED_DECIMALS).alias(
+            "avg_retention"
+        ),
         F.sum(over_watched("views")).alias("watched_views"),
         (
             F.sum(over_watched("subscribers_gained")) - F.sum(over_watched("subscribers_lost"))

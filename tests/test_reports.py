@@ -86,6 +86,16 @@ def test_weak_is_strictly_below_the_mean(spark):
     ]
 
 
+def test_equal_retention_is_never_weak(spark):
+    # Adding these in doubles gives means that differ in the last digit.
+    days = [0.1, 0.2, 0.3, 70.7, 33.3, 66.6]
+    rows = [(f"v{i}", 2 + k, 200, r) for i in range(7) for k, r in enumerate(days[i:] + days[:i])]
+    v = fx.videos(spark, *[{"id": f"v{i}"} for i in range(7)])
+    d = fx.daily(spark, *rows)
+    assert reports.weak_engagement(v, d).first()["total_weak_count"] == 0
+    assert reports.weak_engagement(v, d, by=["channel_id"]).first()["total_weak_count"] == 0
+
+
 def test_weak_list_is_ordered_and_cut(spark):
     v = fx.videos(spark, *[{"id": f"v{i}", "title": "t" * 80} for i in range(9)])
     d = fx.daily(spark, *[("v%d" % i, 2, 200, r) for i, r in enumerate([9, 8, 7, 6, 5, 5, 90, 90, 90])])
