@@ -1,9 +1,11 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
 from tallyreel.llm.passages import op2_substring_dedup
+from tallyreel.llm.suffixes import op4_suffix_array_dedup
 
 LLM_QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
 
 LLM_ORACLES = {
@@ -28,5 +30,30 @@ WITH words AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op4_suffix_array_dedup": """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (
+    SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, h FROM texts
+), strings AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM places WHERE 2 * i + 100 <= length(h)
+), olds AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM strings) WHERE f < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM olds
+), bytes AS (
+    SELECT p.doc_id, p.i, substr(p.h, 2 * p.i + 1, 2) AS b, g.i IS NOT NULL AS gone,
+           lag(g.i IS NOT NULL, 1, false) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS before
+    FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i
+), kept AS (
+    SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed,
+           count(*) FILTER (gone AND NOT before) AS n_spans,
+           string_agg(CASE WHEN NOT gone THEN b END, '' ORDER BY i) AS kept
+    FROM bytes GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """,
 }
