@@ -1,9 +1,11 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
 from tallyreel.llm.passages import op2_substring_dedup
+from tallyreel.llm.pieces import op1_sentencepiece
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
 
 LLM_QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
@@ -12,7 +14,7 @@ LLM_ORACLES = {
     "op2_substring_dedup": """
 WITH words AS (
     SELECT doc_id,
-           list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w
+           list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
     FROM documents
 ), places AS (
     SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
