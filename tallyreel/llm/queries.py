@@ -1,5 +1,6 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
+from tallyreel.llm.near import op8_near_duplicates
 from tallyreel.llm.passages import op2_substring_dedup
 from tallyreel.llm.pieces import op1_sentencepiece
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
@@ -8,6 +9,7 @@ LLM_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 LLM_ORACLES = {
@@ -36,16 +38,21 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
     "op4_suffix_array_dedup": """
 WITH texts AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+    SELECT doc_id, unnest(range(0, length(h) // 2, 200)) AS o, h FROM texts
+), cuts AS (
+    SELECT doc_id, o, substr(h, 2 * o + 1, 498) AS h FROM blocks
 ), places AS (
-    SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, h FROM texts
+    SELECT doc_id, o + j AS i, substr(h, 2 * j + 1, 100) AS s, substr(h, 2 * j + 1, 2) AS b
+    FROM (SELECT doc_id, o, h, unnest(range(0, least(200, length(h) // 2))) AS j FROM cuts)
 ), strings AS (
-    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM places WHERE 2 * i + 100 <= length(h)
+    SELECT doc_id, i, s FROM places WHERE length(s) = 100
 ), olds AS (
     SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM strings) WHERE f < doc_id
 ), gone AS (
     SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM olds
 ), bytes AS (
-    SELECT p.doc_id, p.i, substr(p.h, 2 * p.i + 1, 2) AS b, g.i IS NOT NULL AS gone,
+    SELECT p.doc_id, p.i, p.b, g.i IS NOT NULL AS gone,
            lag(g.i IS NOT NULL, 1, false) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS before
     FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i
 ), kept AS (
@@ -57,5 +64,31 @@ WITH texts AS (
 SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op8_near_duplicates": """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+               lambda w: w <> '') AS w
+    FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM words
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM places
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach(doc_id, r) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, b FROM reach JOIN links ON a = r
+), roots AS (
+    SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM roots LEFT JOIN sizes USING (doc_id)
 """,
 }

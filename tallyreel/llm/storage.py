@@ -80,3 +80,9 @@ def others(rows: DataFrame, *used: str) -> Column:
     """All other columns as one struct, so that their names can't clash with any of an operator."""
     names = [c for c in rows.columns if c not in used]
     return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("boolean")
+
+
+def task_count(rows: DataFrame, whole: int, most: int, least: int) -> int:
+    """Tasks for work of a known size: none above ``most``, and not many below ``least``."""
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(whole / most), min(wanted, math.ceil(whole / least)))
