@@ -1,15 +1,21 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
+from tallyreel.llm.languages import op10_language_id
+from tallyreel.llm.merkle import op6_document_fingerprints
 from tallyreel.llm.near import op8_near_duplicates
 from tallyreel.llm.passages import op2_substring_dedup
 from tallyreel.llm.pieces import op1_sentencepiece
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
+from tallyreel.llm.urls import op7_url_filter
 
 LLM_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_url_filter": op7_url_filter,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_language_id": op10_language_id,
 }
 
 LLM_ORACLES = {
@@ -90,5 +96,40 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM roots LEFT JOIN sizes USING (doc_id)
+""",
+    "op6_document_fingerprints": """
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) // 3 AS third,
+           coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC),
+                    first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next_text
+    FROM documents
+), kinds AS (
+    SELECT doc_id, 0 AS kind, text AS t FROM texts
+    UNION ALL SELECT doc_id, 1, substr(text, 1, length(text) - third) || substr(next_text, 1, third) FROM texts
+    UNION ALL SELECT doc_id, 2, next_text FROM texts
+), trees AS (
+    SELECT doc_id, kind, t,
+           list_transform(string_split_regex(t, '\n[ \t\r]*\n'),
+               lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS nodes,
+           list_distinct(regexp_extract_all(t,
+               '[ \t\n\x0B\f\r]*(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*){1,4}|[ \t\n\x0B\f\r]+')) AS blocks
+    FROM kinds
+), roots AS (
+    SELECT *, sha256(array_to_string(list_transform(nodes,
+               lambda n: sha256(array_to_string(n, ''))), '')) AS root, flatten(nodes) AS flat
+    FROM trees
+), near AS (
+    SELECT a.doc_id, b.kind, a.t, b.t AS other, a.root, b.root AS other_root,
+           CASE WHEN a.root = b.root THEN 1.0::DOUBLE
+                WHEN len(a.blocks) + len(b.blocks) = 0 THEN 0.0::DOUBLE
+                ELSE 2.0::DOUBLE * len(list_intersect(a.blocks, b.blocks)) / (len(a.blocks) + len(b.blocks))
+           END AS near,
+           coalesce(list_position(list_transform(range(1, greatest(len(a.flat), len(b.flat)) + 1),
+               lambda i: a.flat[i] IS DISTINCT FROM b.flat[i]), true), 0)::BIGINT AS edited_from
+    FROM roots a JOIN roots b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind > 0
+)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.other) AS edited_sha256, e.root AS fingerprint,
+       e.other_root AS edited_fingerprint, e.near AS near_edited, n.near AS near_next, e.edited_from
+FROM near e JOIN near n ON e.doc_id = n.doc_id AND e.kind = 1 AND n.kind = 2
 """,
 }

@@ -86,3 +86,22 @@ def task_count(rows: DataFrame, whole: int, most: int, least: int) -> int:
     """Tasks for work of a known size: none above ``most``, and not many below ``least``."""
     wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, math.ceil(whole / most), min(wanted, math.ceil(whole / least)))
+
+
+def settle_ranges(rows: DataFrame, ranges: int, order: list[Column], name: str) -> DataFrame:
+    """Like settle, with rows dealt to ranges of an order (column ``range``, ascending in it).
+
+    The files are bucketed by range, so a window or group over a range moves no row again.
+    """
+    files = min(ranges, MOST_FILES)
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    (
+        rows.repartitionByRange(files, *order)
+        .withColumn("range", F.spark_partition_id())
+        .write.format("parquet")
+        .option("compression", "zstd")
+        .option("path", f"{shared_folder(rows.sparkSession)}/llm/{table}")
+        .bucketBy(files, "range")
+        .saveAsTable(table)
+    )
+    return rows.sparkSession.table(table)
