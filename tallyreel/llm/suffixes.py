@@ -134,7 +134,7 @@ def _shared_runs(table: pa.Table, shared: np.ndarray) -> Iterator[tuple]:
         records["g"] = _run_names(grams, runs, keep)
         records["h"] = _run_names(more, runs, keep)
         records["doc"] = ids[runs.text[keep]]
-        yield data, offsets, rows, grams, more, Runs(*(c[keep] for c in runs)), records
+        yield data, offsets, rows, Runs(*(c[keep] for c in runs)), records
 
 
 def _combine_runs(records: np.ndarray) -> np.ndarray:
@@ -199,10 +199,11 @@ def _spread_out(runs: Runs, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _apart(parts: list[tuple], apart: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Offsets and records of the strings of runs that must be taken apart, by slice."""
     out = []
-    for (_, _, _, grams, more, runs, records), keep in zip(parts, apart, strict=True):
+    for (data, _, _, runs, records), keep in zip(parts, apart, strict=True):
         at, run = _spread_out(runs, keep)
         found = np.empty(len(at), dtype=exchange.FIRST)
-        found["k"], found["h"] = _strings(grams, at), _strings(more, at)
+        if len(at):  # pointers are made anew; those of a whole chunk would fill the memory
+            found["k"], found["h"] = _strings(_grams(data, 0), at), _strings(_grams(data, 1), at)
         found["doc"] = records["doc"][run]
         out.append((at, found))
     return out
@@ -237,7 +238,7 @@ def _remove(table: pa.Table, told: pa.Table) -> pa.Table:
     parts, old, strings = _judged(table, told) if n else ([], [], [])
     earlier = exchange.answers(told, 3, exchange.FIRST)
     firsts = exchange.combine_firsts(np.concatenate([earlier, *(f for _, f in strings)]))
-    for (data, offsets, (a, b), _, _, runs, _), gone_runs, (at, found) in zip(parts, old, strings, strict=True):
+    for (data, offsets, (a, b), runs, _), gone_runs, (at, found) in zip(parts, old, strings, strict=True):
         begins = at[firsts["doc"][exchange.lookup(firsts, found["k"], found["h"])] < found["doc"]]
         depth = np.zeros(len(data) + 1, dtype=np.int32)
         depth[begins] += 1
