@@ -24,6 +24,8 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 # [^\x20\x09-\x0D]+ is a word: every other byte, those above 127 included, belongs to one.
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
+# Letters, digits and every byte above 127 make words; all else separates them.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -99,9 +101,11 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: where they lie, and to which text they belong."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = SEPARATORS
+    ) -> None:
         self.data = LOWER[data] if lower else data
-        inside = ~SEPARATORS[data]
+        inside = ~separators[data]
         before = np.zeros(len(data), dtype=bool)
         before[1:] = inside[:-1]
         bounds = offsets[:-1][offsets[:-1] < len(data)]

@@ -6,6 +6,7 @@ from tallyreel.llm.near import op8_near_duplicates
 from tallyreel.llm.passages import op2_substring_dedup
 from tallyreel.llm.pieces import op1_sentencepiece
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
+from tallyreel.llm.tiling import op9_decontaminate
 from tallyreel.llm.urls import op7_url_filter
 
 LLM_QUERIES = {
@@ -15,6 +16,7 @@ LLM_QUERIES = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
