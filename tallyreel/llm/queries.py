@@ -1,6 +1,7 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
 from tallyreel.llm.languages import op10_language_id
+from tallyreel.llm.licenses import op3_license_scan
 from tallyreel.llm.merkle import op6_document_fingerprints
 from tallyreel.llm.near import op8_near_duplicates
 from tallyreel.llm.passages import op2_substring_dedup
@@ -12,6 +13,7 @@ from tallyreel.llm.urls import op7_url_filter
 LLM_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filter": op7_url_filter,
