@@ -8,6 +8,7 @@ from tallyreel.llm.passages import op2_substring_dedup
 from tallyreel.llm.pieces import op1_sentencepiece
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
 from tallyreel.llm.tiling import op9_decontaminate
+from tallyreel.llm.toolcalls import op5_chat_format
 from tallyreel.llm.urls import op7_url_filter
 
 LLM_QUERIES = {
@@ -15,6 +16,7 @@ LLM_QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op8_near_duplicates": op8_near_duplicates,
