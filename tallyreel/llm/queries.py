@@ -1,5 +1,6 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
+from tallyreel.llm import storage
 from tallyreel.llm.languages import op10_language_id
 from tallyreel.llm.licenses import op3_license_scan
 from tallyreel.llm.merkle import op6_document_fingerprints
@@ -12,16 +13,19 @@ from tallyreel.llm.toolcalls import op5_chat_format
 from tallyreel.llm.urls import op7_url_filter
 
 LLM_QUERIES = {
-    "op1_sentencepiece": op1_sentencepiece,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_license_scan": op3_license_scan,
-    "op4_suffix_array_dedup": op4_suffix_array_dedup,
-    "op5_chat_format": op5_chat_format,
-    "op6_document_fingerprints": op6_document_fingerprints,
-    "op7_url_filter": op7_url_filter,
-    "op8_near_duplicates": op8_near_duplicates,
-    "op9_decontaminate": op9_decontaminate,
-    "op10_language_id": op10_language_id,
+    query.__name__: storage.with_package(query)
+    for query in (
+        op1_sentencepiece,
+        op2_substring_dedup,
+        op3_license_scan,
+        op4_suffix_array_dedup,
+        op5_chat_format,
+        op6_document_fingerprints,
+        op7_url_filter,
+        op8_near_duplicates,
+        op9_decontaminate,
+        op10_language_id,
+    )
 }
 
 LLM_ORACLES = {

@@ -1,8 +1,11 @@
 """Where operators put rows that several later steps read."""
 
+import functools
 import math
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def with_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let Python workers import this package from where the driver found it.
+
+    Enough where all machines have it at one path; else it goes along as ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        return query(spark, *args)
+
+    return run
+
+
 def settle(rows: DataFrame, name: str) -> DataFrame:
     """Write rows to the shared folder and read them back.
 

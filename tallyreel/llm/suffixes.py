@@ -86,6 +86,7 @@ def _runs(grams: np.ndarray, offsets: np.ndarray) -> Runs:
     ends[-1:] = len(chosen) - 1
     high = np.minimum(ends, offsets[1:][text[low]] - MATCH_BYTES)
     at = chosen[low]
+
     return Runs(grams[at], at, low, high, text[low])
 
 
@@ -231,7 +232,13 @@ def _send_strings(buckets: int):
     return run
 
 
-def _remove(table: pa.Table, told: pa.Table) -> pa.Table:
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """All bytes of the UTF-8 characters of which a byte is gone."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    return (np.bincount(character, weights=gone) > 0)[character]
+
+
+def _remove(table: pa.Table, told: pa.Table, characters: bool) -> pa.Table:
     n = table.num_rows
     n_bytes, n_removed, n_spans = (np.zeros(n, np.int64) for _ in range(3))
     kept: list[bytes] = []
@@ -246,6 +253,8 @@ def _remove(table: pa.Table, told: pa.Table) -> pa.Table:
         depth[runs.low[gone_runs]] += 1
         np.subtract.at(depth, runs.high[gone_runs] + MATCH_BYTES, 1)
         gone = np.cumsum(depth[:-1]) > 0
+        if characters and gone.any():
+            gone = _whole_characters(data, gone)
         text = np.repeat(np.arange(b - a), np.diff(offsets))
         opens = gone & exchange.changes(gone, text) if len(data) else gone
         n_bytes[a:b] = np.diff(offsets)
@@ -259,19 +268,22 @@ def _remove(table: pa.Table, told: pa.Table) -> pa.Table:
         "n_bytes": pa.array(n_bytes),
         "n_removed": pa.array(n_removed),
         "n_spans": pa.array(n_spans),
-        "kept": pa.array(kept, pa.binary()),
+        "kept": pa.array(kept, pa.binary(), mask=table.column("text").is_null().to_numpy()),
         "rest": table.column("rest"),
     }
     return pa.table(columns)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", characters: bool = False
+) -> DataFrame:
     """Remove each byte covered by 50 bytes that also start in a document with a smaller id.
 
     Texts are UTF-8 bytes; matches overlap freely, never cross documents and are judged on
-    the input. Returns ``id, n_bytes, n_removed, n_spans, kept`` (binary; a cut can fall
-    inside a character) and ``rest``, the struct of all other columns. A null text is
-    empty; texts under 50 bytes lose nothing. A null id counts as larger than every
+    the input. Returns ``id, n_bytes, n_removed, n_spans, kept`` (binary) and ``rest``, the
+    struct of all other columns. A cut can fall inside a character; with ``characters`` the
+    rest of that character goes too, so that what is kept is text. A null text counts as empty and
+    its ``kept`` is null; texts under 50 bytes lose nothing. A null id counts as larger than every
     id. Rows that repeat an id don't remove each other's bytes. Memory is bounded by a
     chunk of 16 MB or the longest text.
     """
@@ -304,7 +316,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             kept.schema["rest"],
         ]
     )
-    return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_remove, schema)
+
+    def remove(table: pa.Table, told: pa.Table) -> pa.Table:
+        return _remove(table, told, characters)
+
+    return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
@@ -315,5 +331,5 @@ def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
         "n_bytes",
         "n_removed",
         "n_spans",
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"),
     )
