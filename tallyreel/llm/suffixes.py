@@ -86,8 +86,8 @@ def _runs(grams: np.ndarray, offsets: np.ndarray) -> Runs:
     ends[-1:] = len(chosen) - 1
     high = np.minimum(ends, offsets[1:][text[low]] - MATCH_BYTES)
     at = chosen[low]
-
-    return Runs(grams[at], at, low, high, text[low])
+    # Chosen hashes are small ones; mixed anew, they spread evenly over the buckets.
+    return Runs(mix(grams[at]), at, low, high, text[low])
 
 
 def _refine(pointers: np.ndarray, others: np.ndarray) -> np.ndarray:
