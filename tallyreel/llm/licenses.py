@@ -159,20 +159,25 @@ def _scan_slice(index: Index, words: Words, coverage: float) -> Iterator[tuple[i
     candidates = set()
     for h in hits.tolist():
         text = int(np.searchsorted(words.bounds, at[h], side="right")) - 1
+        place = int(at[h] - words.bounds[text])
         for entry in range(low[h], high[h]):
-            diagonal = int(at[h] - words.bounds[text] - index.place[entry])
-            candidates.add((text, int(index.template[entry]), diagonal))
+            candidates.add((text, int(index.template[entry]), place - int(index.place[entry]), place))
     found: dict[int, list[tuple]] = {}
-    last = None
-    for text, template, diagonal in sorted(candidates):
-        if last and last[:2] == (text, template) and diagonal - last[2] <= BAND // 2:
-            continue  # the band around the first diagonal covers this one too
-        last = (text, template, diagonal)
-        doc = hashes[words.bounds[text] : words.bounds[text + 1]]
+    last, missed, doc = None, 0, hashes
+    for text, template, diagonal, place in sorted(candidates):
+        if (text, template) != last:
+            last, missed = (text, template), diagonal - BAND
+            doc = hashes[words.bounds[text] : words.bounds[text + 1]].copy()
+        # Words of a notice that was found, and diagonals where none was, are not tried again.
+        if not doc[place] or diagonal - missed <= BAND // 2:
+            continue
         matched, first, end = align(index.words[template], doc, diagonal)
         share = matched / len(index.words[template])
         if share >= coverage:
             found.setdefault(text, []).append((-matched, -share, first, end, index.names[template]))
+            doc[first:end] = 0
+        else:
+            missed = diagonal
     for text, matches in found.items():
         taken: list[tuple[int, int]] = []
         for matched, share, first, end, name in sorted(matches):
