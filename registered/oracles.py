@@ -322,6 +322,16 @@ DAILY_COLUMNS = f"""video_id, date, views, estimated_minutes_watched, average_vi
 Q["scan_daily_metrics"] = with_star(f"SELECT {DAILY_COLUMNS} FROM daily_metrics")
 Q["scan_traffic_sources"] = with_star("SELECT * FROM traffic_sources")
 Q["stored_daily_metrics"] = with_star("SELECT video_id, date, views FROM daily_metrics")
+Q["stored_traffic_sources"] = with_star("SELECT * FROM traffic_sources")
+NUMBER_OF_FIVE = "CAST(substr(video_id, 2) AS BIGINT) % 5"
+Q["landing_rejects"] = with_star(
+    f"""SELECT count(DISTINCT CASE WHEN {NUMBER_OF_FIVE} = 0 THEN video_id END) AS unreadable,
+               count(*) FILTER ({NUMBER_OF_FIVE} = 1 AND date = DATE '2024-01-05') AS without_day,
+               CAST(0 AS BIGINT) AS without_text,
+               count(*) FILTER ({NUMBER_OF_FIVE} > 0 AND views <> 0
+                                AND NOT ({NUMBER_OF_FIVE} = 1 AND date = DATE '2024-01-05')) AS kept
+        FROM daily_metrics"""
+)
 Q["landing_video_ids"] = with_star("SELECT video_id FROM videos")
 Q["landing_video_metadata"] = with_star(
     f"""SELECT video_id, channel_id, title, substr(description, 1, 1000) AS description,
@@ -329,7 +339,11 @@ Q["landing_video_metadata"] = with_star(
                CASE WHEN length(category_id) > 4 THEN category_id END AS category_id,
                '' AS thumbnail_url, {big('is_short')} AS is_short FROM videos"""
 )
-LANDED_DAILY = DAILY_COLUMNS.replace("average_view_duration", big("0") + " AS average_view_duration")
+LANDED_DAILY = DAILY_COLUMNS.replace(
+    "average_view_duration",
+    """CASE WHEN CAST(substr(video_id, 2) AS BIGINT) % 2 = 0 THEN average_view_duration ELSE 0 END
+         AS average_view_duration""",
+)
 Q["landing_daily_report"] = with_star(f"SELECT {LANDED_DAILY} FROM daily_metrics WHERE views <> 0")
 Q["landing_traffic_report"] = with_star("SELECT * FROM traffic_sources")
 Q["channel_info"] = with_star(
@@ -347,6 +361,7 @@ Q["upsert_videos"] = f"""WITH {LOADS}
   FROM (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY ts DESC) = 1) l
   JOIN (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY ts) = 1) f
   USING (video_id)"""
+Q["stored_videos"] = Q["upsert_videos"]
 for name, key, column in [
     ("upsert_daily_metrics", "CAST(ts AS DATE)", "date"),
     ("upsert_traffic_sources", "upper(event_type)", "traffic_source_type"),
@@ -717,8 +732,8 @@ for channel in (False, True):
     )
     Q["context_title_thumbnail" + suffix] = with_star(
         f"""SELECT {shown(channel)} doc_id, title, emoji_helps, better_format, top_source, top_titles
-            FROM candidates JOIN facts USING (g) LEFT JOIN ({traffic_row}) USING (g)
-            JOIN best_titles USING (g)""",
+            FROM candidates LEFT JOIN (SELECT * FROM facts LEFT JOIN ({traffic_row}) USING (g)
+                                       LEFT JOIN best_titles USING (g)) USING (g)""",
         levels(channel),
         facts,
         sources(channel),
@@ -741,10 +756,16 @@ Q["ml_folds"] = with_star(
     TRAINING,
 )
 Q["candidate_features"] = with_star(
-    f"""SELECT c.doc_id, c.g AS channel_id, {features('c.title', 's.hour', 's.day', '2')}
-        FROM candidates c JOIN (
+    f"""SELECT c.doc_id, c.g AS channel_id,
+               {features('c.title', 'coalesce(s.hour, o.hour)', 'coalesce(s.day, o.day)', '2')}
+        FROM candidates c LEFT JOIN (
           SELECT g, {at_rank('hour', 'best', 'level')} AS hour,
-                 {at_rank('weekday', 'best', 'level')} AS day {per_group}) s USING (g)""",
+                 {at_rank('weekday', 'best', 'level')} AS day {per_group}) s USING (g)
+        CROSS JOIN (
+          SELECT {at_rank('hour', 'best', 'level')} AS hour, {at_rank('weekday', 'best', 'level')} AS day
+          FROM (SELECT dimension, level, row_number() OVER (PARTITION BY dimension
+                         ORDER BY sum(views) / CAST(sum(videos) AS DOUBLE) DESC, level) AS best
+                FROM levels GROUP BY dimension, level)) o""",
     levels(True),
     candidates(True),
 )
@@ -780,6 +801,13 @@ Q["context_fingerprint"] = with_star(
        FROM (SELECT g, """
     + _columns(UPLOAD)
     + """, list(level ORDER BY best) FILTER (WHERE dimension = 'hour' AND best <= 3) AS hours
-             FROM ranked GROUP BY g)""",
+             FROM ranked GROUP BY g)
+       WHERE g NOT IN (SELECT g FROM ranked WHERE g IN ('c_de', 'c_fr'))""",
     levels(True),
 )
+Q["ml_fit"] = with_star(
+    """SELECT CAST(c AS BIGINT) AS category, CAST(100 AS BIGINT) AS trees, count(*) AS trained_on
+       FROM training, range((SELECT max(category) + 1 FROM training)) AS x(c) GROUP BY c""",
+    FIRST_WEEK,
+    TRAINING,
+)

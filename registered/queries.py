@@ -12,15 +12,10 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import audits, engagement, ranking, totals, upserts
 from tallyreel.plans import charts, context, forecast, replies, reports
-from tallyreel.schemas import DAILY_METRICS, FEATURES, KEYS, conform
+from tallyreel.schemas import DAILY_METRICS, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
 from tallyreel.sources import binding, landing
-from tallyreel.sources.store import (
-    fresh_folder,
-    read_days,
-    read_table,
-    replace_months,
-    write_table,
-)
+from tallyreel.sources.store import fresh_folder
+from tallyreel.sources.versions import read_days, read_table, upsert_stored, write_table
 from tallyreel.streaming import landing_stream
 
 AS_OF = dt.date(2024, 1, 30)
@@ -30,8 +25,6 @@ ONE_VIDEO = "v7"
 EARLIER_LOAD = "2024-02-01T00:00:00Z"
 LATER_LOAD = "2024-02-02T00:00:00Z"
 HALFWAY = dt.datetime(2024, 1, 16)
-# Trees per class model in the registered forecast queries; the library default is 100.
-QUERY_TREES = 3
 CHANNEL = ["channel_id"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,10 +89,54 @@ def stored_daily_metrics(spark, folder):
     second = conform(daily, DAILY_METRICS, F.lit("2024-02-02 00:00:00"))
     path = fresh_folder(spark, "daily")
     write_table(first, path, "daily_metrics")
-    replace_months(spark, path, second)
+    upsert_stored(spark, path, "daily_metrics", second)
     return read_table(spark, path, "daily_metrics").select("video_id", "date", "views")
 
 
+@query("stored_videos")
+def stored_videos(spark, folder):
+    """Write the first half of the loads of videos, merge the second, read the table back."""
+    loads = conform(_video_loads(spark, folder), VIDEOS, F.lit(None))
+    half = F.lit(HALFWAY).cast("timestamp_ntz")
+    path = fresh_folder(spark, "videos")
+    write_table(upserts.upsert_videos(None, loads.filter(F.col("created_at") < half)), path, "videos")
+    upsert_stored(spark, path, "videos", loads.filter(F.col("created_at") >= half))
+    return read_table(spark, path, "videos").select(*VIDEO_LOAD_COLUMNS)
+
+
+@query("stored_traffic_sources")
+def stored_traffic_sources(spark, folder):
+    """Write the traffic with no views, refresh it with a later load, read it back."""
+    traffic = binding.traffic_sources(spark, folder)
+    early = traffic.withColumn("views", F.lit(0).cast("bigint"))
+    path = fresh_folder(spark, "traffic")
+    write_table(conform(early, TRAFFIC_SOURCES, F.lit("2024-02-01 00:00:00")), path, "traffic_sources")
+    upsert_stored(
+        spark, path, "traffic_sources", conform(traffic, TRAFFIC_SOURCES, F.lit("2024-02-02 00:00:00"))
+    )
+    return read_table(spark, path, "traffic_sources").drop("fetched_at")
+
+
+@query("landing_rejects")
+def landing_rejects(spark, folder):
+    """Landed files in which a fifth of the pages are cut off and a fifth have a bad day."""
+    number = F.pmod(F.regexp_extract("value", r'"video_id":"v(\d+)"', 1).cast("bigint"), F.lit(5))
+    spoilt = (
+        F.when(number == 0, F.expr("substring(value, 1, length(value) - 7)"))
+        .when(number == 1, F.replace("value", F.lit('"2024-01-05"'), F.lit('"some day"')))
+        .otherwise(F.col("value"))
+    )
+    landed = f"{fresh_folder(spark, 'rejects')}/landed"
+    binding.daily_pages(spark, folder).select(spoilt.alias("value")).write.text(landed)
+    pages = landing.read_landed(spark, landed, landing.REPORT_PAGE)
+    kept = landing.daily_report(pages).agg(F.count("*").alias("kept"))
+    return landing.daily_rejects(pages).agg(
+        F.count_if(F.col("reason") == "page cannot be read").alias("unreadable"),
+        F.count_if(F.col("reason") == "no day").alias("without_day"),
+        F.count_if(F.col("raw").isNull()).alias("without_text"),
+    ).select("*", kept.scalar().alias("kept"))
+
+
 @query("stored_last_n_days")
 def stored_last_n_days(spark, folder):
     """Write the fact by month and read back the days of a series."""
@@ -165,9 +202,13 @@ def _loads(spark, folder):
     )
 
 
-@query("upsert_videos")
-def upsert_videos(spark, folder):
-    loads = _loads(spark, folder).select(
+VIDEO_LOAD_COLUMNS = [
+    "video_id", "channel_id", "title", "published_at", "duration_seconds", "created_at", "updated_at",
+]
+
+
+def _video_loads(spark, folder):
+    return _loads(spark, folder).select(
         "video_id",
         F.col("event_type").alias("channel_id"),
         F.col("props").alias("title"),
@@ -176,6 +217,11 @@ def upsert_videos(spark, folder):
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
     )
+
+
+@query("upsert_videos")
+def upsert_videos(spark, folder):
+    loads = _video_loads(spark, folder)
     half = F.lit(HALFWAY).cast("timestamp_ntz")
     stored = upserts.upsert_videos(None, loads.filter(F.col("created_at") < half))
     return upserts.upsert_videos(stored, loads.filter(F.col("created_at") >= half))
@@ -834,23 +880,20 @@ def ml_folds(spark, folder):
 
 
 def _fitted(spark, folder):
-    return forecast.fit(_training(spark, folder), max_iter=QUERY_TREES)
+    return forecast.fit(_training(spark, folder))
 
 
 @query("ml_fit")
 def ml_fit(spark, folder):
-    """Size of each class model."""
+    """Trees of each class model, and the videos behind them."""
     model = _fitted(spark, folder)
-    rows = [
-        (c, m.getNumTrees, int(m.totalNumNodes), model.trained_on)
-        for c, m in enumerate(model.model.models)
-    ]
-    return spark.createDataFrame(rows, "category bigint, trees bigint, nodes bigint, trained_on bigint")
+    rows = [(c, m.getNumTrees, model.trained_on) for c, m in enumerate(model.model.models)]
+    return spark.createDataFrame(rows, "category bigint, trees bigint, trained_on bigint")
 
 
 @query("ml_cv_predictions")
 def ml_cv_predictions(spark, folder):
-    return forecast.cross_predictions(_training(spark, folder), max_iter=QUERY_TREES)
+    return forecast.cross_predictions(_training(spark, folder))
 
 
 @query("ml_cv_accuracy")
@@ -868,11 +911,16 @@ def chart_importance(spark, folder):
     return forecast.importance_chart(ml_importance(spark, folder))
 
 
+def _slotted(spark, folder):
+    vd = _vd(spark, folder)
+    slots, overall = (reports.upload_times(*vd, by) for by in (CHANNEL, []))
+    return forecast.slot_features(binding.candidates(spark, folder), slots, 2, CHANNEL, overall)
+
+
 @query("ml_predict")
 def ml_predict(spark, folder):
     """Class forecast for every unpublished document at its channel's best slot."""
-    slots = reports.upload_times(*_vd(spark, folder), CHANNEL)
-    rows = forecast.slot_features(binding.candidates(spark, folder), slots, 2, CHANNEL)
+    rows = _slotted(spark, folder)
     return forecast.predict(_fitted(spark, folder), rows).select(
         "doc_id", "channel_id", "predicted_class", "predicted_category", "probabilities"
     )
@@ -880,14 +928,12 @@ def ml_predict(spark, folder):
 
 @query("candidate_features")
 def candidate_features(spark, folder):
-    slots = reports.upload_times(*_vd(spark, folder), CHANNEL)
-    rows = forecast.slot_features(binding.candidates(spark, folder), slots, 2, CHANNEL)
-    return rows.select("doc_id", "channel_id", *FEATURES)
+    return _slotted(spark, folder).select("doc_id", "channel_id", *FEATURES)
 
 
 @query("ml_metrics")
 def ml_metrics(spark, folder):
-    return forecast.metrics(_training(spark, folder), max_iter=QUERY_TREES)
+    return forecast.metrics(_training(spark, folder))
 
 
 @query("chart_distribution")
@@ -944,7 +990,12 @@ def upsert_responses(spark, folder):
 
 @query("context_fingerprint")
 def context_fingerprint(spark, folder):
-    """Upload contexts whose reply is not stored under their present statistics."""
+    """Upload contexts whose reply is not stored under their present statistics.
+
+    Replies are stored for the channels of two languages, next to those of the events.
+    """
     rows = context.upload_context(*_vd(spark, folder), CHANNEL)
     keys = context.fingerprint(rows, "upload_strategy", "provider", "model", CHANNEL)
-    return context.unanswered(keys, binding.responses(spark, folder)).select("channel_id", "cache_key")
+    answered = keys.filter(F.col("channel_id").isin("c_de", "c_fr")).select("cache_key")
+    stored = binding.responses(spark, folder).select("cache_key").union(answered)
+    return context.unanswered(keys, stored).select("channel_id", "cache_key")

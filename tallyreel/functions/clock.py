@@ -24,12 +24,16 @@ def publish_month(ts: Column) -> Column:
 
 
 def utc_wall_clock(text: Column) -> Column:
-    """ISO 8601 text with an offset to its UTC wall clock, null when unparsable.
+    """ISO 8601 text to its UTC wall clock, null when unparsable.
 
-    Built from the epoch offset rather than a zone conversion, so the answer is
-    the same under every session time zone.
+    Text without an offset is UTC. Built from the epoch offset rather than a zone
+    conversion, so the answer is the same under every session time zone.
     """
-    micros = F.unix_micros(F.try_to_timestamp(text))
+    trimmed = F.trim(text)
+    zoned = trimmed.rlike(r"([Zz]|[+-]\d{1,2}(:?\d{2}){0,2}|[A-Za-z]+(/[A-Za-z_]+)*)$") & trimmed.rlike("[:Tt ]")
+    date_only = trimmed.rlike(r"^[+-]?\d+-\d{1,2}-\d{1,2}$")
+    dated = F.when(date_only, F.concat(trimmed, F.lit("T00:00:00Z"))).when(zoned, trimmed)
+    micros = F.unix_micros(F.try_to_timestamp(dated.otherwise(F.concat(trimmed, F.lit("Z")))))
     seconds = micros.cast("decimal(24,6)") / F.lit(1_000_000)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))

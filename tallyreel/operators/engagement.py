@@ -31,6 +31,13 @@ def engaged_videos(
     return with_group_columns(above, videos, by, ["title"])
 
 
+def engaged_of(described: DataFrame, by: Sequence[str] = (), min_views: int = MIN_VIEWS) -> DataFrame:
+    """The same from rows that carry facts, groups and titles."""
+    return described.filter(F.col("watched_views") > min_views).select(
+        "video_id", "avg_retention", F.col("watched_views").alias("total_views"), "net_subs", *by, "title"
+    )
+
+
 def engagement_by_video(
     videos: DataFrame, daily: DataFrame, by: Sequence[str] = (), min_views: int = MIN_VIEWS
 ) -> DataFrame:
@@ -62,7 +69,11 @@ def under_baseline() -> Column:
 
 
 def below_baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Videos strictly under their group's mean retention."""
+    """Videos strictly under their group's mean retention.
+
+    Both sides are compared at nine decimals, so a difference below 1e-9 doesn't count
+    as one, where a comparison of plain doubles would let their last digits decide.
+    """
     compared = attach(engaged, baseline(engaged, by), by, ["video_id"])
     return compared.filter(under_baseline())
 

@@ -17,9 +17,10 @@ SPREAD = 64
 def attach(
     rows: DataFrame, summary: DataFrame, by: Sequence[str], spread_on: Sequence[str]
 ) -> DataFrame:
-    """Add a group's summary columns to each of its rows.
+    """Add a group's summary columns to each row; every row is kept.
 
-    A global summary is one row, read as a scalar subquery. A per-group summary is
+    Rows of a group without a summary get nulls, as they do from an empty global
+    summary. A global summary is one row, read as a scalar subquery. A per-group summary is
     joined on the group and a salt, so a group holding a large share of the rows
     does not land in one task. The join side is left to Spark's size estimate.
     """
@@ -29,7 +30,7 @@ def attach(
     salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
     copies = summary.withColumn("_salt", salts)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(SPREAD)).cast("int"))
-    return salted.join(copies, [*by, "_salt"]).drop("_salt")
+    return salted.join(copies, [*by, "_salt"], "left").drop("_salt")
 
 
 def beside(rows: DataFrame, summaries: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:

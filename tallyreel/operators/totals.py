@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators.grouping import beside, with_group_columns
+from tallyreel.sources.store import settle
 
 # Days until a figure is final at the source, the default length of a series, and the
 # days after publication that count as the first week.
@@ -89,18 +90,36 @@ def profile(
     so a task sends at most one row per group and level (43 levels over all
     dimensions) however many videos it read.
     """
+    described = videos.select("video_id", *by, *_levels(dimensions))
+    joined = facts.select("video_id", "total_views").join(described, "video_id")
+    return profile_rows(joined, dimensions, by)
+
+
+def _levels(dimensions: Sequence[str]) -> list[Column]:
     # Title lengths are only needed in the row that covers all videos.
     length = titles.title_length(F.col("title")) if "all" in dimensions else F.lit(None)
-    described = videos.select(
-        "video_id",
-        *by,
+    return [
         length.cast("bigint").alias("title_chars"),
         *[PROFILE_DIMENSIONS[d]().cast("bigint").alias(d) for d in dimensions],
-    )
-    long = (
-        facts.select("video_id", "total_views")
-        .join(described, "video_id")
-        .unpivot([*by, "total_views", "title_chars"], list(dimensions), "dimension", "level")
+    ]
+
+
+def described_videos(
+    videos: DataFrame, daily: DataFrame, dimensions: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per video with facts, group, title and profile levels, computed once.
+
+    The fact is scanned and joined once; every report of a set then reads these rows, of
+    which there are as many as videos.
+    """
+    levels = videos.select("video_id", *by, "title", *_levels(dimensions))
+    return settle(video_facts(daily).join(levels, "video_id"), "described")
+
+
+def profile_rows(joined: DataFrame, dimensions: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The profile of videos that carry their levels."""
+    long = joined.select(*by, "total_views", "title_chars", *dimensions).unpivot(
+        [*by, "total_views", "title_chars"], list(dimensions), "dimension", "level"
     )
     return (
         long.filter(F.col("level").isNotNull())

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import attach, beside
 from tallyreel.operators.ranking import top_videos
-from tallyreel.operators.totals import profile, video_facts, video_totals
+from tallyreel.operators.totals import described_videos, profile, profile_rows, video_totals
 from tallyreel.plans import reports
-from tallyreel.sources.store import settle
 
 NEXT_TITLES = 15
 COMPARED_TITLES = 10
@@ -66,9 +65,9 @@ def weak_video_context(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Each weak video next to its group's means and better format."""
-    facts = settle(video_facts(daily), "facts")
-    weak = reports.weak_report(engagement.engaged_videos(videos, facts, by), n, by)
-    levels = profile(videos, facts, reports.FORMAT_DIMENSIONS, by)
+    described = described_videos(videos, daily, reports.FORMAT_DIMENSIONS, by)
+    weak = reports.weak_report(engagement.engaged_of(described, by), n, by)
+    levels = profile_rows(described, reports.FORMAT_DIMENSIONS, by)
     formats = levels.groupBy(*by).agg(*reports.format_columns()).select(
         *by, "better_format", "multiplier", "has_baseline"
     )
@@ -107,9 +106,9 @@ def thumbnail_context(
 def audit_context(
     videos: DataFrame, daily: DataFrame, traffic: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    facts = settle(video_facts(daily), "facts")
     dimensions = [*reports.UPLOAD_DIMENSIONS, *reports.FORMAT_DIMENSIONS]
-    patterns = profile(videos, facts, dimensions, by).groupBy(*by).agg(
+    described = described_videos(videos, daily, dimensions, by)
+    patterns = profile_rows(described, dimensions, by).groupBy(*by).agg(
         *reports.upload_columns(), *reports.format_columns()
     )
     return beside(
@@ -129,7 +128,7 @@ def audit_context(
                 reports.traffic(traffic, videos, by), by, "top_source", "top_source_percentage"
             ),
             _only(
-                engagement.weak_summary(engagement.engaged_videos(videos, facts, by), by),
+                engagement.weak_summary(engagement.engaged_of(described, by), by),
                 by,
                 "channel_avg_retention",
                 "total_weak_count",

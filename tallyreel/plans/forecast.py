@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +25,8 @@ TREES = 100
 DEPTH = 4
 STEP = 0.1
 SEED = 42
+# Distinct feature rows that one task of a fit works on.
+ROWS_PER_TASK = 50_000
 
 # Hex digits of the key's hash that name a bucket when rows are numbered: 4,096
 # buckets of even size, whatever the keys look like.
@@ -153,7 +155,13 @@ def fit(rows: DataFrame, max_iter: int = TREES, max_depth: int = DEPTH) -> Forec
     distinct = rows.groupBy(*FEATURES, "category").agg(F.count("*").alias("videos"))
     grouped = settle(distinct, "training")
     # One row per class, four at most.
-    seen = grouped.groupBy("category").agg(F.sum("videos").alias("videos")).collect()
+    seen = (
+        grouped.groupBy("category")
+        .agg(F.sum("videos").alias("videos"), F.count("*").alias("rows"))
+        .collect()
+    )
+    # Every tree is several passes over these rows; few large tasks make each short.
+    tasks = 1 + sum(r["rows"] for r in seen) // ROWS_PER_TASK
     trees = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=STEP, seed=SEED)
     learner = OneVsRest(
         classifier=trees, labelCol="category", weightCol="videos", parallelism=len(CLASSES)
@@ -161,8 +169,14 @@ def fit(rows: DataFrame, max_iter: int = TREES, max_depth: int = DEPTH) -> Forec
     weighted = grouped.withColumns(
         {"category": F.col("category").cast("double"), "videos": F.col("videos").cast("double")}
     )
+    dealt = weighted.repartition(tasks, *FEATURES).sortWithinPartitions(*FEATURES, "category")
+    points = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = learner.fit(_assembled(points))
+    finally:
+        points.unpersist()
     return Forecaster(
-        learner.fit(_assembled(weighted)),
+        model,
         tuple(sorted(r["category"] for r in seen)),
         sum(r["videos"] for r in seen),
     )
@@ -262,11 +276,23 @@ def metrics(
     return beside(accuracy(cross_predictions(kept, k, max_iter, max_depth)), [spread, weights, size], [])
 
 
-def slot_features(candidates: DataFrame, slots: DataFrame, month: int, by: Sequence[str]):
-    """Feature rows for titles that would be published at their group's best slot."""
+def slot_features(
+    candidates: DataFrame, slots: DataFrame, month: int, by: Sequence[str], overall: DataFrame
+) -> DataFrame:
+    """Feature rows for titles that would be published at their group's best slot.
+
+    Groups without published videos have no slot; their titles get the best one
+    over all videos, the one row of ``overall``.
+    """
     day = F.array_position(F.array(*[F.lit(d) for d in DAY_NAMES]), F.col("best_day")) - 1
     chosen = slots.select(*by, F.col("best_hour").alias("_hour"), day.alias("_day"))
     placed = attach(candidates, chosen, by, ["title"])
+    if by:
+        anywhere = overall.select(F.col("best_hour").alias("_any_hour"), day.alias("_any_day"))
+        placed = attach(placed, anywhere, [], ["title"])
+        placed = placed.withColumns(
+            {"_hour": F.coalesce("_hour", "_any_hour"), "_day": F.coalesce("_day", "_any_day")}
+        )
     return placed.select(
         *candidates.columns,
         *feature_columns(F.col("title"), F.col("_hour"), F.col("_day"), F.lit(month)),

@@ -73,13 +73,12 @@ def live(
 ) -> DataFrame:
     """The latest reply per key when it is not older than the limit.
 
-    Replies that could not be read are left out unless asked for.
+    A key's latest reply is fresh exactly when it has a fresh one, so old replies are left
+    out first, at the scan, and only fresh ones are shuffled. Replies that could not be
+    read are left out unless asked for.
     """
-    latest = latest_by_key(replies, ["cache_key"], "created_at")
-    fresh = latest.filter(
-        F.col("created_at") >= F.lit(as_of - dt.timedelta(hours=hours)).cast("timestamp_ntz")
-    )
-    checked = normalise(fresh)
+    oldest = F.lit(as_of - dt.timedelta(hours=hours)).cast("timestamp_ntz")
+    checked = normalise(latest_by_key(replies.filter(F.col("created_at") >= oldest), ["cache_key"], "created_at"))
     kept = checked if keep_errors else checked.filter(F.col("error").isNull())
     return kept.select("cache_key", "reply", "created_at")
 

@@ -13,14 +13,14 @@ from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import beside
 from tallyreel.operators.totals import (
+    described_videos,
     level_value,
     profile,
+    profile_rows,
     traffic_shares,
-    video_facts,
     video_totals,
 )
 from tallyreel.schemas import DAY_NAMES
-from tallyreel.sources.store import settle
 
 UPLOAD_DIMENSIONS = ["hour", "weekday"]
 FORMAT_DIMENSIONS = ["short"]
@@ -200,12 +200,12 @@ def all_patterns(
 ) -> DataFrame:
     """All five reports as nested columns of one row per group.
 
-    The fact is scanned once: its per-video aggregate is written out and feeds both
-    the profile and the engagement report.
+    Facts and videos are scanned and joined once, and the joined rows feed every
+    report but traffic.
     """
-    facts = settle(video_facts(daily), "facts")
     dimensions = [*UPLOAD_DIMENSIONS, *FORMAT_DIMENSIONS, *TITLE_DIMENSIONS]
-    patterns = profile(videos, facts, dimensions, by).groupBy(*by).agg(
+    described = described_videos(videos, daily, dimensions, by)
+    patterns = profile_rows(described, dimensions, by).groupBy(*by).agg(
         F.struct(*upload_columns()).alias("upload_times"),
         F.struct(*format_columns()).alias("video_length"),
         F.struct(*title_columns()).alias("title_patterns"),
@@ -215,7 +215,7 @@ def all_patterns(
         inner = [c for c in report.columns if c not in by]
         return report.select(*by, F.struct(*inner).alias(name))
 
-    weak = weak_report(engagement.engaged_videos(videos, facts, by), by=by)
+    weak = weak_report(engagement.engaged_of(described, by), by=by)
     return beside(
         patterns,
         [nested(traffic(traffic_sources, videos, by), "traffic"), nested(weak, "weak_engagement")],
@@ -227,9 +227,9 @@ def all_patterns(
 
 def kpi_tiles(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Headline figures as display text."""
-    facts = settle(video_facts(daily), "facts")
-    formats = profile(videos, facts, FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
-    weak = engagement.weak_summary(engagement.engaged_videos(videos, facts, by), by)
+    described = described_videos(videos, daily, FORMAT_DIMENSIONS, by)
+    formats = profile_rows(described, FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
+    weak = engagement.weak_summary(engagement.engaged_of(described, by), by)
     retention = F.coalesce("channel_avg_retention", F.lit(0.0)).cast("string")
     return beside(
         formats.select(*by, "total_shorts", "total_longform", "better_format"), [weak], by

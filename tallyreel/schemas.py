@@ -16,6 +16,7 @@ def _table(*fields, required=()):
     return T.StructType([T.StructField(n, t, n not in required) for n, t in fields])
 
 
+# The columns, types and required columns of the four tables.
 VIDEOS = _table(
     ("video_id", _STR),
     ("channel_id", _STR),

@@ -51,36 +51,56 @@ TRAFFIC_COLUMNS = {
 }
 
 
-def schema_of(page: str) -> T.StructType:
-    return T.StructType.fromDDL(page)
+# A page that can't be read, with its text.
+UNREADABLE = "_unreadable"
 
 
 def read_landed(
     spark: SparkSession, path: str, page: str, one_page_per_file: bool = False
 ) -> DataFrame:
     """Pages from files with a page per line, or with one page over many lines."""
-    return spark.read.schema(schema_of(page)).json(path, multiLine=one_page_per_file)
+    return parse_landed(spark.read.text(path, wholetext=one_page_per_file), page)
 
 
 def parse_landed(lines: DataFrame, page: str, column: str = "value") -> DataFrame:
-    """Pages from JSON text that is already in a DataFrame."""
-    return lines.select(F.from_json(column, schema_of(page)).alias("p")).select("p.*")
+    """Pages from JSON text; one that is no such page has only its text, as unreadable."""
+    schema = T.StructType([*T.StructType.fromDDL(page).fields, T.StructField(UNREADABLE, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREADABLE}
+    filled = lines.filter(F.trim(column) != "")
+    return filled.select(F.from_json(column, schema, options).alias("p")).select("p.*")
+
+
+def _readable(pages: DataFrame) -> DataFrame:
+    return pages.filter(F.col(UNREADABLE).isNull())
+
+
+def _rejects(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Unreadable pages, and rows that carry a reason: (reason, raw)."""
+    unread = pages.filter(F.col(UNREADABLE).isNotNull())
+    return unread.select(F.lit("page cannot be read").alias("reason"), F.col(UNREADABLE).alias("raw")).union(
+        rows.filter(F.col("reason").isNotNull()).select("reason", "raw")
+    )
+
+
+def _missing(**keys: Column) -> Column:
+    """Names the first key that is null; null if none is."""
+    return F.coalesce(*[F.when(c.isNull(), F.lit(f"no {n.replace('_', ' ')}")) for n, c in keys.items()])
 
 
 def video_ids(pages: DataFrame) -> DataFrame:
     """Ids over all pages, as often as they are listed. Pages without items give none."""
     return (
-        pages.select(F.explode("items").alias("i"))
+        _readable(pages).select(F.explode("items").alias("i"))
         .select(F.col("i.contentDetails.videoId").alias("video_id"))
         .filter(F.col("video_id").isNotNull())
     )
 
 
-def video_metadata(pages: DataFrame) -> DataFrame:
-    """Video rows from metadata pages, with load times from the page."""
-    item = pages.select("fetched_at", F.explode("items").alias("i"))
+def _metadata_rows(pages: DataFrame) -> DataFrame:
+    item = _readable(pages).select("fetched_at", F.explode("items").alias("i"))
     seconds = figures.duration_seconds(F.col("i.contentDetails.duration"))
     loaded = clock.utc_wall_clock(F.col("fetched_at"))
+    published = clock.utc_wall_clock(F.col("i.snippet.publishedAt"))
     return item.select(
         F.col("i.id").alias("video_id"),
         F.col("i.snippet.channelId").alias("channel_id"),
@@ -88,16 +108,29 @@ def video_metadata(pages: DataFrame) -> DataFrame:
         F.substring(
             F.coalesce("i.snippet.description", F.lit("")), 1, DESCRIPTION_CHARS
         ).alias("description"),
-        clock.utc_wall_clock(F.col("i.snippet.publishedAt")).alias("published_at"),
+        published.alias("published_at"),
         seconds.alias("duration_seconds"),
         F.col("i.snippet.categoryId").alias("category_id"),
         F.coalesce("i.snippet.thumbnails.high.url", F.lit("")).alias("thumbnail_url"),
         figures.short_flag(seconds).alias("is_short"),
         loaded.alias("created_at"),
         loaded.alias("updated_at"),
+        _missing(
+            video_id=F.col("i.id"), channel_id=F.col("i.snippet.channelId"), publish_time=published
+        ).alias("reason"),
+        F.to_json("i").alias("raw"),
     )
 
 
+def video_metadata(pages: DataFrame) -> DataFrame:
+    """Video rows from metadata pages, with load times from the page. Rows without keys are rejects."""
+    return _metadata_rows(pages).filter(F.col("reason").isNull()).drop("reason", "raw")
+
+
+def metadata_rejects(pages: DataFrame) -> DataFrame:
+    return _rejects(pages, _metadata_rows(pages))
+
+
 def _cell(header: str) -> tuple[Column, Column]:
     """Whether a row has a cell under the header, and the cell's text."""
     position = F.array_position("names", header)
@@ -116,7 +149,7 @@ def _number(header: str, kind: str) -> Column:
 
 
 def _report_rows(pages: DataFrame) -> DataFrame:
-    return pages.select(
+    return _readable(pages).select(
         "video_id",
         clock.utc_wall_clock(F.col("fetched_at")).alias("fetched_at"),
         F.transform("columnHeaders", lambda h: h["name"]).alias("names"),
@@ -124,29 +157,49 @@ def _report_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def daily_report(pages: DataFrame) -> DataFrame:
-    """Daily metric rows. Days with no views are left out."""
-    numbers = [_number(h, kind).alias(name) for h, (name, kind) in DAILY_COLUMNS.items()]
-    rows = _report_rows(pages).select(
-        "video_id", F.to_date(_cell("day")[1]).alias("date"), *numbers, "fetched_at"
-    )
-    return rows.filter(~F.col("views").eqNullSafe(F.lit(0)))
-
-
-def traffic_report(pages: DataFrame) -> DataFrame:
-    """Traffic rows. Sources with no views are kept."""
-    numbers = [_number(h, kind).alias(name) for h, (name, kind) in TRAFFIC_COLUMNS.items()]
+def _fact_rows(pages: DataFrame, key: str, value: Column, columns: dict, what: str) -> DataFrame:
+    numbers = [_number(h, kind).alias(name) for h, (name, kind) in columns.items()]
     return _report_rows(pages).select(
         "video_id",
-        _cell("insightTrafficSourceType")[1].alias("traffic_source_type"),
+        value.alias(key),
         *numbers,
         "fetched_at",
+        _missing(**{"video_id": F.col("video_id"), what: value}).alias("reason"),
+        F.to_json(F.struct("video_id", "names", "row")).alias("raw"),
     )
 
 
+def _daily_rows(pages: DataFrame) -> DataFrame:
+    return _fact_rows(pages, "date", F.try_to_date(_cell("day")[1]), DAILY_COLUMNS, "day")
+
+
+def daily_report(pages: DataFrame) -> DataFrame:
+    """Daily metric rows. Days with no views are left out; rows without video or day are rejects."""
+    rows = _daily_rows(pages).filter(F.col("reason").isNull()).drop("reason", "raw")
+    return rows.filter(~F.col("views").eqNullSafe(F.lit(0)))
+
+
+def daily_rejects(pages: DataFrame) -> DataFrame:
+    return _rejects(pages, _daily_rows(pages))
+
+
+def _traffic_rows(pages: DataFrame) -> DataFrame:
+    kind = _cell("insightTrafficSourceType")[1]
+    return _fact_rows(pages, "traffic_source_type", kind, TRAFFIC_COLUMNS, "source_type")
+
+
+def traffic_report(pages: DataFrame) -> DataFrame:
+    """Traffic rows. Sources with no views are kept; rows without video or source type are rejects."""
+    return _traffic_rows(pages).filter(F.col("reason").isNull()).drop("reason", "raw")
+
+
+def traffic_rejects(pages: DataFrame) -> DataFrame:
+    return _rejects(pages, _traffic_rows(pages))
+
+
 def channel_info(pages: DataFrame) -> DataFrame:
     """Title, id and counts of each page's channel; absent counts read N/A."""
-    channel = pages.select(F.get("items", F.lit(0)).alias("c")).filter(F.col("c").isNotNull())
+    channel = _readable(pages).select(F.get("items", F.lit(0)).alias("c")).filter(F.col("c").isNotNull())
 
     def count(name):
         return F.coalesce(F.col(f"c.statistics.{name}"), F.lit(NOT_AVAILABLE))

@@ -1,36 +1,17 @@
-"""Star tables on shared storage."""
+"""Shared storage, and rows that several jobs read."""
 
-import datetime as dt
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tallyreel import schemas
-from tallyreel.operators.upserts import upsert
 
 SETTING = "spark.checkpoint.dir"
-_local_folder: list[str] = []
-
-# Stored daily rows carry their partition column.
-_STORED_DAILY = T.StructType([*schemas.DAILY_METRICS.fields, T.StructField("month", T.StringType())])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
-
-    Only a local session may go without the setting; it gets a temporary folder.
-    """
-    named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="tallyreel-"))
-    return _local_folder[0]
+    """The folder every executor can reach: the checkpoint folder, else the warehouse."""
+    named = spark.conf.get(SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -39,77 +20,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(rows: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder and read them back.
+    """Rows that several later jobs read, computed once.
 
-    For rows that several later jobs read. The written files, unlike cached blocks,
-    outlive a lost executor.
+    Where the session names a checkpoint folder they are written there and read back:
+    the files, unlike cached blocks, outlive a lost executor. They stay until the owner of
+    that folder clears it. Without the setting the rows are persisted, spilling to
+    disk, until the session ends or clears its cache; lost blocks are computed anew.
     """
+    if not rows.sparkSession.conf.get(SETTING, None):
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
     path = fresh_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored star table, read with its fixed schema."""
-    schema = {
-        "videos": schemas.VIDEOS,
-        "daily_metrics": schemas.DAILY_METRICS,
-        "traffic_sources": schemas.TRAFFIC_SOURCES,
-        "responses": schemas.RESPONSES,
-    }[table]
-    if table == "daily_metrics":
-        return spark.read.schema(_STORED_DAILY).parquet(path).drop("month")
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_days(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Stored daily metrics of a span of days; only the folders of its months are read."""
-    months = F.col("month").between(f"{start:%Y-%m}", f"{end:%Y-%m}")
-    days = F.col("date").between(F.lit(start), F.lit(end))
-    return spark.read.schema(_STORED_DAILY).parquet(path).filter(months & days).drop("month")
-
-
-def with_month(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("month", F.date_format("date", "yyyy-MM"))
-
-
-def write_table(rows: DataFrame, path: str, table: str) -> None:
-    """Write a table version to a new folder.
-
-    Daily metrics go into one folder per month.
-    """
-    if table == "daily_metrics":
-        _in_ranges(with_month(rows)).write.partitionBy("month").parquet(path)
-    else:
-        rows.write.parquet(path)
-
-
-def _in_ranges(rows: DataFrame) -> DataFrame:
-    """Rows in the order they are stored.
-
-    Ranges over (month, video) keep the tasks even when one month holds most rows and
-    the number of files near the number of tasks. Sorted files have narrow spans of
-    videos per row group, which a filter on the video skips by their statistics.
-    """
-    order = ["month", "video_id", "date"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def replace_months(spark: SparkSession, path: str, incoming: DataFrame) -> None:
-    """Upsert daily rows into a stored table, rewriting only the months they touch.
-
-    The merged months are written to the shared folder before any stored file is
-    replaced, so a run that dies in between can be repeated without loss.
-    """
-    batch = settle(with_month(incoming), "batch")
-    # Calendar months, twelve a year at most. As a literal list they prune folders.
-    months = [r["month"] for r in batch.select("month").distinct().collect()]
-    stored = spark.read.schema(_STORED_DAILY).parquet(path).filter(F.col("month").isin(months))
-    merged = settle(upsert(stored, batch, schemas.KEYS["daily_metrics"]), "months")
-    (
-        _in_ranges(merged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )

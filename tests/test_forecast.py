@@ -87,6 +87,23 @@ def test_metrics_row(spark):
     assert set(row["feature_importance"]) == set(FEATURES)
 
 
+def test_predictions_of_unseen_rows_beat_the_majority(spark):
+    data = rows(spark, 160, classes=(0, 0, 1, 2, 3))
+    out = forecast.accuracy(forecast.cross_predictions(data, k=2, max_iter=5)).first()["accuracy"]
+    assert out > 0.6  # the most frequent class alone would give 0.4
+
+
+def test_a_group_without_videos_gets_the_overall_slot(spark):
+    titles = spark.createDataFrame([("k", "one"), ("new", "two")], "channel_id string, title string")
+    slots = spark.createDataFrame([("k", 7, "Monday")], "channel_id string, best_hour bigint, best_day string")
+    overall = spark.createDataFrame([(9, "Friday")], "best_hour bigint, best_day string")
+    found = forecast.slot_features(titles, slots, 2, ["channel_id"], overall).collect()
+    got = {r["channel_id"]: (r["hour"], r["day_of_week"]) for r in found}
+    assert got == {"k": (7, 0), "new": (9, 4)}
+    alone = forecast.slot_features(titles, overall, 2, [], overall).collect()
+    assert [(r["hour"], r["day_of_week"]) for r in alone] == [(9, 4)] * 2
+
+
 def test_equal_rows_train_as_one_weighted_row(spark):
     data = rows(spark, 40)
     tripled = data.union(data).union(data)

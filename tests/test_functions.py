@@ -80,12 +80,20 @@ def test_parsed_times_do_not_depend_on_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        texts = ["2024-03-10T02:30:00Z", "2024-01-01T00:30:00+02:00", "1999-12-31T23:59:59.25Z", "soon"]
+        texts = [
+            "2024-03-10T02:30:00Z", "2024-01-01T00:30:00+02:00", "1999-12-31T23:59:59.25Z", "soon",
+            "2024-03-10T02:30:00", "2024-03-10 02:30:00.5", "2024-03-10", None,
+        ]
         assert evaluate(spark, texts, clock.utc_wall_clock) == [
             dt.datetime(2024, 3, 10, 2, 30),
             dt.datetime(2023, 12, 31, 22, 30),
             dt.datetime(1999, 12, 31, 23, 59, 59, 250_000),
             None,
+            # Without an offset a text is UTC.
+            dt.datetime(2024, 3, 10, 2, 30),
+            dt.datetime(2024, 3, 10, 2, 30, 0, 500_000),
+            dt.datetime(2024, 3, 10),
+            None,
         ]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyreel import schemas
 from tallyreel.operators import upserts
-from tallyreel.sources import landing, store
+from tallyreel.sources import landing, store, versions
 from tallyreel.streaming import landing_stream
 
 DAILY_HEADERS = [
@@ -151,43 +151,110 @@ def test_columns_that_are_absent_take_defaults(spark):
     assert full["fetched_at"] == dt.datetime(2024, 2, 1)
 
 
-def test_month_upsert_leaves_other_months_alone(spark):
-    path = store.fresh_folder(spark, "test")
-    old = fx.daily(spark, ("a", dt.date(2024, 1, 5), 1), ("a", dt.date(2024, 2, 5), 2), ("b", dt.date(2024, 2, 6), 3))
+def stamp(rows, day):
+    return rows.withColumn("fetched_at", F.lit(dt.datetime(2024, 3, day)).cast("timestamp_ntz"))
 
-    def stamp(rows, day):
-        loaded = F.lit(dt.datetime(2024, 3, day)).cast("timestamp_ntz")
-        return rows.withColumn("fetched_at", loaded)
 
-    store.write_table(stamp(old, 1), path, "daily_metrics")
+OLD_DAYS = [("a", dt.date(2024, 1, 5), 1), ("a", dt.date(2024, 2, 5), 2), ("b", dt.date(2024, 2, 6), 3)]
+NEW_DAYS = [("a", dt.date(2024, 2, 5), 20), ("c", dt.date(2024, 2, 7), 30)]
+AFTER_UPSERT = [("a", 1, 1), ("a", 2, 20), ("b", 2, 3), ("c", 2, 30)]
+
+
+def stored_days(spark, path):
+    rows = versions.read_table(spark, path, "daily_metrics").collect()
+    return sorted((r["video_id"], r["date"].month, r["views"]) for r in rows)
+
+
+def test_month_upsert_leaves_other_months_alone(spark, tmp_path):
+    path = str(tmp_path)
+    versions.write_table(stamp(fx.daily(spark, *OLD_DAYS), 1), path, "daily_metrics")
 
     def january():
-        rows = spark.read.parquet(path).filter("month = '2024-01'")
-        return {r[0] for r in rows.select(F.input_file_name()).collect()}
+        days = versions.read_days(spark, path, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+        return {r[0] for r in days.select(F.input_file_name()).collect()}
 
     untouched = january()
-    new = fx.daily(spark, ("a", dt.date(2024, 2, 5), 20), ("c", dt.date(2024, 2, 7), 30))
     for _ in range(2):
-        store.replace_months(spark, path, stamp(new, 2))
-        rows = store.read_table(spark, path, "daily_metrics").collect()
-        assert sorted((r["video_id"], r["date"].month, r["views"]) for r in rows) == [
-            ("a", 1, 1), ("a", 2, 20), ("b", 2, 3), ("c", 2, 30),
-        ]
+        versions.upsert_stored(spark, path, "daily_metrics", stamp(fx.daily(spark, *NEW_DAYS), 2))
+        assert stored_days(spark, path) == AFTER_UPSERT
     assert january() == untouched
 
 
-def test_reading_days_opens_only_their_months(spark):
-    path = store.fresh_folder(spark, "test")
+def test_an_interrupted_upsert_leaves_the_table_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    path, new = str(tmp_path), stamp(fx.daily(spark, *NEW_DAYS), 2)
+    versions.write_table(stamp(fx.daily(spark, *OLD_DAYS), 1), path, "daily_metrics")
+    before = stored_days(spark, path)
+
+    def die(*args):
+        raise OSError("lost")
+
+    for step in ("settle", "stage", "commit"):
+        with monkeypatch.context() as patch:
+            patch.setattr(versions, step, die)
+            try:
+                versions.upsert_stored(spark, path, "daily_metrics", new)
+                raise AssertionError("the step was not reached")
+            except OSError:
+                pass
+        assert stored_days(spark, path) == before
+    versions.upsert_stored(spark, path, "daily_metrics", new)
+    assert stored_days(spark, path) == AFTER_UPSERT
+
+
+def test_two_loads_at_once_both_count(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    versions.write_table(stamp(fx.daily(spark, *OLD_DAYS), 1), path, "daily_metrics")
+    real, raced = versions.stage, []
+
+    def race(spark, path, table, rows):
+        folders = real(spark, path, table, rows)
+        if not raced:  # another load commits while this one has only staged its rows
+            raced.append(True)
+            other = stamp(fx.daily(spark, ("b", dt.date(2024, 2, 6), 300)), 3)
+            versions.upsert_stored(spark, path, "daily_metrics", other)
+        return folders
+
+    monkeypatch.setattr(versions, "stage", race)
+    versions.upsert_stored(spark, path, "daily_metrics", stamp(fx.daily(spark, *NEW_DAYS), 2))
+    assert stored_days(spark, path) == [("a", 1, 1), ("a", 2, 20), ("b", 2, 300), ("c", 2, 30)]
+
+
+def test_reading_days_opens_only_their_months(spark, tmp_path):
+    path = str(tmp_path)
     days = [dt.date(2024, m, d) for m in (1, 2, 3) for d in (1, 15)]
-    store.write_table(fx.daily(spark, *[("a", d, 1) for d in days]), path, "daily_metrics")
-    rows = store.read_days(spark, path, dt.date(2024, 1, 10), dt.date(2024, 2, 10))
+    versions.write_table(stamp(fx.daily(spark, *[("a", d, 1) for d in days]), 1), path, "daily_metrics")
+    rows = versions.read_days(spark, path, dt.date(2024, 1, 10), dt.date(2024, 2, 10))
     assert sorted(r["date"] for r in rows.collect()) == [dt.date(2024, 1, 15), dt.date(2024, 2, 1)]
-    scan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in scan and "GreaterThanOrEqual(date" in scan
-    one = store.read_table(spark, path, "daily_metrics").filter("video_id = 'a'")
+    assert not any("part=2024-03" in f for f in rows.inputFiles())
+    assert "GreaterThanOrEqual(date" in rows._jdf.queryExecution().executedPlan().toString()
+    one = versions.read_table(spark, path, "daily_metrics").filter("video_id = 'a'")
     assert "EqualTo(video_id,a)" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_and_rows_that_cannot_be_loaded_are_kept_as_rejects(spark, tmp_path):
+    good = json.dumps(report(["day", "views"], [["2024-01-05", 4], ["someday", 5], [None, 6]]))
+    nobody = json.dumps(report(["day", "views"], [["2024-01-06", 1]], video=None))
+    lines = [good, good[:-9], "not json", nobody, "", "   "]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/landed")
+    read = landing.read_landed(spark, f"{tmp_path}/landed", landing.REPORT_PAGE)
+    assert [(r["video_id"], r["views"]) for r in landing.daily_report(read).collect()] == [("a", 4)]
+    found = sorted((r["reason"], r["raw"]) for r in landing.daily_rejects(read).collect())
+    assert [r for r, _ in found] == ["no day", "no day", "no video id", "page cannot be read", "page cannot be read"]
+    assert {raw for r, raw in found if r == "page cannot be read"} == {good[:-9], "not json"}
+    traffic = pages(spark, landing.REPORT_PAGE, report(["insightTrafficSourceType", "views"], [[None, 1], ["S", 2]]))
+    assert [r["traffic_source_type"] for r in landing.traffic_report(traffic).collect()] == ["S"]
+    assert [r["reason"] for r in landing.traffic_rejects(traffic).collect()] == ["no source type"]
+    metadata = pages(spark, landing.VIDEO_PAGE, {"items": [{"id": "a"}]})
+    assert landing.video_metadata(metadata).collect() == []
+    assert [r["reason"] for r in landing.metadata_rejects(metadata).collect()] == ["no channel id"]
+
+
+def test_one_page_over_many_lines(spark, tmp_path):
+    (tmp_path / "page.json").write_text(json.dumps(report(["day", "views"], [["2024-01-05", 4]]), indent=2))
+    read = landing.read_landed(spark, str(tmp_path), landing.REPORT_PAGE, one_page_per_file=True)
+    assert landing.daily_report(read).count() == 1 and landing.daily_rejects(read).count() == 0
+
+
 def test_stream_takes_new_files_once(spark):
     root = store.fresh_folder(spark, "test")
     landed, sink, progress = f"{root}/landed", f"{root}/rows", f"{root}/progress"
@@ -207,9 +274,31 @@ def test_stream_takes_new_files_once(spark):
     # The same files again, and an older load after a newer one, change nothing.
     assert drop(later, first) == [("a", 5, 1), ("a", 6, 10), ("a", 7, 3)]
     landing_stream.load_new_files(spark, "daily_metrics", landed, sink, progress)
-    version = f"{root}/version-1"
-    landing_stream.compact(spark, "daily_metrics", sink, version)
-    assert store.read_table(spark, version, "daily_metrics").count() == 3
+
+    # After compaction older batches are not read; later ones are.
+    def read_batches():
+        later = landing_stream._later_batches(spark, "daily_metrics", sink)
+        return {r["batch"] for r in later.select("batch").distinct().collect()}
+
+    for _ in range(2):
+        landing_stream.compact(spark, "daily_metrics", sink)
+        assert landing_stream.current(spark, "daily_metrics", sink).count() == 3
+        assert read_batches() == set()
+    newest = report(headers, [[9, "2024-01-05"]], fetched="2024-02-03T00:00:00Z")
+    assert drop(newest) == [("a", 5, 9), ("a", 6, 10), ("a", 7, 3)]
+    assert read_batches() == {3}
+    plan = landing_stream.current(spark, "daily_metrics", sink)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan
+
+
+def test_a_bad_page_does_not_stop_the_stream(spark, tmp_path):
+    landed, sink, progress = (f"{tmp_path}/{x}" for x in ("landed", "rows", "progress"))
+    good = json.dumps(report(["day", "views"], [["2024-01-05", 4], ["2024-13-99", 5]]))
+    spark.createDataFrame([(good,), (good[:-5],)], "value string").write.text(landed)
+    landing_stream.load_new_files(spark, "daily_metrics", landed, sink, progress)
+    assert landing_stream.current(spark, "daily_metrics", sink).count() == 1
+    found = landing_stream.rejects(spark, sink).collect()
+    assert sorted(r["reason"] for r in found) == ["no day", "page cannot be read"]
 
 
 def test_stream_of_metadata_and_traffic(spark):

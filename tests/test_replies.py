@@ -5,44 +5,62 @@ import pytest
 
 from tallyreel.plans import replies
 
+BAD, LIST = replies.UNREADABLE, replies.NOT_AN_OBJECT
 
-def expected(raw):
-    """Plain reading of the rule: strip, unfence, drop a leading word, parse."""
-    clean = raw.strip()
-    if clean.startswith("```"):
-        kept = clean.splitlines()[1:]
-        if kept and kept[-1].strip() == "```":
-            kept.pop()
-        clean = "\n".join(kept).strip()
-    if clean[:4].lower() == "json":
-        clean = clean[4:].lstrip()
-    try:
-        value = json.loads(clean)
-    except ValueError:
-        return None, replies.UNREADABLE
-    return (value, None) if isinstance(value, dict) else (None, replies.NOT_AN_OBJECT)
-
-
+# Each stored text with the object it holds, or the error it gives.
 TEXTS = [
-    '{"a": 1}', '```json\n{"a": [1, {"b": null}]}\n```', '```\n{"a": 1}\n```  ', 'json {"a": "x"}',
-    'JSON\n{"a": 1.5}', "not json", "[1]", "3", '"text"', "null", "", "   ", "```", "```json",
-    '```json\n{"a": 1}', '{"a": 1} trailing', '{"a": 1}{', '{"a": 1}, {"b": 2}', '{"a": 1}] [',
-    '{"a": 1}} {"v": {', '{}', '```json\n[1, 2]\n```', ' {"a": "é"} ', '```json\r\n{"a": 1}\r\n```',
-    '{"a": {"b": "```"}}', '{"a": 1}\n```', "json", 'x' * 700,
-]
+    ('{"a": 1}', {"a": 1}),
+    ('```json\n{"a": [1, {"b": null}]}\n```', {"a": [1, {"b": None}]}),
+    ('```\n{"a": 1}\n```  ', {"a": 1}),
+    ('json {"a": "x"}', {"a": "x"}),
+    ('JSON\n{"a": 1.5}', {"a": 1.5}),
+    ('```json\n{"a": 1}', {"a": 1}),
+    ('```json\r\n{"a": 1}\r\n```', {"a": 1}),
+    (' {"a": "é"} ', {"a": "é"}),
+    ('{"a": {"b": "```"}}', {"a": {"b": "```"}}),
+    ("{}", {}),
+    ("not json", BAD),
+    ("", BAD),
+    ("   ", BAD),
+    ("```", BAD),
+    ("```json", BAD),
+    ("json", BAD),
+    ('{"a": 1} trailing', BAD),
+    ('{"a": 1}{', BAD),
+    ('{"a": 1}, {"b": 2}', BAD),
+    ('{"a": 1}] [', BAD),
+    ('{"a": 1}} {"v": {', BAD),
+    ('{"a": 1}\n```', BAD),
+    ("x" * 700, BAD),
+    ("[1]", LIST),
+    ("3", LIST),
+    ('"text"', LIST),
+    ("null", LIST),
+    ("```json\n[1, 2]\n```", LIST),
+]
 
 
-def test_replies_are_read_like_the_rule(spark):
+def test_replies_give_an_object_or_an_error(spark):
     rows = spark.createDataFrame(
-        [(str(i), t, dt.datetime(2024, 1, 1)) for i, t in enumerate(TEXTS)],
+        [(str(i), t, dt.datetime(2024, 1, 1)) for i, (t, _) in enumerate(TEXTS)],
         "cache_key string, response string, created_at timestamp_ntz",
     )
     got = {int(r["cache_key"]): r for r in replies.normalise(rows).collect()}
-    for i, text in enumerate(TEXTS):
-        value, error = expected(text)
-        assert got[i]["error"] == error, text
-        assert (got[i]["reply"] and json.loads(got[i]["reply"])) == value, text
-        assert got[i]["raw"] == (text[:500] if error else None)
+    for i, (text, result) in enumerate(TEXTS):
+        if isinstance(result, dict):
+            assert (json.loads(got[i]["reply"]), got[i]["error"], got[i]["raw"]) == (result, None, None), text
+        else:
+            assert (got[i]["reply"], got[i]["error"], got[i]["raw"]) == (None, result, text[:500]), text
+
+
+def test_only_fresh_replies_are_read(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("k", "{}", dt.datetime(2024, 1, 9))], "cache_key string, response string, created_at timestamp_ntz"
+    )
+    rows.write.parquet(f"{tmp_path}/replies")
+    live = replies.live(spark.read.parquet(f"{tmp_path}/replies"), dt.datetime(2024, 1, 10))
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan
 
 
 @pytest.mark.parametrize("hours,is_live", [(23, True), (24, True), (25, False)])
