@@ -154,6 +154,34 @@ UPLOAD = {
     "best_day_avg_views": whole(at_rank("weekday", "best", "mean_views")),
 }
 
+
+
+def scaled(x, factor):
+    return f"CAST(CAST(round_even(CAST({x} AS DOUBLE) * {factor}, 0) AS BIGINT) AS VARCHAR)"
+
+
+def listed_levels(dimension, text):
+    inside = f"CASE WHEN dimension = '{dimension}' THEN {text} END"
+    return f"string_agg({inside}, '|' ORDER BY {inside})"
+
+
+def _one_day(number, name):
+    mean = f"max(CASE WHEN dimension = 'weekday' AND level = {number} THEN mean_views END)"
+    return f"'{name}:' || coalesce({scaled(mean, 1000)}, '-')"
+
+
+_DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# Maps of the reports as text.
+UPLOAD_MAPS = {
+    "hour_data": listed_levels("hour", f"level || ':' || {scaled('mean_views', 1000)}"),
+    "day_data": " || '|' || ".join(_one_day(i, d) for i, d in enumerate(_DAY_NAMES)),
+}
+TITLE_MAPS = {
+    "length_performance": listed_levels(
+        "length_bucket", f"{BUCKETS_SQL}[level + 1] || ':' || CAST({whole('mean_views')} AS VARCHAR)"
+    ),
+}
+
 _SHORTS, _LONGS = pick("short", 1, "mean_views"), pick("short", 0, "mean_views")
 FORMAT = {
     "avg_views_shorts": whole(_SHORTS),
@@ -207,7 +235,11 @@ weak AS (
          {whole('m.baseline_views')} AS channel_avg_views,
          (SELECT count(*) FROM under u WHERE u.g = m.g) AS total_weak_count,
          (SELECT string_agg(video_id, '|' ORDER BY place) FROM under u
-          WHERE u.g = m.g AND place <= 5) AS weak_videos
+          WHERE u.g = m.g AND place <= 5) AS weak_videos,
+         (SELECT string_agg(concat_ws(':', video_id, substr(title, 1, 60),
+                   {scaled(to_even('avg_retention', 1), 10)}, total_views, net_subs,
+                   {scaled(to_even('baseline_retention - avg_retention', 1), 10)}), '|' ORDER BY place)
+          FROM under u WHERE u.g = m.g AND place <= 5) AS weak_list
   FROM means m)"""
 
 
@@ -644,25 +676,28 @@ for channel in (False, True):
     suffix = "_by_channel" if channel else ""
     per_group = "FROM ranked GROUP BY g"
     Q["upload_times" + suffix] = with_star(
-        f"SELECT {shown(channel)} {_columns(UPLOAD)} {per_group}", levels(channel)
+        f"SELECT {shown(channel)} {_columns({**UPLOAD, **UPLOAD_MAPS})} {per_group}", levels(channel)
     )
     Q["video_length" + suffix] = with_star(
         f"SELECT {shown(channel)} {_columns(FORMAT)} {per_group}", levels(channel)
     )
     Q["title_patterns" + suffix] = with_star(
-        f"SELECT {shown(channel)} {_columns(TITLES)} {per_group}", levels(channel)
+        f"SELECT {shown(channel)} {_columns({**TITLES, **TITLE_MAPS})} {per_group}", levels(channel)
     )
-    traffic_row = """SELECT g, max(CASE WHEN place = 1 THEN traffic_source_type END) AS top_source,
+    traffic_row = f"""SELECT g, max(CASE WHEN place = 1 THEN traffic_source_type END) AS top_source,
         max(CASE WHEN place = 1 THEN percentage END) AS top_source_percentage,
         string_agg(CASE WHEN place <= 3 THEN traffic_source_type END, '|' ORDER BY place)
-          AS top_3_sources FROM shares GROUP BY g"""
+          AS top_3_sources,
+        string_agg(concat_ws(':', traffic_source_type, total_views, {scaled('percentage', 10)}), '|'
+                   ORDER BY traffic_source_type) AS sources FROM shares GROUP BY g"""
     Q["traffic" + suffix] = with_star(
-        f"SELECT {shown(channel)} top_source, top_source_percentage, top_3_sources FROM ({traffic_row})",
+        f"""SELECT {shown(channel)} top_source, top_source_percentage, top_3_sources, sources
+            FROM ({traffic_row})""",
         sources(channel),
     )
     Q["weak_engagement" + suffix] = with_star(
         f"""SELECT {shown(channel)} channel_avg_retention, channel_avg_views, total_weak_count,
-                   weak_videos FROM weak""",
+                   weak_list AS weak_videos FROM weak""",
         engaged(channel),
     )
     facts = f"facts AS (SELECT g, {_columns({**UPLOAD, **FORMAT, **TITLES})} {per_group})"
@@ -677,6 +712,17 @@ for channel in (False, True):
         sources(channel),
         engaged(channel),
     )
+    every = {**UPLOAD, **UPLOAD_MAPS, **FORMAT, **TITLES, **TITLE_MAPS}
+    Q["all_patterns" + suffix] = with_star(
+        f"""SELECT {shown(channel)} {', '.join(every)}, top_source, top_source_percentage,
+                   top_3_sources, sources, channel_avg_retention, channel_avg_views, total_weak_count,
+                   weak_list AS weak_videos
+            FROM (SELECT g, {_columns(every)} {per_group})
+            LEFT JOIN ({traffic_row}) USING (g) LEFT JOIN weak USING (g)""",
+        levels(channel),
+        sources(channel),
+        engaged(channel),
+    )
     Q["kpi_tiles" + suffix] = with_star(
         f"""SELECT {shown(channel)} {compact('total_shorts')} AS total_shorts,
                    {compact('total_longform')} AS total_longform, better_format,
@@ -688,7 +734,9 @@ for channel in (False, True):
         facts,
         engaged(channel),
     )
-    Q["context_upload" + suffix] = Q["upload_times" + suffix]
+    Q["context_upload" + suffix] = with_star(
+        f"SELECT {shown(channel)} {_columns(UPLOAD)} {per_group}", levels(channel)
+    )
     title_names = [c for c in TITLES if "question" not in c]
     Q["context_titles" + suffix] = with_star(
         f"SELECT {shown(channel)} {', '.join(title_names)}, 'travel' AS topic FROM facts",

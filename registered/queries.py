@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import audits, engagement, ranking, totals, upserts
 from tallyreel.plans import charts, context, forecast, replies, reports
-from tallyreel.schemas import DAILY_METRICS, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
+from tallyreel.schemas import DAILY_METRICS, DAY_NAMES, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
 from tallyreel.sources import binding, landing
 from tallyreel.sources.store import fresh_folder
 from tallyreel.sources.versions import read_days, read_table, upsert_stored, write_table
@@ -798,39 +798,84 @@ def _report(name, build):
     QUERIES[f"{name}_by_channel"] = lambda spark, folder: build(spark, folder, CHANNEL)
 
 
+def _scaled(value, factor):
+    """A double as a whole number of its fractions, to be written the same by every engine."""
+    return F.bround(value * factor, 0).cast("bigint").cast("string")
+
+
+def _fields(*parts):
+    return F.concat_ws(":", *parts)
+
+
+def _entries(column, text):
+    """A map as sorted text."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(column), text)), "|")
+
+
+# Lists and maps of the reports as text.
+SHOWN = {
+    "top_3_hours": lambda c: F.array_join(c.cast("array<string>"), "|"),
+    "hour_data": lambda c: _entries(c, lambda e: _fields(e["key"].cast("string"), _scaled(e["value"], 1000))),
+    "day_data": lambda c: F.concat_ws(
+        "|", *[_fields(F.lit(d), F.coalesce(_scaled(c[d], 1000), F.lit("-"))) for d in DAY_NAMES]
+    ),
+    "length_performance": lambda c: _entries(c, lambda e: _fields(e["key"], e["value"].cast("string"))),
+    "top_3_sources": lambda c: F.array_join(c, "|"),
+    "sources": lambda c: _entries(
+        c,
+        lambda e: _fields(
+            e["key"], e["value"]["total_views"].cast("string"), _scaled(e["value"]["percentage"], 10)
+        ),
+    ),
+    "weak_videos": lambda c: F.array_join(
+        F.transform(
+            c,
+            lambda v: _fields(
+                v["video_id"],
+                v["title"],
+                _scaled(v["avg_retention"], 10),
+                v["total_views"].cast("string"),
+                v["net_subs"].cast("string"),
+                _scaled(v["below_avg_by"], 10),
+            ),
+        ),
+        "|",
+    ),
+}
+
+
+def _as_text(rows, by, nested=()):
+    """Plain columns of a report, or of the reports nested in a row."""
+    columns = [F.col(f"{n}.{c}") for n in nested for c in rows.select(f"{n}.*").columns]
+    names = [c for n in nested for c in rows.select(f"{n}.*").columns]
+    if not nested:
+        names = [c for c in rows.columns if c not in by]
+        columns = [F.col(c) for c in names]
+    same = lambda c: c
+    return rows.select(*by, *[SHOWN.get(n, same)(c).alias(n) for n, c in zip(names, columns, strict=True)])
+
+
 def _upload_times(spark, folder, by):
-    rows = reports.upload_times(*_vd(spark, folder), by)
-    return rows.select(
-        *by,
-        "best_hour",
-        "worst_hour",
-        "best_day",
-        "worst_day",
-        _listed("top_3_hours"),
-        "best_hour_avg_views",
-        "best_day_avg_views",
-    )
+    return _as_text(reports.upload_times(*_vd(spark, folder), by), by)
 
 
 def _title_patterns(spark, folder, by):
-    return reports.title_patterns(*_vd(spark, folder), by).drop("length_performance")
+    return _as_text(reports.title_patterns(*_vd(spark, folder), by), by)
 
 
 def _traffic(spark, folder, by):
     videos, _, traffic = _star(spark, folder)
-    return reports.traffic(traffic, videos, by).select(
-        *by, "top_source", "top_source_percentage", _listed("top_3_sources")
-    )
+    return _as_text(reports.traffic(traffic, videos, by), by)
 
 
 def _weak_engagement(spark, folder, by):
-    return reports.weak_engagement(*_vd(spark, folder), by=by).select(
-        *by,
-        "channel_avg_retention",
-        "channel_avg_views",
-        "total_weak_count",
-        F.array_join(F.transform("weak_videos", lambda v: v["video_id"]), "|").alias("weak_videos"),
-    )
+    return _as_text(reports.weak_engagement(*_vd(spark, folder), by=by), by)
+
+
+def _all_patterns(spark, folder, by):
+    """Every column of the nested report, lists and maps as text."""
+    nested = ["upload_times", "video_length", "traffic", "weak_engagement", "title_patterns"]
+    return _as_text(reports.all_patterns(*_star(spark, folder), by), by, nested)
 
 
 def _all_patterns_flat(spark, folder, by):
@@ -862,7 +907,7 @@ _report("video_length", lambda s, f, by: reports.video_length(*_vd(s, f), by))
 _report("traffic", _traffic)
 _report("weak_engagement", _weak_engagement)
 _report("title_patterns", _title_patterns)
-_report("all_patterns", lambda s, f, by: reports.all_patterns(*_star(s, f), by))
+_report("all_patterns", _all_patterns)
 _report("kpi_tiles", lambda s, f, by: reports.kpi_tiles(*_vd(s, f), by))
 
 

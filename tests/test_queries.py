@@ -26,22 +26,3 @@ def test_every_sql_has_a_query():
 
 def test_entry_answers(spark):
     assert entry.entry(spark).count() == 1
-
-
-def test_nested_report_equals_its_parts(spark):
-    row = QUERIES["all_patterns"](spark, compare.FOLDER).first()
-    for name, nested in [("upload_times", "upload_times"), ("video_length", "video_length")]:
-        flat = QUERIES[name](spark, compare.FOLDER).first().asDict()
-        inside = row[nested].asDict()
-        flat.pop("top_3_hours", None)
-        assert flat == {k: inside[k] for k in flat}
-    weak = QUERIES["weak_engagement"](spark, compare.FOLDER).first()
-    assert row["weak_engagement"]["total_weak_count"] == weak["total_weak_count"]
-    assert "|".join(v["video_id"] for v in row["weak_engagement"]["weak_videos"]) == weak["weak_videos"]
-
-
-def test_nested_report_per_channel(spark):
-    rows = QUERIES["all_patterns_by_channel"](spark, compare.FOLDER).collect()
-    tops = {r["channel_id"]: r["traffic"]["top_source"] for r in rows}
-    flat = QUERIES["traffic_by_channel"](spark, compare.FOLDER).collect()
-    assert tops == {r["channel_id"]: r["top_source"] for r in flat}
