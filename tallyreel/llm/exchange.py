@@ -153,3 +153,65 @@ def contains(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
         return np.zeros(len(keys), dtype=bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return table[at] == keys
+
+
+# Keys of round one at half the size. A bucket holds about as many keys as a chunk, whatever
+# the size of the corpus, so 32 bits within a bucket leave few keys that only seem shared;
+# later rounds compare whole hashes.
+SHORT = np.dtype([("k", "<u4"), ("many", "u1")])
+SHORT_ANSWER = "chunk int, bucket int, payload binary"
+_SHORT_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+
+
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (upper half) and the 32 bits of a key that are compared in it."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def send_short(keys: np.ndarray, docs: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """One record per short key, dealt to the buckets."""
+    records = combine_keys(short(keys, buckets), docs)
+    targets, cuts = np.unique(records["k"] >> np.uint64(32), return_index=True)
+    out = np.empty(len(records), dtype=SHORT)
+    out["k"], out["many"] = records["k"] & np.uint64(0xFFFFFFFF), records["many"]
+    parts = np.split(out, cuts[1:]) if len(out) else []
+    return pa.table(
+        [
+            pa.array(targets.astype(np.int32)),
+            pa.array(np.full(len(targets), chunk, dtype=np.int32)),
+            pa.array([p.tobytes() for p in parts], pa.binary()),
+        ],
+        schema=_SENT_ARROW,
+    )
+
+
+def shared_short(table: pa.Table) -> pa.Table:
+    """Of a bucket's short keys, those that lie in more than one document, to all who sent them."""
+    records, chunks = received(table, SHORT)
+    order = np.argsort(records["k"], kind="stable")
+    records, chunks = records[order], chunks[order]
+    group = np.cumsum(changes(records["k"])) - 1
+    shared = (np.bincount(group) > 1) | (np.bincount(group, weights=records["many"]) > 0)
+    keep = shared[group]
+    keys, chunks = records["k"][keep], chunks[keep]
+    order = np.argsort(chunks, kind="stable")
+    targets, cuts = np.unique(chunks[order], return_index=True)
+    parts = np.split(keys[order], cuts[1:]) if len(keys) else []
+    return pa.table(
+        [
+            pa.array(targets.astype(np.int32)),
+            pa.array(np.full(len(targets), table.column("bucket")[0].as_py(), dtype=np.int32)),
+            pa.array([p.tobytes() for p in parts], pa.binary()),
+        ],
+        schema=_SHORT_ARROW,
+    )
+
+
+def short_answers(told: pa.Table) -> np.ndarray:
+    """The shared keys of a chunk, as ``short`` gives them, sorted."""
+    parts = [
+        np.frombuffer(payload, dtype="<u4").astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
+        for bucket, payload in zip(told.column("bucket").to_pylist(), told.column("payload").to_pylist(), strict=True)
+    ]
+    return np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]))

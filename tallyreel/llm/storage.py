@@ -1,11 +1,12 @@
 """Where operators put rows that several later steps read."""
 
+import contextlib
 import functools
 import math
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,23 +62,52 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def settle_in_chunks(rows: DataFrame, chunks: int, name: str) -> DataFrame:
-    """Like settle, with the rows of a chunk together (column ``chunk``).
+Settle = Callable[[DataFrame, str], DataFrame]
 
-    The files are bucketed by chunk, so grouping by chunk later moves no row again.
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Settle]:
+    """A settle whose files are removed at the end, for rows that no result reads later."""
+    folder = f"{shared_folder(spark)}/llm/scratch-{uuid.uuid4().hex}"
+
+    def own(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    try:
+        yield own
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bucketed(rows: DataFrame, files: int, column: str, name: str) -> DataFrame:
+    """Write rows to the shared folder, bucketed by a column, and read them back.
+
+    Only a table knows its buckets, so one is made for the files and its name dropped again.
     """
     spark = rows.sparkSession
-    files = min(chunks, MOST_FILES)
     table = f"llm_{name}_{uuid.uuid4().hex}"
     (
-        rows.repartition(files, "chunk")
-        .write.format("parquet")
+        rows.write.format("parquet")
         .option("compression", "zstd")
         .option("path", f"{shared_folder(spark)}/llm/{table}")
-        .bucketBy(files, "chunk")
+        .bucketBy(files, column)
         .saveAsTable(table)
     )
-    return spark.table(table)
+    found = spark.table(table)  # from here on it refers to the files
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+def settle_in_chunks(rows: DataFrame, chunks: int, name: str) -> DataFrame:
+    """Like settle, with the rows of a chunk together (column ``chunk``).
+
+    The files are bucketed by chunk, so grouping by chunk later moves no row again.
+    """
+    files = min(chunks, MOST_FILES)
+    return _bucketed(rows.repartition(files, "chunk"), files, "chunk", name)
 
 
 def chunk_count(texts: DataFrame, column: str) -> int:
@@ -108,20 +138,13 @@ def task_count(rows: DataFrame, whole: int, most: int, least: int) -> int:
     return max(1, math.ceil(whole / most), min(wanted, math.ceil(whole / least)))
 
 
+
+
 def settle_ranges(rows: DataFrame, ranges: int, order: list[Column], name: str) -> DataFrame:
     """Like settle, with rows dealt to ranges of an order (column ``range``, ascending in it).
 
     The files are bucketed by range, so a window or group over a range moves no row again.
     """
     files = min(ranges, MOST_FILES)
-    table = f"llm_{name}_{uuid.uuid4().hex}"
-    (
-        rows.repartitionByRange(files, *order)
-        .withColumn("range", F.spark_partition_id())
-        .write.format("parquet")
-        .option("compression", "zstd")
-        .option("path", f"{shared_folder(rows.sparkSession)}/llm/{table}")
-        .bucketBy(files, "range")
-        .saveAsTable(table)
-    )
-    return rows.sparkSession.table(table)
+    placed = rows.repartitionByRange(files, *order).withColumn("range", F.spark_partition_id())
+    return _bucketed(placed, files, "range", name)

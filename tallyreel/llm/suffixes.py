@@ -11,8 +11,10 @@ Only sampled suffixes enter the first sort: of the 35 16-grams in a 50-byte stri
 with the smallest hash, the leftmost of equals. The choice hangs on the string alone, so
 equal strings meet in one bucket. A sampled suffix stands for the run of neighbouring
 strings that chose it. The second sort compares whole runs (the depth-50 pointers of
-their first and last string, which cover them). Only where a bucket holds different
-runs are their strings sorted one by one, in the last round.
+their first and last string, which cover them). Around the sampled gram a string has 17 more
+bytes to the left or to the right, so two different runs of a bucket can hold an equal
+string only if the 33 bytes up to the gram's end or from its start are equal. Only the
+halves of runs for which that is so are sorted string by string, in the last round.
 """
 
 from collections.abc import Iterator
@@ -25,16 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyreel.llm import exchange, storage
-from tallyreel.llm.hashing import byte_sums, mix, slices, text_bytes, windows
+from tallyreel.llm.hashing import byte_sums, mix, slices, spans, text_bytes, windows
 
 MATCH_BYTES = 50
 GRAM = 16
 GRAMS = MATCH_BYTES - GRAM + 1
 LAST_ID = (1 << 63) - 1
-ONE = np.uint64(1)
 
-RUN = np.dtype([("k", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8")])
-RUN_ANSWER = np.dtype([("k", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("mixed", "u1")])
+SIDE = (MATCH_BYTES - GRAM) // 2  # bytes beyond the gram that a string has on one side
+
+RUN = np.dtype([("k", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("left", "<u4"), ("right", "<u4")])
+# What a bucket says of a run: an earlier document outside the chunk holds it, or the
+# halves that another run may share. 96 bits name the run among those of a chunk.
+SAID = np.dtype([("k", "<u8"), ("h", "<u4"), ("said", "u1")])
+OLD, LEFT, RIGHT = 1, 2, 4
+OLD_STRING = np.dtype([("k", "<u8"), ("h", "<u4")])
 
 
 class Runs(NamedTuple):
@@ -117,25 +124,40 @@ def _send_suffixes(buckets: int):
             runs = _runs(_grams(data, 0), offsets)
             keys.append(runs.key)
             docs.append(ids[runs.text])
-        records = exchange.combine_keys(np.concatenate(keys), np.concatenate(docs))
-        return exchange.send(records, exchange.chunk_of(table), buckets)
+        return exchange.send_short(np.concatenate(keys), np.concatenate(docs), exchange.chunk_of(table), buckets)
 
     return run
 
 
-def _shared_runs(table: pa.Table, shared: np.ndarray) -> Iterator[tuple]:
-    """Slices of a chunk with the runs whose bucket is shared, and their records."""
+def _sides(data: np.ndarray, offsets: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the 33 bytes up to the end of each sampled gram and from its start; 0 where cut short."""
+    sums = byte_sums(data, 0)
+    begin, end = offsets[:-1][runs.text], offsets[1:][runs.text]
+    low, high = runs.at - SIDE, runs.at + GRAM + SIDE
+    left = mix(spans(sums, np.maximum(low, 0), runs.at + GRAM, 0))
+    right = mix(spans(sums, runs.at, np.minimum(high, len(data)), 0))
+    return np.where(low >= begin, left, 0).astype(np.uint32), np.where(high <= end, right, 0).astype(np.uint32)
+
+
+def _runs_of(table: pa.Table, shared: np.ndarray | None, buckets: int) -> Iterator[tuple]:
+    """Slices of a chunk with their runs and records; only runs of shared buckets if these are known."""
     for data, offsets, ids, rows in _slices(table):
         grams = _grams(data, 0)
         runs = _runs(grams, offsets)
-        keep = np.flatnonzero(exchange.contains(shared, runs.key))
+        if shared is None:
+            keep = np.arange(len(runs.key))
+        else:
+            keep = np.flatnonzero(exchange.contains(shared, exchange.short(runs.key, buckets)))
         records = np.empty(len(keep), dtype=RUN)
         more = _grams(data, 1) if len(keep) else grams
         records["k"] = runs.key[keep]
         records["g"] = _run_names(grams, runs, keep)
         records["h"] = _run_names(more, runs, keep)
         records["doc"] = ids[runs.text[keep]]
-        yield data, offsets, rows, Runs(*(c[keep] for c in runs)), records
+        runs = Runs(*(c[keep] for c in runs))
+        if shared is not None:
+            records["left"], records["right"] = _sides(data, offsets, runs)
+        yield data, offsets, rows, runs, records
 
 
 def _combine_runs(records: np.ndarray) -> np.ndarray:
@@ -147,61 +169,71 @@ def _send_runs(buckets: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return exchange.send(np.zeros(0, dtype=RUN), 0, buckets)
-        shared = np.sort(exchange.answers(told, 1, np.dtype("<u8")))
-        found = [np.zeros(0, dtype=RUN), *(s[-1] for s in _shared_runs(table, shared))]
+        shared = exchange.short_answers(told)
+        found = [np.zeros(0, dtype=RUN), *(s[-1] for s in _runs_of(table, shared, buckets))]
         return exchange.send(_combine_runs(np.concatenate(found)), exchange.chunk_of(table), buckets)
 
     return run
 
 
+def _elsewhere(bucket: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which of different runs have a side that another run of their bucket has too."""
+    order = np.lexsort((side, bucket))
+    group = np.cumsum(exchange.changes(bucket[order], side[order])) - 1
+    out = np.zeros(len(side), dtype=bool)
+    out[order] = np.bincount(group)[group] > 1 if len(group) else False
+    return out & (side != 0)
+
+
 def _sort_runs(table: pa.Table) -> pa.Table:
-    """To each chunk, for the runs it sent, the smallest document and if their bucket is mixed."""
+    """What a bucket says of the runs it was sent, to each chunk that needs to know."""
     records, chunks = exchange.received(table, RUN)
     order = np.lexsort((records["doc"], records["h"], records["g"], records["k"]))
     records, chunks = records[order], chunks[order]
     bucket = np.cumsum(exchange.changes(records["k"])) - 1
     first = exchange.changes(records["k"], records["g"], records["h"])
-    group = np.cumsum(first) - 1
-    out = np.empty(len(records), dtype=RUN_ANSWER)
-    out["k"], out["h"] = records["g"], records["h"]
-    out["doc"] = records["doc"][first][group]
-    out["mixed"] = (np.bincount(bucket[first]) > 1)[bucket]
-    keep = (out["mixed"] > 0) | (out["doc"] < records["doc"])
+    run = np.cumsum(first) - 1
+    own = records[first]
+    said = _elsewhere(bucket[first], own["left"]) * LEFT + _elsewhere(bucket[first], own["right"]) * RIGHT
+    out = np.empty(len(records), dtype=SAID)
+    out["k"], out["h"] = records["g"], records["h"] & np.uint64(0xFFFFFFFF)
+    # Only the smallest document's run is taken apart; the others are old as a whole.
+    out["said"] = np.where(own["doc"][run] < records["doc"], OLD, said[run])
+    keep = out["said"] > 0
     return exchange.answer(out[keep], chunks[keep], 2)
 
 
 def _judge(told: pa.Table, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a chunk's runs, which an earlier document holds, and which must be taken apart."""
-    answers = exchange.answers(told, 2, RUN_ANSWER)
+    """Of a chunk's runs, which an earlier document holds, and what is said of the others."""
+    answers = exchange.answers(told, 2, SAID)
     answers = answers[np.lexsort((answers["h"], answers["k"]))]
-    place = exchange.lookup(answers, records["g"], records["h"])
-    first = np.full(len(records), LAST_ID)
-    mixed = np.zeros(len(records), dtype=bool)
-    hit = place >= 0
-    first[hit] = answers["doc"][place[hit]]
-    mixed[hit] = answers["mixed"][place[hit]] > 0
-    own = _combine_runs(records)
-    names = np.empty(len(own), dtype=exchange.FIRST)
-    names["k"], names["h"], names["doc"] = own["g"], own["h"], own["doc"]
-    names = exchange.combine_firsts(names)
-    first = np.minimum(first, names["doc"][exchange.lookup(names, records["g"], records["h"])])
-    old = first < records["doc"]
-    return old, mixed & ~old
-
-
-def _spread_out(runs: Runs, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of all strings of the given runs, and the run of each."""
-    sizes = runs.high[keep] - runs.low[keep] + 1
-    run = np.repeat(keep, sizes)
+    place = exchange.lookup(answers, records["g"], records["h"] & np.uint64(0xFFFFFFFF))
+    said = np.zeros(len(records), dtype=np.uint8)
+    said[place >= 0] = answers["said"][place[place >= 0]]
+    names = np.empty(len(records), dtype=exchange.FIRST)
+    names["k"], names["h"], names["doc"] = records["g"], records["h"], records["doc"]
+    firsts = exchange.combine_firsts(names)
+    first = firsts["doc"][exchange.lookup(firsts, records["g"], records["h"])]
+    old = (said == OLD) | (first < records["doc"])
+    return old, np.where(old, 0, said)
+
+
+def _spread_out(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All offsets from low to high, and the number of the range of each."""
+    sizes = np.maximum(high - low + 1, 0)
     begin = np.cumsum(sizes) - sizes
-    return runs.low[run] + np.arange(len(run)) - np.repeat(begin, sizes), run
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    return low[number] + np.arange(len(number)) - np.repeat(begin, sizes), number
 
 
-def _apart(parts: list[tuple], apart: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Offsets and records of the strings of runs that must be taken apart, by slice."""
+def _apart(parts: list[tuple], said: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Offsets and records of the strings of the halves that must be taken apart, by slice."""
     out = []
-    for (data, _, _, runs, records), keep in zip(parts, apart, strict=True):
-        at, run = _spread_out(runs, keep)
+    for (data, _, _, runs, records), own in zip(parts, said, strict=True):
+        # A string of the left half begins 17 bytes or more before the sampled gram.
+        low = np.where(own & LEFT, runs.low, np.maximum(runs.low, runs.at - SIDE + 1))
+        high = np.where(own & RIGHT, runs.high, np.minimum(runs.high, runs.at - SIDE))
+        at, run = _spread_out(low, np.where(own & (LEFT | RIGHT), high, low - 1))
         found = np.empty(len(at), dtype=exchange.FIRST)
         if len(at):  # pointers are made anew; those of a whole chunk would fill the memory
             found["k"], found["h"] = _strings(_grams(data, 0), at), _strings(_grams(data, 1), at)
@@ -210,22 +242,32 @@ def _apart(parts: list[tuple], apart: list[np.ndarray]) -> list[tuple[np.ndarray
     return out
 
 
-def _judged(table: pa.Table, told: pa.Table) -> tuple[list[tuple], list[np.ndarray], list[tuple]]:
-    shared = np.sort(exchange.answers(told, 1, np.dtype("<u8")))
-    parts = list(_shared_runs(table, shared))
+def _judged(table: pa.Table, told: pa.Table, buckets: int) -> tuple[list[tuple], list[np.ndarray], list[tuple]]:
+    parts = list(_runs_of(table, None, buckets))
     if not parts:
         return [], [], []
-    old, apart = _judge(told, np.concatenate([p[-1] for p in parts]))
+    old, said = _judge(told, np.concatenate([p[-1] for p in parts]))
     cuts = np.cumsum([len(p[-1]) for p in parts])[:-1]
-    strings = _apart(parts, [np.flatnonzero(x) for x in np.split(apart, cuts)])
-    return parts, np.split(old, cuts), strings
+    return parts, np.split(old, cuts), _apart(parts, np.split(said, cuts))
+
+
+def _old_strings(table: pa.Table) -> pa.Table:
+    """To each chunk the strings it sent that an earlier document outside the chunk holds."""
+    records, chunks = exchange.received(table, exchange.FIRST)
+    order = np.lexsort((records["doc"], records["h"], records["k"]))
+    records, chunks = records[order], chunks[order]
+    first = exchange.changes(records["k"], records["h"])
+    keep = records["doc"][first][np.cumsum(first) - 1] < records["doc"]
+    out = np.empty(int(keep.sum()), dtype=OLD_STRING)
+    out["k"], out["h"] = records["k"][keep], records["h"][keep] & np.uint64(0xFFFFFFFF)
+    return exchange.answer(out, chunks[keep], 3)
 
 
 def _send_strings(buckets: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return exchange.send(np.zeros(0, dtype=exchange.FIRST), 0, buckets)
-        _, _, strings = _judged(table, told)
+        _, _, strings = _judged(table, told, buckets)
         records = exchange.combine_firsts(np.concatenate([f for _, f in strings]))
         return exchange.send(records, exchange.chunk_of(table), buckets)
 
@@ -238,15 +280,19 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return (np.bincount(character, weights=gone) > 0)[character]
 
 
-def _remove(table: pa.Table, told: pa.Table, characters: bool) -> pa.Table:
+def _remove(table: pa.Table, told: pa.Table, buckets: int, characters: bool) -> pa.Table:
     n = table.num_rows
     n_bytes, n_removed, n_spans = (np.zeros(n, np.int64) for _ in range(3))
     kept: list[bytes] = []
-    parts, old, strings = _judged(table, told) if n else ([], [], [])
-    earlier = exchange.answers(told, 3, exchange.FIRST)
-    firsts = exchange.combine_firsts(np.concatenate([earlier, *(f for _, f in strings)]))
+    parts, old, strings = _judged(table, told, buckets) if n else ([], [], [])
+    earlier = exchange.answers(told, 3, OLD_STRING)
+    earlier = earlier[np.lexsort((earlier["h"], earlier["k"]))]
+    own = [f for _, f in strings]
+    firsts = exchange.combine_firsts(np.concatenate([np.zeros(0, dtype=exchange.FIRST), *own]))
     for (data, offsets, (a, b), runs, _), gone_runs, (at, found) in zip(parts, old, strings, strict=True):
-        begins = at[firsts["doc"][exchange.lookup(firsts, found["k"], found["h"])] < found["doc"]]
+        first = firsts["doc"][exchange.lookup(firsts, found["k"], found["h"])]
+        outside = exchange.lookup(earlier, found["k"], found["h"] & np.uint64(0xFFFFFFFF)) >= 0
+        begins = at[outside | (first < found["doc"])]
         depth = np.zeros(len(data) + 1, dtype=np.int32)
         depth[begins] += 1
         depth[begins + MATCH_BYTES] -= 1
@@ -300,14 +346,12 @@ def remove_repeats(
         return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, exchange.SENT)
 
     sent = texts.groupBy("chunk").applyInArrow(_send_suffixes(chunks), exchange.SENT)
-    shared = sent.groupBy("bucket").applyInArrow(lambda t: exchange.shared_keys(t, 1), exchange.ANSWER)
-    told = storage.settle(shared, "suffix-buckets")
-    sent = round_of(told, _send_runs(chunks))
-    sorted_runs = storage.settle(sent.groupBy("bucket").applyInArrow(_sort_runs, exchange.ANSWER), "suffix-runs")
-    told = told.unionByName(sorted_runs)
-    sent = round_of(told, _send_strings(chunks))
-    earlier = sent.groupBy("bucket").applyInArrow(lambda t: exchange.earlier_firsts(t, 3), exchange.ANSWER)
-    told = told.unionByName(earlier)
+    shared = sent.groupBy("bucket").applyInArrow(exchange.shared_short, exchange.SHORT_ANSWER)
+    with storage.scratch(docs.sparkSession) as settle:
+        sent = round_of(settle(shared, "suffix-buckets"), _send_runs(chunks))
+        said = storage.settle(sent.groupBy("bucket").applyInArrow(_sort_runs, exchange.ANSWER), "suffix-runs")
+    sent = round_of(said, _send_strings(chunks))
+    told = said.unionByName(sent.groupBy("bucket").applyInArrow(_old_strings, exchange.ANSWER))
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()),
@@ -318,7 +362,7 @@ def remove_repeats(
     )
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
-        return _remove(table, told, characters)
+        return _remove(table, told, chunks, characters)
 
     return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
 
