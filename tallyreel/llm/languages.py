@@ -184,7 +184,13 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     parts = 1 << 20
     chosen = F.pmod(F.xxhash64("id"), F.lit(parts)) < int(parts * min(1.0, fit_rows / total)) + 1
     schema = "id long, lang string, buckets binary, values binary"
-    sample = storage.settle(labelled.filter(chosen).select("id", "text", "lang").mapInArrow(_sparse(idf), schema), "vectors")
+    with storage.scratch(labelled.sparkSession) as settle:
+        vectors = labelled.filter(chosen).select("id", "text", "lang").mapInArrow(_sparse(idf), schema)
+        return _fitted(settle(vectors, "vectors"), idf)
+
+
+def _fitted(sample: DataFrame, idf: np.ndarray) -> Model | None:
+    """Weights and temperature from a sample's vectors."""
     turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CALIBRATION * SHARDS))
     taught = sample.filter(turn >= SHARDS).withColumn("shard", F.pmod(turn, F.lit(SHARDS)))
     # As many as there are languages among the sample's rows.

@@ -167,9 +167,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> GBTClassificationModel
         return "block" if counts["blocked"] else "allow"
     parts = 1 << 20
     chosen = F.pmod(F.xxhash64("url"), F.lit(parts)) < int(parts * min(1.0, fit_rows / counts["n"])) + 1
-    sample = storage.settle(labelled.filter(chosen).select(*FEATURES, "label"), "labelled-urls")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, labelCol="label")
-    return trees.fit(_vectors(sample.repartition(6)).select("features", "label"))
+    with storage.scratch(labelled.sparkSession) as settle:
+        sample = settle(labelled.filter(chosen).select(*FEATURES, "label"), "labelled-urls")
+        return trees.fit(_vectors(sample.repartition(6)).select("features", "label"))
 
 
 def judge(urls: DataFrame, rules: Sequence[Rule], url_column: str = "url", fit_rows: int = FIT_ROWS) -> DataFrame:
