@@ -1,11 +1,11 @@
 """Near-duplicate groups by a chosen-path similarity join.
 
 Every document gets minwise tokens of its set of word shingles. A tree starts with all
-documents in one node. At each node a random coordinate (and with probability
-``1 / 0.85 - 1`` a second one) is chosen by the node's path, and documents go on to the child
-that their minwise token there names. A node with few documents is compared exhaustively,
-a larger one branches again. Independent trees are repeated, so a pair at the threshold is
-missed by all of them with a probability below 1e-5.
+documents in one node. At each node a random coordinate, and now and then a second one, is
+chosen by the node's path, and documents go on to the child that their minwise token there
+names. A node with few documents is compared exhaustively, a larger one branches again.
+Independent trees are repeated, so a pair at the threshold is missed by all of them with a
+probability below 1e-4, and one above it far more rarely.
 
 Comparisons in nodes use the minwise tokens and only collect documents that may be linked
 into clusters. Links are confirmed on the full sets, cluster by cluster. A large cluster is
@@ -13,29 +13,29 @@ dealt to blocks that share pivots; documents that don't come to hang on the pivo
 then compared with every block, so no link between two blocks is lost.
 """
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyreel.llm import storage
 from tallyreel.llm.components import components
 from tallyreel.llm.exchange import changes
 from tallyreel.llm.hashing import Words, mix, slices, text_bytes
+from tallyreel.llm.storage import Settle
 
 TREES = 12
 COORDINATES = 64
-# Expected children of a node: one over the similarity that a pair must keep.
-BRANCHING = 1 / 0.85
 # Nodes of at most this many documents are compared exhaustively; others branch on.
 SMALL_NODE = 256
-LEVELS = 8
-# Minwise agreement from which a pair is confirmed on full sets: 4.5 standard
-# deviations below 0.85 for 64 coordinates.
-LIKELY = 0.65
+# A child with this share of its parent's documents holds near copies of one text, which no
+# further branching parts; its documents are one cluster.
+TIGHT = 0.8
+LEVELS = 40
 BLOCK = 128
 PIVOTS = 8
 # Set elements, and rows of nodes, that one group of work holds: most and least.
@@ -46,9 +46,9 @@ _random = np.random.default_rng(5)
 _TWISTS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 _FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_NODE = "node long, id long"
+_NODE = "node long, id long, parent long"
 _LINK = "a long, b long"
-_NODE_ARROW = pa.schema([("node", pa.int64()), ("id", pa.int64())])
+_NODE_ARROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("parent", pa.int64())])
 _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -118,37 +118,54 @@ def _tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def _children(paths: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
-    """The nodes that documents go to from the nodes they are in."""
-    nodes, who = [], []
-    for branch, chance in ((0, 1.0), (1, BRANCHING - 1)):
+def _likely_from(percent: int) -> float:
+    """Minwise agreement from which a pair is confirmed: 4.5 standard deviations below the threshold."""
+    share = percent / 100
+    return share - 4.5 * math.sqrt(share * (1 - share) / COORDINATES)
+
+
+def _children(
+    paths: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tokens: np.ndarray, percent: int
+) -> pa.RecordBatch:
+    """The nodes that documents go to from the nodes they are in, and the sizes of these.
+
+    There are one over the threshold of them on average, so a pair at the threshold keeps
+    one in common, whatever the depth.
+    """
+    nodes, who, parents = [], [], []
+    for branch, chance in ((0, 1.0), (1, 100 / percent - 1)):
         draw = mix(paths + np.uint64(branch + 1))
         goes = (draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < chance
         at = (mix(draw)[goes] % np.uint64(COORDINATES)).astype(np.int64)
         token = tokens[np.flatnonzero(goes), at].astype(np.uint64)
         nodes.append(mix(draw[goes] ^ mix(token + np.uint64(1))))
         who.append(ids[goes])
-    columns = [pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(who))]
+        parents.append(sizes[goes])
+    columns = [pa.array(np.concatenate(nodes).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (who, parents))]
     return pa.RecordBatch.from_arrays(columns, schema=_NODE_ARROW)
 
 
-def _plant(trees: int):
+def _plant(trees: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, tokens = batch.column("id").to_numpy(), _tokens(batch.column("tokens"))
                 for tree in range(trees):
                     root = mix(np.full(len(ids), 7919 * (tree + 1), dtype=np.uint64))
-                    yield _children(root, ids, tokens)
+                    yield _children(root, np.zeros(len(ids), dtype=np.int64), ids, tokens, percent)
 
     return run
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            paths = batch.column("node").to_numpy().view(np.uint64)
-            yield _children(paths, batch.column("id").to_numpy(), _tokens(batch.column("tokens")))
+def _branch(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                paths = batch.column("node").to_numpy().view(np.uint64)
+                sizes, ids = batch.column("size").to_numpy(), batch.column("id").to_numpy()
+                yield _children(paths, sizes, ids, _tokens(batch.column("tokens")), percent)
+
+    return run
 
 
 class _Forest:
@@ -161,9 +178,9 @@ class _Forest:
         self.root[self.root == self.root[b]] = self.root[a]
 
 
-def _likely(tokens: np.ndarray, i: int) -> np.ndarray:
+def _likely(tokens: np.ndarray, i: int, least: float) -> np.ndarray:
     """Which later documents agree with one in enough coordinates."""
-    agree = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= LIKELY
+    agree = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= least
     return np.flatnonzero(agree) + i + 1
 
 
@@ -172,24 +189,28 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK_ARROW)
 
 
-def _compare_nodes(table: pa.Table) -> pa.Table:
+def _compare_nodes(percent: int):
     """Links between documents of one node that may be similar; as few as connect them."""
-    node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-    tokens = _tokens(table.column("tokens"))
-    order = np.lexsort((ids, node))
-    cuts = np.flatnonzero(changes(node[order])).tolist() + [len(order)]
-    pairs = set()
-    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        own = order[x:y]
-        forest, here = _Forest(y - x), tokens[own]
-        for i in range(y - x - 1):
-            if (forest.root == forest.root[0]).all():
-                break
-            for j in _likely(here, i):
-                if forest.root[i] != forest.root[j]:
-                    forest.join(i, j)
-                    pairs.add((int(ids[own[i]]), int(ids[own[j]])))
-    return _links(sorted(pairs))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
+        tokens = _tokens(table.column("tokens"))
+        order = np.lexsort((ids, node))
+        cuts = np.flatnonzero(changes(node[order])).tolist() + [len(order)]
+        pairs = set()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[x:y]
+            forest, here = _Forest(y - x), tokens[own]
+            for i in range(y - x - 1):
+                if (forest.root == forest.root[0]).all():
+                    break
+                for j in _likely(here, i, _likely_from(percent)):
+                    if forest.root[i] != forest.root[j]:
+                        forest.join(i, j)
+                        pairs.add((int(ids[own[i]]), int(ids[own[j]])))
+        return _links(sorted(pairs))
+
+    return run
 
 
 def _confirm(percent: int):
@@ -209,7 +230,7 @@ def _confirm(percent: int):
             for i in range(len(own) - 1):
                 if (forest.root == forest.root[0]).all():
                     break
-                for j in _likely(here, i):
+                for j in _likely(here, i, _likely_from(percent)):
                     if forest.root[i] == forest.root[j]:
                         continue
                     x, y = sets[own[i]], sets[own[j]]
@@ -244,30 +265,41 @@ def _full_sets(size: int):
     return run
 
 
-def _candidates(classes: DataFrame, trees: int) -> DataFrame:
+def _candidates(classes: DataFrame, trees: int, percent: int, settle: Settle) -> DataFrame:
     """Links between classes that meet in a node and may be similar."""
-    members = classes.select("id", "tokens").mapInArrow(_plant(trees), _NODE)
     tokens = classes.select("id", "tokens")
-    found = None
-    for level in range(LEVELS):
+    members = tokens.mapInArrow(_plant(trees, percent), _NODE)
+    found = []
+    for _ in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sizes = storage.settle(sizes, "node-sizes")
-        sized = storage.settle(members.join(sizes, "node"), "nodes")
+        sized = settle(members.join(settle(sizes, "node-sizes"), "node"), "nodes")
+        small, tight = F.col("size") <= SMALL_NODE, F.col("size") >= TIGHT * F.col("parent")
+        tight = ~small & (F.col("parent") > 0) & tight
         rows = sized.agg(
-            F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("size") > SMALL_NODE, 1)).alias("large")
+            F.count(F.when(small, 1)).alias("small"),
+            F.count(F.when(tight, 1)).alias("tight"),
+            F.count(F.when(~small & ~tight, 1)).alias("large"),
         ).first()
-        tasks = storage.task_count(classes, rows["all"] - rows["large"], *TASK_ROWS)
-        small = sized.filter(F.col("size") <= SMALL_NODE).select("node", "id")
-        dealt = small.join(tokens, "id").withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
-        links = dealt.groupBy("task").applyInArrow(_compare_nodes, _LINK)
-        found = links if found is None else found.union(links)
-        large = sized.filter(F.col("size") > SMALL_NODE).select("node", "id")
+        if rows["small"]:
+            tasks = storage.task_count(classes, rows["small"], *TASK_ROWS)
+            dealt = sized.filter(small).select("node", "id").join(tokens, "id")
+            dealt = dealt.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+            found.append(dealt.groupBy("task").applyInArrow(_compare_nodes(percent), _LINK))
+        if rows["tight"]:
+            found.append(_stars(sized.filter(tight), settle))
+        large = sized.filter(~small & ~tight)
         if not rows["large"]:
-            return found
-        members = large.join(tokens, "id").mapInArrow(_branch, _NODE)
-    # Documents that agree in so many tokens are one cluster.
-    lows = storage.settle(large.groupBy("node").agg(F.min("id").alias("a")), "lows")
-    return found.union(large.join(lows, "node").select("a", F.col("id").alias("b")))
+            break
+        members = large.select("node", "id", "size").join(tokens, "id").mapInArrow(_branch(percent), _NODE)
+    else:
+        found.append(_stars(large, settle))
+    return reduce(DataFrame.union, found, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+
+
+def _stars(members: DataFrame, settle: Settle) -> DataFrame:
+    """Links of each node's documents to its smallest."""
+    lows = settle(members.groupBy("node").agg(F.min("id").alias("a")), "lows")
+    return members.join(lows, "node").select("a", F.col("id").alias("b"))
 
 
 def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +310,14 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(_confirm(percent), _LINK)
 
 
-def _large_clusters(sets: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+def _each(count: str) -> Column:
+    """One row for each number below a column's value."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+
+def _large_clusters(
+    sets: DataFrame, sizes: DataFrame, percent: int, block: int, settle: Settle
+) -> DataFrame:
     """Links of clusters larger than a block.
 
     Each block is compared in itself and with its cluster's pivots. What then is not
@@ -289,11 +328,11 @@ def _large_clusters(sets: DataFrame, sizes: DataFrame, percent: int, block: int)
     # Pivots are the documents whose first token the most others have, so typical ones.
     common = dealt.groupBy("cluster", F.substring("tokens", 1, 4).alias("token")).agg(F.count(F.lit(1)).alias("c"))
     top = common.groupBy("cluster").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
-    top = storage.settle(top, "typical")
+    top = settle(top, "typical")
     near = dealt.select("cluster", "id", F.substring("tokens", 1, 4).alias("token")).join(top, ["cluster", "token"])
     chosen = near.groupBy("cluster").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     spread = near.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p")).agg(F.min("id").alias("id"))
-    pivots = storage.settle(
+    pivots = settle(
         spread.select("cluster", "id")
         .union(chosen.select("cluster", F.col("first").alias("id")))
         .distinct()
@@ -304,33 +343,68 @@ def _large_clusters(sets: DataFrame, sizes: DataFrame, percent: int, block: int)
     )
     columns = ["id", "n", "tokens", "shingles"]
     own = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    copies = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).cast("long"))
+    copies = pivots.withColumn("block", _each("blocks"))
     name = F.concat_ws("/", F.col("cluster"), F.col("block"))
     blocks = own.withColumn("group", name).select("group", *columns)
     blocks = blocks.unionByName(copies.withColumn("group", name).select("group", *columns))
-    links = storage.settle(_confirmed(blocks, percent), "block-links")
+    links = settle(_confirmed(blocks, percent), "block-links")
 
-    roots = components(links)
+    roots = components(links, settle)
     firsts = pivots.select("cluster", "first", "blocks").distinct().join(
         roots.select(F.col("node").alias("first"), F.col("root").alias("main")), "first", "left"
     )
-    firsts = storage.settle(firsts.select("cluster", F.coalesce("main", "first").alias("main")), "mains")
+    firsts = settle(firsts.select("cluster", F.coalesce("main", "first").alias("main")), "mains")
     placed = dealt.select("cluster", "id", "blocks").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rest = storage.settle(
+    rest = settle(
         placed.join(firsts, "cluster").filter(F.coalesce("root", "id") != F.col("main")).select("cluster", "id"),
         "apart",
     )
     parts = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    parts = storage.settle(parts, "parts")
+    parts = settle(parts, "parts")
     others = rest.join(sets, ["cluster", "id"]).join(sizes, "cluster").join(parts, "cluster")
     others = others.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
-    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).cast("long"))
+    others = others.withColumn("block", _each("blocks"))
     own = own.join(parts, "cluster")
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).cast("long"))
+    own = own.withColumn("part", _each("parts"))
     name = F.concat_ws("/", F.col("cluster"), F.col("block"), F.col("part"))
     pairs = own.withColumn("group", name).select("group", *columns)
     pairs = pairs.unionByName(others.withColumn("group", name).select("group", *columns))
-    return links.union(storage.settle(_confirmed(pairs, percent), "apart-links"))
+    return links.union(settle(_confirmed(pairs, percent), "apart-links"))
+
+
+def _roots(
+    rows: DataFrame,
+    profiles: DataFrame,
+    percent: int,
+    words: int,
+    trees: int,
+    block: int,
+    settle: Settle,
+) -> DataFrame:
+    """The smallest id that each linked id can reach: (node, root)."""
+    # Equal sets are one class, known by its smallest id.
+    full = profiles.filter("n > 0 AND id IS NOT NULL")
+    classes = settle(
+        full.groupBy("k", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
+        "classes",
+    )
+    # Rows of a class hang on its id; so a document with several texts ties their classes.
+    texts = full.select("id", "k", "h").join(classes.select(F.col("id").alias("class"), "k", "h"), ["k", "h"])
+    ties = texts.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
+
+    clusters = components(_candidates(classes, trees, percent, settle), settle)
+    members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    clustered = members.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    kinds = "id long, cluster long, n long, tokens binary, shingles binary"
+    sets = rows.join(clustered, "id").mapInArrow(_full_sets(words), kinds).filter("n > 0")
+    sets = settle(sets, "sets")
+    sizes = settle(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
+    small = sets.join(sizes.filter(F.col("size") <= block).select("cluster"), "cluster")
+    links = _confirmed(small.withColumn("group", F.col("cluster").cast("string")).drop("cluster"), percent)
+    large = sizes.filter(F.col("size") > block).select("cluster", F.ceil(F.col("size") / block).alias("blocks"))
+    if not large.isEmpty():
+        links = links.union(_large_clusters(sets, large, percent, block, settle))
+    return components(links.union(ties))
 
 
 def near_duplicates(
@@ -350,8 +424,8 @@ def near_duplicates(
     component_id`` (smallest id reachable, itself included) and ``kept`` (the id is
     that one). A document without words (null or empty text) is linked with nothing. Rows
     that repeat an id are one document and stay together. A row without id is compared with
-    nothing and kept; its component is null. ``percent`` must be 80 or more: the filter on
-    minwise tokens is set for that.
+    nothing and kept; its component is null. ``percent`` must be 80 or more, for which the
+    trees suffice.
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more")
@@ -359,34 +433,8 @@ def near_duplicates(
     profiles = storage.settle(
         rows.mapInArrow(_profile(words), "id long, n long, k long, h long, tokens binary"), "profiles"
     )
-    # Equal sets are one class, known by its smallest id.
-    full = profiles.filter("n > 0 AND id IS NOT NULL")
-    classes = storage.settle(
-        full.groupBy("k", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
-        "classes",
-    )
-    # A document with several texts has several sets, all under its id.
-    texts = full.select("id", F.col("k"), F.col("h")).join(
-        classes.select(F.col("id").alias("class"), "k", "h"), ["k", "h"]
-    )
-    clusters = components(_candidates(classes, trees))
-    members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
-    clustered = members.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    sets = storage.settle(
-        rows.join(clustered, "id").mapInArrow(
-            _full_sets(words), "id long, cluster long, n long, tokens binary, shingles binary"
-        ).filter("n > 0"),
-        "sets",
-    )
-    sizes = storage.settle(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    small = sets.join(sizes.filter(F.col("size") <= block).select("cluster"), "cluster")
-    links = _confirmed(small.withColumn("group", F.col("cluster").cast("string")).drop("cluster"), percent)
-    large = sizes.filter(F.col("size") > block).select("cluster", F.ceil(F.col("size") / block).alias("blocks"))
-    if not large.isEmpty():
-        links = links.union(_large_clusters(sets, large, percent, block))
-    # Rows that repeat an id tie the classes of their sets together.
-    ties = texts.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
-    roots = components(links.union(ties))
+    with storage.scratch(docs.sparkSession) as settle:
+        roots = _roots(rows, profiles, percent, words, trees, block, settle)
     named = profiles.join(roots.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
     return named.select(
