@@ -223,9 +223,11 @@ def traffic_shares(
     )
 
 
-def first_week_views(videos: DataFrame, daily: DataFrame) -> DataFrame:
+def first_week_views(videos: DataFrame, daily: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Views up to seven days after publication, and in total, for videos with views.
 
+    ``carried`` columns of the videos come along, so no second join is needed for them.
+
     Days before publication count too. (video, date) is the fact's key, so a video
     brings one row per calendar day to the join and cannot outgrow a task. The publish
     time joins the grouping key, as it depends on the video; the aggregate then runs
@@ -234,14 +236,14 @@ def first_week_views(videos: DataFrame, daily: DataFrame) -> DataFrame:
     early = clock.days_after(F.col("date"), F.col("published_at")) <= FIRST_WEEK_DAYS
     return (
         daily.select("video_id", "date", "views")
-        .join(videos.select("video_id", "published_at"), "video_id")
-        .groupBy("video_id", "published_at")
+        .join(videos.select("video_id", "published_at", *carried), "video_id")
+        .groupBy("video_id", "published_at", *carried)
         .agg(
             F.sum(F.when(early, F.col("views")).otherwise(0)).alias("views_7d"),
             F.sum("views").alias("total_views"),
         )
         .filter(F.col("total_views") > 0)
-        .select("video_id", "views_7d", "total_views")
+        .select("video_id", *carried, "views_7d", "total_views")
     )
 
 

@@ -57,11 +57,12 @@ def training_rows(videos: DataFrame, daily: DataFrame) -> DataFrame:
     ts = F.col("published_at")
     described = videos.filter(F.col("title").isNotNull() & ts.isNotNull()).select(
         "video_id",
+        "published_at",
         *feature_columns(
             F.col("title"), clock.publish_hour(ts), clock.weekday_number(ts), clock.publish_month(ts)
         ),
     )
-    rows = first_week_views(videos, daily).dropna(subset=["views_7d"]).join(described, "video_id")
+    rows = first_week_views(described, daily, FEATURES).dropna(subset=["views_7d"])
     return rows.select(
         "video_id",
         *FEATURES,
