@@ -96,6 +96,19 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         end = min(max(end, at + 1), n)
         yield at, end
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on; what Arrow has freed needn't
+
+
+# Rows of a batch that are turned into Python texts at a time.
+TEXT_ROWS = 512
+
+
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXT_ROWS):
+            yield batch.slice(at, TEXT_ROWS)
+        pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyreel.llm import storage
-from tallyreel.llm.hashing import mix
+from tallyreel.llm.hashing import few_rows, mix
 
 BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3)
@@ -28,7 +28,7 @@ EPOCHS = 3
 CALIBRATION = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
-SLICE_CHARS, SLICE_TEXTS = 1 << 20, 256
+SLICE_CHARS, SLICE_TEXTS = 1 << 19, 128
 
 
 class Model(NamedTuple):
@@ -75,7 +75,7 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of a task's texts each bucket occurs; bucket -1 counts the texts."""
     found, n = np.zeros(BUCKETS, dtype=np.int64), 0
-    for batch in batches:
+    for batch in few_rows(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         n += len(texts)
         for _, counts in _counts(texts):
@@ -89,7 +89,7 @@ def _sparse(idf: np.ndarray):
     """Vectors as two binary columns: buckets (int32) and values (float32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at, counts in _counts(texts):
                 part = batch.slice(at, len(counts))
@@ -216,7 +216,7 @@ def _fitted(sample: DataFrame, idf: np.ndarray) -> Model | None:
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights.astype(np.float32)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at, counts in _counts(texts):
                 logits = _vectors(counts, model.idf) @ weights[:-1] + weights[-1]

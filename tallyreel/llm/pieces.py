@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyreel.llm import storage
+from tallyreel.llm.hashing import few_rows
 
 SPACE = "▁"
 UNKNOWN = "�"
 # Distinct cuts that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
-SLICE_CHARS = 1 << 20
+REMEMBERED = 150_000
+SLICE_CHARS = 1 << 19
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -163,24 +164,30 @@ class Encoder:
             [1 if self.library.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], dtype=np.int32
         )
         self.unknown = self.library.unk_id()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        # Sizes of the pieces of cuts with unknown ones, which are as long as their text.
+        self.odd: dict[str, bytes] = {}
 
     def _learn(self, cuts: set[str]) -> None:
         new = [c for c in cuts if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
+            self.odd.clear()
             new = list(cuts)
         found = self.cutter.encode(new, num_threads=1)
         ends = np.cumsum([len(ids) for ids in found]).tolist()
         ids = np.array([i for own in found for i in own], dtype=np.int32)
-        sizes = self.sizes[ids]
-        if (ids == self.unknown).any():  # an unknown piece is as long as its text
-            texts = [p for cut in new for p in self.cutter.encode(cut, out_type=str)]
-            sizes = np.where(ids == self.unknown, [len(p.encode()) for p in texts], sizes).astype(np.int32)
-        all_ids, all_sizes, at = ids.tobytes(), sizes.tobytes(), 0
+        all_ids, at = ids.tobytes(), 0
         for cut, end in zip(new, ends, strict=True):
-            self.known[cut] = all_ids[4 * at : 4 * end], all_sizes[4 * at : 4 * end]
+            self.known[cut] = all_ids[4 * at : 4 * end]
             at = end
+        if (ids == self.unknown).any():
+            for cut, own in zip(new, found, strict=True):
+                if self.unknown in own:
+                    texts = self.cutter.encode(cut, out_type=str)
+                    pairs = zip(own, texts, strict=True)
+                    sizes = [len(t.encode()) if i == self.unknown else self.sizes[i] for i, t in pairs]
+                    self.odd[cut] = np.array(sizes, dtype=np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Piece ids of each text, and the first and the last-plus-one source byte of each piece."""
@@ -189,9 +196,11 @@ class Encoder:
         self._learn(set().union(*cuts))
         out = []
         for own, n in zip(cuts, normal, strict=True):
-            found = [self.known[c] for c in own]
-            ids = np.frombuffer(b"".join([i for i, _ in found]), dtype=np.int32)
-            sizes = np.frombuffer(b"".join([z for _, z in found]), dtype=np.int32)
+            ids = np.frombuffer(b"".join([self.known[c] for c in own]), dtype=np.int32)
+            sizes = self.sizes[ids]
+            if self.odd and any(c in self.odd for c in own):
+                each = [self.odd.get(c) or self.sizes[np.frombuffer(self.known[c], dtype=np.int32)].tobytes() for c in own]
+                sizes = np.frombuffer(b"".join(each), dtype=np.int32)
             ends = np.cumsum(sizes)
             out.append((ids, n.source[ends - sizes], n.source[ends]))
         return out
@@ -220,7 +229,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _encode_batches(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = np.cumsum([len(t) for t in texts])
             at = 0
