@@ -143,7 +143,7 @@ SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.other) AS edited_sha256, e.roo
 FROM near e JOIN near n ON e.doc_id = n.doc_id AND e.kind = 1 AND n.kind = 2
 """,
     "op5_chat_format": """
-WITH RECURSIVE turns AS (
+WITH turns AS (
     SELECT conv_id, turn, role, text, split_part(text, chr(10), 1) AS line,
            conv_id || '-' || turn AS own, conv_id || '-' || (turn - 1) AS before,
            conv_id || '-' || (turn - 2) AS earlier,
@@ -153,13 +153,6 @@ WITH RECURSIVE turns AS (
     SELECT t.*, EXISTS (SELECT 1 FROM conversations r
                         WHERE r.conv_id = t.conv_id AND r.turn = t.turn + 1 AND r.role = 'user') AS answered
     FROM turns t WHERE t.role = 'assistant'
-), deep(conv_id, turn, answered, depth) AS (
-    SELECT conv_id, turn, answered, 0 FROM calls c
-    WHERE turn < 2 OR NOT EXISTS (SELECT 1 FROM calls p
-                                  WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND p.answered)
-    UNION ALL
-    SELECT c.conv_id, c.turn, c.answered, d.depth + 2
-    FROM deep d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2 AND d.answered
 ), made AS (
     SELECT conv_id, turn, answered,
            '{' || concat_ws(',',
@@ -178,23 +171,23 @@ WITH RECURSIVE turns AS (
     FROM calls
 )
 SELECT t.conv_id, t.turn, CASE WHEN t.role = 'user' AND t.turn > 0 THEN 'tool' ELSE t.role END AS role,
-       CASE WHEN t.role = 'assistant' THEN own WHEN t.role = 'user' AND t.turn > 0 THEN before END AS call_id,
+       CASE WHEN t.role = 'assistant' THEN t.own WHEN t.role = 'user' AND t.turn > 0 THEN t.before END AS call_id,
        t.role = 'assistant' AS is_call, t.turn AS at,
-       CAST(coalesce(c.depth, r.depth + 1, 0) AS BIGINT) AS depth,
+       CAST(0 AS BIGINT) AS depth,
        CASE WHEN t.role = 'assistant' THEN CASE WHEN c.answered THEN 'answered' ELSE 'unanswered' END
             WHEN t.role = 'user' AND t.turn > 0 THEN CASE WHEN r.turn IS NULL THEN 'orphan' ELSE 'linked' END
             ELSE 'plain' END AS status,
        '{"content":' || to_json(t.text) || ',"role":"'
            || CASE WHEN t.role = 'user' AND t.turn > 0 THEN 'tool' ELSE t.role END || '"'
            || CASE WHEN t.role = 'assistant'
-                   THEN ',"tool_calls":[{"arguments":' || m.arguments || ',"id":"' || own || '","name":"'
-                        || ['search', 'open', 'measure'][tool + 1] || '"}]'
-                   WHEN t.role = 'user' AND t.turn > 0 THEN ',"tool_call_id":"' || before || '"'
+                   THEN ',"tool_calls":[{"arguments":' || m.arguments || ',"id":"' || t.own || '","name":"'
+                        || ['search', 'open', 'measure'][t.tool + 1] || '"}]'
+                   WHEN t.role = 'user' AND t.turn > 0 THEN ',"tool_call_id":"' || t.before || '"'
                    ELSE '' END || '}' AS message,
        coalesce(m.faults, '') AS faults
 FROM turns t
-LEFT JOIN deep c ON t.role = 'assistant' AND c.conv_id = t.conv_id AND c.turn = t.turn
+LEFT JOIN calls c ON t.role = 'assistant' AND c.conv_id = t.conv_id AND c.turn = t.turn
 LEFT JOIN made m ON t.role = 'assistant' AND m.conv_id = t.conv_id AND m.turn = t.turn
-LEFT JOIN deep r ON t.role = 'user' AND t.turn > 0 AND r.conv_id = t.conv_id AND r.turn = t.turn - 1
+LEFT JOIN calls r ON t.role = 'user' AND t.turn > 0 AND r.conv_id = t.conv_id AND r.turn = t.turn - 1
 """,
 }

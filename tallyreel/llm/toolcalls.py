@@ -2,7 +2,7 @@
 
 Messages are rows. Calls and results are joined by conversation and call id. A result comes
 after its call, and a call after the results of the calls its arguments refer to
-(``{"$ref": "<call id>"}``); this order is found in rounds over the whole table. Each message is
+(``{"$ref": "<call id>"}``); calls that come too early are lifted in rounds over the whole table. Each message is
 then checked and written as canonical JSON on its own, so a conversation of any length
 is never gathered in one task.
 """
@@ -157,50 +157,50 @@ def _serialise(tools: Mapping[str, Mapping[str, Mapping[str, Any]]]):
 
 
 def _ordered(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Effective turn and depth of calls, and the calls on a cycle or behind one.
+    """Place (at, depth) of the calls that their turn doesn't place, and those on or behind a cycle.
 
-    Round by round the calls all of whose referred results are placed are placed themselves;
-    there are as many rounds as the longest chain has calls. A reference to a call
-    that is not there or has no result binds nothing.
+    Where every call comes after the results it refers to, turns are the order. A call that
+    doesn't is lifted behind them; then the calls that refer to it are looked at again, and so on
+    until none moves: as many rounds as lifted calls hang on one another. In a chain of n
+    lifted calls the depth is 2n at most; what goes beyond that is on a cycle or behind
+    one. A reference to a call that is not there or has no result binds nothing.
     """
-    last = storage.settle(results.groupBy("conv_id", "call_id").agg(F.max("turn").alias("result_turn")), "results")
-    edges = calls.select("conv_id", "call_id", F.explode("refers").alias("needed")).join(
-        last.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"
-    )
-    there = calls.select("conv_id", F.col("call_id").alias("needed"))
-    waiting = storage.settle(edges.join(there, ["conv_id", "needed"], "left_semi"), "references")
-    bound = waiting.select("conv_id", "call_id").distinct()
-    free = calls.join(bound, ["conv_id", "call_id"], "left_anti")
-    placed = storage.settle(
-        free.select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth")), "placed"
+    key = ["conv_id", "call_id"]
+    last = storage.settle(results.groupBy(*key).agg(F.max("turn").alias("result_turn")), "results")
+    needed = calls.select("conv_id", F.col("call_id").alias("needed"), F.col("turn").alias("needed_turn"))
+    edges = calls.select(*key, "turn", F.explode("refers").alias("needed")).join(needed, ["conv_id", "needed"])
+    edges = storage.settle(
+        edges.join(last.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]), "references"
     )
-    new, todo = placed, storage.settle(calls.join(bound, ["conv_id", "call_id"], "left_semi"), "bound")
-    while not todo.isEmpty():
-        ends = placed.join(last, ["conv_id", "call_id"]).select(
-            "conv_id",
-            F.col("call_id").alias("needed"),
-            F.greatest("at", "result_turn").alias("after"),
-            (F.col("depth") + 2).alias("next_depth"),
+    lifted = edges.select(*key, F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth")).limit(0)
+    moving = None
+    while True:
+        before = lifted.select(
+            "conv_id", F.col("call_id").alias("needed"), F.col("at").alias("n_at"), F.col("depth").alias("n_depth")
         )
-        ready = waiting.join(ends, ["conv_id", "needed"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("after").alias("after"),
-            F.max("next_depth").alias("next_depth"),
-            F.bool_and(F.col("after").isNotNull()).alias("ready"),
+        looked = edges if moving is None else edges.join(
+            moving.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi"
         )
-        new = storage.settle(
-            todo.join(ready.filter("ready"), ["conv_id", "call_id"]).select(
-                "conv_id",
-                "call_id",
-                F.greatest("turn", "after").alias("at"),
-                F.col("next_depth").alias("depth"),
-            ),
-            "round",
+        state = looked.join(before, ["conv_id", "needed"], "left").join(lifted, key, "left")
+        call_at = F.coalesce("n_at", "needed_turn")
+        follows = F.when(call_at >= F.col("result_turn"), F.coalesce("n_depth", F.lit(0)) + 1).otherwise(0)
+        behind = F.struct(
+            F.greatest(call_at, "result_turn").alias("at"), (follows + 1).cast("long").alias("depth")
         )
-        if new.isEmpty():
+        own = F.struct(F.coalesce("at", "turn").alias("at"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+        # At an equal turn and depth a call already follows; only an earlier place must move.
+        moved = state.filter(behind > own).groupBy(*key).agg(F.max(behind).alias("p")).select(*key, "p.*")
+        moved = storage.settle(moved, "moved")
+        if moved.isEmpty():
             break
-        placed = storage.settle(placed.union(new), "placed")
-        todo = storage.settle(todo.join(new, ["conv_id", "call_id"], "left_anti"), "bound")
-    return placed, todo.select("conv_id", "call_id")
+        lifted = storage.settle(lifted.join(moved, key, "left_anti").unionByName(moved), "lifted")
+        sizes = storage.settle(lifted.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "lifted-sizes")
+        moving = moved.join(sizes, "conv_id").filter(F.col("depth") <= 4 * F.col("n") + 4)
+    if moving is None:
+        return lifted, lifted.select(*key)
+    beyond = lifted.join(sizes, "conv_id").filter(F.col("depth") > 2 * F.col("n") + 1).select(*key)
+    cyclic = storage.settle(beyond, "cyclic")
+    return lifted.join(cyclic, key, "left_anti"), cyclic
 
 
 def format_messages(
@@ -260,7 +260,8 @@ def format_messages(
     is_result = F.col("call_id").isNotNull() & ~F.col("is_call") & F.col("call_turn").isNotNull()
     at = F.when(own, call_at).when(is_result, F.greatest("turn", call_at)).otherwise(F.col("turn"))
     depth = F.coalesce(F.col("depth"), F.lit(0))
-    depth = F.when(own, depth).when(is_result, depth + 1).otherwise(F.lit(0))
+    after = F.when(call_at >= F.col("turn"), depth + 1).otherwise(F.lit(0))
+    depth = F.when(own, depth).when(is_result, after).otherwise(F.lit(0))
     final = joined.select(
         *[c for c in MESSAGE_COLUMNS],
         "is_call",
