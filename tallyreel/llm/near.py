@@ -4,8 +4,10 @@ Every document gets minwise tokens of its set of word shingles. A tree starts wi
 documents in one node. At each node a random coordinate, and now and then a second one, is
 chosen by the node's path, and documents go on to the child that their minwise token there
 names. A node with few documents is compared exhaustively, a larger one branches again.
-Independent trees are repeated, so a pair at the threshold is missed by all of them with a
-probability below 1e-4, and one above it far more rarely.
+A pair at the threshold keeps more than one node in common on average at every level, and
+trees are repeated over several sets of coordinates. ``miss_bound`` computes with which
+probability all trees, or the comparison of tokens, miss such a pair; for 40 levels it is
+below 1e-4 from 80 percent on, and a pair above the threshold is missed far more rarely.
 
 Comparisons in nodes use the minwise tokens and only collect documents that may be linked
 into clusters. Links are confirmed on the full sets, cluster by cluster. A large cluster is
@@ -29,7 +31,13 @@ from tallyreel.llm.hashing import Words, mix, slices, text_bytes
 from tallyreel.llm.storage import Settle
 
 TREES = 12
-COORDINATES = 64
+# Trees take turns at these sets of coordinates, so those of two sets fail independently.
+COORDINATE_SETS, SET_COORDINATES = 3, 64
+COORDINATES = COORDINATE_SETS * SET_COORDINATES
+# Children that a pair at the threshold has in common on average; above 1 it may last for ever.
+COMMON_CHILDREN = 1.25
+# Probability with which the comparison of tokens may miss a pair at the threshold.
+UNLIKELY = 3e-5
 # Nodes of at most this many documents are compared exhaustively; others branch on.
 SMALL_NODE = 256
 # A child with this share of its parent's documents holds near copies of one text, which no
@@ -118,10 +126,45 @@ def _tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
+def _agreements(percent: int) -> np.ndarray:
+    """Probability of each number of equal tokens in one set of coordinates, at the threshold."""
+    n, share = SET_COORDINATES, percent / 100
+    return np.array([math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)])
+
+
 def _likely_from(percent: int) -> float:
-    """Minwise agreement from which a pair is confirmed: 4.5 standard deviations below the threshold."""
-    share = percent / 100
-    return share - 4.5 * math.sqrt(share * (1 - share) / COORDINATES)
+    """Agreement in the first set of coordinates from which a pair is confirmed.
+
+    A pair at the threshold has less with a probability of UNLIKELY at most.
+    """
+    return int(np.searchsorted(np.cumsum(_agreements(percent)), UNLIKELY, side="right")) / SET_COORDINATES
+
+
+def _second_chance(percent: int) -> float:
+    """Probability of a node's second coordinate."""
+    return COMMON_CHILDREN * 100 / percent - 1
+
+
+def miss_bound(percent: int, levels: int, trees: int = TREES) -> float:
+    """Probability that a pair at the threshold is missed in nodes of up to so many levels, or as unlikely.
+
+    With k equal tokens in a set of coordinates, a node of the pair has a first common child
+    with probability k / SET_COORDINATES, and a second with that times the second chance.
+    """
+    second, weight = _second_chance(percent), _agreements(percent)
+    agree = np.arange(SET_COORDINATES + 1) / SET_COORDINATES
+    gone = np.zeros(SET_COORDINATES + 1)
+    for _ in range(levels):
+        gone = (1 - agree + agree * gone) * (1 - second * agree + second * agree * gone)
+    parted = 1.0
+    for group in range(COORDINATE_SETS):
+        parted *= float((weight * gone ** len(range(group, trees, COORDINATE_SETS))).sum())
+    return parted + float(weight[agree < _likely_from(percent)].sum())
+
+
+def _in_set(paths: np.ndarray, group: np.ndarray | np.uint64) -> np.ndarray:
+    """Paths whose lowest bits are the set of coordinates."""
+    return paths & ~np.uint64(3) | group
 
 
 def _children(
@@ -129,16 +172,17 @@ def _children(
 ) -> pa.RecordBatch:
     """The nodes that documents go to from the nodes they are in, and the sizes of these.
 
-    There are one over the threshold of them on average, so a pair at the threshold keeps
-    one in common, whatever the depth.
+    A pair at the threshold keeps COMMON_CHILDREN of them in common on average. The lowest bits
+    of a node are its tree's set of coordinates.
     """
     nodes, who, parents = [], [], []
-    for branch, chance in ((0, 1.0), (1, 100 / percent - 1)):
+    group = paths & np.uint64(3)
+    for branch, chance in ((0, 1.0), (1, _second_chance(percent))):
         draw = mix(paths + np.uint64(branch + 1))
         goes = (draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < chance
-        at = (mix(draw)[goes] % np.uint64(COORDINATES)).astype(np.int64)
-        token = tokens[np.flatnonzero(goes), at].astype(np.uint64)
-        nodes.append(mix(draw[goes] ^ mix(token + np.uint64(1))))
+        at = mix(draw)[goes] % np.uint64(SET_COORDINATES) + group[goes] * np.uint64(SET_COORDINATES)
+        token = tokens[np.flatnonzero(goes), at.astype(np.int64)].astype(np.uint64)
+        nodes.append(_in_set(mix(draw[goes] ^ mix(token + np.uint64(1))), group[goes]))
         who.append(ids[goes])
         parents.append(sizes[goes])
     columns = [pa.array(np.concatenate(nodes).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (who, parents))]
@@ -152,6 +196,7 @@ def _plant(trees: int, percent: int):
                 ids, tokens = batch.column("id").to_numpy(), _tokens(batch.column("tokens"))
                 for tree in range(trees):
                     root = mix(np.full(len(ids), 7919 * (tree + 1), dtype=np.uint64))
+                    root = _in_set(root, np.uint64(tree % COORDINATE_SETS))
                     yield _children(root, np.zeros(len(ids), dtype=np.int64), ids, tokens, percent)
 
     return run
@@ -200,7 +245,7 @@ def _compare_nodes(percent: int):
         pairs = set()
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[x:y]
-            forest, here = _Forest(y - x), tokens[own]
+            forest, here = _Forest(y - x), tokens[own, :SET_COORDINATES]
             for i in range(y - x - 1):
                 if (forest.root == forest.root[0]).all():
                     break
@@ -226,7 +271,7 @@ def _confirm(percent: int):
             members.setdefault(group[i], []).append(i)
         pairs = set()
         for own in members.values():
-            forest, here = _Forest(len(own)), tokens[own]
+            forest, here = _Forest(len(own)), tokens[own, :SET_COORDINATES]
             for i in range(len(own) - 1):
                 if (forest.root == forest.root[0]).all():
                     break

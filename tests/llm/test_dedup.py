@@ -4,6 +4,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,37 @@ def test_near_groups_equal_brute_force(table):
     assert (sizes[401], sizes[403], sizes[404], sizes[405]) == (1, 1, 0, 0)
 
 
+def sets_alike(n_pairs, percent, rng):
+    """Pairs of shingle sets, one after the other, that just meet the threshold."""
+    common, apart = 20 * percent, 20 * (100 - percent) // 2
+    sets = []
+    for _ in range(n_pairs):
+        all_of = rng.integers(1, 1 << 63, common + 2 * apart, dtype=np.uint64)
+        sets += [all_of[: common + apart], np.concatenate([all_of[:common], all_of[common + apart :]])]
+    return near._minwise(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_stay_together_at_every_depth(percent):
+    n = 1500
+    tokens = sets_alike(n, percent, np.random.default_rng(6))
+    binary = pa.array([t.tobytes() for t in tokens], pa.binary())
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(2 * n)), "tokens": binary})
+    nodes = pa.Table.from_batches(near._plant(near.TREES, percent)([batch]))
+    for _ in range(12):
+        paths, ids = nodes.column("node").to_numpy(), nodes.column("id").to_numpy()
+        pair = pa.table({"node": paths, "pair": ids // 2}).group_by(["node", "pair"]).aggregate([([], "count_all")])
+        pair = pair.filter(pa.compute.equal(pair.column("count_all"), 2))
+        assert len(set(pair.column("pair").to_pylist())) == n
+        paths, first = pair.column("node").to_numpy().view(np.uint64), 2 * pair.column("pair").to_numpy()
+        paths, ids = np.concatenate([paths, paths]), np.concatenate([first, first + 1])
+        nodes = near._children(paths, np.zeros(len(ids), dtype=np.int64), ids, tokens[ids], percent)
+
+
+def test_the_bound_holds_to_the_deepest_level():
+    assert all(near.miss_bound(percent, near.LEVELS) < 1e-4 for percent in range(80, 101))
+
+
 def test_repeated_ids_nulls_and_empty_tables(table):
     a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
     rows = [(9, a), (9, b), (9, b), (12, b), (4, a), (None, a), (None, None)]
