@@ -4,7 +4,8 @@ Of every three neighbouring hashes of three words the smallest is a fingerprint,
 words that a template and a document share leave a common one. The templates'
 fingerprints form an inverted index. Hits in it whose diagonals (place in the document less
 place in the template) lie within a band of each other are one candidate, and the template is
-aligned with that region of the document.
+aligned with that region of the document. Words that tell sibling licenses apart, and version
+numbers, must agree, whatever the coverage.
 """
 
 from collections.abc import Iterator, Mapping
@@ -21,9 +22,56 @@ from tallyreel.llm.hashing import PUNCTUATION, Words, slices, text_bytes
 GRAM, WINDOW = 3, 3
 BAND = 8
 COVERAGE = 0.8
+# Templates of at most SHORT words need more.
+SHORT, SHORT_COVERAGE = 20, 0.9
+# Words that a notice must not have beside its template's, and must have if the template has them.
+TELLING = (
+    "lesser affero sa nd nc sharealike noncommercial noderivatives noderivs advertising acknowledgment "
+    "attribution cc0"
+).split()
+# Versions: a template's must be in the notice.
+NUMBERS = [str(n) for n in range(100)]
 # The index goes to every task, so templates together may have this many bytes.
 MOST_TEMPLATE_BYTES = 8 << 20
 
+def _gnu(name: str, version: str) -> str:
+    """The Free Software Foundation's file header."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        f"{name} as published by the Free Software Foundation, either version {version} of the License, or "
+        "(at your option) any later version."
+    )
+
+
+def _gnu_line(name: str, version: str) -> str:
+    return f"This work is licensed under the GNU {name}, version {version}."
+
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+_GNU = {
+    "GPL-2.0": ("General Public License", "2"),
+    "GPL-3.0": ("General Public License", "3"),
+    "LGPL-2.0": ("Library General Public License", "2"),
+    "LGPL-2.1": ("Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("Lesser General Public License", "3"),
+    "AGPL-3.0": ("Affero General Public License", "3"),
+}
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
 # Notices by which texts name their license.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -44,15 +92,26 @@ TEMPLATES = {
         "following conditions: The above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the Software."
     ),
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version."
+    **{f"{key} line": _gnu_line(*of) for key, of in _GNU.items()},
+    **{key: _gnu(*of) for key, of in _GNU.items()},
+    **{f"CC-{key}-4.0 line": f"Licensed under CC {key} 4.0." for key in _CC},
+    **{
+        f"CC-{key}-4.0": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+        for key, name in _CC.items()
+    },
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": (
+        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 FOUND = T.ArrayType(
@@ -76,6 +135,8 @@ class Index(NamedTuple):
     prints: np.ndarray
     template: np.ndarray
     place: np.ndarray
+    needed: list[np.ndarray]
+    telling: np.ndarray
 
 
 def _fingerprints(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +160,11 @@ def _fingerprints(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, grams[at]
 
 
+def _hashes_of(words: list[str]) -> np.ndarray:
+    data, offsets = text_bytes(pa.array(words, pa.string()))
+    return Words(data, offsets, lower=True, separators=PUNCTUATION).hashes()
+
+
 def index_of(templates: Mapping[str, str]) -> Index:
     names = sorted(templates)
     data, offsets = text_bytes(pa.array([templates[n] for n in names], pa.string()))
@@ -109,7 +175,24 @@ def index_of(templates: Mapping[str, str]) -> Index:
     at, prints = _fingerprints(words, hashes)
     order = np.argsort(prints, kind="stable")
     own = [hashes[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-    return Index(names, own, prints[order], words.text_of()[at][order], words.place()[at][order])
+    telling = _hashes_of(TELLING)
+    needed = [np.unique(w[np.isin(w, np.concatenate([telling, _hashes_of(NUMBERS)]))]) for w in own]
+    return Index(names, own, prints[order], words.text_of()[at][order], words.place()[at][order], needed, telling)
+
+
+def _is_notice(index: Index, template: int, matched: int, span: np.ndarray, coverage: float) -> bool:
+    """Whether so many equal words in these words of a document are a notice.
+
+    More words than the template has lower the share.
+    """
+    n = len(index.words[template])
+    least = max(coverage, SHORT_COVERAGE) if n <= SHORT else coverage
+    if matched < least * max(n, len(span)):
+        return False
+    others = np.setdiff1d(index.telling, index.needed[template])
+    return bool(np.isin(index.needed[template], span).all()) and not np.isin(others, span).any()
+
+
 
 
 def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -173,7 +256,7 @@ def _scan_slice(index: Index, words: Words, coverage: float) -> Iterator[tuple[i
             continue
         matched, first, end = align(index.words[template], doc, diagonal)
         share = matched / len(index.words[template])
-        if share >= coverage:
+        if _is_notice(index, template, matched, doc[first:end], coverage):
             found.setdefault(text, []).append((-matched, -share, first, end, index.names[template]))
             doc[first:end] = 0
         else:
@@ -230,8 +313,9 @@ def scan(
     """License notices in each document: ``rest`` (the struct of all columns) and ``licenses``.
 
     Words are runs of letters and digits, A-Z lower-cased. A notice has the template's name, the
-    share of its words that the alignment matched (at least ``coverage``), how many those are, and the
-    bytes it spans in the document. Where notices overlap, the one with the most matched
+    share of its words that the alignment matched (at least ``coverage``, also of the words it spans; more
+    for short templates), how many those are, and the bytes it spans in the document. Its TELLING words
+    and version numbers are the template's. Where notices overlap, the one with the most matched
     words, then the higher share, then the one further left, then the name counts. Templates under five
     words are found only if three words in a row are in the document. Null or empty texts
     have no notice; repeated rows get equal answers. No document moves.

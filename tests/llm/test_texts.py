@@ -122,6 +122,32 @@ def test_license_notices_and_their_spans(table):
     assert licenses.scan(table([])).collect() == []
 
 
+def test_sibling_licenses_are_told_apart(table):
+    line = "This work is licensed under the GNU {}, version {}."
+    header = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as "
+        "published by the Free Software Foundation, either version {} of the License, or (at your option) any later "
+        "version."
+    )
+    names = {
+        "GPL-2.0": ("General Public License", "2"),
+        "GPL-3.0": ("General Public License", "3"),
+        "LGPL-2.0": ("Library General Public License", "2"),
+        "LGPL-2.1": ("Lesser General Public License", "2.1"),
+        "LGPL-3.0": ("Lesser General Public License", "3"),
+        "AGPL-3.0": ("Affero General Public License", "3"),
+    }
+    cases = [(f"{key} line", line.format(*of)) for key, of in names.items()]
+    cases += [(key, header.format(*of)) for key, of in names.items()]
+    cases += [(f"CC-{k}-4.0 line", f"Licensed under CC {k} 4.0") for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA")]
+    cases += [("LGPL-3.0", header.replace("program", "library").format(*names["LGPL-3.0"]))]
+    cases += [(None, "Licensed under CC BY 3.0."), (None, line.format("General Public License", "1"))]
+    cases += [(None, "This work is licensed under the new and quite GNU like General Public School License, version 3.")]
+    rows = [(i, f"Some words before. {text} And after.") for i, (_, text) in enumerate(cases)]
+    found = licenses.scan(table(rows)).select("rest.doc_id", "licenses.license").collect()
+    assert {r["doc_id"]: r["license"] for r in found} == {i: [k] if k else [] for i, (k, _) in enumerate(cases)}
+
+
 def plain_root(text):
     import re
 
