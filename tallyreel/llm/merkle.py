@@ -3,8 +3,11 @@
 A blank line ends a section and a line break a paragraph. A paragraph's node is the SHA-256 of
 its text, a section's that of its paragraphs' nodes, the root that of the sections'
 nodes. So equal roots mean equal texts, and where roots differ, the paragraphs
-that differ are found by walking down. Below a paragraph stand blocks of up to four words with
-the white space around them; the share of equal blocks is the likeness of two trees.
+that differ are found by walking down.
+
+Likeness doesn't come from the tree. It is the share of equal blocks of up to four words, with the
+white space around them, counted from the start of the whole text and across paragraphs. So a word
+put in or taken out shifts the blocks behind it, and texts with equal paragraphs may be little alike.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +40,7 @@ def blocks(text: Column) -> Column:
 
 
 def likeness(root_a: Column, blocks_a: Column, root_b: Column, blocks_b: Column) -> Column:
-    """1 for equal roots, else the share of blocks that both trees have (Dice)."""
+    """1 for equal roots, else the share of blocks that both texts have (Dice)."""
     common = F.size(F.array_intersect(blocks_a, blocks_b))
     both = F.size(blocks_a) + F.size(blocks_b)
     return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * common / both)
@@ -87,11 +90,11 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Fingerprints of texts and of edited texts, and how alike trees are.
+    """Fingerprints of texts and of edited texts, and how alike texts are.
 
     The edited text has its last third (floor of n_chars / 3 code points) replaced by the first
     as many of the next row's text, or all of it. ``near_edited`` and ``near_next`` are the
-    likeness to the edited text's tree and to the next text's; ``edited_from`` is the first
+    likeness to the edited text and to the next text; ``edited_from`` is the first
     paragraph that the edit changed, 0 if none.
     """
     n = F.char_length("text")
