@@ -2,7 +2,8 @@
 
 A blank line ends a section and a line break a paragraph. A paragraph's node is the SHA-256 of
 its text, a section's that of its paragraphs' nodes, the root that of the sections'
-nodes. So equal roots mean equal texts, and where roots differ, the paragraphs
+nodes. Spaces, tabs and carriage returns in a blank line are in no node, so equal roots mean
+equal texts but for those. Where roots differ, the paragraphs
 that differ are found by walking down.
 
 Likeness doesn't come from the tree. It is the share of equal blocks of up to four words, with the
