@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tallyreel.llm import storage
 
-# About how many labelled rows the trees are fitted on, chosen by the hash of the URL.
+# About how many distinct labelled URLs the trees are fitted on, chosen by their hash, and how many of
+# each label at least.
 FIT_ROWS = 20_000
+LEAST_OF_LABEL = 1_000
 TREES = 20
 DEPTH = 4
 # Labelled URLs that a suffix needs before its own share counts more than the overall one.
@@ -159,18 +161,25 @@ def _vectors(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> GBTClassificationModel | str:
     """Boosted trees on labelled feature rows (label 1: block); ``fit_rows`` bounds the sample.
 
-    Without both labels there is nothing to learn; the one label there is, or allow,
+    It is drawn from the distinct URLs of each label; a URL's number of rows is its weight. Without both labels there is nothing to learn; the one label there is, or allow,
     is the answer.
     """
-    counts = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
-    if counts["blocked"] == 0 or counts["blocked"] == counts["n"]:
-        return "block" if counts["blocked"] else "allow"
-    parts = 1 << 20
-    chosen = F.pmod(F.xxhash64("url"), F.lit(parts)) < int(parts * min(1.0, fit_rows / counts["n"])) + 1
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, labelCol="label")
+    distinct = labelled.select("url", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["label"]: r["n"] for r in distinct.collect()}
+    if len(counts) < 2:
+        return "block" if 1.0 in counts else "allow"
+    parts, n = 1 << 20, sum(counts.values())
+    shares = {label: min(1.0, max(fit_rows / n, LEAST_OF_LABEL / own)) for label, own in counts.items()}
+    below = F.when(F.col("label") == 1.0, int(parts * shares[1.0]) + 1).otherwise(int(parts * shares[0.0]) + 1)
+    chosen = F.pmod(F.xxhash64("url"), F.lit(parts)) < below
+    trees = GBTClassifier(
+        maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, labelCol="label", weightCol="weight"
+    )
     with storage.scratch(labelled.sparkSession) as settle:
-        sample = settle(labelled.filter(chosen).select(*FEATURES, "label"), "labelled-urls")
-        return trees.fit(_vectors(sample.repartition(6)).select("features", "label"))
+        own = [F.first(c).alias(c) for c in FEATURES]
+        weighted = labelled.filter(chosen).groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), *own)
+        sample = settle(weighted.select(*FEATURES, "label", "weight"), "labelled-urls")
+        return trees.fit(_vectors(sample.repartition(6)).select("features", "label", "weight"))
 
 
 def judge(urls: DataFrame, rules: Sequence[Rule], url_column: str = "url", fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -140,3 +140,12 @@ def test_the_pipeline_keeps_clean_documents_and_applies_every_stage(spark, tmp_p
 def test_queries_without_sql_answer(spark, name):
     frame = queries.LLM_QUERIES[name](spark, compare.FOLDER)
     assert not frame.isEmpty()
+
+
+def test_few_urls_on_very_many_rows_are_all_learned_from(table):
+    names = [f"https://{'shop' if i % 2 else 'wiki'}.org/{'x' * (40 * (i % 2))}{i}" for i in range(20)]
+    rows = [(i, name) for name in names for i in range(50)] + [(99, f"https://other.org/{'x' * 40}7")]
+    rules = [urls.Rule("shop.org/", "block"), urls.Rule("wiki.org/", "allow")]
+    found = urls.judge(table(rows, "page_id long, url string"), rules, fit_rows=5).collect()
+    assert {r["verdict"] for r in found if r["page_id"] == 99} == {"block"}
+    assert all(r["verdict"] == ("block" if "shop" in r["url"] else "allow") for r in found if r["page_id"] < 50)
