@@ -43,6 +43,7 @@ def oracle_rows(con, sql):
 
 # Spark type names and the SQL types that hold the same values.
 TYPES = {
+    "int": "INTEGER",
     "bigint": "BIGINT",
     "double": "DOUBLE",
     "string": "VARCHAR",
