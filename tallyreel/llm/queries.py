@@ -1,12 +1,15 @@
 """The text operators' registered queries, and SQL for those that SQL can express."""
 
 from tallyreel.llm import storage
+from tallyreel.llm.credentials import op12_secret_scan
 from tallyreel.llm.languages import op10_language_id
 from tallyreel.llm.licenses import op3_license_scan
 from tallyreel.llm.merkle import op6_document_fingerprints
 from tallyreel.llm.near import op8_near_duplicates
 from tallyreel.llm.passages import op2_substring_dedup
+from tallyreel.llm.periods import op11_periodic_runs
 from tallyreel.llm.pieces import op1_sentencepiece
+from tallyreel.llm.ranking import op13_ranked_search
 from tallyreel.llm.suffixes import op4_suffix_array_dedup
 from tallyreel.llm.tiling import op9_decontaminate
 from tallyreel.llm.toolcalls import op5_chat_format
@@ -25,6 +28,9 @@ LLM_QUERIES = {
         op8_near_duplicates,
         op9_decontaminate,
         op10_language_id,
+        op11_periodic_runs,
+        op12_secret_scan,
+        op13_ranked_search,
     )
 }
 
@@ -189,5 +195,82 @@ FROM turns t
 LEFT JOIN calls c ON t.role = 'assistant' AND c.conv_id = t.conv_id AND c.turn = t.turn
 LEFT JOIN made m ON t.role = 'assistant' AND m.conv_id = t.conv_id AND m.turn = t.turn
 LEFT JOIN calls r ON t.role = 'user' AND t.turn > 0 AND r.conv_id = t.conv_id AND r.turn = t.turn - 1
+""",
+    "op11_periodic_runs": """
+WITH texts AS (
+    SELECT row_number() OVER () AS id, doc_id,
+           list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+           list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda crc, c: list_reduce(range(0, 8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, c)),
+               4294967295) AS crc
+    FROM documents
+), placed AS (
+    SELECT id, doc_id, w, len(w) AS n, xor(crc, 4294967295) // 10 AS g,
+           len(w) > 0 AND xor(crc, 4294967295) % 10 = 0 AS chosen
+    FROM texts
+), planted AS (
+    SELECT id, doc_id, n,
+           CASE WHEN chosen THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < g % n THEN i
+                ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE w END AS w
+    FROM placed
+), places AS (
+    SELECT id, unnest(range(0, n - 5)) AS i, w FROM planted WHERE n >= 12
+), grams AS (
+    SELECT id, i, array_to_string(list_slice(w, i + 1, i + 6), ' ') AS s FROM places
+), pairs AS (
+    SELECT x.id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.id = y.id AND x.s = y.s AND x.i < y.i
+), diagonals AS (
+    SELECT id, q, min(i) AS start, count(*) + 5 AS matched
+    FROM (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS d FROM pairs)
+    GROUP BY id, q, d HAVING count(*) + 5 >= q
+), runs AS (
+    SELECT id, start, matched + q AS length, min(q) AS period
+    FROM diagonals WHERE matched + q >= 12 GROUP BY 1, 2, 3
+), lists AS (
+    SELECT id, count(*) AS n_runs,
+           arg_max({'s': start, 'n': length, 'q': period}, [length, -start, -period]) AS best,
+           string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY id
+), gone AS (
+    SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs
+), words AS (
+    SELECT id, unnest(range(0, n)) AS i, unnest(w) AS word FROM planted
+), kept AS (
+    SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (id, i) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period,
+       1000 * best.n // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN lists USING (id) LEFT JOIN kept USING (id)
+""",
+    "op13_ranked_search": """
+WITH texts AS (
+    SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+), sizes AS (
+    SELECT id, doc_id, len(w) AS n, count(*) FILTER (len(w) > 0) OVER () AS docs, sum(len(w)) OVER () AS terms
+    FROM texts
+), counts AS (
+    SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(w) AS t FROM texts) GROUP BY 1, 2
+), wanted AS (
+    SELECT item, item_id, t, count(*) AS q
+    FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)
+    GROUP BY 1, 2, 3
+), impacts AS (
+    SELECT c.t, s.doc_id, s.id, s.docs, count(*) OVER (PARTITION BY c.t) AS df,
+           (1000000000 * c.tf) // (1000 * c.tf + 12 * (75 + CAST((25 * s.n * s.docs) // s.terms AS BIGINT))) AS impact
+    FROM counts c JOIN sizes s USING (id)
+), scores AS (
+    SELECT item, item_id, doc_id, id,
+           sum(q * CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) * impact) AS score
+    FROM wanted JOIN impacts USING (t) WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3, 4
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
 """,
 }
