@@ -32,6 +32,10 @@ PLACES = 20
 GROUP_BYTES = 32 << 20
 # Items of one tile, and distinct terms at which a tile of several items ends.
 TILE_ITEMS, TILE_TERMS = 256, 1 << 14
+# Bytes of tiles that are sent to every task; more of them are joined with the documents instead.
+SENT_BYTES = 4 << 20
+# Tiles that a task keeps written out, 32 MB each at most.
+DENSE_TILES = 4
 # Numbers in a dense block of documents.
 BLOCK_NUMBERS = 1 << 21
 EXACT = 1 << 53
@@ -200,23 +204,22 @@ def _product(weights: np.ndarray, block: np.ndarray) -> np.ndarray:
     return weights.astype(np.int64) @ block.astype(np.int64)
 
 
-def _scored(n_docs: int, n_terms: int, places: int):
-    """The best documents of a task for each item of its tiles."""
+def _scored(n_docs: int, n_terms: int, places: int, sent: list[bytes] | None):
+    """The best documents of a task for each item of its tiles, which come with the rows or were sent to all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[Tile, _Best]] = {}
-        dense: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        dense: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of few tiles, the last ones
         for batch in batches:
             for i in range(batch.num_rows):
-                key = batch.column("tile")[i].as_py()
-                if key not in best:
-                    tile = _read(key)
-                    best[key] = tile, _Best(len(tile.row), places)
-                    dense = {key: _written_out(tile)}
-                if key not in dense:
-                    dense = {key: _written_out(best[key][0])}
                 row = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KINDS.items()}
-                _offer(row, *dense[key], best[key][1], n_docs, n_terms)
+                for key in [batch.column("tile")[i].as_py()] if sent is None else sent:
+                    if key not in best:
+                        tile = _read(key)
+                        best[key] = tile, _Best(len(tile.row), places)
+                    if key not in dense:
+                        dense = dict(list(dense.items())[1 - DENSE_TILES :]) | {key: _written_out(best[key][0])}
+                    _offer(row, *dense[key], best[key][1], n_docs, n_terms)
         for tile, found in best.values():
             item, place = np.nonzero(found.score > 0)
             columns = {"row": tile.row[item], "doc": found.doc[item, place], "score": found.score[item, place]}
@@ -279,8 +282,9 @@ def rank(docs: DataFrame, items: DataFrame, places: int = PLACES, group_bytes: i
     counted whole.
 
     Every group of items with about ``group_bytes`` of text is one pass over the documents; its distinct
-    terms and their document counts pass through the driver and are sent to the tasks. Rows of
-    documents meet tiles of items by tile number and salt, so no task gets all of them.
+    terms and their document counts pass through the driver and are sent to the tasks, and so are its tiles
+    if they have SENT_BYTES or less. Otherwise rows of documents meet tiles in a merge join on tile
+    and salt, so that no task gets all of either.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -312,27 +316,32 @@ def _rank_group(docs: DataFrame, items: DataFrame, places: int) -> DataFrame:
         frequency[row["term"]] = row["n"]
     tiles = items.select("row", "text").mapInArrow(_tiles(vocabulary, _weights(frequency, n_docs)), _TILE)
     tiles = storage.settle(tiles, "tiles")
-    return _meet(packed, tiles).mapInArrow(_scored(n_docs, n_terms, places), _FOUND)
+    rows = packed.filter(F.length("docs") > 0).select(*_KINDS)
+    sent = None
+    if (tiles.agg(F.sum(F.length("tile")).alias("n")).first()["n"] or 0) <= SENT_BYTES:
+        sent = [bytes(r["tile"]) for r in tiles.collect()]
+    met = _meet(rows, tiles) if sent is None else rows
+    return met.mapInArrow(_scored(n_docs, n_terms, places, sent), _FOUND)
 
 
 def _meet(packed: DataFrame, tiles: DataFrame) -> DataFrame:
     """Every stored row with every tile, by tile bucket and salt.
 
-    There are as many buckets as tiles. A tile is copied to as many salts as tasks can share it.
+    There are as many buckets as tiles. A tile is copied to as many salts as tasks can share it;
+    the merge join deals both sides out, so nothing is broadcast.
     """
     buckets = max(1, tiles.count())
     tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = packed.filter(F.length("docs") > 0).drop("n_docs", "n_terms")
-    salts = max(1, min(4 * tasks, rows.count()))
+    salts = max(1, min(4 * tasks, packed.count()))
 
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     copies = tiles.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)).cast("int"))
     copies = copies.withColumn("salt", each(salts))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("docs", "terms"), F.lit(salts)).cast("int"))
+    dealt = packed.withColumn("salt", F.pmod(F.xxhash64("docs", "terms"), F.lit(salts)).cast("int"))
     dealt = dealt.withColumn("bucket", each(buckets))
-    return dealt.join(copies, ["bucket", "salt"]).drop("bucket", "salt")
+    return dealt.join(copies.hint("merge"), ["bucket", "salt"]).drop("bucket", "salt")
 
 
 def op13_ranked_search(spark, sf_dir: str) -> DataFrame:

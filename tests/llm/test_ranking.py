@@ -52,9 +52,10 @@ def some_rows(seed, n_docs, n_items):
     return docs, items
 
 
-@pytest.mark.parametrize("tiles", [(256, 1 << 14, 1 << 21), (3, 20, 64)])
-def test_ranks_equal_plain_ones(table, monkeypatch, tiles):
-    for name, value in zip(("TILE_ITEMS", "TILE_TERMS", "BLOCK_NUMBERS"), tiles, strict=True):
+@pytest.mark.parametrize("sizes", [(256, 1 << 14, 1 << 21, 4 << 20), (3, 20, 64, 4 << 20), (3, 20, 64, 0)])
+def test_ranks_equal_plain_ones(table, monkeypatch, sizes):
+    names = ("TILE_ITEMS", "TILE_TERMS", "BLOCK_NUMBERS", "SENT_BYTES")
+    for name, value in zip(names, sizes, strict=True):
         monkeypatch.setattr(ranking, name, value)
     docs, items = some_rows(1, 200, 20)
     found = ranking.rank(table([(*r, 0) for r in docs], "doc_id long, text string, row int"), table(items, "item_id long, text string"))
@@ -63,7 +64,8 @@ def test_ranks_equal_plain_ones(table, monkeypatch, tiles):
     assert got == sorted(plain_ranks(docs, items), key=repr)
 
 
-def test_groups_of_items_change_nothing(table):
+def test_groups_of_items_change_nothing(table, monkeypatch):
+    monkeypatch.setattr(ranking, "SENT_BYTES", 0)
     docs, items = some_rows(2, 60, 6)
     found = ranking.rank(table(docs), table(items, "item_id long, text string"), places=3, group_bytes=150)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(plain_ranks(docs, items, 3), key=repr)
