@@ -4,6 +4,8 @@
 reports share. ``g`` is the group: one constant for a global answer, or the channel.
 """
 
+from tallyreel.schemas import FEATURES
+
 STAR = """
 videos AS (
   SELECT 'v' || p.user_id AS video_id, 'c_' || d.lang AS channel_id,
@@ -797,7 +799,7 @@ Q["ml_features"] = with_star(
 )
 Q["ml_folds"] = with_star(
     f"""SELECT video_id, category,
-               {big('(row_number() OVER (PARTITION BY category ORDER BY md5(video_id), video_id) - 1) % 5')}
+               {big('(row_number() OVER (PARTITION BY category ORDER BY video_id) - 1) % 5')}
                  AS fold
         FROM training""",
     FIRST_WEEK,
@@ -853,9 +855,32 @@ Q["context_fingerprint"] = with_star(
        WHERE g NOT IN (SELECT g FROM ranked WHERE g IN ('c_de', 'c_fr'))""",
     levels(True),
 )
+# The first tree of a class fits what is left of its share; its root has the split with most gain.
 Q["ml_fit"] = with_star(
-    """SELECT CAST(c AS BIGINT) AS category, CAST(100 AS BIGINT) AS trees, count(*) AS trained_on
-       FROM training, range((SELECT max(category) + 1 FROM training)) AS x(c) GROUP BY c""",
+    """SELECT category, CAST(100 AS BIGINT) AS trees, CAST(s.videos AS BIGINT) AS trained_on,
+               round(ln(s.n / CAST(s.videos AS DOUBLE)), 9) AS start, feature,
+               (value + next) / 2.0::DOUBLE AS threshold
+        FROM firsts JOIN sizes s USING (category) WHERE rank = 1""",
     FIRST_WEEK,
     TRAINING,
+    f"""sizes AS (
+          SELECT category, count(*) AS n, sum(count(*)) OVER () AS videos FROM training GROUP BY category),
+        long AS (
+          SELECT category, feature, value, place FROM (
+            SELECT category, unnest({FEATURES}) AS feature, unnest([{', '.join(FEATURES)}]) AS value,
+                   unnest(range({len(FEATURES)})) AS place FROM training)),
+        counts AS (
+          SELECT s.category, feature, place, value, count(*) AS w, count(*) FILTER (l.category = s.category) AS y
+          FROM long l, sizes s GROUP BY ALL),
+        cuts AS (
+          SELECT category, feature, place, value, lead(value) OVER o AS next,
+                 CAST(sum(w) OVER o AS DOUBLE) AS lw, CAST(sum(y) OVER o AS DOUBLE) AS ly,
+                 CAST(sum(w) OVER p AS DOUBLE) AS w, CAST(sum(y) OVER p AS DOUBLE) AS y
+          FROM counts WINDOW o AS (PARTITION BY category, place ORDER BY value),
+                             p AS (PARTITION BY category, place)),
+        gains AS (
+          SELECT *, lw * (w - lw) / w * (ly / lw - (y - ly) / (w - lw)) ** 2 AS gain FROM cuts WHERE next IS NOT NULL),
+        firsts AS (
+          SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(gain, 9) DESC, place, value) AS rank
+          FROM gains)""",
 )

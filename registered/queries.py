@@ -925,15 +925,20 @@ def ml_folds(spark, folder):
 
 
 def _fitted(spark, folder):
-    return forecast.fit(_training(spark, folder))
+    return forecast.kept_fit(_training(spark, folder))
 
 
 @query("ml_fit")
 def ml_fit(spark, folder):
-    """Trees of each class model, and the videos behind them."""
+    """Per class: its trees, the videos behind them, where its scores start, and its first split."""
     model = _fitted(spark, folder)
-    rows = [(c, m.getNumTrees, model.trained_on) for c, m in enumerate(model.model.models)]
-    return spark.createDataFrame(rows, "category bigint, trees bigint, trained_on bigint")
+    booster = model.booster
+    rows = []
+    for c, start, first in zip(booster.classes, booster.start, booster.rounds[0]):
+        split = (FEATURES[first.feature[0]], float(first.threshold[0]))
+        rows.append((c, len(booster.rounds), model.trained_on, round(start, 9), *split))
+    schema = "category bigint, trees bigint, trained_on bigint, start double, feature string, threshold double"
+    return spark.createDataFrame(rows, schema)
 
 
 @query("ml_cv_predictions")

@@ -1,14 +1,13 @@
 """View-class forecast: training rows, folds, boosted trees, scores and metrics."""
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,21 +15,17 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators.grouping import attach, beside
 from tallyreel.operators.totals import first_week_views
+from tallyreel.plans import boosting
+from tallyreel.plans.boosting import DEPTH, TREES
 from tallyreel.schemas import CLASS_LABELS, DAY_NAMES, FEATURES
-from tallyreel.sources.store import settle
+from tallyreel.sources.store import settle, shared_folder
 
 CLASSES = list(range(len(CLASS_LABELS)))
 FOLDS = 5
-TREES = 100
-DEPTH = 4
-STEP = 0.1
-SEED = 42
-# Distinct feature rows that one task of a fit works on.
-ROWS_PER_TASK = 50_000
-
-# Hex digits of the key's hash that name a bucket when rows are numbered: 4,096
-# buckets of even size, whatever the keys look like.
-BUCKET_DIGITS = 3
+# Changes with the way models are fitted, so that none fitted in another way is read.
+MODEL_KIND = "multinomial-1"
+_NODES = f"array<struct<{boosting.TREE_FIELDS}>>"
+_MODEL = f"classes array<long>, start array<double>, trained_on long, nodes {_NODES}"
 
 
 def feature_columns(title: Column, hour: Column, weekday: Column, month: Column) -> list[Column]:
@@ -94,119 +89,104 @@ def distribution_chart(rows: DataFrame) -> DataFrame:
 
 
 def folds(rows: DataFrame, k: int = FOLDS, label: str = "category", key: str = "video_id"):
-    """Stratified folds: rows of a class, in hash order, dealt out in turn.
+    """Stratified folds: rows of a class, in order of the key, dealt out in turn.
 
-    Numbering a whole class in one window would put it in one task. Rows are numbered
-    inside buckets of the hash instead, and each bucket starts where the ones before
-    it end. The bucket counts are at most classes x 4,096 rows, so their running sum
-    and the broadcast stay small at any number of rows. The rows are written out
-    first, as they are read for the counts and again for the numbering.
+    Numbering a whole class in one window would put it in one task. Rows are sorted in ranges
+    instead, with even numbers of rows, whatever the classes. A row's place in its class is its
+    place in its range and the number of rows of the class in earlier ranges. These are as
+    many as ranges and classes, so their running sum and the broadcast stay small. The
+    sorted rows are written out, as the ranges must not change between both readings.
     """
-    hashed = settle(rows, "unfolded").withColumn("_hash", F.md5(F.col(key).cast("binary"))).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
-    )
-    earlier = W.partitionBy(label).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        hashed.groupBy(label, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select(label, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
-    inside = F.row_number().over(W.partitionBy(label, "_bucket").orderBy("_hash", key))
+    place = F.monotonically_increasing_id()  # its upper bits are the range, the lower ones the place in it
+    sorted_rows = rows.repartitionByRange(label, key).sortWithinPartitions(label, key).withColumn("_place", place)
+    placed = settle(sorted_rows.withColumn("_range", F.shiftright("_place", 33)), "unfolded")
+    earlier = W.partitionBy(label).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(label, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = counts.select(label, "_range", (before - F.col("_first")).alias("_shift"))
+    number = F.col("_place") + F.col("_shift")
     return (
-        hashed.withColumn("_inside", inside)
-        .join(F.broadcast(starts), [label, "_bucket"])
-        .withColumn("fold", F.pmod(F.col("_start") + F.col("_inside") - 1, F.lit(k)).cast("bigint"))
+        placed.join(F.broadcast(starts), [label, "_range"])
+        .withColumn("fold", F.pmod(number, F.lit(k)).cast("bigint"))
         .select(*rows.columns, "fold")
     )
 
 
 @dataclass(frozen=True)
 class Forecaster:
-    """A fitted model, the classes it saw and the number of videos behind it."""
+    """A fitted model and the number of videos behind it."""
 
-    model: OneVsRestModel
-    classes: tuple[int, ...]
+    booster: boosting.Booster
     trained_on: int
 
+    @property
+    def classes(self) -> tuple[int, ...]:
+        return self.booster.classes
+
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.save(f"{path}/model")
-        facts = spark.createDataFrame(
-            [(list(self.classes), self.trained_on)], "classes array<int>, trained_on bigint"
-        )
-        facts.write.parquet(f"{path}/facts")
+        """One row in a new folder."""
+        booster = self.booster
+        row = (list(booster.classes), list(booster.start), self.trained_on, boosting.tree_rows(booster))
+        spark.createDataFrame([row], _MODEL).coalesce(1).write.parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Forecaster":
-        facts = spark.read.parquet(f"{path}/facts").first()
-        return Forecaster(
-            OneVsRestModel.load(f"{path}/model"), tuple(facts["classes"]), facts["trained_on"]
-        )
-
-
-def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+        """The model of a folder, or of the first of several that match."""
+        name = F.input_file_name()
+        row = spark.read.schema(_MODEL).parquet(path).withColumn("_file", name).orderBy("_file").first()
+        booster = boosting.Booster(tuple(row["classes"]), tuple(row["start"]), boosting.trees_of(row["nodes"]))
+        return Forecaster(booster, row["trained_on"])
 
 
 def fit(rows: DataFrame, max_iter: int = TREES, max_depth: int = DEPTH) -> Forecaster:
-    """Boosted trees, one model per class.
+    """Boosted trees with the multinomial loss, one tree per class and round.
 
     Features are small integers, so many videos share a feature vector. Equal rows
     are trained on once, weighted by their number.
     """
-    distinct = rows.groupBy(*FEATURES, "category").agg(F.count("*").alias("videos"))
-    grouped = settle(distinct, "training")
-    # One row per class, four at most.
-    seen = (
-        grouped.groupBy("category")
-        .agg(F.sum("videos").alias("videos"), F.count("*").alias("rows"))
-        .collect()
-    )
-    # Every tree is several passes over these rows; few large tasks make each short.
-    tasks = 1 + sum(r["rows"] for r in seen) // ROWS_PER_TASK
-    trees = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=STEP, seed=SEED)
-    learner = OneVsRest(
-        classifier=trees, labelCol="category", weightCol="videos", parallelism=len(CLASSES)
-    )
-    weighted = grouped.withColumns(
-        {"category": F.col("category").cast("double"), "videos": F.col("videos").cast("double")}
-    )
-    dealt = weighted.repartition(tasks, *FEATURES).sortWithinPartitions(*FEATURES, "category")
-    points = dealt.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = learner.fit(_assembled(points))
-    finally:
-        points.unpersist()
-    return Forecaster(
-        model,
-        tuple(sorted(r["category"] for r in seen)),
-        sum(r["videos"] for r in seen),
-    )
+    return _fit(boosting.points_of(rows, FEATURES), max_iter, max_depth)
 
 
-def predict(forecaster: Forecaster, rows: DataFrame) -> DataFrame:
-    """Predicted class and percent per class.
+def _fit(points: DataFrame, max_iter: int, max_depth: int) -> Forecaster:
+    booster = boosting.fit(points, FEATURES, max_iter, max_depth)
+    return Forecaster(booster, points.agg(F.sum("videos").alias("n")).first()["n"])
 
-    The class models give margins; each becomes a probability and the probabilities
-    of the classes seen in training are scaled to sum to one. An unseen class gets 0.
+
+def kept_fit(rows: DataFrame, max_iter: int = TREES, max_depth: int = DEPTH) -> Forecaster:
+    """Like fit, but done once for equal training rows: the model is saved and read again.
+
+    Its folder in the shared one is named after the rows' number, the sums of two hashes of
+    them, and how it is fitted. Two sessions that fit at once save the same model twice.
     """
-    scored = forecaster.model.transform(_assembled(rows))
-    margins = vector_to_array("rawPrediction")
-    chance = {
-        c: 1 / (1 + F.exp(-2 * F.get(margins, F.lit(c)))) if c in forecaster.classes else F.lit(0.0)
-        for c in CLASSES
-    }
-    with_chances = scored.withColumns({f"_p{c}": chance[c] for c in CLASSES})
-    total = sum(F.col(f"_p{c}") for c in CLASSES)
-    shares = with_chances.withColumns({f"_p{c}": F.col(f"_p{c}") / total for c in CLASSES})
-    best = F.greatest(*[F.col(f"_p{c}") for c in CLASSES])
-    predicted = F.coalesce(*[F.when(F.col(f"_p{c}") == best, F.lit(c)) for c in CLASSES])
-    return shares.select(
-        *rows.columns,
+    spark, points = rows.sparkSession, boosting.points_of(rows, FEATURES)
+    hashes = [F.sum(F.xxhash64(F.lit(i), *points.columns).cast("decimal(20,0)")) for i in range(2)]
+    digest = points.agg(F.count("*"), *hashes).first()
+    name = "-".join([MODEL_KIND, str(max_iter), str(max_depth), *(f"{x or 0:x}" for x in map(int, digest))])
+    folder = f"{shared_folder(spark)}/tallyreel/models/{name}"
+    try:
+        return Forecaster.load(spark, f"{folder}/*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    model = _fit(points, max_iter, max_depth)
+    model.save(spark, f"{folder}/{uuid.uuid4().hex}")
+    return model
+
+
+def predict(forecaster: Forecaster, rows: DataFrame) -> DataFrame:
+    """Predicted class and percent per class; a class not seen in training gets 0."""
+    number = {c: i for i, c in enumerate(forecaster.classes)}
+    scored = boosting.score(rows, forecaster.booster, FEATURES)
+    chance = {c: F.get("chances", F.lit(number[c])) if c in number else F.lit(0.0) for c in CLASSES}
+    best = F.greatest(*chance.values())
+    predicted = F.coalesce(*[F.when(chance[c] == best, F.lit(c)) for c in CLASSES])
+    return scored.select(
+        *[F.col(f"rest.`{c}`").alias(c) for c in rows.columns],
         predicted.cast("bigint").alias("predicted_class"),
         figures.class_label(predicted).alias("predicted_category"),
         F.map_from_arrays(
             F.array(*[F.lit(x) for x in CLASS_LABELS]),
-            F.array(*[F.bround(F.col(f"_p{c}") * 100, 1) for c in CLASSES]),
+            F.array(*[F.bround(chance[c] * 100, 1) for c in CLASSES]),
         ).alias("probabilities"),
     )
 
@@ -216,7 +196,7 @@ def cross_predictions(
 ) -> DataFrame:
     """Each video's class as predicted by a model that has not seen it.
 
-    The k fits are independent and made of many short jobs, so they run side by side.
+    The k fits are independent, so they run side by side.
     """
     dealt = settle(folds(rows, k), "folds")
 
@@ -236,15 +216,9 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def importance(spark: SparkSession, forecaster: Forecaster) -> DataFrame:
-    """Weight per feature over the class models, summing to one."""
-    sums = [0.0] * len(FEATURES)
-    for model in forecaster.model.models:
-        for i, weight in enumerate(model.featureImportances.toArray()):
-            sums[i] += float(weight)
-    total = sum(sums) or 1.0
-    return spark.createDataFrame(
-        [(f, w / total) for f, w in zip(FEATURES, sums)], "feature string, importance double"
-    )
+    """Each feature's share in what the splits of all trees gain."""
+    weights = forecaster.booster.importance(len(FEATURES))
+    return spark.createDataFrame(list(zip(FEATURES, weights, strict=True)), "feature string, importance double")
 
 
 def importance_chart(weights: DataFrame) -> DataFrame:
@@ -261,7 +235,7 @@ def metrics(
     """Accuracy, class distribution, feature weights and training size in one row."""
     spark = rows.sparkSession
     kept = settle(rows, "forecast")
-    model = fit(kept, max_iter, max_depth)
+    model = kept_fit(kept, max_iter, max_depth)
     classes = F.array_sort(F.collect_list(F.struct("category", "label", "videos")))
     spread = class_distribution(kept).agg(
         F.map_from_entries(

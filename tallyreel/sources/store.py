@@ -1,5 +1,6 @@
 """Shared storage, and rows that several jobs read."""
 
+import os
 import uuid
 
 from pyspark import StorageLevel
@@ -19,6 +20,17 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyreel/{name}-{uuid.uuid4().hex}"
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    Enough where all machines have it at one path; else it goes along as ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def settle(rows: DataFrame, name: str) -> DataFrame:
     """Rows that several later jobs read, computed once.
 

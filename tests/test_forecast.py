@@ -1,5 +1,4 @@
 import collections
-import hashlib
 import random
 
 import pytest
@@ -25,15 +24,16 @@ def fitted(spark):
     return forecast.fit(rows(spark, 120), max_iter=2)
 
 
-def test_folds_deal_each_class_evenly(spark):
-    data = rows(spark, 203, classes=(0, 0, 0, 0, 1, 2))
+@pytest.mark.parametrize("parts", [1, 7])
+def test_folds_deal_each_class_evenly(spark, parts):
+    data = rows(spark, 203, classes=(0, 0, 0, 0, 1, 2)).repartition(parts)
     dealt = forecast.folds(data).collect()
     assert sorted(r["video_id"] for r in dealt) == sorted(f"v{i}" for i in range(203))
     by_class = collections.defaultdict(list)
     for r in dealt:
         by_class[r["category"]].append(r)
     for members in by_class.values():
-        order = sorted(members, key=lambda r: hashlib.md5(r["video_id"].encode()).hexdigest())
+        order = sorted(members, key=lambda r: r["video_id"])
         assert [r["fold"] for r in order] == [i % 5 for i in range(len(order))]
 
 
@@ -79,6 +79,19 @@ def test_saved_model_scores_the_same(spark, fitted):
     assert one == two
 
 
+def test_a_model_is_fitted_once_for_equal_rows(spark, monkeypatch):
+    data = rows(spark, 50, seed=11)
+    first = forecast.kept_fit(data, max_iter=2)
+    fit, fits = forecast.boosting.fit, []
+    monkeypatch.setattr(forecast.boosting, "fit", lambda *a: fits.append(a) or fit(*a))
+    again = forecast.kept_fit(data.repartition(5), max_iter=2)
+    assert fits == [] and again.trained_on == first.trained_on == 50
+    assert forecast.boosting.tree_rows(again.booster) == forecast.boosting.tree_rows(first.booster)
+    forecast.kept_fit(data, max_iter=3)
+    forecast.kept_fit(data.limit(49), max_iter=2)
+    assert len(fits) == 2
+
+
 def test_metrics_row(spark):
     row = forecast.metrics(rows(spark, 100), k=2, max_iter=1).first()
     assert row["trained_on"] == 100
