@@ -736,6 +736,9 @@ for channel in (False, True):
         facts,
         engaged(channel),
     )
+    # Kept through two loads, the reports are those of the last rows.
+    Q["kept_patterns" + suffix] = Q["all_patterns" + suffix]
+    Q["kept_kpi_tiles" + suffix] = Q["kpi_tiles" + suffix]
     Q["context_upload" + suffix] = with_star(
         f"SELECT {shown(channel)} {_columns(UPLOAD)} {per_group}", levels(channel)
     )

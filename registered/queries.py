@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import audits, engagement, ranking, totals, upserts
 from tallyreel.plans import charts, context, forecast, replies, reports
+from tallyreel.plans.kept import Changes, KeptReports
 from tallyreel.schemas import DAILY_METRICS, DAY_NAMES, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
 from tallyreel.sources import binding, landing
 from tallyreel.sources.store import fresh_folder
@@ -911,6 +912,52 @@ _report("all_patterns", _all_patterns)
 _report("kpi_tiles", lambda s, f, by: reports.kpi_tiles(*_vd(s, f), by))
 
 
+def _kept(spark, folder, by):
+    """Reports kept through two loads: the second corrects a third of the rows and adds another.
+
+    The first load has a third of the days and sources with other views, a quarter of the videos
+    with another title and format, and lacks a quarter of the videos.
+    """
+    videos, daily, traffic = _star(spark, folder)
+    fetched = [F.lit(f"2024-02-0{i} 00:00:00").cast("timestamp_ntz") for i in (1, 2)]
+
+    def share(n, *columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(n))
+
+    def loads(rows, *keys):
+        kind = share(3, *keys)
+        early = F.when(kind == 0, F.col("views") * 3 + 1).otherwise(F.col("views"))
+        return (
+            rows.filter(kind != 2).withColumn("views", early).withColumn("fetched_at", fetched[0]),
+            rows.filter(kind != 1).withColumn("fetched_at", fetched[1]),
+        )
+
+    kind = share(4, "video_id")
+    other = {"title": F.concat("title", F.lit(" !?")), "is_short": 1 - F.col("is_short")}
+    early = {c: F.when(kind == 0, value).otherwise(F.col(c)) for c, value in other.items()}
+    seen = (videos.filter(kind != 1).withColumns(early), videos.filter(kind < 2))
+    days, sources = loads(daily, "video_id", "date"), loads(traffic, "video_id", "traffic_source_type")
+    kept = KeptReports(spark, fresh_folder(spark, "kept"), by)
+    stored = (None, None)
+    for load in range(2):
+        changed = [
+            upserts.changed_rows(before, rows[load], KEYS[name])
+            for before, rows, name in zip(stored, (days, sources), ("daily_metrics", "traffic_sources"))
+        ]
+        kept.apply(load, load - 1 if load else None, Changes(seen[load], *changed[0], *changed[1]))
+        stored = (days[0], sources[0])
+    return kept
+
+
+def _kept_patterns(spark, folder, by):
+    nested = ["upload_times", "video_length", "traffic", "weak_engagement", "title_patterns"]
+    return _as_text(_kept(spark, folder, by).all_patterns(1), by, nested)
+
+
+_report("kept_patterns", _kept_patterns)
+_report("kept_kpi_tiles", lambda s, f, by: _kept(s, f, by).kpi_tiles(1))
+
+
 # Forecast --------------------------------------------------------------------
 
 

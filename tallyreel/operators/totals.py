@@ -90,12 +90,13 @@ def profile(
     so a task sends at most one row per group and level (43 levels over all
     dimensions) however many videos it read.
     """
-    described = videos.select("video_id", *by, *_levels(dimensions))
+    described = videos.select("video_id", *by, *described_levels(dimensions))
     joined = facts.select("video_id", "total_views").join(described, "video_id")
     return profile_rows(joined, dimensions, by)
 
 
-def _levels(dimensions: Sequence[str]) -> list[Column]:
+def described_levels(dimensions: Sequence[str]) -> list[Column]:
+    """What a video's own row says: its title's length and its level in each dimension."""
     # Title lengths are only needed in the row that covers all videos.
     length = titles.title_length(F.col("title")) if "all" in dimensions else F.lit(None)
     return [
@@ -112,7 +113,7 @@ def described_videos(
     The fact is scanned and joined once; every report of a set then reads these rows, of
     which there are as many as videos.
     """
-    levels = videos.select("video_id", *by, "title", *_levels(dimensions))
+    levels = videos.select("video_id", *by, "title", *described_levels(dimensions))
     return settle(video_facts(daily).join(levels, "video_id"), "described")
 
 
@@ -206,8 +207,8 @@ def average_title_length(
 def traffic_totals(
     traffic: DataFrame, videos: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Views per source. Grouping columns live on the videos, so ``by`` needs them."""
-    rows = with_group_columns(traffic, videos, by) if by else traffic
+    """Views per source. Grouping columns come from the videos, or are there already."""
+    rows = with_group_columns(traffic, videos, by) if by and videos is not None else traffic
     return rows.groupBy(*by, "traffic_source_type").agg(F.sum("views").alias("total_views"))
 
 

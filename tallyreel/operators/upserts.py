@@ -31,6 +31,20 @@ def upsert(
     return latest_by_key(rows, keys, newest_by)
 
 
+def changed_rows(
+    stored: DataFrame | None, incoming: DataFrame, keys: Sequence[str], newest_by: str = "fetched_at"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the incoming keys as they were and as an upsert leaves them.
+
+    Of the stored rows only those of incoming keys are kept; on a table stored by day, the
+    days of the incoming rows reach the scan as a filter if the caller sets one.
+    """
+    if stored is None:
+        return incoming.limit(0), latest_by_key(incoming, keys, newest_by)
+    before = stored.join(incoming.select(*keys).distinct(), list(keys), "left_semi").select(*stored.columns)
+    return before, upsert(before, incoming, keys, newest_by)
+
+
 # A video keeps these from its first load; everything else follows the latest load.
 KEPT_FROM_FIRST = ["channel_id", "published_at"]
 

@@ -230,6 +230,11 @@ def kpi_tiles(videos: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> Da
     described = described_videos(videos, daily, FORMAT_DIMENSIONS, by)
     formats = profile_rows(described, FORMAT_DIMENSIONS, by).groupBy(*by).agg(*format_columns())
     weak = engagement.weak_summary(engagement.engaged_of(described, by), by)
+    return tiles(formats, weak, by)
+
+
+def tiles(formats: DataFrame, weak: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tiles from the format report and the summary of weak videos."""
     retention = F.coalesce("channel_avg_retention", F.lit(0.0)).cast("string")
     return beside(
         formats.select(*by, "total_shorts", "total_longform", "better_format"), [weak], by
