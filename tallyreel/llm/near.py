@@ -1,18 +1,20 @@
 """Near-duplicate groups by a chosen-path similarity join.
 
-Every document gets minwise tokens of its set of word shingles. A tree starts with all
-documents in one node. At each node a random coordinate, and now and then a second one, is
-chosen by the node's path, and documents go on to the child that their minwise token there
-names. A node with few documents is compared exhaustively, a larger one branches again.
-A pair at the threshold keeps more than one node in common on average at every level, and
-trees are repeated over several sets of coordinates. ``miss_bound`` computes with which
-probability all trees, or the comparison of tokens, miss such a pair; for 40 levels it is
+Every document gets minwise tokens of its set of word shingles, kept as a sketch of one byte
+each. A tree starts with all documents in one node. At each node a random coordinate, and now
+and then a second one, is chosen by the node's path, and documents go on to the child that their
+token there names. A node with few documents is compared exhaustively; a larger one whose documents
+agree in many places, as no further branching would part them, is one cluster; any other
+branches again. A pair at the threshold keeps more than one node in common on average at every
+level, and trees are repeated over several sets of coordinates. ``miss_bound`` computes with which
+probability all trees, or the comparison of sketches, miss such a pair; for 40 levels it is
 below 1e-4 from 80 percent on, and a pair above the threshold is missed far more rarely.
 
-Comparisons in nodes use the minwise tokens and only collect documents that may be linked
+Comparisons in nodes use the sketches and only collect documents that may be linked
 into clusters. Links are confirmed on the full sets, cluster by cluster. A large cluster is
-dealt to blocks that share pivots; documents that don't come to hang on the pivots are
-then compared with every block, so no link between two blocks is lost.
+dealt to blocks that share pivots; documents that don't come to hang on its largest part are
+then compared with every block, so no link between two blocks is lost. A block holds so many
+documents that even a family of a hundred thousand has some fifty blocks.
 """
 
 import math
@@ -39,24 +41,31 @@ COMMON_CHILDREN = 1.25
 # Probability with which the comparison of tokens may miss a pair at the threshold.
 UNLIKELY = 3e-5
 # Nodes of at most this many documents are compared exhaustively; others branch on.
-SMALL_NODE = 256
-# A child with this share of its parent's documents holds near copies of one text, which no
-# further branching parts; its documents are one cluster.
-TIGHT = 0.8
+SMALL_NODE = 1024
+# A node whose documents agree in this share of places on average is one cluster.
+DENSE = 0.5
+# So many of a set's coordinates are looked at for that.
+PROBES = 8
 LEVELS = 40
-BLOCK = 128
+# Documents, and elements of their sets, that a block of a large cluster holds about.
+BLOCK = 2048
+BLOCK_ELEMENTS = 1 << 20
 PIVOTS = 8
+# Documents, and elements of their sets, whose intersections are counted in one product.
+TILE, TILE_ELEMENTS = 256, 1 << 17
+# Numbers in one factor of it.
+TILE_NUMBERS = 1 << 20
 # Set elements, and rows of nodes, that one group of work holds: most and least.
 TASK_ELEMENTS = 2 << 20, 1 << 15
-TASK_ROWS = 1 << 14, 1 << 9
+TASK_ROWS = 1 << 15, 1 << 11
 
 _random = np.random.default_rng(5)
 _TWISTS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 _FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_NODE = "node long, id long, parent long"
+_NODE = "node long, id long"
 _LINK = "a long, b long"
-_NODE_ARROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("parent", pa.int64())])
+_NODE_ARROW = pa.schema([("node", pa.int64()), ("id", pa.int64())])
 _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -93,8 +102,8 @@ def _minwise(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profile(size: int):
-    """Set sizes, a 128-bit name of each set, and the minwise tokens."""
+def _profile(size: int, trees: int, percent: int):
+    """Set sizes, a 128-bit name of each set, its sketch, and the nodes it goes to from the roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,15 +124,22 @@ def _profile(size: int):
                     "n": pa.array(counts.astype(np.int64)),
                     "k": pa.array(names[0]),
                     "h": pa.array(names[1]),
-                    "tokens": pa.array([t.tobytes() for t in tokens], pa.binary()),
+                    "sketch": pa.array([t.tobytes() for t in _sketch(tokens)], pa.binary()),
+                    "nodes": pa.array(list(_first_nodes(tokens, trees, percent)), pa.list_(pa.int64())),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """The low byte of each token: equal where tokens are, and elsewhere once in 256 times."""
+    return tokens.astype(np.uint8)
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sketches of one set of coordinates."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SET_COORDINATES)
 
 
 def _agreements(percent: int) -> np.ndarray:
@@ -167,39 +183,34 @@ def _in_set(paths: np.ndarray, group: np.ndarray | np.uint64) -> np.ndarray:
     return paths & ~np.uint64(3) | group
 
 
-def _children(
-    paths: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tokens: np.ndarray, percent: int
-) -> pa.RecordBatch:
-    """The nodes that documents go to from the nodes they are in, and the sizes of these.
+def _children(paths: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that documents go to from the nodes they are in, and the row of the document of each.
 
-    A pair at the threshold keeps COMMON_CHILDREN of them in common on average. The lowest bits
-    of a node are its tree's set of coordinates.
+    ``tokens`` are those of the node's set of coordinates, which the lowest bits of its path
+    name. A pair at the threshold keeps COMMON_CHILDREN of the nodes in common on average.
     """
-    nodes, who, parents = [], [], []
+    nodes, rows = [], []
     group = paths & np.uint64(3)
     for branch, chance in ((0, 1.0), (1, _second_chance(percent))):
         draw = mix(paths + np.uint64(branch + 1))
-        goes = (draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < chance
-        at = mix(draw)[goes] % np.uint64(SET_COORDINATES) + group[goes] * np.uint64(SET_COORDINATES)
-        token = tokens[np.flatnonzero(goes), at.astype(np.int64)].astype(np.uint64)
+        goes = np.flatnonzero((draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < chance)
+        at = mix(draw)[goes] % np.uint64(SET_COORDINATES)
+        token = tokens[goes, at.astype(np.int64)].astype(np.uint64)
         nodes.append(_in_set(mix(draw[goes] ^ mix(token + np.uint64(1))), group[goes]))
-        who.append(ids[goes])
-        parents.append(sizes[goes])
-    columns = [pa.array(np.concatenate(nodes).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (who, parents))]
-    return pa.RecordBatch.from_arrays(columns, schema=_NODE_ARROW)
+        rows.append(goes)
+    return np.concatenate(nodes), np.concatenate(rows)
 
 
-def _plant(trees: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, tokens = batch.column("id").to_numpy(), _tokens(batch.column("tokens"))
-                for tree in range(trees):
-                    root = mix(np.full(len(ids), 7919 * (tree + 1), dtype=np.uint64))
-                    root = _in_set(root, np.uint64(tree % COORDINATE_SETS))
-                    yield _children(root, np.zeros(len(ids), dtype=np.int64), ids, tokens, percent)
-
-    return run
+def _first_nodes(tokens: np.ndarray, trees: int, percent: int) -> np.ndarray:
+    """The nodes that each document goes to from the roots: (documents, nodes). Whole tokens part it."""
+    found = [np.zeros((len(tokens), 0), dtype=np.int64)]
+    for tree in range(trees):
+        group = tree % COORDINATE_SETS
+        root = _in_set(mix(np.full(len(tokens), 7919 * (tree + 1), dtype=np.uint64)), np.uint64(group))
+        own = tokens[:, group * SET_COORDINATES : (group + 1) * SET_COORDINATES]
+        nodes, _ = _children(root, own, percent)  # all documents are in one node, so all go the same ways
+        found.append(nodes.view(np.int64).reshape(-1, len(tokens)).T if len(tokens) else found[0])
+    return np.concatenate(found, axis=1)
 
 
 def _branch(percent: int):
@@ -207,8 +218,9 @@ def _branch(percent: int):
         for batch in batches:
             if batch.num_rows:
                 paths = batch.column("node").to_numpy().view(np.uint64)
-                sizes, ids = batch.column("size").to_numpy(), batch.column("id").to_numpy()
-                yield _children(paths, sizes, ids, _tokens(batch.column("tokens")), percent)
+                nodes, rows = _children(paths, _sketches(batch.column("sketch")), percent)
+                ids = batch.column("id").to_numpy()[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids)], schema=_NODE_ARROW)
 
     return run
 
@@ -223,9 +235,9 @@ class _Forest:
         self.root[self.root == self.root[b]] = self.root[a]
 
 
-def _likely(tokens: np.ndarray, i: int, least: float) -> np.ndarray:
-    """Which later documents agree with one in enough coordinates."""
-    agree = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= least
+def _likely(sketches: np.ndarray, i: int, least: float) -> np.ndarray:
+    """Which later documents agree with one in enough places."""
+    agree = (sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least * SET_COORDINATES
     return np.flatnonzero(agree) + i + 1
 
 
@@ -239,50 +251,95 @@ def _compare_nodes(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-        tokens = _tokens(table.column("tokens"))
         order = np.lexsort((ids, node))
-        cuts = np.flatnonzero(changes(node[order])).tolist() + [len(order)]
-        pairs = set()
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[x:y]
-            forest, here = _Forest(y - x), tokens[own, :SET_COORDINATES]
+        ids, sketches = ids[order], _sketches(table.column("sketch"))[order]
+        least = _likely_from(percent)
+        cuts = np.append(np.flatnonzero(changes(node[order])), len(order))
+        twos = cuts[:-1][np.diff(cuts) == 2]  # by far the most
+        alike = (sketches[twos] == sketches[twos + 1]).sum(axis=1) >= least * SET_COORDINATES
+        pairs = set(zip(ids[twos[alike]].tolist(), ids[twos[alike] + 1].tolist(), strict=True))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if y - x < 3:
+                continue
+            forest, here = _Forest(y - x), sketches[x:y]
             for i in range(y - x - 1):
                 if (forest.root == forest.root[0]).all():
                     break
-                for j in _likely(here, i, _likely_from(percent)):
+                for j in _likely(here, i, least):
                     if forest.root[i] != forest.root[j]:
                         forest.join(i, j)
-                        pairs.add((int(ids[own[i]]), int(ids[own[j]])))
+                        pairs.add((int(ids[x + i]), int(ids[x + j])))
         return _links(sorted(pairs))
 
     return run
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another."""
+    sizes = [len(s) for s in (*x, *y)]
+    values, number, counts = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = counts > 1  # what one set alone has is in no intersection
+    row, number = row[often[number]], (np.cumsum(often) - 1)[number[often[number]]]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(x), len(y)))
+    step = max(1, TILE_NUMBERS // len(sizes))
+    for at in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(number, [at, at + step])
+        block = np.zeros((len(sizes), step), dtype=np.float32)
+        block[row[a:b], number[a:b] - at] = 1
+        out += block[: len(x)] @ block[len(x) :].T  # below 2**24, so exact
+    return out
+
+
+def _tiles(sizes: list[int]) -> list[tuple[int, int]]:
+    """Cuts of a list of sets of TILE sets and TILE_ELEMENTS elements at most, or of one larger set."""
+    cuts, begin, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and (i - begin == TILE or held + size > TILE_ELEMENTS):
+            cuts.append((begin, i))
+            begin, held = i, 0
+        held += size
+    return [*cuts, (begin, len(sizes))]
+
+
+def _connect(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of a group of sets, as few as connect what is linked; none between two of side 1 or of side 2."""
+    forest, found = _Forest(len(sets)), []
+    tiles = _tiles([len(s) for s in sets])
+    for t, (a, b) in enumerate(tiles):
+        for c, d in tiles[t:]:
+            root = forest.root
+            if (root[a:b] == root[a]).all() and (root[c:d] == root[a]).all():
+                continue
+            common = _common(sets[a:b], sets[c:d])
+            x, y = (np.array([len(s) for s in sets[p:q]]) for p, q in ((a, b), (c, d)))
+            linked = 100 * common >= percent * (x[:, None] + y - common)
+            linked &= (sides[a:b, None] != sides[c:d]) | (sides[c:d] == 0)
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                others = np.flatnonzero(linked[i]) + c
+                for j in others[forest.root[others] != forest.root[a + i]].tolist():
+                    if forest.root[a + i] != forest.root[j]:
+                        forest.join(a + i, j)
+                        found.append((a + i, j))
+    return found
+
+
 def _confirm(percent: int):
-    """Links of each group that the full sets confirm; as few as connect what is linked."""
+    """Links of each group that the full sets confirm."""
 
     def run(table: pa.Table) -> pa.Table:
+        ids, sides = table.column("id").to_numpy(), table.column("side").to_numpy()
         group = table.column("group").to_pylist()
-        ids = table.column("id").to_numpy()
-        tokens = _tokens(table.column("tokens"))
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("shingles")]
         members: dict[str, list[int]] = {}
-        for i in np.argsort(ids, kind="stable").tolist():
+        for i in np.lexsort((sides, ids)).tolist():
             members.setdefault(group[i], []).append(i)
         pairs = set()
         for own in members.values():
-            forest, here = _Forest(len(own)), tokens[own, :SET_COORDINATES]
-            for i in range(len(own) - 1):
-                if (forest.root == forest.root[0]).all():
-                    break
-                for j in _likely(here, i, _likely_from(percent)):
-                    if forest.root[i] == forest.root[j]:
-                        continue
-                    x, y = sets[own[i]], sets[own[j]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        forest.join(i, j)
-                        pairs.add((int(ids[own[i]]), int(ids[own[j]])))
+            for i, j in _connect([sets[i] for i in own], sides[own], percent):
+                pairs.add((int(ids[own[i]]), int(ids[own[j]])))
         return _links(sorted(pairs))
 
     return run
@@ -295,52 +352,56 @@ def _full_sets(size: int):
             for a, b in slices(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 shingles, bounds = _sets(data[offsets[a] : offsets[b]], own, size)
-                tokens = _minwise(shingles, bounds)
-                columns = {
-                    "id": batch.column("id").slice(a, b - a),
-                    "cluster": batch.column("cluster").slice(a, b - a),
-                    "n": pa.array(np.diff(bounds).astype(np.int64)),
-                    "tokens": pa.array([t.tobytes() for t in tokens], pa.binary()),
-                    "shingles": pa.array(
-                        [shingles[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()
-                    ),
-                }
+                columns = {c: batch.column(c).slice(a, b - a) for c in ("id", "cluster", "blocks")}
+                columns["n"] = pa.array(np.diff(bounds).astype(np.int64))
+                cuts = zip(bounds[:-1], bounds[1:], strict=True)
+                columns["shingles"] = pa.array([shingles[x:y].tobytes() for x, y in cuts], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _candidates(classes: DataFrame, trees: int, percent: int, settle: Settle) -> DataFrame:
+def _candidates(classes: DataFrame, percent: int, settle: Settle) -> DataFrame:
     """Links between classes that meet in a node and may be similar."""
-    tokens = classes.select("id", "tokens")
-    members = tokens.mapInArrow(_plant(trees, percent), _NODE)
+    sketches = classes.select("id", "sketch")
+    first = F.lit(SET_COORDINATES) * F.col("node").bitwiseAND(3) + 1
+    own = F.substring("sketch", first.cast("int"), F.lit(SET_COORDINATES)).alias("sketch")
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return rows.join(sketches, "id").select("node", "id", "size", own)
+
+    members = classes.select("id", F.explode("nodes").alias("node"))
     found = []
     for _ in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = settle(members.join(settle(sizes, "node-sizes"), "node"), "nodes")
-        small, tight = F.col("size") <= SMALL_NODE, F.col("size") >= TIGHT * F.col("parent")
-        tight = ~small & (F.col("parent") > 0) & tight
-        rows = sized.agg(
-            F.count(F.when(small, 1)).alias("small"),
-            F.count(F.when(tight, 1)).alias("tight"),
-            F.count(F.when(~small & ~tight, 1)).alias("large"),
-        ).first()
+        sized = settle(members.join(settle(sizes, "node-sizes"), "node").select("node", "id", "size"), "nodes")
+        small = F.col("size") <= SMALL_NODE
+        rows = sized.agg(F.count(F.when(small, 1)).alias("small"), F.count(F.when(~small, 1)).alias("large")).first()
         if rows["small"]:
             tasks = storage.task_count(classes, rows["small"], *TASK_ROWS)
-            dealt = sized.filter(small).select("node", "id").join(tokens, "id")
-            dealt = dealt.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
-            found.append(dealt.groupBy("task").applyInArrow(_compare_nodes(percent), _LINK))
-        if rows["tight"]:
-            found.append(_stars(sized.filter(tight), settle))
-        large = sized.filter(~small & ~tight)
+            dealt = sketched(sized.filter(small)).withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+            found.append(dealt.drop("size").groupBy("task").applyInArrow(_compare_nodes(percent), _LINK))
         if not rows["large"]:
             break
-        members = large.select("node", "id", "size").join(tokens, "id").mapInArrow(_branch(percent), _NODE)
+        large = settle(sketched(sized.filter(~small)), "large")
+        dense = settle(_dense(large), "dense")
+        found.append(_stars(large.join(dense, "node"), settle))
+        members = large.join(dense, "node", "left_anti").mapInArrow(_branch(percent), _NODE)
     else:
         found.append(_stars(large, settle))
     return reduce(DataFrame.union, found, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
 
 
+def _dense(large: DataFrame) -> DataFrame:
+    """Nodes whose documents agree in many places, from the counts of a few coordinates' tokens."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("c")
+    probed = large.select("node", "size", "sketch", places)
+    at = F.col("c") * (SET_COORDINATES // PROBES) + 1
+    counts = probed.groupBy("node", "size", "c", F.substring("sketch", at, F.lit(1)).alias("v"))
+    squares = counts.agg(F.pow(F.count(F.lit(1)) / F.col("size"), 2).alias("s")).groupBy("node")
+    return squares.agg(F.sum("s").alias("s")).filter(F.col("s") >= DENSE * PROBES).select("node")
+
+
 def _stars(members: DataFrame, settle: Settle) -> DataFrame:
     """Links of each node's documents to its smallest."""
     lows = settle(members.groupBy("node").agg(F.min("id").alias("a")), "lows")
@@ -348,7 +409,7 @@ def _stars(members: DataFrame, settle: Settle) -> DataFrame:
 
 
 def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within groups: (group, id, n, tokens, shingles) -> (a, b)."""
+    """Links within groups: (group, id, side, n, shingles) -> (a, b)."""
     elements = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = storage.task_count(sets, elements, *TASK_ELEMENTS)
     dealt = sets.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)))
@@ -360,95 +421,67 @@ def _each(count: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
 
-def _large_clusters(
-    sets: DataFrame, sizes: DataFrame, percent: int, block: int, settle: Settle
-) -> DataFrame:
-    """Links of clusters larger than a block.
+def _grouped(rows: DataFrame, side: int, *names: str) -> DataFrame:
+    group = F.concat_ws("/", *names).alias("group")
+    return rows.select(group, "id", F.lit(side).alias("side"), "n", "shingles")
+
+
+def _large_clusters(sets: DataFrame, percent: int, block: int, settle: Settle) -> DataFrame:
+    """Links of clusters that have several blocks.
 
     Each block is compared in itself and with its cluster's pivots. What then is not
-    connected with the first pivot is compared with all blocks, in parts of a block's
-    size; two documents that both are connected with it need no comparison.
+    connected with the cluster's largest part is compared with all blocks, in parts of a
+    block's size; two documents that both are in the largest part need no comparison.
     """
-    dealt = sets.join(sizes, "cluster")
-    # Pivots are the documents whose first token the most others have, so typical ones.
-    common = dealt.groupBy("cluster", F.substring("tokens", 1, 4).alias("token")).agg(F.count(F.lit(1)).alias("c"))
-    top = common.groupBy("cluster").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
-    top = settle(top, "typical")
-    near = dealt.select("cluster", "id", F.substring("tokens", 1, 4).alias("token")).join(top, ["cluster", "token"])
-    chosen = near.groupBy("cluster").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    spread = near.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p")).agg(F.min("id").alias("id"))
-    pivots = settle(
-        spread.select("cluster", "id")
-        .union(chosen.select("cluster", F.col("first").alias("id")))
-        .distinct()
-        .join(sets, ["cluster", "id"])
-        .join(sizes, "cluster")
-        .join(chosen.select("cluster", "first"), "cluster"),
-        "pivots",
-    )
-    columns = ["id", "n", "tokens", "shingles"]
-    own = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    lot = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(PIVOTS)).alias("lot")
+    chosen = sets.groupBy("cluster", lot).agg(F.min("id").alias("id")).select("cluster", "id")
+    pivots = settle(sets.join(settle(chosen, "chosen"), ["cluster", "id"]), "pivots")
     copies = pivots.withColumn("block", _each("blocks"))
-    name = F.concat_ws("/", F.col("cluster"), F.col("block"))
-    blocks = own.withColumn("group", name).select("group", *columns)
-    blocks = blocks.unionByName(copies.withColumn("group", name).select("group", *columns))
+    blocks = _grouped(own, 0, "cluster", "block").unionByName(_grouped(copies, 0, "cluster", "block"))
     links = settle(_confirmed(blocks, percent), "block-links")
 
-    roots = components(links, settle)
-    firsts = pivots.select("cluster", "first", "blocks").distinct().join(
-        roots.select(F.col("node").alias("first"), F.col("root").alias("main")), "first", "left"
-    )
-    firsts = settle(firsts.select("cluster", F.coalesce("main", "first").alias("main")), "mains")
-    placed = dealt.select("cluster", "id", "blocks").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rest = settle(
-        placed.join(firsts, "cluster").filter(F.coalesce("root", "id") != F.col("main")).select("cluster", "id"),
-        "apart",
-    )
-    parts = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    parts = settle(parts, "parts")
-    others = rest.join(sets, ["cluster", "id"]).join(sizes, "cluster").join(parts, "cluster")
+    roots = components(links, settle).withColumnRenamed("node", "id")
+    names = settle(sets.select("cluster", "id", "blocks"), "names")
+    placed = names.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counts = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
+    mains = settle(counts.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main")), "mains")
+    apart = placed.join(mains, "cluster").filter("root <> main").select("cluster", "id")
+    apart = settle(apart, "apart")
+    parts = settle(apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")), "parts")
+    others = sets.join(apart.distinct(), ["cluster", "id"]).join(parts, "cluster")
     others = others.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
     others = others.withColumn("block", _each("blocks"))
-    own = own.join(parts, "cluster")
-    own = own.withColumn("part", _each("parts"))
-    name = F.concat_ws("/", F.col("cluster"), F.col("block"), F.col("part"))
-    pairs = own.withColumn("group", name).select("group", *columns)
-    pairs = pairs.unionByName(others.withColumn("group", name).select("group", *columns))
+    against = own.join(parts, "cluster").withColumn("part", _each("parts"))
+    pairs = _grouped(against, 1, "cluster", "block", "part").unionByName(
+        _grouped(others, 2, "cluster", "block", "part")
+    )
     return links.union(settle(_confirmed(pairs, percent), "apart-links"))
 
 
-def _roots(
-    rows: DataFrame,
-    profiles: DataFrame,
-    percent: int,
-    words: int,
-    trees: int,
-    block: int,
-    settle: Settle,
-) -> DataFrame:
+def _roots(rows: DataFrame, profiles: DataFrame, percent: int, words: int, block: int, settle: Settle) -> DataFrame:
     """The smallest id that each linked id can reach: (node, root)."""
     # Equal sets are one class, known by its smallest id.
     full = profiles.filter("n > 0 AND id IS NOT NULL")
-    classes = settle(
-        full.groupBy("k", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")),
-        "classes",
-    )
+    kept = [F.first(c).alias(c) for c in ("n", "sketch", "nodes")]
+    classes = settle(full.groupBy("k", "h").agg(F.min("id").alias("id"), *kept), "classes")
     # Rows of a class hang on its id; so a document with several texts ties their classes.
     texts = full.select("id", "k", "h").join(classes.select(F.col("id").alias("class"), "k", "h"), ["k", "h"])
     ties = texts.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
 
-    clusters = components(_candidates(classes, trees, percent, settle), settle)
+    clusters = components(_candidates(classes, percent, settle), settle)
     members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     clustered = members.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    kinds = "id long, cluster long, n long, tokens binary, shingles binary"
-    sets = rows.join(clustered, "id").mapInArrow(_full_sets(words), kinds).filter("n > 0")
+    sized = clustered.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    sizes = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("n") / BLOCK_ELEMENTS)).alias("blocks")
+    sizes = settle(sizes.select("cluster", blocks), "cluster-sizes")
+    kinds = "id long, cluster long, blocks long, n long, shingles binary"
+    sets = rows.join(clustered.join(sizes, "cluster"), "id").mapInArrow(_full_sets(words), kinds).filter("n > 0")
     sets = settle(sets, "sets")
-    sizes = settle(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    small = sets.join(sizes.filter(F.col("size") <= block).select("cluster"), "cluster")
-    links = _confirmed(small.withColumn("group", F.col("cluster").cast("string")).drop("cluster"), percent)
-    large = sizes.filter(F.col("size") > block).select("cluster", F.ceil(F.col("size") / block).alias("blocks"))
-    if not large.isEmpty():
-        links = links.union(_large_clusters(sets, large, percent, block, settle))
+    links = _confirmed(_grouped(sets.filter("blocks = 1"), 0, "cluster"), percent)
+    if not sizes.filter("blocks > 1").isEmpty():
+        links = links.union(_large_clusters(sets.filter("blocks > 1"), percent, block, settle))
     return components(links.union(ties))
 
 
@@ -476,10 +509,13 @@ def near_duplicates(
         raise ValueError("percent must be 80 or more")
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     profiles = storage.settle(
-        rows.mapInArrow(_profile(words), "id long, n long, k long, h long, tokens binary"), "profiles"
+        rows.mapInArrow(
+            _profile(words, trees, percent), "id long, n long, k long, h long, sketch binary, nodes array<long>"
+        ),
+        "profiles",
     )
     with storage.scratch(docs.sparkSession) as settle:
-        roots = _roots(rows, profiles, percent, words, trees, block, settle)
+        roots = _roots(rows, profiles, percent, words, block, settle)
     named = profiles.join(roots.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
     return named.select(

@@ -178,23 +178,58 @@ def sets_alike(n_pairs, percent, rng):
 def test_pairs_at_the_threshold_stay_together_at_every_depth(percent):
     n = 1500
     tokens = sets_alike(n, percent, np.random.default_rng(6))
-    binary = pa.array([t.tobytes() for t in tokens], pa.binary())
-    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(2 * n)), "tokens": binary})
-    nodes = pa.Table.from_batches(near._plant(near.TREES, percent)([batch]))
+    first = near._first_nodes(tokens, near.TREES, percent)
+    nodes, ids = first.ravel(), np.repeat(np.arange(2 * n), first.shape[1])
     for _ in range(12):
-        paths, ids = nodes.column("node").to_numpy(), nodes.column("id").to_numpy()
-        pair = pa.table({"node": paths, "pair": ids // 2}).group_by(["node", "pair"]).aggregate([([], "count_all")])
+        pair = pa.table({"node": nodes, "pair": ids // 2}).group_by(["node", "pair"]).aggregate([([], "count_all")])
         pair = pair.filter(pa.compute.equal(pair.column("count_all"), 2))
         assert len(set(pair.column("pair").to_pylist())) == n
-        paths, first = pair.column("node").to_numpy().view(np.uint64), 2 * pair.column("pair").to_numpy()
-        paths, ids = np.concatenate([paths, paths]), np.concatenate([first, first + 1])
-        nodes = near._children(paths, np.zeros(len(ids), dtype=np.int64), ids, tokens[ids], percent)
+        paths, left = pair.column("node").to_numpy().view(np.uint64), 2 * pair.column("pair").to_numpy()
+        paths, ids = np.concatenate([paths, paths]), np.concatenate([left, left + 1])
+        own = ids[:, None], (paths & np.uint64(3)).astype(int)[:, None] * near.SET_COORDINATES + np.arange(near.SET_COORDINATES)
+        nodes, rows = near._children(paths, near._sketch(tokens)[own], percent)
+        nodes, ids = nodes.view(np.int64), ids[rows]
 
 
 def test_the_bound_holds_to_the_deepest_level():
     assert all(near.miss_bound(percent, near.LEVELS) < 1e-4 for percent in range(80, 101))
 
 
+def test_a_large_family_below_the_threshold(table, monkeypatch):
+    """3,000 documents of which any two share 0.7 of their shingles, and twenty pairs that share 0.87."""
+    common = prose(41, 104)
+    rows, own = [], {}
+    for d in range(3000):
+        words = [f"o{d}x{k}" for k in range(21)]
+        if d >= 2980:  # a copy of an earlier one, but for its last words
+            words = own[d - 2980][:14] + words[14:]
+        own[d] = words
+        rows.append((d, " ".join(common + words)))
+    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    base = set.intersection(*shingles.values())
+    holders = defaultdict(list)
+    for d, grams in shingles.items():
+        for gram in grams - base:
+            holders[gram].append(d)
+    shared = defaultdict(int)  # of all pairs that share more than the base
+    for ids in holders.values():
+        for i, x in enumerate(ids):
+            for y in ids[:i]:
+                shared[y, x] += 1
+    sizes = {d: len(g) for d, g in shingles.items()}
+    plain = len(base) / (2 * sizes[50] - len(base))
+    assert 0.69 < plain < 0.72
+    links = [p for p, c in shared.items() if 100 * (c + len(base)) >= 85 * (sizes[p[0]] + sizes[p[1]] - c - len(base))]
+    assert sorted(links) == [(d, d + 2980) for d in range(20)]
+
+    confirmed, counts = near._confirmed, []
+    monkeypatch.setattr(near, "_confirmed", lambda sets, percent: counts.append(sets.count()) or confirmed(sets, percent))
+    monkeypatch.setattr(near, "SMALL_NODE", 256)
+    found = {r["id"]: r["component_id"] for r in near.near_duplicates(table(rows)).collect()}
+    assert found == {d: d - 2980 if d >= 2980 else d for d in range(3000)}
+    assert sum(counts) <= 8 * 3000  # full sets that were sent
+
+
 def test_repeated_ids_nulls_and_empty_tables(table):
     a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
     rows = [(9, a), (9, b), (9, b), (12, b), (4, a), (None, a), (None, None)]
