@@ -393,13 +393,15 @@ def _candidates(classes: DataFrame, percent: int, settle: Settle) -> DataFrame:
 
 
 def _dense(large: DataFrame) -> DataFrame:
-    """Nodes whose documents agree in many places, from the counts of a few coordinates' tokens."""
-    places = F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("c")
-    probed = large.select("node", "size", "sketch", places)
-    at = F.col("c") * (SET_COORDINATES // PROBES) + 1
-    counts = probed.groupBy("node", "size", "c", F.substring("sketch", at, F.lit(1)).alias("v"))
-    squares = counts.agg(F.pow(F.count(F.lit(1)) / F.col("size"), 2).alias("s")).groupBy("node")
-    return squares.agg(F.sum("s").alias("s")).filter(F.col("s") >= DENSE * PROBES).select("node")
+    """Nodes whose documents agree in many places, from the counts of a few coordinates' tokens.
+
+    Each document is counted for one of them, so a coordinate is seen in a share of the documents.
+    """
+    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PROBES)).cast("int")
+    token = F.substring("sketch", F.col("c") * (SET_COORDINATES // PROBES) + 1, F.lit(1))
+    counts = large.withColumn("c", place).groupBy("node", "c", token.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    squares = counts.groupBy("node", "c").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("s"))
+    return squares.groupBy("node").agg(F.avg("s").alias("s")).filter(F.col("s") >= DENSE).select("node")
 
 
 def _stars(members: DataFrame, settle: Settle) -> DataFrame:
