@@ -1,14 +1,13 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and blocks, in DataFrame functions.
 
-A blank line ends a section and a line break a paragraph. A paragraph's node is the SHA-256 of
-its text, a section's that of its paragraphs' nodes, the root that of the sections'
-nodes. Spaces, tabs and carriage returns in a blank line are in no node, so equal roots mean
-equal texts but for those. Where roots differ, the paragraphs
-that differ are found by walking down.
+Two line breaks in a row end a section, one a paragraph. Blocks of up to four words, counted from
+the paragraph's start and with the white space around them, are the leaves: every character of a
+paragraph is in one. A leaf's node is its SHA-256; a paragraph's node, a section's and the root are
+the SHA-256 of the nodes below them. Joining leaves, paragraphs and sections gives the text again,
+so roots are equal exactly if texts are. Where they differ, walking down finds the paragraphs.
 
-Likeness doesn't come from the tree. It is the share of equal blocks of up to four words, with the
-white space around them, counted from the start of the whole text and across paragraphs. So a word
-put in or taken out shifts the blocks behind it, and texts with equal paragraphs may be little alike.
+Two trees are alike in the leaves that both have, weighted by their characters. A word put in or
+taken out changes leaves of its own paragraph only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,40 +16,55 @@ from pyspark.sql import functions as F
 
 from tallyreel.llm import storage
 
-SECTION = r"\n[ \t\r]*\n"
-PARAGRAPH = r"\n"
-# Every character belongs to one block; the quantifiers never give back what they took.
-BLOCK = r"[ \t\n\x0B\f\r]*+(?:[^ \t\n\x0B\f\r]++[ \t\n\x0B\f\r]*+){1,4}+|[ \t\n\x0B\f\r]++"
+SECTION, PARAGRAPH = r"\n\n", r"\n"
+# Every character of a paragraph belongs to one leaf; the quantifiers never give back what they took.
+LEAF = r"[ \t\x0B\f\r]*+(?:[^ \t\x0B\f\r]++[ \t\x0B\f\r]*+){1,4}+|[ \t\x0B\f\r]++"
 
 
-def paragraphs(text: Column) -> Column:
+def leaves(text: Column) -> Column:
+    """The blocks of a text by section and paragraph: array of arrays of arrays."""
+
+    def of_paragraph(paragraph: Column) -> Column:
+        return F.regexp_extract_all(paragraph, F.lit(LEAF), F.lit(0))
+
+    return F.transform(F.split(text, SECTION), lambda s: F.transform(F.split(s, PARAGRAPH), of_paragraph))
+
+
+def _over(nodes: Column) -> Column:
+    return F.sha2(F.array_join(nodes, ""), 256)
+
+
+def paragraphs(tree: Column) -> Column:
     """Nodes of the paragraphs, by section: array of arrays."""
-    sections = F.split(text, SECTION)
-    return F.transform(sections, lambda s: F.transform(F.split(s, PARAGRAPH), lambda p: F.sha2(p, 256)))
+    return F.transform(tree, lambda s: F.transform(s, lambda p: _over(F.transform(p, lambda b: F.sha2(b, 256)))))
 
 
 def root(nodes: Column) -> Column:
     """The root over paragraph nodes, hexadecimal."""
-    sections = F.transform(nodes, lambda s: F.sha2(F.array_join(s, ""), 256))
-    return F.sha2(F.array_join(sections, ""), 256)
+    return _over(F.transform(nodes, _over))
+
 
+def blocks(tree: Column) -> Column:
+    """The distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.flatten(tree)))
 
-def blocks(text: Column) -> Column:
-    """Distinct hashes of the blocks of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), lambda b: F.xxhash64(b)))
+
+def _characters(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b))
 
 
 def likeness(root_a: Column, blocks_a: Column, root_b: Column, blocks_b: Column) -> Column:
-    """1 for equal roots, else the share of blocks that both texts have (Dice)."""
-    common = F.size(F.array_intersect(blocks_a, blocks_b))
-    both = F.size(blocks_a) + F.size(blocks_b)
+    """1 for equal roots, else the share of characters in leaves that both trees have (Dice)."""
+    common = _characters(F.array_intersect(blocks_a, blocks_b))
+    both = _characters(blocks_a) + _characters(blocks_b)
     return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * common / both)
 
 
-def first_change(nodes_a: Column, nodes_b: Column) -> Column:
-    """Number of the first paragraph (from 1, over all sections) whose nodes differ; 0 if none."""
+def changes(nodes_a: Column, nodes_b: Column) -> Column:
+    """Numbers of the paragraphs (from 1, over all sections) whose nodes differ, in order."""
     differ = F.zip_with(F.flatten(nodes_a), F.flatten(nodes_b), lambda a, b: ~a.eqNullSafe(b))
-    return F.array_position(differ, True)
+    numbered = F.transform(differ, lambda d, i: F.when(d, i + 1))
+    return F.filter(numbered, lambda i: i.isNotNull())
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -59,7 +73,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(
         F.col(f"`{id_column}`").alias("id"),
         F.char_length(text).cast("long").alias("n_chars"),
-        root(paragraphs(text)).alias("fingerprint"),
+        root(paragraphs(leaves(text))).alias("fingerprint"),
     )
 
 
@@ -79,12 +93,12 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     placed = storage.settle_ranges(rows, ranges, order, "ranges")
     row = F.struct(F.col("id").isNotNull().alias("known"), "id", "tie", "text")
     ends = storage.settle(placed.groupBy("range").agg(F.max(row).alias("head"), F.min(row).alias("tail")), "ends")
-    along = W.orderBy("range")  # one row for each range
-    heads = ends.select("range", "head")
-    following = ends.select(
-        "tail", F.coalesce(F.lead("range").over(along), F.first("range").over(along)).alias("range")
-    )
-    last = following.join(heads, "range").select("tail.id", "tail.text", F.col("head.text").alias("next_text"))
+    along = W.orderBy("range")  # one number for each range; texts are joined to them afterwards
+    after = F.coalesce(F.lead("range").over(along), F.first("range").over(along))
+    steps = ends.select("range").withColumn("after", after)
+    heads = ends.select(F.col("range").alias("after"), "head")
+    last = steps.join(ends.select("range", "tail"), "range").join(heads, "after")
+    last = last.select("tail.id", "tail.text", F.col("head.text").alias("next_text"))
     inside = W.partitionBy("range").orderBy(*order)
     main = placed.select("id", "text", F.lead("text").over(inside).alias("next_text")).filter("next_text IS NOT NULL")
     return main.union(last)
@@ -95,21 +109,28 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     The edited text has its last third (floor of n_chars / 3 code points) replaced by the first
     as many of the next row's text, or all of it. ``near_edited`` and ``near_next`` are the
-    likeness to the edited text and to the next text; ``edited_from`` is the first
-    paragraph that the edit changed, 0 if none.
+    likeness to the edited text and to the next text; ``edited_paragraphs`` are the numbers of
+    the paragraphs that the edit changed, in order.
     """
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     texts = with_next(docs, id_column, text_column).withColumn("edited", edited)
+    kinds = ("text", "edited", "next_text")
     trees = texts.select(
         "id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        *[paragraphs(F.col(c)).alias(f"{c}_nodes") for c in ("text", "edited", "next_text")],
-        *[blocks(F.col(c)).alias(f"{c}_blocks") for c in ("text", "edited", "next_text")],
+        *[leaves(F.col(c)).alias(c) for c in kinds],
+    )
+    noded = trees.select(
+        "id",
+        "n_chars",
+        "edited_sha256",
+        *[paragraphs(F.col(c)).alias(f"{c}_nodes") for c in kinds],
+        *[blocks(F.col(c)).alias(f"{c}_blocks") for c in kinds],
     )
-    rooted = trees.select("*", *[root(F.col(f"{c}_nodes")).alias(f"{c}_root") for c in ("text", "edited", "next_text")])
+    rooted = noded.select("*", *[root(F.col(f"{c}_nodes")).alias(f"{c}_root") for c in kinds])
 
     def near(other: str) -> Column:
         return likeness(
@@ -124,11 +145,13 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         F.col("edited_root").alias("edited_fingerprint"),
         near("edited").alias("near_edited"),
         near("next_text").alias("near_next"),
-        first_change(F.col("text_nodes"), F.col("edited_nodes")).alias("edited_from"),
+        changes(F.col("text_nodes"), F.col("edited_nodes")).alias("edited_paragraphs"),
     )
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Per document: fingerprints of its text and of an edited one, and likenesses."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return edits(docs).withColumnRenamed("id", "doc_id")
+    changed = F.col("edited_paragraphs")
+    found = edits(docs).withColumnRenamed("id", "doc_id").withColumn("n_edited", F.size(changed).cast("long"))
+    return found.withColumn("edited_from", F.coalesce(F.get(changed, F.lit(0)), F.lit(0)).cast("long")).drop(changed)

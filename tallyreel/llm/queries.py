@@ -125,27 +125,34 @@ WITH texts AS (
     UNION ALL SELECT doc_id, 2, next_text FROM texts
 ), trees AS (
     SELECT doc_id, kind, t,
-           list_transform(string_split_regex(t, '\n[ \t\r]*\n'),
-               lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS nodes,
-           list_distinct(regexp_extract_all(t,
-               '[ \t\n\x0B\f\r]*(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*){1,4}|[ \t\n\x0B\f\r]+')) AS blocks
+           list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+               lambda p: regexp_extract_all(p,
+                   '[ \t\x0B\f\r]*(?:[^ \t\x0B\f\r]+[ \t\x0B\f\r]*){1,4}|[ \t\x0B\f\r]+'))) AS leaves
     FROM kinds
+), nodes AS (
+    SELECT doc_id, kind, t, list_distinct(flatten(flatten(leaves))) AS blocks,
+           list_transform(leaves, lambda s: list_transform(s, lambda p:
+               sha256(coalesce(array_to_string(list_transform(p, lambda b: sha256(b)), ''), '')))) AS nodes
+    FROM trees
 ), roots AS (
     SELECT *, sha256(array_to_string(list_transform(nodes,
-               lambda n: sha256(array_to_string(n, ''))), '')) AS root, flatten(nodes) AS flat
-    FROM trees
+               lambda n: sha256(array_to_string(n, ''))), '')) AS root, flatten(nodes) AS flat,
+           coalesce(list_sum(list_transform(blocks, lambda b: length(b))), 0) AS chars
+    FROM nodes
 ), near AS (
     SELECT a.doc_id, b.kind, a.t, b.t AS other, a.root, b.root AS other_root,
            CASE WHEN a.root = b.root THEN 1.0::DOUBLE
-                WHEN len(a.blocks) + len(b.blocks) = 0 THEN 0.0::DOUBLE
-                ELSE 2.0::DOUBLE * len(list_intersect(a.blocks, b.blocks)) / (len(a.blocks) + len(b.blocks))
+                WHEN a.chars + b.chars = 0 THEN 0.0::DOUBLE
+                ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.blocks, b.blocks),
+                         lambda x: length(x))), 0) / (a.chars + b.chars)
            END AS near,
-           coalesce(list_position(list_transform(range(1, greatest(len(a.flat), len(b.flat)) + 1),
-               lambda i: a.flat[i] IS DISTINCT FROM b.flat[i]), true), 0)::BIGINT AS edited_from
+           list_filter(range(1, greatest(len(a.flat), len(b.flat)) + 1),
+               lambda i: a.flat[i] IS DISTINCT FROM b.flat[i]) AS edited
     FROM roots a JOIN roots b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind > 0
 )
 SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.other) AS edited_sha256, e.root AS fingerprint,
-       e.other_root AS edited_fingerprint, e.near AS near_edited, n.near AS near_next, e.edited_from
+       e.other_root AS edited_fingerprint, e.near AS near_edited, n.near AS near_next,
+       CAST(len(e.edited) AS BIGINT) AS n_edited, coalesce(e.edited[1], 0)::BIGINT AS edited_from
 FROM near e JOIN near n ON e.doc_id = n.doc_id AND e.kind = 1 AND n.kind = 2
 """,
     "op5_chat_format": """

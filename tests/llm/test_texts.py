@@ -2,10 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -148,13 +151,26 @@ def test_sibling_licenses_are_told_apart(table):
     assert {r["doc_id"]: r["license"] for r in found} == {i: [k] if k else [] for i, (k, _) in enumerate(cases)}
 
 
+def plain_leaves(paragraph):
+    return [m[0] for m in re.finditer("[ \t\x0b\f\r]*(?:[^ \t\x0b\f\r]+[ \t\x0b\f\r]*){1,4}|[ \t\x0b\f\r]+", paragraph)]
+
+
 def plain_root(text):
-    import re
+    def over(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def paragraph(p):
+        return over(hashlib.sha256(b.encode()).hexdigest() for b in plain_leaves(p))
+
+    return over(over(paragraph(p) for p in s.split("\n")) for s in text.split("\n\n"))
 
-    def sha(s):
-        return hashlib.sha256(s.encode()).hexdigest()
 
-    return sha("".join(sha("".join(sha(p) for p in s.split("\n"))) for s in re.split(r"\n[ \t\r]*\n", text)))
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ({l for p in t.split("\n") for l in plain_leaves(p)} for t in (a, b))
+    both = sum(map(len, x)) + sum(map(len, y))
+    return 2 * sum(map(len, x & y)) / both if both else 0.0
 
 
 def test_fingerprints_tell_texts_apart_and_edits_are_located(table):
@@ -163,19 +179,44 @@ def test_fingerprints_tell_texts_apart_and_edits_are_located(table):
     found = merkle.edits(table(rows)).collect()
     assert len(found) == len(rows)
     assert {r["fingerprint"] for r in found} == {plain_root(t or "") for _, t in rows}
+    assert len({plain_root(t) for t in texts}) == len(texts)  # blanks in a blank line tell texts apart too
     by_id = {r["id"]: r for r in found if r["id"] is not None and r["id"] != 3}
     third = len(texts[0]) // 3
     changed = texts[0][: len(texts[0]) - third] + texts[1][:third]
     assert by_id[10]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
     assert by_id[10]["edited_fingerprint"] == plain_root(changed)
     # Before the end of the first paragraph nothing changes.
-    assert by_id[10]["edited_from"] == 1 + (changed.split("\n")[0] == texts[0].split("\n")[0])
+    assert by_id[10]["edited_paragraphs"][0] == 1 + (changed.split("\n")[0] == texts[0].split("\n")[0])
+    assert by_id[10]["near_edited"] == pytest.approx(plain_likeness(texts[0], changed))
+    assert by_id[8]["near_next"] == pytest.approx(plain_likeness(texts[2], texts[3]))
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
     ties = [r for r in found if r["id"] == 3]
     assert sorted(r["near_next"] for r in ties)[1] == 1.0  # the next row is its copy
     assert merkle.edits(table([])).collect() == []
 
 
+SPACED = ["", "\n", "\n\n", "\n\n\n", " \n", "\n ", "a\n\nb", "a\n \nb", "a\r\n\r\nb", "a\n\t\nb", "a\n\n\nb", "a \n\nb", "a\n\n b"]
+
+
+def test_roots_are_equal_exactly_if_texts_are(table):
+    rng = random.Random(4)
+    texts = sorted({*SPACED, *("".join(rng.choices("a b\n\n\r\té", k=rng.randrange(12))) for _ in range(400))})
+    found = merkle.fingerprints(table(list(enumerate(texts * 2)))).collect()
+    assert len({r["fingerprint"] for r in found}) == len(texts)
+    assert {r["id"]: r["fingerprint"] for r in found} == {i: plain_root(t) for i, t in enumerate(texts * 2)}
+
+
+def test_an_inserted_word_changes_its_paragraph_only(table):
+    rng = random.Random(5)
+    paragraphs = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(50)]
+    before, after = ("\n\n".join([first + paragraphs[0], *paragraphs[1:]]) for first in ("", "new "))
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(100_000))
+    rows = {9: before, 8: after, 7: long, 6: long + " end"}
+    found = {r["id"]: r["near_next"] for r in merkle.edits(table(list(rows.items()))).collect()}
+    assert found[9] > 0.95 and found[7] > 0.99
+    assert found == {i: pytest.approx(plain_likeness(rows[i], rows[i - 1 if i > 6 else 9])) for i in rows}
+
+
 def greedy(doc, item, least=5):
     """Greedy tiles by trying every pair of places for the longest match, again and again."""
     used_d, used_i, tiles = set(), set(), []
@@ -257,3 +298,94 @@ def test_without_labels_no_language_is_guessed(table):
     assert languages.predict(docs, None).first()["lang_pred"] == "und"
     empty = table([], "doc_id long, text string, lang string")
     assert languages.predict(empty, languages.train_on(empty)).collect() == []
+
+
+def plain_ftrl(vectors, langs, names, epoch, z, n):
+    """One epoch of proximal FTRL, coordinate by coordinate; vectors are (id, {bucket: value})."""
+    z, n = [row[:] for row in z], [row[:] for row in n]
+    order = sorted(range(len(langs)), key=lambda i: (int(languages_mix(vectors[i][0] + epoch)), vectors[i][0]))
+    for i in order:
+        x = {**vectors[i][1], languages.BUCKETS: 1.0}
+        weights = {}
+        for b in x:
+            weights[b] = []
+            for k in range(len(names)):
+                rate = (languages.BETA + math.sqrt(n[b][k])) / languages.ALPHA + languages.L2
+                sign = (z[b][k] > 0) - (z[b][k] < 0)
+                weights[b].append(0.0 if abs(z[b][k]) <= languages.L1 else (sign * languages.L1 - z[b][k]) / rate)
+        scores = [sum(x[b] * weights[b][k] for b in x) for k in range(len(names))]
+        powers = [math.exp(s - max(scores)) for s in scores]
+        for b in x:
+            for k in range(len(names)):
+                g = x[b] * (powers[k] / sum(powers) - (names[k] == langs[i]))
+                sigma = (math.sqrt(n[b][k] + g * g) - math.sqrt(n[b][k])) / languages.ALPHA
+                z[b][k] += g - sigma * weights[b][k]
+                n[b][k] += g * g
+    return z, n
+
+
+def languages_mix(value):
+    return languages.mix(np.array([value], dtype=np.uint64))[0]
+
+
+def test_an_epoch_equals_plain_ftrl():
+    rng = random.Random(8)
+    vectors = [(i, {rng.randrange(30): rng.random() for _ in range(6)}) for i in range(40)]
+    langs = [rng.choice("abc") for _ in vectors]
+    shape = (languages.BUCKETS + 1, 3)
+    z, n = np.zeros(shape), np.zeros(shape)
+    plain = z.tolist(), n.tolist()
+    for epoch in range(2):
+        table = pa.table(
+            {
+                "id": [i for i, _ in vectors],
+                "lang": langs,
+                "buckets": [np.array(list(v), dtype=np.int32).tobytes() for _, v in vectors],
+                "values": [np.array(list(v.values()), dtype=np.float32).tobytes() for _, v in vectors],
+            }
+        )
+        out = languages._teach(["a", "b", "c"], z, n, epoch)(table)
+        z, n = (np.frombuffer(out.column(c)[0].as_py()).reshape(shape) for c in ("z", "n"))
+        single = [(i, {b: float(np.float32(x)) for b, x in v.items()}) for i, v in vectors]
+        plain = plain_ftrl(single, langs, ["a", "b", "c"], epoch, *plain)
+    assert np.allclose(z, plain[0], atol=1e-9) and np.allclose(n, plain[1], atol=1e-9)
+    assert np.abs(z).max() > 0.1
+
+
+def test_the_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 400)
+    logits = rng.normal(size=(400, 3)) * 4
+    logits[np.arange(400), labels] += 3
+
+    def loss(t):
+        chance = languages._softmax(logits / t)
+        own = np.log(chance[np.arange(400), labels])
+        return -(own * (1 - 1 / 402) + np.log(chance).sum(axis=1) / 402 / 3).mean()
+
+    found = languages._temperature(logits, labels)
+    assert loss(found) <= min(loss(t) for t in np.exp(np.linspace(-3, 3, 601))) + 1e-9
+
+
+def test_rare_languages_are_learned_from_large_tables(table, monkeypatch):
+    monkeypatch.setattr(languages, "FIT_ROWS", 60)
+    rng = random.Random(9)
+    words = {"xx": ["aba", "bab", "abba"], "yy": ["ogo", "gog", "oggo"], "zz": ["πσω", "ωπσ", "σσπ"]}
+    rows = [(i, " ".join(rng.choices(words[l], k=12)), l) for i, l in enumerate(["xx", "yy"] * 1500 + ["zz"] * 3)]
+    docs = table(rows, "id long, text string, lang string")
+    model = languages.train(docs, 60)
+    assert model.languages == ["xx", "yy", "zz"]
+    asked = table([(1, " ".join(words["zz"] * 4)), (2, " ".join(words["yy"] * 4))])
+    assert [r["lang_pred"] for r in languages.predict(asked, model).orderBy("rest.doc_id").collect()] == ["zz", "yy"]
+
+
+def test_texts_come_back_with_columns_of_any_name(table):
+    docs = table([(1, "abab", "xx", 2.0, "r"), (2, None, "yy", None, None)], "doc_id long, text string, lang string, score double, rest string")
+    model = languages.train(docs.select(F.col("doc_id").alias("id"), "text", "lang").dropna())
+    back = languages.predict(docs, model).select("rest.*").collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, docs.collect()))
+    items = table([(1, "one two three four five")], "item_id long, text string")
+    back = tiling.mark_leaks(docs, items).select("rest.*").collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, docs.collect()))
+    alone = docs.select("text")
+    assert languages.predict(alone, model).select("rest.text").count() == 2
