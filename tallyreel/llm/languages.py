@@ -20,8 +20,9 @@ from tallyreel.llm.hashing import few_rows, mix
 
 BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3)
-# About how many labelled rows the weights and the temperature are fitted on.
-FIT_ROWS = 6_000
+# About how many labelled rows the weights and the temperature are fitted on, and of each
+# language at least, as far as it has so many.
+FIT_ROWS, LEAST_ROWS = 6_000, 100
 SHARDS = 4
 EPOCHS = 3
 # One labelled row in so many calibrates instead of teaching.
@@ -168,9 +169,9 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Learn from columns id, text and lang (none null); None without rows.
 
-    Document frequencies are counted over all rows. Weights and temperature are fitted on about
-    ``fit_rows`` rows, chosen by the hash of their ids. Equal input gives an equal model,
-    however it is partitioned.
+    Document frequencies are counted over all rows, and every language that occurs is learned.
+    Weights and temperature are fitted on about ``fit_rows`` rows, with LEAST_ROWS of each language,
+    chosen by the hash of their ids. Equal input gives an equal model, however it is partitioned.
     """
     counted = labelled.select("text").mapInArrow(_document_counts, "bucket long, n long")
     frequency = {r["bucket"]: r["n"] for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
@@ -181,22 +182,25 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     known[list(frequency)] = list(frequency.values())
     idf = np.log((1.0 + total) / (1.0 + known)) + 1.0
 
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = 1 << 20
-    chosen = F.pmod(F.xxhash64("id"), F.lit(parts)) < int(parts * min(1.0, fit_rows / total)) + 1
+    wanted = {lang: max(LEAST_ROWS / n, fit_rows / total) for lang, n in sizes.items()}
+    limits = F.create_map(*[F.lit(x) for l, w in wanted.items() for x in (l, int(parts * min(1.0, w)) + 1)])
+    chosen = F.pmod(F.xxhash64("id"), F.lit(parts)) < limits[F.col("lang")]
     schema = "id long, lang string, buckets binary, values binary"
     with storage.scratch(labelled.sparkSession) as settle:
         vectors = labelled.filter(chosen).select("id", "text", "lang").mapInArrow(_sparse(idf), schema)
-        return _fitted(settle(vectors, "vectors"), idf)
+        return _fitted(settle(vectors, "vectors"), idf, sizes)
 
 
-def _fitted(sample: DataFrame, idf: np.ndarray) -> Model | None:
+def _fitted(sample: DataFrame, idf: np.ndarray, sizes: dict[str, int]) -> Model:
     """Weights and temperature from a sample's vectors."""
+    languages = sorted(sizes)
+    rare = F.col("lang").isin([lang for lang, n in sizes.items() if n < LEAST_ROWS])  # these all teach
     turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CALIBRATION * SHARDS))
-    taught = sample.filter(turn >= SHARDS).withColumn("shard", F.pmod(turn, F.lit(SHARDS)))
-    # As many as there are languages among the sample's rows.
-    languages = [r["lang"] for r in taught.select("lang").distinct().orderBy("lang").collect()]
-    if not languages:
-        return None
+    # The few rows of a rare language teach every shard, as averaging over shards without any would drown them.
+    every, one = F.array(*[F.lit(i).cast("long") for i in range(SHARDS)]), F.array(F.pmod(turn, F.lit(SHARDS)))
+    taught = sample.filter((turn >= SHARDS) | rare).withColumn("shard", F.explode(F.when(rare, every).otherwise(one)))
     z, n = (np.zeros((BUCKETS + 1, len(languages))) for _ in range(2))
     for epoch in range(EPOCHS):
         shards = taught.groupBy("shard").applyInArrow(_teach(languages, z, n, epoch), "z binary, n binary").collect()
@@ -204,7 +208,7 @@ def _fitted(sample: DataFrame, idf: np.ndarray) -> Model | None:
         n = np.mean(np.sort([np.frombuffer(r["n"]) for r in shards], axis=0), axis=0).reshape(n.shape)
     weights = _weights(z, n)
 
-    held = sample.filter((turn < SHARDS) & F.col("lang").isin(languages)).orderBy("id").collect()
+    held = sample.filter((turn < SHARDS) & ~rare).orderBy("id").collect()
     logits = np.zeros((len(held), len(languages)))
     for i, row in enumerate(held):
         at = np.frombuffer(row["buckets"], dtype=np.int32)
@@ -224,6 +228,7 @@ def _predict(model: Model):
                 part = batch.slice(at, len(counts))
                 best = chance.argmax(axis=1)
                 columns = {
+                    "text": part.column("text"),
                     "rest": part.column("rest"),
                     "lang_pred": pa.array([model.languages[b] for b in best.tolist()], pa.string()),
                     "score": pa.array(chance[np.arange(len(best)), best]),
@@ -239,21 +244,17 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     A text that is null or has no letter is ``und`` with score 0, as is every text if
     there is no model. Rows stay as they are, repeated ones included.
     """
-    text = F.col(f"`{text_column}`")
-    rows = docs.select(text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
-    schema = T.StructType(
-        [
-            rows.schema["rest"],
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    text = F.col(f"`{text_column}`").alias("text")
+    rows = docs.select(text, storage.others(docs, text_column).alias("rest"))  # each text goes to a task once
+    back = {c: F.col("text") if c == text_column else F.col(f"rest.`{c}`") for c in docs.columns}
+    whole = F.struct(*[value.alias(c) for c, value in back.items()]).alias("rest")
     if model is None:
-        return rows.select("rest", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    found = rows.mapInArrow(_predict(model), schema)
-    letters = F.coalesce(F.rlike(F.col("rest").getField(text_column), F.lit(r"\p{L}")), F.lit(False))
+        return rows.select(whole, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    answer = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    found = rows.mapInArrow(_predict(model), T.StructType([*rows.schema, *answer]))
+    letters = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
     return found.select(
-        "rest",
+        whole,
         F.when(letters, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(letters, F.col("score")).otherwise(0.0).alias("score"),
     )

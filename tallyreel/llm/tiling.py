@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyreel.llm import storage
 from tallyreel.llm.hashing import Words, slices, text_bytes
 
 TILE_WORDS = 5
@@ -160,21 +161,20 @@ def mark_leaks(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
     whole = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = math.ceil(whole / block_bytes)
-    schema = T.StructType(
-        [T.StructField("text", T.StringType()), T.StructField("rest", docs.schema), T.StructField("matches", MATCHES)]
-    )
     rows = docs.select(
         F.col(f"`{text_column}`").alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"),
+        storage.others(docs, text_column).alias("rest"),  # each text goes to a task once
         F.array().cast(MATCHES).alias("matches"),
     )
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         own = own.collect()
         if own:
             seeds = seeds_of([r["item_id"] for r in own], [r["text"] for r in own])
             rows = rows.mapInArrow(_mark(seeds, coverage), schema)
-    return rows.select("rest", "matches")
+    back = {c: F.col("text") if c == text_column else F.col(f"rest.`{c}`") for c in docs.columns}
+    return rows.select(F.struct(*[value.alias(c) for c, value in back.items()]).alias("rest"), "matches")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
