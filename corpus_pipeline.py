@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyreel.llm import languages, near, pieces, storage, suffixes, tiling
 
-# A document whose language is this uncertain, or that has no letter, goes.
-LEAST_SCORE = 0.3
+# A document goes if it has no letter, or if its language is hardly likelier than an even
+# guess among the learned ones: by less than this factor.
+LEAST_OVER_GUESS = 1.2
 # Share of common shingles, in percent, from which two documents are near copies.
 NEAR_PERCENT = 80
 
@@ -28,8 +29,10 @@ def _columns_of(rest: str, docs: DataFrame, **replaced: Column) -> list[Column]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the classifier recognises from their text."""
-    found = languages.predict(docs, languages.train_on(docs))
-    sure = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    model = languages.train_on(docs)
+    found = languages.predict(docs, model)
+    least = min(1.0, LEAST_OVER_GUESS / len(model.languages)) if model else 0.0
+    sure = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= least)
     return found.filter(sure).select(*_columns_of("rest", docs))
 
 
