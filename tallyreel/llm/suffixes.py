@@ -41,6 +41,8 @@ RUN = np.dtype([("k", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("left
 # halves that another run may share. 96 bits name the run among those of a chunk.
 SAID = np.dtype([("k", "<u8"), ("h", "<u4"), ("said", "u1")])
 OLD, LEFT, RIGHT = 1, 2, 4
+# Kinds of answers: of runs, of strings, and what a chunk said to itself; negative ones name a bucket.
+RUNS, STRINGS, OWN = 2, 3, 4
 OLD_STRING = np.dtype([("k", "<u8"), ("h", "<u4")])
 
 
@@ -54,6 +56,12 @@ class Runs(NamedTuple):
     text: np.ndarray  # number of the text
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in the order in which every round sees them."""
+    rows = table.column("row").to_numpy()
+    return table if (rows[1:] > rows[:-1]).all() else table.take(pa.array(np.argsort(rows)))
+
+
 def _slices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]]:
     data, offsets = text_bytes(table.column("text"))
     ids = table.column("id").fill_null(LAST_ID).to_numpy()
@@ -111,10 +119,11 @@ def _strings(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _refine(half(at), half(at + MATCH_BYTES - 2 * GRAM))
 
 
-def _run_names(grams: np.ndarray, runs: Runs, keep: np.ndarray) -> np.ndarray:
-    low, high = runs.low[keep], runs.high[keep]
-    shape = ((runs.at[keep] - low) * MATCH_BYTES + (high - low)).astype(np.uint64)
-    return _refine(_refine(_strings(grams, low), _strings(grams, high)), shape)
+def _run_names(grams: np.ndarray, sums: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits per run: the pointers of its first and last string, and another hash of its bytes."""
+    shape = ((runs.at - runs.low) * MATCH_BYTES + (runs.high - runs.low)).astype(np.uint64)
+    pointers = _refine(_refine(_strings(grams, runs.low), _strings(grams, runs.high)), shape)
+    return pointers, _refine(spans(sums, runs.low, runs.high + MATCH_BYTES, 1), shape)
 
 
 def _send_suffixes(buckets: int):
@@ -129,35 +138,41 @@ def _send_suffixes(buckets: int):
     return run
 
 
-def _sides(data: np.ndarray, offsets: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+def _sides(sums: np.ndarray, offsets: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     """Names of the 33 bytes up to the end of each sampled gram and from its start; 0 where cut short."""
-    sums = byte_sums(data, 0)
     begin, end = offsets[:-1][runs.text], offsets[1:][runs.text]
     low, high = runs.at - SIDE, runs.at + GRAM + SIDE
-    left = mix(spans(sums, np.maximum(low, 0), runs.at + GRAM, 0))
-    right = mix(spans(sums, runs.at, np.minimum(high, len(data)), 0))
+    left = mix(spans(sums, np.maximum(low, 0), runs.at + GRAM, 1))
+    right = mix(spans(sums, runs.at, np.minimum(high, len(sums) - 1), 1))
     return np.where(low >= begin, left, 0).astype(np.uint32), np.where(high <= end, right, 0).astype(np.uint32)
 
 
-def _runs_of(table: pa.Table, shared: np.ndarray | None, buckets: int) -> Iterator[tuple]:
-    """Slices of a chunk with their runs and records; only runs of shared buckets if these are known."""
+class Part(NamedTuple):
+    """A slice of a chunk, with its runs and those whose bucket is shared."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    rows: tuple[int, int]
+    runs: Runs
+    shared: np.ndarray
+
+
+def _parts(table: pa.Table, shared: np.ndarray, buckets: int, sides: bool) -> Iterator[tuple[Part, np.ndarray]]:
+    """Slices of a chunk with the records of their shared runs."""
     for data, offsets, ids, rows in _slices(table):
         grams = _grams(data, 0)
         runs = _runs(grams, offsets)
-        if shared is None:
-            keep = np.arange(len(runs.key))
-        else:
-            keep = np.flatnonzero(exchange.contains(shared, exchange.short(runs.key, buckets)))
+        keep = np.flatnonzero(exchange.contains(shared, exchange.short(runs.key, buckets)))
+        own = Runs(*(c[keep] for c in runs))
         records = np.empty(len(keep), dtype=RUN)
-        more = _grams(data, 1) if len(keep) else grams
-        records["k"] = runs.key[keep]
-        records["g"] = _run_names(grams, runs, keep)
-        records["h"] = _run_names(more, runs, keep)
-        records["doc"] = ids[runs.text[keep]]
-        runs = Runs(*(c[keep] for c in runs))
-        if shared is not None:
-            records["left"], records["right"] = _sides(data, offsets, runs)
-        yield data, offsets, rows, runs, records
+        if len(keep):
+            sums = byte_sums(data, 1)
+            records["g"], records["h"] = _run_names(grams, sums, own)
+            records["k"], records["doc"] = own.key, ids[own.text]
+            if sides:
+                records["left"], records["right"] = _sides(sums, offsets, own)
+        yield Part(data, offsets, ids, rows, runs, keep), records
 
 
 def _combine_runs(records: np.ndarray) -> np.ndarray:
@@ -169,8 +184,8 @@ def _send_runs(buckets: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return exchange.send(np.zeros(0, dtype=RUN), 0, buckets)
-        shared = exchange.short_answers(told)
-        found = [np.zeros(0, dtype=RUN), *(s[-1] for s in _runs_of(table, shared, buckets))]
+        parts = _parts(_in_order(table), exchange.short_answers(told), buckets, True)
+        found = [np.zeros(0, dtype=RUN), *(records for _, records in parts)]
         return exchange.send(_combine_runs(np.concatenate(found)), exchange.chunk_of(table), buckets)
 
     return run
@@ -200,12 +215,12 @@ def _sort_runs(table: pa.Table) -> pa.Table:
     # Only the smallest document's run is taken apart; the others are old as a whole.
     out["said"] = np.where(own["doc"][run] < records["doc"], OLD, said[run])
     keep = out["said"] > 0
-    return exchange.answer(out[keep], chunks[keep], 2)
+    return exchange.answer(out[keep], chunks[keep], RUNS)
 
 
 def _judge(told: pa.Table, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a chunk's runs, which an earlier document holds, and what is said of the others."""
-    answers = exchange.answers(told, 2, SAID)
+    answers = exchange.answers(told, RUNS, SAID)
     answers = answers[np.lexsort((answers["h"], answers["k"]))]
     place = exchange.lookup(answers, records["g"], records["h"] & np.uint64(0xFFFFFFFF))
     said = np.zeros(len(records), dtype=np.uint8)
@@ -226,33 +241,29 @@ def _spread_out(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[number] + np.arange(len(number)) - np.repeat(begin, sizes), number
 
 
-def _apart(parts: list[tuple], said: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Offsets and records of the strings of the halves that must be taken apart, by slice."""
-    out = []
-    for (data, _, _, runs, records), own in zip(parts, said, strict=True):
-        # A string of the left half begins 17 bytes or more before the sampled gram.
-        low = np.where(own & LEFT, runs.low, np.maximum(runs.low, runs.at - SIDE + 1))
-        high = np.where(own & RIGHT, runs.high, np.minimum(runs.high, runs.at - SIDE))
-        at, run = _spread_out(low, np.where(own & (LEFT | RIGHT), high, low - 1))
-        found = np.empty(len(at), dtype=exchange.FIRST)
-        if len(at):  # pointers are made anew; those of a whole chunk would fill the memory
-            found["k"], found["h"] = _strings(_grams(data, 0), at), _strings(_grams(data, 1), at)
-        found["doc"] = records["doc"][run]
-        out.append((at, found))
-    return out
-
-
-def _judged(table: pa.Table, told: pa.Table, buckets: int) -> tuple[list[tuple], list[np.ndarray], list[tuple]]:
-    parts = list(_runs_of(table, None, buckets))
-    if not parts:
-        return [], [], []
-    old, said = _judge(told, np.concatenate([p[-1] for p in parts]))
-    cuts = np.cumsum([len(p[-1]) for p in parts])[:-1]
-    return parts, np.split(old, cuts), _apart(parts, np.split(said, cuts))
+def _apart(part: Part, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and records of the strings of the halves of a slice's runs that must be taken apart."""
+    runs = part.runs
+    # A string of the left half begins 17 bytes or more before the sampled gram.
+    low = np.where(said & LEFT, runs.low, np.maximum(runs.low, runs.at - SIDE + 1))
+    high = np.where(said & RIGHT, runs.high, np.minimum(runs.high, runs.at - SIDE))
+    at, run = _spread_out(low, np.where(said & (LEFT | RIGHT), high, low - 1))
+    found = np.empty(len(at), dtype=exchange.FIRST)
+    if len(at):  # pointers are made anew; those of a whole chunk would fill the memory
+        found["k"] = _strings(_grams(part.data, 0), at)
+        found["h"] = mix(spans(byte_sums(part.data, 1), at, at + MATCH_BYTES, 1))
+        found["doc"] = part.ids[runs.text[run]]
+    return at, found
 
 
 def _old_strings(table: pa.Table) -> pa.Table:
-    """To each chunk the strings it sent that an earlier document outside the chunk holds."""
+    """To each chunk the strings it sent that an earlier document outside the chunk holds.
+
+    What a chunk has sent to itself goes back as it is.
+    """
+    if table.column("bucket")[0].as_py() < 0:
+        kinds = pa.array(np.full(table.num_rows, OWN, dtype=np.int32))
+        return pa.table({"chunk": table.column("chunk"), "kind": kinds, "payload": table.column("payload")})
     records, chunks = exchange.received(table, exchange.FIRST)
     order = np.lexsort((records["doc"], records["h"], records["k"]))
     records, chunks = records[order], chunks[order]
@@ -260,16 +271,31 @@ def _old_strings(table: pa.Table) -> pa.Table:
     keep = records["doc"][first][np.cumsum(first) - 1] < records["doc"]
     out = np.empty(int(keep.sum()), dtype=OLD_STRING)
     out["k"], out["h"] = records["k"][keep], records["h"][keep] & np.uint64(0xFFFFFFFF)
-    return exchange.answer(out, chunks[keep], 3)
+    return exchange.answer(out, chunks[keep], STRINGS)
 
 
 def _send_strings(buckets: int):
+    """Strings of halves to take apart; to the chunk itself, under a negative bucket, what is said of its runs."""
+
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows or not told.num_rows:
+        if not table.num_rows:
             return exchange.send(np.zeros(0, dtype=exchange.FIRST), 0, buckets)
-        _, _, strings = _judged(table, told, buckets)
-        records = exchange.combine_firsts(np.concatenate([f for _, f in strings]))
-        return exchange.send(records, exchange.chunk_of(table), buckets)
+        chunk = exchange.chunk_of(table)
+        kinds = told.column("kind").to_numpy()
+        shared = told.filter(pa.array(kinds < 0))
+        shared = shared.set_column(1, "bucket", pa.array(-1 - shared.column("kind").to_numpy()))
+        found = list(_parts(_in_order(table), exchange.short_answers(shared), buckets, False))
+        old, said = _judge(told, np.concatenate([r for _, r in found]))
+        said = np.split(np.where(old, OLD, said), np.cumsum([len(r) for _, r in found])[:-1])
+        every = []
+        for (part, _), own in zip(found, said, strict=True):
+            of_runs = np.zeros(len(part.runs.key), dtype=np.uint8)
+            of_runs[part.shared] = own
+            every.append(of_runs)
+        strings = [_apart(part, own)[1] for (part, _), own in zip(found, every, strict=True)]
+        sent = exchange.send(exchange.combine_firsts(np.concatenate(strings)), chunk, buckets)
+        own = {"bucket": [-1 - chunk], "chunk": [chunk], "payload": [np.concatenate(every).tobytes()]}
+        return pa.concat_tables([sent, pa.table(own, schema=sent.schema)])
 
     return run
 
@@ -280,16 +306,24 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return (np.bincount(character, weights=gone) > 0)[character]
 
 
-def _remove(table: pa.Table, told: pa.Table, buckets: int, characters: bool) -> pa.Table:
+def _remove(table: pa.Table, told: pa.Table, characters: bool) -> pa.Table:
+    table = _in_order(table) if table.num_rows else table
     n = table.num_rows
     n_bytes, n_removed, n_spans = (np.zeros(n, np.int64) for _ in range(3))
     kept: list[bytes] = []
-    parts, old, strings = _judged(table, told, buckets) if n else ([], [], [])
-    earlier = exchange.answers(told, 3, OLD_STRING)
+    said = exchange.answers(told, OWN, np.dtype(np.uint8))
+    parts, done = [], 0
+    for data, offsets, ids, rows in _slices(table) if n else ():
+        runs = _runs(_grams(data, 0), offsets)
+        parts.append((Part(data, offsets, ids, rows, runs, runs.at[:0]), said[done : done + len(runs.key)]))
+        done += len(runs.key)
+    strings = [_apart(part, own) for part, own in parts]
+    earlier = exchange.answers(told, STRINGS, OLD_STRING)
     earlier = earlier[np.lexsort((earlier["h"], earlier["k"]))]
     own = [f for _, f in strings]
     firsts = exchange.combine_firsts(np.concatenate([np.zeros(0, dtype=exchange.FIRST), *own]))
-    for (data, offsets, (a, b), runs, _), gone_runs, (at, found) in zip(parts, old, strings, strict=True):
+    for ((data, offsets, _, (a, b), runs, _), own_said), (at, found) in zip(parts, strings, strict=True):
+        gone_runs = own_said == OLD
         first = firsts["doc"][exchange.lookup(firsts, found["k"], found["h"])]
         outside = exchange.lookup(earlier, found["k"], found["h"] & np.uint64(0xFFFFFFFF)) >= 0
         begins = at[outside | (first < found["doc"])]
@@ -339,19 +373,21 @@ def remove_repeats(
         storage.others(docs, id_column, text_column).alias("rest"),
     )
     chunks = storage.chunk_count(rows, "text")
-    kept = storage.settle_in_chunks(rows.withColumn("chunk", storage.spread(chunks)), chunks, "suffixes")
-    texts = kept.select("chunk", "id", "text")
+    placed = rows.withColumns({"chunk": storage.spread(chunks), "row": F.monotonically_increasing_id()})
+    kept = storage.settle_in_chunks(placed, chunks, "suffixes")
+    texts = kept.select("chunk", "row", "id", "text")
 
     def round_of(told: DataFrame, send) -> DataFrame:
         return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, exchange.SENT)
 
     sent = texts.groupBy("chunk").applyInArrow(_send_suffixes(chunks), exchange.SENT)
     shared = sent.groupBy("bucket").applyInArrow(exchange.shared_short, exchange.SHORT_ANSWER)
-    with storage.scratch(docs.sparkSession) as settle:
-        sent = round_of(settle(shared, "suffix-buckets"), _send_runs(chunks))
-        said = storage.settle(sent.groupBy("bucket").applyInArrow(_sort_runs, exchange.ANSWER), "suffix-runs")
-    sent = round_of(said, _send_strings(chunks))
-    told = said.unionByName(sent.groupBy("bucket").applyInArrow(_old_strings, exchange.ANSWER))
+    shared = storage.settle(shared, "suffix-buckets")
+    sent = round_of(shared, _send_runs(chunks))
+    said = sent.groupBy("bucket").applyInArrow(_sort_runs, exchange.ANSWER)
+    of_buckets = shared.select("chunk", (-1 - F.col("bucket")).alias("kind"), "payload")
+    sent = round_of(said.unionByName(of_buckets), _send_strings(chunks))
+    told = sent.groupBy("bucket").applyInArrow(_old_strings, exchange.ANSWER)
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()),
@@ -362,7 +398,7 @@ def remove_repeats(
     )
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
-        return _remove(table, told, chunks, characters)
+        return _remove(table, told, characters)
 
     return kept.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
 
