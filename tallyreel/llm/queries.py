@@ -156,21 +156,45 @@ SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.other) AS edited_sha256, e.roo
 FROM near e JOIN near n ON e.doc_id = n.doc_id AND e.kind = 1 AND n.kind = 2
 """,
     "op5_chat_format": """
-WITH turns AS (
+WITH RECURSIVE named AS (
     SELECT conv_id, turn, role, text, split_part(text, chr(10), 1) AS line,
-           conv_id || '-' || turn AS own, conv_id || '-' || (turn - 1) AS before,
-           conv_id || '-' || (turn - 2) AS earlier,
-           conv_id % 3 AS tool, conv_id % 7 = 0 AS wrong, conv_id % 11 = 0 AS more
+           conv_id % 3 AS tool, conv_id % 7 = 0 AS wrong, conv_id % 11 = 0 AS more,
+           conv_id || '-' || CASE WHEN conv_id % 5 = 3 AND (turn // 2) % 2 = 1 THEN turn - 2 ELSE turn END AS own,
+           conv_id || '-' || CASE WHEN conv_id % 5 = 3 AND ((turn - 1) // 2) % 2 = 1 THEN turn - 3
+                                  ELSE turn - 1 END AS before,
+           CASE conv_id % 5 WHEN 0 THEN turn - 2 WHEN 1 THEN turn + 2
+                            WHEN 2 THEN CASE WHEN (turn // 2) % 2 = 1 THEN turn - 2 ELSE turn + 2 END
+                            WHEN 3 THEN turn + 4
+                            ELSE CASE WHEN (turn // 2) % 2 = 1 THEN turn ELSE turn + 2 END END AS referred
     FROM conversations
-), calls AS (
-    SELECT t.*, EXISTS (SELECT 1 FROM conversations r
-                        WHERE r.conv_id = t.conv_id AND r.turn = t.turn + 1 AND r.role = 'user') AS answered
-    FROM turns t WHERE t.role = 'assistant'
+), turns AS (
+    SELECT *, role = 'assistant' AS is_call, role = 'user' AND turn > 0 AS is_result,
+           CASE WHEN referred >= 0 THEN conv_id || '-' || referred END AS after,
+           CASE WHEN role = 'assistant' THEN own WHEN role = 'user' AND turn > 0 THEN before END AS call_id
+    FROM named
+), firsts AS (
+    SELECT call_id, min(turn) AS turn, arg_min(after, turn) AS after FROM turns WHERE is_call GROUP BY 1
+), results AS (
+    SELECT call_id, max(turn) AS turn FROM turns WHERE is_result GROUP BY 1
+), edges AS (
+    SELECT c.call_id, c.turn, r.call_id AS needed, r.turn AS result_turn
+    FROM firsts c JOIN firsts d ON d.call_id = c.after JOIN results r ON r.call_id = c.after
+), placed AS (
+    SELECT call_id, turn AS at, 0 AS depth FROM firsts WHERE call_id NOT IN (SELECT call_id FROM edges)
+    UNION ALL
+    SELECT e.call_id, greatest(p.at, e.result_turn, e.turn),
+           CASE WHEN greatest(p.at, e.result_turn) < e.turn THEN 0
+                WHEN p.at >= e.result_turn THEN p.depth + 2 ELSE 1 END
+    FROM placed p JOIN edges e ON e.needed = p.call_id
+), known AS (
+    SELECT f.call_id, f.turn, coalesce(p.at, f.turn) AS at, coalesce(p.depth, 0) AS depth,
+           p.call_id IS NULL AS cyclic, r.call_id IS NOT NULL AS answered
+    FROM firsts f LEFT JOIN placed p ON p.call_id = f.call_id LEFT JOIN results r ON r.call_id = f.call_id
 ), made AS (
-    SELECT conv_id, turn, answered,
+    SELECT conv_id, turn,
            '{' || concat_ws(',',
                CASE WHEN tool = 0 AND wrong THEN '"Limit":"ten"' END,
-               CASE WHEN turn >= 2 THEN '"after":{"$ref":"' || earlier || '"}' END,
+               CASE WHEN after IS NOT NULL THEN '"after":{"$ref":"' || after || '"}' END,
                CASE WHEN more THEN '"extra":true' END,
                CASE WHEN tool = 0 AND NOT wrong THEN '"limit":' || turn END,
                CASE WHEN tool = 1 THEN '"mode":"' || CASE WHEN wrong THEN 'pdf' ELSE 'text' END || '"' END,
@@ -181,27 +205,28 @@ WITH turns AS (
            concat_ws('; ',
                CASE WHEN wrong THEN ['Limit: unknown', 'mode: not a listed value', 'scale: missing'][tool + 1] END,
                CASE WHEN more THEN 'extra: unknown' END) AS faults
-    FROM calls
+    FROM turns WHERE is_call
 )
-SELECT t.conv_id, t.turn, CASE WHEN t.role = 'user' AND t.turn > 0 THEN 'tool' ELSE t.role END AS role,
-       CASE WHEN t.role = 'assistant' THEN t.own WHEN t.role = 'user' AND t.turn > 0 THEN t.before END AS call_id,
-       t.role = 'assistant' AS is_call, t.turn AS at,
-       CAST(0 AS BIGINT) AS depth,
-       CASE WHEN t.role = 'assistant' THEN CASE WHEN c.answered THEN 'answered' ELSE 'unanswered' END
-            WHEN t.role = 'user' AND t.turn > 0 THEN CASE WHEN r.turn IS NULL THEN 'orphan' ELSE 'linked' END
-            ELSE 'plain' END AS status,
-       '{"content":' || to_json(t.text) || ',"role":"'
-           || CASE WHEN t.role = 'user' AND t.turn > 0 THEN 'tool' ELSE t.role END || '"'
-           || CASE WHEN t.role = 'assistant'
+SELECT t.conv_id, t.turn, CASE WHEN t.is_result THEN 'tool' ELSE t.role END AS role, t.call_id, t.is_call,
+       CASE WHEN t.is_call AND k.turn = t.turn THEN k.at
+            WHEN t.is_result AND k.turn IS NOT NULL THEN greatest(t.turn, k.at) ELSE t.turn END AS at,
+       CAST(CASE WHEN t.is_call AND k.turn = t.turn THEN k.depth
+                 WHEN t.is_result AND k.at >= t.turn THEN k.depth + 1 ELSE 0 END AS BIGINT) AS depth,
+       CASE WHEN t.call_id IS NULL THEN 'plain'
+            WHEN t.is_result THEN CASE WHEN k.turn IS NULL THEN 'orphan' ELSE 'linked' END
+            WHEN k.turn < t.turn THEN 'repeated'
+            WHEN k.cyclic THEN 'cycle'
+            WHEN k.answered THEN 'answered' ELSE 'unanswered' END AS status,
+       '{"content":' || to_json(t.text) || ',"role":"' || CASE WHEN t.is_result THEN 'tool' ELSE t.role END || '"'
+           || CASE WHEN t.is_call
                    THEN ',"tool_calls":[{"arguments":' || m.arguments || ',"id":"' || t.own || '","name":"'
                         || ['search', 'open', 'measure'][t.tool + 1] || '"}]'
-                   WHEN t.role = 'user' AND t.turn > 0 THEN ',"tool_call_id":"' || t.before || '"'
+                   WHEN t.is_result THEN ',"tool_call_id":"' || t.before || '"'
                    ELSE '' END || '}' AS message,
        coalesce(m.faults, '') AS faults
 FROM turns t
-LEFT JOIN calls c ON t.role = 'assistant' AND c.conv_id = t.conv_id AND c.turn = t.turn
-LEFT JOIN made m ON t.role = 'assistant' AND m.conv_id = t.conv_id AND m.turn = t.turn
-LEFT JOIN calls r ON t.role = 'user' AND t.turn > 0 AND r.conv_id = t.conv_id AND r.turn = t.turn - 1
+LEFT JOIN known k ON k.call_id = t.call_id
+LEFT JOIN made m ON t.is_call AND m.conv_id = t.conv_id AND m.turn = t.turn
 """,
     "op11_periodic_runs": """
 WITH texts AS (

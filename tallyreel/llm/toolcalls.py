@@ -2,8 +2,8 @@
 
 Messages are rows. Calls and results are joined by conversation and call id. A result comes
 after its call, and a call after the results of the calls its arguments refer to
-(``{"$ref": "<call id>"}``); calls that come too early are lifted in rounds over the whole table. Each message is
-then checked and written as canonical JSON on its own, so a conversation of any length
+(``{"$ref": "<call id>"}``); calls that come too early are lifted, whole chains of them in a logarithmic number of
+rounds over the table. Each message is then checked and written as canonical JSON on its own, so a conversation of any length
 is never gathered in one task.
 """
 
@@ -156,51 +156,108 @@ def _serialise(tools: Mapping[str, Mapping[str, Mapping[str, Any]]]):
     return run
 
 
-def _ordered(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Place (at, depth) of the calls that their turn doesn't place, and those on or behind a cycle.
+def _place(at, depth):
+    return F.struct(at.alias("at"), depth.cast("long").alias("depth"))
 
-    Where every call comes after the results it refers to, turns are the order. A call that
-    doesn't is lifted behind them; then the calls that refer to it are looked at again, and so on
-    until none moves: as many rounds as lifted calls hang on one another. In a chain of n
-    lifted calls the depth is 2n at most; what goes beyond that is on a cycle or behind
-    one. A reference to a call that is not there or has no result binds nothing.
+
+def _referring(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls of the conversations in which some call comes too early, if they refer to others.
+
+    ``base`` is the place that a call has if all calls it refers to keep their turn, ``open`` the calls
+    still to be followed, each with the depth that the way there adds: two a reference, one for the
+    call and one for its result. ``most`` is the depth that no way without a repeated call exceeds.
     """
     key = ["conv_id", "call_id"]
-    last = storage.settle(results.groupBy(*key).agg(F.max("turn").alias("result_turn")), "results")
-    needed = calls.select("conv_id", F.col("call_id").alias("needed"), F.col("turn").alias("needed_turn"))
+    last = results.groupBy(*key).agg(F.max("turn").alias("result_turn"))
+    needed = (
+        calls.select(*key, F.col("turn").alias("needed_turn"))
+        .join(last, key)
+        .withColumnRenamed("call_id", "needed")
+    )
     edges = calls.select(*key, "turn", F.explode("refers").alias("needed")).join(needed, ["conv_id", "needed"])
-    edges = storage.settle(
-        edges.join(last.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]), "references"
+    behind = F.greatest(
+        _place(F.col("result_turn"), F.lit(1)), _place(F.col("needed_turn"), F.lit(2)), _place(F.col("turn"), F.lit(0))
     )
-    lifted = edges.select(*key, F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth")).limit(0)
-    moving = None
-    while True:
-        before = lifted.select(
-            "conv_id", F.col("call_id").alias("needed"), F.col("at").alias("n_at"), F.col("depth").alias("n_depth")
-        )
-        looked = edges if moving is None else edges.join(
-            moving.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi"
+    return edges.groupBy(*key, "turn").agg(
+        F.max(behind).alias("base"),
+        F.collect_list(F.struct("needed", F.lit(2).cast("long").alias("adds"))).alias("open"),
+    )
+
+
+def _jump(states: DataFrame) -> DataFrame:
+    """One round: a reference to a call that has one way on goes that way, to a placed call it ends.
+
+    A reference to a call with several ways waits until at most one is left. Ways double in length
+    each round. A way longer than the conversation has calls passes one of them twice.
+    """
+    key = ["conv_id", "call_id"]
+    ways = states.select(*key, F.explode("open").alias("way")).select(*key, "way.*")
+    ahead = states.select(
+        "conv_id",
+        F.col("call_id").alias("needed"),
+        F.col("base").alias("next_base"),
+        F.col("open").alias("next_open"),
+        F.col("cyclic").alias("next_cyclic"),
+    )
+    met = ways.join(ahead, ["conv_id", "needed"], "left")
+    n_ways = F.coalesce(F.size("next_open"), F.lit(0))
+    only = F.col("next_open")[0]
+    on = F.when(n_ways == 1, F.struct(only["needed"].alias("needed"), (F.col("adds") + only["adds"]).alias("adds")))
+    on = on.when(n_ways > 1, F.struct("needed", "adds"))
+    behind = F.when(
+        F.col("next_base").isNotNull(), _place(F.col("next_base.at"), F.col("next_base.depth") + F.col("adds"))
+    )
+    steps = met.groupBy(*key).agg(
+        F.max(behind).alias("behind"),
+        F.array_distinct(F.collect_list(on)).alias("ways"),
+        F.coalesce(F.bool_or("next_cyclic"), F.lit(False)).alias("led"),
+        F.bool_or((n_ways <= 1) | F.coalesce("next_cyclic", F.lit(False))).alias("moved"),
+    )
+    stepped = states.drop("moved").join(steps, key, "left")
+    ways = F.coalesce("ways", F.expr("filter(open, w -> false)"))
+    cyclic = F.col("cyclic") | F.coalesce("led", F.lit(False)) | F.exists(ways, lambda w: w["adds"] > F.col("most"))
+    return stepped.select(
+        *key,
+        "most",
+        F.greatest("base", "behind").alias("base"),
+        F.when(cyclic, F.expr("filter(open, w -> false)")).otherwise(ways).alias("open"),
+        cyclic.alias("cyclic"),
+        F.coalesce("moved", F.lit(False)).alias("moved"),
+    )
+
+
+def _ordered(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Place (base: at, depth) of the calls that their turn may not place, and whether a cycle holds them (cyclic).
+
+    A call's place is the greatest of its own turn and, for each call it refers to, the place right behind
+    that one's result; a result is lifted behind its call. So a place is the maximum, over all ways along references,
+    of the last call's base place plus the depth of the way, and ways can be joined end to end: a chain
+    of n calls takes some log2(n) rounds. Calls with several references that hang on one another take a
+    round each. A conversation where turns already are the order takes no part. A reference to a
+    call that is not there or has no result binds nothing.
+    """
+    key = ["conv_id", "call_id"]
+    spark = calls.sparkSession
+    with storage.scratch(spark) as settle:
+        bound = settle(_referring(calls, results), "referring")
+        early = F.col("base") > _place(F.col("turn"), F.lit(0))
+        conversations = bound.groupBy("conv_id").agg(
+            (F.count(F.lit(1)) * 2).alias("most"), F.bool_or(early).alias("early")
         )
-        state = looked.join(before, ["conv_id", "needed"], "left").join(lifted, key, "left")
-        call_at = F.coalesce("n_at", "needed_turn")
-        follows = F.when(call_at >= F.col("result_turn"), F.coalesce("n_depth", F.lit(0)) + 1).otherwise(0)
-        behind = F.struct(
-            F.greatest(call_at, "result_turn").alias("at"), (follows + 1).cast("long").alias("depth")
+        states = settle(
+            bound.join(conversations.filter("early").drop("early"), "conv_id").select(
+                *key, "most", "base", "open", F.lit(False).alias("cyclic"), F.lit(True).alias("moved")
+            ),
+            "states",
         )
-        own = F.struct(F.coalesce("at", "turn").alias("at"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
-        # At an equal turn and depth a call already follows; only an earlier place must move.
-        moved = state.filter(behind > own).groupBy(*key).agg(F.max(behind).alias("p")).select(*key, "p.*")
-        moved = storage.settle(moved, "moved")
-        if moved.isEmpty():
-            break
-        lifted = storage.settle(lifted.join(moved, key, "left_anti").unionByName(moved), "lifted")
-        sizes = storage.settle(lifted.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "lifted-sizes")
-        moving = moved.join(sizes, "conv_id").filter(F.col("depth") <= 4 * F.col("n") + 4)
-    if moving is None:
-        return lifted, lifted.select(*key)
-    beyond = lifted.join(sizes, "conv_id").filter(F.col("depth") > 2 * F.col("n") + 1).select(*key)
-    cyclic = storage.settle(beyond, "cyclic")
-    return lifted.join(cyclic, key, "left_anti"), cyclic
+        while True:
+            left = F.size("open") > 0
+            counts = states.agg(F.count_if(left).alias("open"), F.count_if(left & F.col("moved")).alias("moving")).first()
+            if not counts["moving"]:
+                break
+            states = settle(_jump(states), "states")
+        # Where nothing moves any more, every way left leads to a cycle of calls with several references.
+        return storage.settle(states.select(*key, "base", (F.col("cyclic") | left).alias("cyclic")), "placed")
 
 
 def format_messages(
@@ -213,9 +270,11 @@ def format_messages(
     is_call, at, depth, status, message, faults``. Sorted by (at, depth, turn, call_id), every
     result follows its call and every call the results it refers to, as near to the turns as can be.
     status: ``plain``, ``answered``, ``unanswered``, ``repeated`` (a later call with the id of an earlier
-    one), ``cycle``, ``linked`` or ``orphan`` (a result without call). Calls on a cycle keep their turn.
+    one), ``cycle`` (its references lead to a cycle), ``linked`` or ``orphan`` (a result without call). Calls
+    on a cycle or behind one keep their turn.
     Among calls of one id the smallest turn is the call that results are linked to, of equal
-    turns the one with the smallest arguments. Null ids are no ids; null conversations are not linked.
+    turns the one with the smallest arguments. Null ids are no ids; null conversations are not linked; null
+    turns come first. A text of any length is one row's work, and an empty table gives an empty one.
     Every input row gives one row; other columns are left out.
     """
     rows = messages.select(*[F.col(f"`{c}`") for c in MESSAGE_COLUMNS]).withColumn(
@@ -237,12 +296,13 @@ def format_messages(
         ),
         "referring",
     )
-    placed, cyclic = _ordered(calls, results)
+    placed = _ordered(calls, results).select(
+        *key, F.when(~F.col("cyclic"), F.col("base")).alias("place"), "cyclic"
+    )
     answered = results.select(*key).distinct()
     known = storage.settle(
         firsts.select(*key, F.col("mark").alias("call_mark"), F.col("turn").alias("call_turn"))
-        .join(placed, key, "left")
-        .join(cyclic.withColumn("cyclic", F.lit(True)), key, "left")
+        .join(placed.select(*key, "place.*", "cyclic"), key, "left")
         .join(answered.withColumn("answered", F.lit(True)), key, "left"),
         "known-calls",
     )
@@ -251,13 +311,13 @@ def format_messages(
     own = F.col("is_call") & (F.col("call_mark") == F.col("mark"))
     status = (
         F.when(F.col("call_id").isNull(), "plain")
-        .when(~F.col("is_call"), F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked"))
+        .when(~F.col("is_call"), F.when(F.col("call_mark").isNull(), "orphan").otherwise("linked"))
         .when(F.coalesce(~own, F.lit(False)), "repeated")
         .when(F.col("cyclic"), "cycle")
         .when(F.col("answered"), "answered")
         .otherwise("unanswered")
     )
-    is_result = F.col("call_id").isNotNull() & ~F.col("is_call") & F.col("call_turn").isNotNull()
+    is_result = F.col("call_id").isNotNull() & ~F.col("is_call") & F.col("call_mark").isNotNull()
     at = F.when(own, call_at).when(is_result, F.greatest("turn", call_at)).otherwise(F.col("turn"))
     depth = F.coalesce(F.col("depth"), F.lit(0))
     after = F.when(call_at >= F.col("turn"), depth + 1).otherwise(F.lit(0))
@@ -278,8 +338,11 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     """Conversations bound to messages with tool calls.
 
     Every assistant turn becomes a call, named by conversation and turn; the next turn, if it is
-    a user's, is its result. A call refers to the one two turns earlier. Some arguments
-    are wrong on purpose: every seventh conversation has a number as text, every eleventh a
+    a user's, is its result. What a call refers to goes by the conversation's number modulo 5:
+    0 the call two turns earlier; 1 the one two turns later, a chain that ends at a missing call; 2 in turns
+    the one before and after, a cycle; 3 the one four turns later, and every other call repeats the id of the one two
+    turns before; 4 in turns itself and the one after, which so is behind a cycle. Some arguments are
+    wrong on purpose: every seventh conversation has a number as text, every eleventh a
     key too many.
     """
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -287,11 +350,27 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     def name(of):
         return F.concat(conv.cast("string"), F.lit("-"), of.cast("string"))
 
+    kind = F.pmod(conv, F.lit(5))
+
+    def second(of):
+        return F.pmod(F.floor(of / 2), F.lit(2)) == 1
+
+    def own_name(of):
+        return F.when((kind == 3) & second(of), name(of - 2)).otherwise(name(of))
+
+    referred = (
+        F.when(kind == 0, turn - 2)
+        .when(kind == 1, turn + 2)
+        .when(kind == 2, F.when(second(turn), turn - 2).otherwise(turn + 2))
+        .when(kind == 3, turn + 4)
+        .otherwise(F.when(second(turn), turn).otherwise(turn + 2))
+    )
+
     calls = F.col("role") == "assistant"
     results = (F.col("role") == "user") & (turn > 0)
     tool = F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (F.pmod(conv, F.lit(3)) + 1).cast("int"))
     wrong = F.pmod(conv, F.lit(7)) == 0
-    after = F.when(turn >= 2, F.struct(name(turn - 2).alias(REFERENCE)))
+    after = F.when(referred >= 0, F.struct(name(referred).alias(REFERENCE)))
     extra = F.when(F.pmod(conv, F.lit(11)) == 0, F.lit(True)).alias("extra")
     first_line = F.substring_index("text", "\n", 1)
     arguments = (
@@ -318,7 +397,7 @@ def messages_of(conversations: DataFrame) -> DataFrame:
         "turn",
         F.when(results, "tool").otherwise(F.col("role")).alias("role"),
         "text",
-        F.when(calls, name(turn)).when(results, name(turn - 1)).alias("call_id"),
+        F.when(calls, own_name(turn)).when(results, own_name(turn - 1)).alias("call_id"),
         F.when(calls, tool).alias("tool"),
         F.when(calls, arguments).alias("arguments"),
     )
