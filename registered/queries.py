@@ -1066,6 +1066,15 @@ _report("context_next_videos", _context_next)
 _report("context_title_thumbnail", _context_title_thumbnail)
 
 
+def _context_fingerprints(spark, folder, by):
+    """What every kind of reply would be stored under; the candidate titles are those of the forecast."""
+    candidates = binding.candidates(spark, folder).select(*by, "title")
+    return context.fingerprints(*_star(spark, folder), candidates, "provider", "model", "travel", by)
+
+
+_report("context_fingerprints", _context_fingerprints)
+
+
 @query("normalise_responses")
 def normalise_responses(spark, folder):
     rows = replies.normalise(binding.responses(spark, folder))

@@ -4,7 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyreel.functions import canonical
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import attach, beside
 from tallyreel.operators.ranking import top_videos
@@ -191,6 +193,92 @@ def fingerprint(context: DataFrame, kind: str, provider: str, model: str, by: Se
     return context.select(*by, F.md5(text.cast("binary")).alias("cache_key"))
 
 
+def fingerprints(
+    videos: DataFrame,
+    daily: DataFrame,
+    traffic: DataFrame,
+    candidates: DataFrame,
+    provider: str,
+    model: str,
+    topic: str = "",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``by, kind, subject, cache_key`` of every reply that the statistics call for.
+
+    The key is the md5 of the statistics as JSON with sorted keys, the kind (with the topic for title ideas), the
+    provider and the model, so a key changes when its statistics do, whatever the order of columns or rows.
+    subject is the weak video's id or the candidate title, else null. The facts are read once; a report that a
+    group lacks is an empty object. Candidates have ``by`` and title; a repeated title gives one row.
+    """
+    patterns = reports.all_patterns(videos, daily, traffic, by)
+    kinds = {f.name: f.dataType for f in patterns.schema.fields if f.name not in by}
+    strings = T.ArrayType(T.StringType())
+    best = F.coalesce("top_titles", F.array().cast(strings))
+    texts = beside(patterns, [_best_titles(videos, daily, NEXT_TITLES, by)], by).select(
+        *by,
+        *[
+            F.when(F.col(n).isNull(), "{}").otherwise(canonical.json(F.col(n), t)).alias(n) for n, t in kinds.items()
+        ],
+        *[
+            canonical.json(F.slice(best, 1, n), strings).alias(f"top_{n}")
+            for n in (COMPARED_TITLES, NEXT_TITLES)
+        ],
+        F.transform(
+            "weak_engagement.weak_videos",
+            lambda v: F.struct(
+                v["video_id"].alias("subject"),
+                canonical.json_object(
+                    {
+                        "title": canonical.json(v["title"], T.StringType()),
+                        "retention": canonical.json(v["avg_retention"], T.DoubleType()),
+                        "views": canonical.json(v["total_views"], T.LongType()),
+                    }
+                ).alias("statistics"),
+            ),
+        ).alias("weak_rows"),
+    )
+
+    def made(**members):
+        return canonical.json_object({n: F.col(c) for n, c in members.items()})
+
+    def named(*names):
+        return {n: n for n in names}
+
+    whole = {
+        "upload_strategy": F.col("upload_times"),
+        f"title_ideas_{topic}": F.col("title_patterns"),
+        "thumbnail": made(**named("traffic", "title_patterns", "video_length")),
+        "channel_audit": made(**named(*kinds)),
+        "next_video_ideas": made(titles=f"top_{NEXT_TITLES}", **named("title_patterns", "video_length")),
+    }
+    per_group = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("subject"), t.alias("statistics"))
+            for k, t in whole.items()
+        ]
+    )
+    per_video = F.transform(
+        F.coalesce("weak_rows", F.array().cast(texts.schema["weak_rows"].dataType)),
+        lambda r: F.struct(F.lit("weak_video").alias("kind"), r["subject"], r["statistics"]),
+    )
+    rows = texts.select(*by, F.explode(F.concat(per_group, per_video)).alias("r")).select(*by, "r.*")
+    facts = texts.select(*by, "traffic", "title_patterns", f"top_{COMPARED_TITLES}")
+    planned = attach(candidates.select(*by, "title").distinct(), facts, by, ["title"])
+    compared = canonical.json_object(
+        {
+            "title": canonical.json(F.col("title"), T.StringType()),
+            "top_titles": F.coalesce(f"top_{COMPARED_TITLES}", F.lit("[]")),
+            "traffic": F.coalesce("traffic", F.lit("{}")),
+            "title_patterns": F.coalesce("title_patterns", F.lit("{}")),
+        }
+    )
+    planned = planned.select(
+        *by, F.lit("thumbnail_from_title").alias("kind"), F.col("title").alias("subject"), compared.alias("statistics")
+    )
+    key = F.md5(F.concat("statistics", "kind", F.lit(provider), F.lit(model)).cast("binary"))
+    return rows.unionByName(planned).select(*by, "kind", "subject", key.alias("cache_key"))
+
+
 def unanswered(fingerprints: DataFrame, stored: DataFrame) -> DataFrame:
     """Fingerprints with no stored reply: groups whose statistics changed."""
     return fingerprints.join(stored.select("cache_key"), "cache_key", "left_anti")

@@ -230,6 +230,55 @@ def test_fingerprint_follows_the_statistics_only(spark):
     assert context.unanswered(context.fingerprint(changed, "upload", "p", "m"), stored).count() == 1
 
 
+def test_every_kind_of_reply_has_the_key_that_plain_python_gives_it(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    shown = {f"v{i}": {"id": f"v{i}", "channel": f"c{i % 2}", "title": f'"é" {i}\t!'} for i in range(14)}
+    v = fx.videos(spark, *shown.values(), {"id": "w", "channel": "quiet"})
+    d = fx.daily(spark, *[(n, 2, 150 + 7 * i, 30.0 + i / 3) for i, n in enumerate(shown)], ("w", 2, 5, 40.0))
+    t = spark.createDataFrame([("v0", "SEARCH", 30), ("v1", "HOME", 70), ("v2", "HOME", 7)],
+                              "video_id string, traffic_source_type string, views long")
+    planned = [("c0", "plan"), ("c0", "plan"), ("c1", None), ("nowhere", "ü")]
+    candidates = spark.createDataFrame(planned, "channel_id string, title string")
+    by = ["channel_id"]
+
+    def key(statistics, kind):
+        text = json.dumps(statistics, sort_keys=True, ensure_ascii=False) + kind + "p" + "m"
+        return hashlib.md5(text.encode()).hexdigest()
+
+    wanted, patterns, best = [], {}, {}
+    for row in reports.all_patterns(v, d, t, by).collect():
+        whole = row.asDict(recursive=True)
+        g = whole.pop("channel_id")
+        views = d.join(v, "video_id").filter(F.col("channel_id") == g).orderBy(F.desc("views"), "video_id")
+        best[g] = [r["title"] for r in views.collect()]
+        p = patterns[g] = {n: x or {} for n, x in whole.items()}
+        some = {n: p[n] for n in ("title_patterns", "video_length")}
+        wanted += [
+            (g, "upload_strategy", None, key(p["upload_times"], "upload_strategy")),
+            (g, "title_ideas_food", None, key(p["title_patterns"], "title_ideas_food")),
+            (g, "thumbnail", None, key({**some, "traffic": p["traffic"]}, "thumbnail")),
+            (g, "channel_audit", None, key(p, "channel_audit")),
+            (g, "next_video_ideas", None, key({**some, "titles": best[g][:15]}, "next_video_ideas")),
+        ]
+        for w in p["weak_engagement"].get("weak_videos") or []:
+            facts = {"title": w["title"], "retention": w["avg_retention"], "views": w["total_views"]}
+            wanted.append((g, "weak_video", w["video_id"], key(facts, "weak_video")))
+    for g, title in sorted(set(planned), key=str):
+        p = patterns.get(g, {})
+        facts = {"title": title, "top_titles": best.get(g, [])[:10]}
+        facts |= {n: p.get(n, {}) for n in ("traffic", "title_patterns")}
+        wanted.append((g, "thumbnail_from_title", title, key(facts, "thumbnail_from_title")))
+    found = context.fingerprints(v, d, t, candidates, "p", "m", "food", by).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
+    assert sum(kind == "weak_video" for _, kind, *_ in wanted) > 3
+    nothing = context.fingerprints(v.limit(0), d.limit(0), t.limit(0), candidates.limit(0), "p", "m", "", by)
+    assert nothing.count() == 0
+
+
 def test_topic_is_optional(spark):
     v, d = fx.videos(spark, {"id": "a"}), fx.daily(spark, ("a", 2, 50))
     assert context.title_context(v, d).first()["topic"] is None
