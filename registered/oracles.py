@@ -419,6 +419,10 @@ Q["audit_orphans"] = with_star(
     """SELECT video_id, traffic_source_type, views FROM traffic_sources
        WHERE video_id NOT IN (SELECT 'v' || doc_id FROM labels)"""
 )
+Q["audit_daily_orphans"] = with_star(
+    """SELECT video_id, date, views FROM daily_metrics
+       WHERE video_id NOT IN (SELECT 'v' || doc_id FROM labels)"""
+)
 Q["fetch_plan"] = with_star(
     """SELECT video_id, CAST(published_at AS DATE) AS start_date, DATE '2024-01-28' AS end_date
        FROM videos WHERE CAST(published_at AS DATE) <= DATE '2024-01-28'"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import audits, engagement, ranking, totals, upserts
-from tallyreel.plans import charts, context, forecast, replies, reports
+from tallyreel.plans import charts, context, forecast, replies, reports, slots
 from tallyreel.plans.kept import Changes, KeptReports
 from tallyreel.schemas import DAILY_METRICS, DAY_NAMES, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
 from tallyreel.sources import binding, landing
@@ -262,6 +262,16 @@ def audit_not_null(spark, folder):
     return audits.null_counts(rows, ["video_id", "channel_id", "title", "published_at", "category_id"])
 
 
+@query("audit_daily_orphans")
+def audit_daily_orphans(spark, folder):
+    """Daily rows whose video is not among the labelled documents."""
+    labelled = binding.table(spark, folder, "labels").select(
+        F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id")
+    )
+    facts = binding.daily_metrics(spark, folder)
+    return audits.orphans(facts, labelled).select("video_id", "date", "views")
+
+
 @query("audit_orphans")
 def audit_orphans(spark, folder):
     """Traffic rows whose video is not among the labelled documents."""
@@ -1023,6 +1033,16 @@ def ml_predict(spark, folder):
     )
 
 
+@query("ml_best_slots")
+def ml_best_slots(spark, folder):
+    """The hour and weekday at which every unpublished document is expected to do best, of all in a week."""
+    rows = _slotted(spark, folder).drop(*slots.WEEK)
+    return slots.best_slots(_fitted(spark, folder), rows).select(
+        "doc_id", "channel_id", "slot.hour", "slot.day_of_week", "expected_class", "predicted_class",
+        "predicted_category", "probabilities",
+    )
+
+
 @query("candidate_features")
 def candidate_features(spark, folder):
     return _slotted(spark, folder).select("doc_id", "channel_id", *FEATURES)

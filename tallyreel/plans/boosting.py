@@ -101,7 +101,7 @@ class Booster:
         score = np.repeat(np.array(self.start)[:, None], x.shape[1], axis=1)
         for trees in self.rounds:
             _add(score, trees, x)
-        return _chances(score, len(self.classes))
+        return class_chances(score, len(self.classes))
 
     def importance(self, features: int) -> list[float]:
         """Share of each feature in what all splits gain."""
@@ -117,7 +117,8 @@ def _add(score: np.ndarray, trees: Sequence[Tree], x: np.ndarray) -> None:
         own += STEP * tree.value[tree.node_of(x)]
 
 
-def _chances(score: np.ndarray, classes: int) -> np.ndarray:
+def class_chances(score: np.ndarray, classes: int) -> np.ndarray:
+    """Probabilities (classes, rows) from the outputs' scores (outputs, rows)."""
     if classes == 1:
         return np.ones((1, score.shape[1]))
     if classes == 2:
@@ -174,7 +175,7 @@ class Rows:
         _add(self.score, trees, self.x)
 
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
-        chance = _chances(self.score, len(self.facts.classes))
+        chance = class_chances(self.score, len(self.facts.classes))
         numbers = np.arange(len(self.facts.classes))
         gradient = (self.target == numbers[:, None]) - chance
         if self.facts.outputs == 1:

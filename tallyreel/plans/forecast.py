@@ -173,22 +173,26 @@ def kept_fit(rows: DataFrame, max_iter: int = TREES, max_depth: int = DEPTH) ->
     return model
 
 
-def predict(forecaster: Forecaster, rows: DataFrame) -> DataFrame:
-    """Predicted class and percent per class; a class not seen in training gets 0."""
+def outcome(forecaster: Forecaster) -> list[Column]:
+    """Predicted class and percent per class from ``chances``; a class not seen in training gets 0."""
     number = {c: i for i, c in enumerate(forecaster.classes)}
-    scored = boosting.score(rows, forecaster.booster, FEATURES)
     chance = {c: F.get("chances", F.lit(number[c])) if c in number else F.lit(0.0) for c in CLASSES}
     best = F.greatest(*chance.values())
     predicted = F.coalesce(*[F.when(chance[c] == best, F.lit(c)) for c in CLASSES])
-    return scored.select(
-        *[F.col(f"rest.`{c}`").alias(c) for c in rows.columns],
+    return [
         predicted.cast("bigint").alias("predicted_class"),
         figures.class_label(predicted).alias("predicted_category"),
         F.map_from_arrays(
             F.array(*[F.lit(x) for x in CLASS_LABELS]),
             F.array(*[F.bround(chance[c] * 100, 1) for c in CLASSES]),
         ).alias("probabilities"),
-    )
+    ]
+
+
+def predict(forecaster: Forecaster, rows: DataFrame) -> DataFrame:
+    """Predicted class and percent per class of each row."""
+    scored = boosting.score(rows, forecaster.booster, FEATURES)
+    return scored.select(*[F.col(f"rest.`{c}`").alias(c) for c in rows.columns], *outcome(forecaster))
 
 
 def cross_predictions(

@@ -64,6 +64,22 @@ def test_predictions_and_importance(spark, few_trees, plain):
     assert [r["value"] for r in chart] == sorted((r["value"] for r in chart), reverse=True)
 
 
+def test_best_slots(spark, few_trees, plain):
+    """The highest expected class over all hours and weekdays, tried one by one."""
+    candidates = {r["doc_id"]: tuple(r[f] for f in FEATURES) for r in collected(spark, "candidate_features")}
+    found = collected(spark, "ml_best_slots")
+    assert sorted(r["doc_id"] for r in found) == sorted(candidates)
+    hour, day = FEATURES.index("hour"), FEATURES.index("day_of_week")
+    for r in found[:8]:
+        tried = {}
+        for slot in [(d, h) for d in range(7) for h in range(24)]:
+            x = list(candidates[r["doc_id"]])
+            x[day], x[hour] = slot
+            tried[slot] = sum(c * p for c, p in zip(plain.classes, plain.chances(tuple(x))))
+        assert r["expected_class"] == pytest.approx(max(tried.values()), abs=1e-6)
+        assert tried[r["day_of_week"], r["hour"]] == pytest.approx(max(tried.values()), abs=1e-6)
+
+
 def test_predictions_of_held_out_folds(spark, few_trees, training):
     found = {r["video_id"]: r for r in collected(spark, "ml_cv_predictions")}
     assert len(found) == len(training)
