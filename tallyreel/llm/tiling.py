@@ -39,6 +39,15 @@ MATCHES = T.ArrayType(
 )
 
 
+class Ends(NamedTuple):
+    """Seeds grouped by hash and, within it, by the six-word hash that goes one word further to one side."""
+
+    seed: np.ndarray  # the seeds in this order
+    further: np.ndarray  # the six-word hashes, sorted
+    begin: np.ndarray  # where the seeds of each stand
+    end: np.ndarray
+
+
 class Seeds(NamedTuple):
     """All five-word hashes of a block of items, sorted."""
 
@@ -47,79 +56,129 @@ class Seeds(NamedTuple):
     place: np.ndarray
     ids: np.ndarray
     words: np.ndarray
+    first: Ends  # by the word before
+    last: Ends  # by the word after
+
+
+def _hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Five-word hashes, then the six-word ones from a word earlier and from the same word, each with where it exists."""
+    single, left = words.hashes(), words.left()
+    longer = words.runs(TILE_WORDS + 1, single)
+    earlier = np.concatenate([longer[:1], longer[:-1]])
+    has_earlier = (words.place() > 0) & (left >= TILE_WORDS)
+    return words.runs(TILE_WORDS, single), earlier, has_earlier, longer, left > TILE_WORDS
+
+
+def _ends(hashes: np.ndarray, further: np.ndarray, exists: np.ndarray) -> Ends:
+    seed = np.lexsort((further, exists, hashes))
+    hashes, further, exists = hashes[seed], further[seed], exists[seed]
+    changes = (np.diff(hashes) != 0) | (np.diff(further) != 0) | (exists[1:] != exists[:-1])
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(seed)), bool), changes]))
+    end = np.append(begin[1:], len(seed))
+    known = exists[begin]
+    begin, end = begin[known], end[known]
+    order = np.argsort(further[begin], kind="stable")
+    return Ends(seed, further[begin][order], begin[order], end[order])
 
 
 def seeds_of(ids: list[int], texts: list[str]) -> Seeds:
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     words = Words(data, offsets, lower=True)
     full = np.flatnonzero(words.left() >= TILE_WORDS)
-    hashes = words.runs(TILE_WORDS, words.hashes())[full]
+    hashes, earlier, has_earlier, longer, has_longer = (column[full] for column in _hashes(words))
     order = np.argsort(hashes, kind="stable")
-    at = full[order]
-    return Seeds(hashes[order], words.text_of()[at], words.place()[at], np.array(ids, dtype=np.int64), words.counts)
+    return Seeds(
+        hashes[order],
+        words.text_of()[full],
+        words.place()[full],
+        np.array(ids, dtype=np.int64),
+        words.counts,
+        _ends(hashes, earlier, has_earlier),
+        _ends(hashes, longer, has_longer),
+    )
 
 
-def tiles_of(doc: np.ndarray, item: np.ndarray, least: int = TILE_WORDS) -> list[tuple[int, int, int]]:
-    """Greedy tiles from the seeds' places: (word of the document, word of the item, words).
+def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, position) of every position in ranges."""
+    times = np.maximum(end - begin, 0)
+    number = np.repeat(np.arange(len(begin)), times)
+    before = np.cumsum(times) - times
+    return number, begin[number] + np.arange(len(number)) - before[number]
+
+
+def _unextended(ends: Ends, low: np.ndarray, high: np.ndarray, further: np.ndarray, exists: np.ndarray):
+    """(number of the hit, seed) of the seed pairs whose match goes no further to this side."""
+    if len(ends.further):
+        at = np.minimum(np.searchsorted(ends.further, further), len(ends.further) - 1)
+        same = exists & (ends.further[at] == further)
+        begin, end = np.where(same, ends.begin[at], low), np.where(same, ends.end[at], low)
+    else:
+        begin = end = low
+    parts = [_expand(low, begin), _expand(end, high)]
+    hit, position = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return hit, ends.seed[position]
+
+
+def tiles_of(doc: np.ndarray, item: np.ndarray, size: np.ndarray, least: int = TILE_WORDS) -> list[tuple[int, int, int]]:
+    """Greedy tiles from maximal matches: (word of the document, word of the item, words).
 
     Of equally long matches the one earlier in the document, then in the item, is marked.
     """
-    order = np.lexsort((doc, doc - item))
-    doc, item = doc[order], item[order]
-    joined = (np.diff(doc) == 1) & (np.diff(item) == 1)
-    cuts = np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(doc)]])
-    matches = [
-        (-(int(b - a) + least - 1), int(doc[a]), int(item[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-    ]
+    matches = list(zip((-size).tolist(), doc.tolist(), item.tolist(), strict=True))
     heapq.heapify(matches)
-    marked_doc: set[int] = set()
-    marked_item: set[int] = set()
+    start = int(doc.min())
+    marked_doc = np.zeros(int((doc + size).max()) - start, dtype=bool)
+    marked_item = np.zeros(int((item + size).max()), dtype=bool)
     tiles = []
     while matches:
         size, d, i = heapq.heappop(matches)
         size = -size
-        free = [d + k not in marked_doc and i + k not in marked_item for k in range(size)]
-        if all(free):
+        taken = marked_doc[d - start : d - start + size] | marked_item[i : i + size]
+        if not taken.any():
             tiles.append((d, i, size))
-            marked_doc.update(range(d, d + size))
-            marked_item.update(range(i, i + size))
+            marked_doc[d - start : d - start + size] = marked_item[i : i + size] = True
+            stops = np.flatnonzero(np.concatenate([[True], marked_item, [True]]))
+            if np.diff(stops).max() <= least:  # no match fits between marked words of the item
+                break
             continue
-        at = 0
-        while at < size:
-            end = at
-            while end < size and free[end]:
-                end += 1
-            if end - at >= least:
-                heapq.heappush(matches, (-(end - at), d + at, i + at))
-            at = end + 1
+        stops = np.flatnonzero(np.concatenate([[True], taken, [True]]))
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            if b - a > least:
+                heapq.heappush(matches, (-(b - a - 1), d + a, i + a))
     return tiles
 
 
 def _found(seeds: Seeds, words: Words, coverage: float) -> Iterator[tuple[int, int, float, list]]:
-    """(text, item, coverage, tiles) of all pairs in a slice that reach the coverage."""
-    hashes = words.runs(TILE_WORDS, words.hashes())
-    full = words.left() >= TILE_WORDS
+    """(text, item, coverage, tiles) of all pairs in a slice that reach the coverage.
+
+    Only the two ends of each maximal match are made, not the seeds in between, so a text that repeats a word
+    costs its words plus the item's, not their product. On a diagonal of a pair the first ends and the
+    last ends alternate, so in that order the n-th of the one belongs to the n-th of the other.
+    """
+    hashes, earlier, has_earlier, longer, has_longer = _hashes(words)
     low = np.searchsorted(seeds.hashes, hashes, side="left")
     high = np.searchsorted(seeds.hashes, hashes, side="right")
-    hits = np.flatnonzero(full & (high > low))
+    hits = np.flatnonzero((words.left() >= TILE_WORDS) & (high > low))
     if not len(hits):
         return
-    times = (high - low)[hits]
-    doc_word = np.repeat(hits, times)
-    begin = np.cumsum(times) - times
-    seed = np.repeat(low[hits], times) + np.arange(len(doc_word)) - np.repeat(begin, times)
-    text, item, place = words.text_of()[doc_word], seeds.item[seed], seeds.place[seed]
-    where = words.place()[doc_word]
-    order = np.lexsort((where, item, text))
-    text, item, place, where = text[order], item[order], place[order], where[order]
+    text_of, place_of = words.text_of()[hits], words.place()[hits]
+
+    def sorted_ends(ends: Ends, further: np.ndarray, exists: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit, seed = _unextended(ends, low[hits], high[hits], further[hits], exists[hits])
+        text, item, where, place = text_of[hit], seeds.item[seed], place_of[hit], seeds.place[seed]
+        order = np.lexsort((where, where - place, item, text))
+        return text[order], item[order], where[order], place[order]
+
+    text, item, where, place = sorted_ends(seeds.first, earlier, has_earlier)
+    size = sorted_ends(seeds.last, longer, has_longer)[2] - where + TILE_WORDS
     pair = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0)]))
     for a, b in zip(pair, np.append(pair[1:], len(text)), strict=True):
         n = int(seeds.words[item[a]])
-        reached = np.unique(place[a:b])
-        most = np.minimum(np.diff(np.append(reached, reached[-1] + TILE_WORDS)), TILE_WORDS).sum()
-        if most < coverage * n:  # tiles can't cover more than the seeds do
+        begin, end = place[a:b], place[a:b] + size[a:b]
+        depth = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+        if (np.cumsum(depth) > 0).sum() < coverage * n:  # tiles can't cover more than all matches do
             continue
-        tiles = tiles_of(where[a:b], place[a:b])
+        tiles = tiles_of(where[a:b], place[a:b], size[a:b])
         share = sum(t[2] for t in tiles) / n
         if share >= coverage:
             yield int(text[a]), int(seeds.ids[item[a]]), share, tiles

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tallyreel.llm import languages, licenses, merkle, pieces, tiling
+from tallyreel.llm.hashing import Words, text_bytes
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -271,6 +273,34 @@ def test_tiles_equal_greedy_search(table):
     assert tiling.mark_leaks(table(docs), table([], "item_id long, text string")).filter("size(matches) > 0").isEmpty()
 
 
+def test_tiles_of_repetitive_texts_equal_greedy_search():
+    rng = random.Random(12)
+    for n in range(150):
+        item, doc = (rng.choices("ab"[: 1 + n % 2] + "c" * (n % 3 == 0), k=rng.randrange(5, 26)) for _ in range(2))
+        other = rng.choices("ab", k=rng.randrange(5, 12))
+        seeds = tiling.seeds_of([0, 1], [" ".join(item), " ".join(other)])
+        data, offsets = text_bytes(pa.array([" ".join(doc), "", " ".join(other + doc)], pa.string()))
+        found = {(t, i): (share, sorted(tiles)) for t, i, share, tiles in tiling._found(seeds, Words(data, offsets), 0.3)}
+        expected = {}
+        for (t, text), (i, of) in itertools.product([(0, doc), (2, other + doc)], enumerate([item, other])):
+            tiles = greedy(text, of)
+            share = sum(k for *_, k in tiles) / len(of)
+            if share >= 0.3:
+                expected[t, i] = (share, tiles)
+        assert found == expected
+
+
+def test_a_very_long_text_of_one_word_takes_little_memory():
+    seeds = tiling.seeds_of([7], ["a " * 2_000])
+    data, offsets = text_bytes(pa.array(["x y " + "a " * 200_000], pa.string()))
+    tracemalloc.start()
+    found = list(tiling._found(seeds, Words(data, offsets), 0.5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 7, 1.0, [(2, 0, 2_000)])]
+    assert most < 300 << 20
+
+
 def sentences(seed, letters, n):
     rng = random.Random(seed)
     return [" ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(25)) for _ in range(n)]
