@@ -5,9 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyreel.functions import figures
+from tallyreel.functions import exact, figures
 from tallyreel.operators.grouping import attach, beside, top_n, with_group_columns
-from tallyreel.operators.totals import COMPARED_DECIMALS, video_facts
+from tallyreel.operators.totals import video_facts
 from tallyreel.sources.store import settle
 
 # Videos at or under this many views are left out of the engagement figures.
@@ -59,8 +59,8 @@ def settled_engagement(
 def baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean over videos of their retention and of their views."""
     return engaged.groupBy(*by).agg(
-        F.bround(F.avg("avg_retention"), COMPARED_DECIMALS).alias("baseline_retention"),
-        F.avg("total_views").alias("baseline_views"),
+        exact.mean("avg_retention").alias("baseline_retention"),
+        figures.ratio(F.sum("total_views"), F.count("total_views")).alias("baseline_views"),
     )
 
 
@@ -71,8 +71,8 @@ def under_baseline() -> Column:
 def below_baseline(engaged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Videos strictly under their group's mean retention.
 
-    Both sides are compared at nine decimals, so a difference below 1e-9 doesn't count
-    as one, where a comparison of plain doubles would let their last digits decide.
+    Both sides are means that were rounded once, so they compare alike whatever the
+    partitioning, and no difference is too small to count.
     """
     compared = attach(engaged, baseline(engaged, by), by, ["video_id"])
     return compared.filter(under_baseline())

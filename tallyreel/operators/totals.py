@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyreel.functions import clock, figures, titles
+from tallyreel.functions import clock, exact, figures, titles
 from tallyreel.operators.grouping import beside, with_group_columns
 from tallyreel.sources.store import settle
 
@@ -16,8 +16,8 @@ SOURCE_DELAY_DAYS = 2
 SERIES_DAYS = 30
 FIRST_WEEK_DAYS = 7
 
-# Decimals of a mean that is compared with others.
-COMPARED_DECIMALS = 9
+# Retention of days that were watched at all, null for others.
+WATCHED_PERCENTAGE = "CASE WHEN average_view_percentage > 0 THEN average_view_percentage END"
 
 
 def video_facts(daily: DataFrame) -> DataFrame:
@@ -27,9 +27,8 @@ def video_facts(daily: DataFrame) -> DataFrame:
     watched views and net subscribers cover the same days. Aggregates that a report
     does not read are pruned, and their columns are not scanned.
 
-    A sum of doubles depends in its last digits on the order of the rows, so means
-    that are compared or ranked are taken to nine decimals: equal stays equal under
-    any partitioning.
+    Retention is compared and ranked, so its mean is exact up to one rounding: equal stays
+    equal, and unlike stays unlike, under any partitioning.
     """
     watched = F.col("average_view_percentage") > 0
 
@@ -38,9 +37,7 @@ def video_facts(daily: DataFrame) -> DataFrame:
 
     return daily.groupBy("video_id").agg(
         F.sum("views").alias("total_views"),
-        F.bround(F.avg(over_watched("average_view_percentage")), COMPARED_DECIMALS).alias(
-            "avg_retention"
-        ),
+        exact.mean(WATCHED_PERCENTAGE).alias("avg_retention"),
         F.sum(over_watched("views")).alias("watched_views"),
         (
             F.sum(over_watched("subscribers_gained")) - F.sum(over_watched("subscribers_lost"))

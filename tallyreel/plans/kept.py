@@ -3,8 +3,8 @@
 A state holds sums that can be changed by what a load changes: per video its figures, and per
 group the figures of each profile level and traffic source. A load brings the touched rows of the
 fact as they were and as they are (``upserts.changed_rows``), and the described videos that changed.
-Old rows count negative, new ones positive; sums of whole numbers and of decimals are exact, so a
-state that took many loads equals one made from all rows at once.
+Old rows count negative, new ones positive; all are sums of whole numbers (a percentage is split into
+some, see ``functions.exact``), so a state that took many loads equals one made from all rows at once.
 
 Reports come from the state: best hours, formats and titles from the levels (43 at most per
 group), traffic from the sources, and the weakest videos from the videos' own rows.
@@ -21,15 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyreel.functions import figures
+from tallyreel.functions import exact, figures
 from tallyreel.operators import engagement
 from tallyreel.operators.grouping import beside
-from tallyreel.operators.totals import COMPARED_DECIMALS, described_levels
+from tallyreel.operators.totals import WATCHED_PERCENTAGE, described_levels
 from tallyreel.plans import reports
 
 DIMENSIONS = [*reports.UPLOAD_DIMENSIONS, *reports.FORMAT_DIMENSIONS, *reports.TITLE_DIMENSIONS]
-# A percentage is added as the decimal that its shortest form shows, so sums don't depend on any order.
-RETENTION = "decimal(36,17)"
+RETENTION = [f"retention_{i}" for i in range(exact.LIMBS)]
 SOURCE = "traffic_source_type"
 
 
@@ -63,7 +62,8 @@ def _measures() -> dict[str, Column]:
         "viewed": having("views"),
         "views": F.col("views"),
         "watched": F.coalesce(watched, F.lit(False)).cast("long"),
-        "retention": over_watched("average_view_percentage").cast(RETENTION),
+        **{name: F.expr(part) for name, part in zip(RETENTION, exact.limbs(WATCHED_PERCENTAGE))},
+        "unsummed": F.expr(f"NOT {exact.in_range(WATCHED_PERCENTAGE)}").cast("long"),
         "watched_viewed": having("views", watched),
         "watched_views": over_watched("views"),
         "gains": having("subscribers_gained", watched),
@@ -73,10 +73,6 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def _kind(measure: str) -> str:
-    return RETENTION if measure == "retention" else "bigint"
-
-
 def _signed(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1)))
 
@@ -85,20 +81,20 @@ def _sums(rows: DataFrame, keys: Sequence[str], measures: dict[str, Column]) ->
     """Signed sums of each measure per key; null counts as nothing."""
 
     def signed(name: str, value: Column) -> Column:
-        known = F.coalesce(value, F.lit(0)).cast(_kind(name))
-        return F.sum(F.when(F.col("sign") < 0, -known).otherwise(known)).cast(_kind(name)).alias(name)
+        known = F.coalesce(value, F.lit(0)).cast("bigint")
+        return F.sum(F.when(F.col("sign") < 0, -known).otherwise(known)).cast("bigint").alias(name)
 
     return rows.groupBy(*keys).agg(*[signed(name, value) for name, value in measures.items()])
 
 
 def _facts(sums: DataFrame) -> DataFrame:
     """The columns of ``totals.video_facts`` beside those of sums."""
-    mean = F.col("retention").cast("double") / F.col("watched")
+    mean = exact.mean_of(RETENTION, "watched", "unsummed")
     net = F.col("gained") - F.col("lost")
     return sums.withColumns(
         {
             "total_views": F.when(F.col("viewed") > 0, F.col("views")),
-            "avg_retention": F.when(F.col("watched") > 0, F.bround(mean, COMPARED_DECIMALS)),
+            "avg_retention": mean,
             "watched_views": F.when(F.col("watched_viewed") > 0, F.col("watched_views")),
             "net_subs": F.when((F.col("gains") > 0) & (F.col("losses") > 0), net),
         }
@@ -123,7 +119,7 @@ def _added(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Sums of sums; keys of which nothing is left go."""
     rows = reduce(DataFrame.unionByName, parts)
     measures = [c for c in rows.columns if c not in keys]
-    summed = rows.groupBy(*keys).agg(*[F.sum(m).cast(_kind(m)).alias(m) for m in measures])
+    summed = rows.groupBy(*keys).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
     return summed.filter(reduce(Column.__or__, [F.col(m) != 0 for m in measures]))
 
 
@@ -148,7 +144,7 @@ class KeptReports:
         delta = _sums(_signed(changes.daily_before, changes.daily_after), ["video_id"], measures)
         news = changes.videos.select("video_id", *by, "title", *described_levels(DIMENSIONS))
         news = news.withColumn("described", F.lit(True))
-        now = F.struct(*[F.coalesce(f"d.{m}", F.lit(0).cast(_kind(m))).alias(m) for m in measures]).alias("sums")
+        now = F.struct(*[F.coalesce(f"d.{m}", F.lit(0).cast("bigint")).alias(m) for m in measures]).alias("sums")
         about = F.struct(*[F.col(f"n.{c}").alias(c) for c in described]).alias("about")
         touched = delta.alias("d").join(news.alias("n"), "video_id", "full_outer").select("video_id", now, about)
 
@@ -157,7 +153,7 @@ class KeptReports:
         old = none if previous is None else self._read(previous, "videos").select(*none.columns)
         both = old.alias("o").join(touched.alias("t"), "video_id", "full_outer")
         total = [
-            (F.coalesce(f"o.sums.{m}", F.lit(0)) + F.coalesce(f"t.sums.{m}", F.lit(0))).cast(_kind(m)).alias(m)
+            (F.coalesce(f"o.sums.{m}", F.lit(0)) + F.coalesce(f"t.sums.{m}", F.lit(0))).cast("bigint").alias(m)
             for m in measures
         ]
         newest = F.when(F.col("t.about.described"), F.col("t.about")).otherwise(F.col("o.about"))
