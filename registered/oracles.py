@@ -423,6 +423,29 @@ Q["audit_daily_orphans"] = with_star(
     """SELECT video_id, date, views FROM daily_metrics
        WHERE video_id NOT IN (SELECT 'v' || doc_id FROM labels)"""
 )
+Q["audit_kept_parts"] = with_star(
+    """SELECT fact, part, CAST(sum(copies) AS BIGINT) AS rows,
+              CAST(coalesce(sum(copies) FILTER (video_id IS NULL), 0) AS BIGINT) AS null_video_id,
+              CAST(sum(null_views) AS BIGINT) AS null_views,
+              count(*) FILTER (copies > 1) AS repeated_keys,
+              CAST(sum(copies - 1) AS BIGINT) AS extra_rows,
+              CAST(sum(CASE WHEN video_id IN (SELECT 'v' || doc_id FROM labels) THEN 0 ELSE copies END) AS BIGINT)
+                AS orphan_rows
+       FROM (
+         SELECT 'daily' AS fact, CAST(date AS VARCHAR) AS part, video_id, count(*) AS copies,
+                count(*) FILTER (views IS NULL) AS null_views
+         FROM (SELECT video_id, date, views FROM daily_metrics UNION ALL
+               SELECT video_id, date, views FROM daily_metrics
+               WHERE date >= DATE '2024-01-13' AND date < DATE '2024-01-16')
+         GROUP BY date, video_id
+         UNION ALL
+         SELECT 'traffic', lower(traffic_source_type), video_id, count(*), count(*) FILTER (views IS NULL)
+         FROM (SELECT video_id, traffic_source_type, views FROM traffic_sources UNION ALL
+               SELECT video_id, traffic_source_type, views FROM traffic_sources
+               WHERE traffic_source_type = 'SIGNUP')
+         GROUP BY traffic_source_type, video_id)
+       GROUP BY fact, part"""
+)
 Q["fetch_plan"] = with_star(
     """SELECT video_id, CAST(published_at AS DATE) AS start_date, DATE '2024-01-28' AS end_date
        FROM videos WHERE CAST(published_at AS DATE) <= DATE '2024-01-28'"""

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tallyreel.functions import clock, figures, titles
 from tallyreel.operators import audits, engagement, ranking, totals, upserts
 from tallyreel.plans import charts, context, forecast, replies, reports, slots
+from tallyreel.plans.audited import KeptAudits
 from tallyreel.plans.kept import Changes, KeptReports
 from tallyreel.schemas import DAILY_METRICS, DAY_NAMES, FEATURES, KEYS, TRAFFIC_SOURCES, VIDEOS, conform
 from tallyreel.sources import binding, landing
-from tallyreel.sources.store import fresh_folder
+from tallyreel.sources.store import fresh_folder, settle
 from tallyreel.sources.versions import read_days, read_table, upsert_stored, write_table
 from tallyreel.streaming import landing_stream
 
@@ -282,6 +283,43 @@ def audit_orphans(spark, folder):
     return audits.orphans(facts, labelled).select("video_id", "traffic_source_type", "views")
 
 
+def _audited_loads(spark, name, loads, keys, known):
+    """Audits after each of some appended loads; each reads the parts it touched.
+
+    A load's rows carry their part, of which there are few: days, or kinds of sources.
+    """
+    root = fresh_folder(spark, f"audited-{name}")
+    kept = KeptAudits(spark, f"{root}/audits", keys, ["video_id", "views"])
+    for number, (rows, videos) in enumerate(zip(loads, known)):
+        rows = settle(rows.select(*keys, "views", "part"), f"audited-{name}")
+        rows.write.mode("append").partitionBy("part").parquet(f"{root}/rows")
+        stored = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+        parts = [r["part"] for r in rows.select("part").distinct().collect()]
+        added = videos.join(known[number - 1], "video_id", "left_anti") if number else None
+        kept.apply(number, number - 1 if number else None, stored, parts, videos, added)
+    return kept.summary(len(loads) - 1).select(F.lit(name).alias("fact"), "*")
+
+
+@query("audit_kept_parts")
+def audit_kept_parts(spark, folder):
+    """Both facts audited after a second load that repeats three days and one kind of source."""
+    labelled = binding.table(spark, folder, "labels").select(
+        F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id")
+    ).distinct()
+    published = binding.videos(spark, folder).filter(F.col("published_at") < F.lit(HALFWAY).cast("timestamp_ntz"))
+    known = [labelled.join(published, "video_id", "left_semi"), labelled]
+
+    daily = binding.daily_metrics(spark, folder).withColumn("part", F.col("date").cast("string"))
+    half = F.lit(HALFWAY.date())
+    days = [daily.filter(F.col("date") < half), daily.filter(F.col("date") >= F.date_sub(half, 3))]
+    traffic = binding.traffic_sources(spark, folder).withColumn("part", F.lower("traffic_source_type"))
+    late, again = F.col("part") == "purchase", F.col("part") == "signup"
+    sources = [traffic.filter(~late), traffic.filter(late | again)]
+    return _audited_loads(spark, "daily", days, KEYS["daily_metrics"], known).unionByName(
+        _audited_loads(spark, "traffic", sources, KEYS["traffic_sources"], known)
+    )
+
+
 @query("fetch_plan")
 def fetch_plan(spark, folder):
     return upserts.fetch_plan(binding.videos(spark, folder), AS_OF)
