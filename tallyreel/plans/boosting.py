@@ -3,8 +3,8 @@
 A round's trees grow together, a level at a time. For every open node of every class, the rows'
 gradients are summed per feature and value (a histogram); from the sums come the best splits and
 the values of leaves. A few distinct rows are boosted in one task. Beyond ROWS_PER_TASK, every
-level is one pass: tasks sum what they hold, Spark merges the sums, and the driver, which sees
-nothing but sums, chooses the splits.
+level is one pass: tasks sum what they hold, the sums of a node meet in one task, which chooses
+its split, and the driver sees a row per node, however many bins there are.
 
 Gradients are summed as integers of 48 binary places, so the sums don't depend on the order or
 the partitioning of rows, and the same rows give the same model in either way.
@@ -17,7 +17,7 @@ split, down to the greatest depth. With two classes one tree a round separates t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +30,23 @@ from tallyreel.sources.store import settle, share_package
 TREES = 100
 DEPTH = 4
 STEP = 0.1
-# Distinct rows that one task boosts alone.
+# Distinct rows that one task boosts alone, and rows of a pack where many tasks boost together.
 ROWS_PER_TASK = 50_000
 # Distinct values of a feature that get a bin each; beyond, bins end at as many quantiles.
 MOST_VALUES = 4_096
 # Rounds after which scores are written out; those since then are added again at each pass.
 SETTLED_ROUNDS = 10
 # Binary places of each of the two integers that make up a gradient; their sums are exact
-# while a batch of rows stands for fewer than 2**29 videos.
+# while a pack of rows stands for fewer than 2**29 videos.
 PLACES = 24
 LEAF = -1
 # Weight, then upper and lower integer of gradient and curvature.
 SUMS = 5
-_SUM_NAMES = ["w", "ga", "gb", "ha", "hb"]
-_SUM_COLUMNS = ", ".join(f"{n} long" for n in ["key", *_SUM_NAMES])
+# Rows in numpy, a pack of them a row; a task's sums of one node; a node's best split.
+_PACKS = "bins binary, target binary, weight binary, score binary"
+_PARTS = "node long, used binary, sums binary"
+_SPLITS = "node long, gain double, feature long, threshold double, total array<long>, left array<long>"
+_SPLIT_COLUMNS = [c.split()[0] for c in _SPLITS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -58,15 +61,16 @@ class Tree:
     gain: np.ndarray
 
     def node_of(self, x: np.ndarray) -> np.ndarray:
-        """The node that each row ends in; x is (features, rows)."""
-        node = np.zeros(x.shape[1], dtype=np.int64)
-        while True:
-            at = np.flatnonzero(self.feature[node] != LEAF)
-            if not len(at):
-                return node
-            here = node[at]
-            goes_left = x[self.feature[here], at] <= self.threshold[here]
-            node[at] = np.where(goes_left, self.left[here], self.right[here])
+        """The node that each row ends in; x is (features, rows).
+
+        Trees are shallow, so a pass over the rows for every node is cheaper than following each row.
+        """
+        node = np.zeros(x.shape[1], dtype=np.min_scalar_type(len(self.feature)))
+        for at in np.flatnonzero(self.feature != LEAF):  # parents come before their children
+            goes_left = x[self.feature[at]] <= self.threshold[at]
+            sides = np.where(goes_left, node.dtype.type(self.left[at]), node.dtype.type(self.right[at]))
+            node = np.where(node == at, sides, node)
+        return node
 
 
 @dataclass(frozen=True)
@@ -87,6 +91,18 @@ class Facts:
         """First bin of each feature, and the number of bins."""
         return np.concatenate([[0], np.cumsum([len(u) for u in self.uppers])])
 
+    @property
+    def bin_type(self) -> np.dtype:
+        return np.min_scalar_type(int(self.offsets[-1]))
+
+    def binned(self, tree: Tree) -> Tree:
+        """The tree over bins: a value is not above a threshold if its bin's end is not."""
+        offsets, cut = self.offsets, np.zeros(len(tree.feature), dtype=np.int64)
+        for node in np.flatnonzero(tree.feature != LEAF):
+            own = tree.feature[node]
+            cut[node] = offsets[own] + np.searchsorted(self.uppers[own], tree.threshold[node], "right") - 1
+        return replace(tree, threshold=cut)
+
 
 @dataclass(frozen=True)
 class Booster:
@@ -153,26 +169,37 @@ class _Growing:
 
 
 class Rows:
-    """Training rows in numpy: features (features, rows), class numbers, weights and scores."""
+    """Training rows in numpy: bins (features, rows), class numbers, weights and scores."""
 
-    def __init__(self, facts: Facts, x: np.ndarray, target: np.ndarray, weight: np.ndarray, score: np.ndarray) -> None:
-        self.facts, self.x, self.target, self.weight, self.score = facts, x, target, weight, score
-        bins = [np.searchsorted(u, v) for u, v in zip(facts.uppers, x, strict=True)]
-        self.bins = np.stack(bins) + facts.offsets[:-1, None]
+    def __init__(self, facts: Facts, bins: np.ndarray, target: np.ndarray, weight: np.ndarray, score: np.ndarray):
+        self.facts, self.bins, self.target, self.weight, self.score = facts, bins, target, weight, score
 
     @staticmethod
     def read(facts: Facts, table: pa.RecordBatch | pa.Table, features: Sequence[str]) -> Rows:
-        x = np.stack([table.column(f).to_numpy() for f in features])
+        """Rows that no tree has scored yet."""
+        found = [np.searchsorted(u, table.column(f).to_numpy()) for u, f in zip(facts.uppers, features, strict=True)]
+        bins = (np.stack(found) + facts.offsets[:-1, None]).astype(facts.bin_type)
         target = np.searchsorted(np.array(facts.classes), table.column("category").to_numpy())
-        if "score" in table.schema.names:
-            flat = [s for row in table.column("score").to_pylist() for s in row]
-            score = np.array(flat).reshape(len(target), facts.outputs).T.copy()
-        else:
-            score = np.repeat(np.array(facts.start)[:, None], len(target), axis=1)
-        return Rows(facts, x, target, table.column("videos").to_numpy(), score)
+        score = np.repeat(np.array(facts.start)[:, None], len(target), axis=1)
+        return Rows(facts, bins, target, table.column("videos").to_numpy(), score)
+
+    @staticmethod
+    def unpack(facts: Facts, pack: dict[str, bytes]) -> Rows:
+        target, weight = (np.frombuffer(pack[c], dtype=np.int64) for c in ("target", "weight"))
+        bins = np.frombuffer(pack["bins"], dtype=facts.bin_type).reshape(len(facts.uppers), -1)
+        score = np.frombuffer(pack["score"]).reshape(facts.outputs, -1).copy()
+        return Rows(facts, bins, target, weight, score)
+
+    def packed(self) -> pa.RecordBatch:
+        """One row of _PACKS."""
+        columns = {
+            "bins": self.bins, "target": self.target.astype(np.int64), "weight": self.weight.astype(np.int64),
+            "score": self.score,
+        }
+        return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes()], pa.binary()) for c, v in columns.items()})
 
     def add(self, trees: Sequence[Tree]) -> None:
-        _add(self.score, trees, self.x)
+        _add(self.score, [self.facts.binned(t) for t in trees], self.bins)
 
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
         chance = class_chances(self.score, len(self.facts.classes))
@@ -184,20 +211,22 @@ class Rows:
 
     def sums(self, growing: Sequence[_Growing]) -> np.ndarray:
         """Whole-number sums by open node and bin: (nodes, bins, SUMS)."""
-        bins = int(self.facts.offsets[-1])
+        offsets = self.facts.offsets
         parts = []
         for own, gradient, curvature in zip(growing, *self.gradients(), strict=True):
             slot = np.full(len(own.nodes), LEAF)
             slot[own.open] = np.arange(len(own.open))
-            slot = slot[own.tree().node_of(self.x)]
+            slot = slot[self.facts.binned(own.tree()).node_of(self.bins)]
             here = np.flatnonzero(slot != LEAF)
-            keys = (slot[here] * bins + self.bins[:, here]).ravel()
-            weight = self.weight[here].astype(np.float64)
+            slot, weight = slot[here], self.weight[here].astype(np.float64)
             values = [weight, *(weight * v for u in (gradient, curvature) for v in _limbs(u[here]))]
-            counted = [
-                np.bincount(keys, np.tile(v, len(self.bins)), len(own.open) * bins).astype(np.int64) for v in values
-            ]
-            parts.append(np.stack(counted, axis=-1).reshape(len(own.open), bins, SUMS))
+            out = np.empty((len(own.open), int(offsets[-1]), SUMS), dtype=np.int64)
+            for feature, (first, end) in enumerate(zip(offsets, offsets[1:])):
+                keys = slot * (end - first) + (self.bins[feature, here] - first)
+                for i, v in enumerate(values):
+                    counted = np.bincount(keys, v, len(own.open) * (end - first))
+                    out[:, first:end, i] = counted.reshape(len(own.open), -1)
+            parts.append(out)
         return np.concatenate(parts)
 
 
@@ -206,12 +235,22 @@ def _leaf(gradient: float, curvature: float, classes: int) -> float:
     return 0.0 if abs(curvature) < 1e-150 else share * gradient / curvature
 
 
-def _split(facts: Facts, growing: Sequence[_Growing], sums: np.ndarray, last: bool) -> None:
-    """Split the open nodes where their sums say; new nodes are open, unless they are the last."""
+@dataclass(frozen=True)
+class _Split:
+    """A node's best split, its whole-number sums and those of its left side; no split has a gain below 0."""
+
+    gain: float
+    feature: int
+    threshold: float
+    total: np.ndarray
+    left: np.ndarray
+
+
+def _best(facts: Facts, sums: np.ndarray) -> list[_Split]:
+    """The best split of each node from its sums (nodes, bins, SUMS)."""
     offsets = facts.offsets
     first = np.repeat(offsets[:-1], np.diff(offsets))
     weight = sums[..., 0].astype(np.float64)
-    gradient, curvature = _whole(sums[..., 1], sums[..., 2]), _whole(sums[..., 3], sums[..., 4])
 
     def below(values: np.ndarray) -> np.ndarray:
         """Whole-number sums up to each bin of a feature."""
@@ -226,40 +265,47 @@ def _split(facts: Facts, growing: Sequence[_Growing], sums: np.ndarray, last: bo
     possible = (weight > 0) & (rw > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(possible, lw * rw / (lw + rw) * (lg / lw - rg / rw) ** 2, -1.0)
-    best = gain.argmax(axis=1)
-    node = 0
+    found = []
+    for node, cut in enumerate(gain.argmax(axis=1)):
+        feature = int(np.searchsorted(offsets, cut, "right")) - 1
+        uppers = facts.uppers[feature]
+        here = int(cut - offsets[feature])
+        threshold = float(uppers[here])
+        if facts.exact[feature] and gain[node, cut] >= 0:
+            later = np.flatnonzero(weight[node, cut + 1 : offsets[feature + 1]])
+            threshold = (threshold + float(uppers[here + 1 + later[0]])) / 2
+        found.append(_Split(float(gain[node, cut]), feature, threshold, total[node], left[node, cut]))
+    return found
+
+
+def _split(facts: Facts, growing: Sequence[_Growing], found: Sequence[_Split], last: bool) -> None:
+    """Split the open nodes where that gains; new nodes are open, unless they are the last."""
+
+    def value(sums: np.ndarray) -> float:
+        return float(_leaf(_whole(sums[1], sums[2]), _whole(sums[3], sums[4]), len(facts.classes)))
+
+    splits = iter(found)
     for own in growing:
         opened, own.open = own.open, []
         for at in opened:
-            cut, row = int(best[node]), own.nodes[at]
-            whole = [_whole(total[node, i], total[node, i + 1]) for i in (1, 3)]
-            row[4] = _leaf(*whole, len(facts.classes))
-            if gain[node, cut] >= 0:
-                feature = int(np.searchsorted(offsets, cut, "right")) - 1
-                uppers = facts.uppers[feature]
-                here = int(cut - offsets[feature])
-                threshold = float(uppers[here])
-                if facts.exact[feature]:
-                    later = np.flatnonzero(weight[node, cut + 1 : offsets[feature + 1]])
-                    threshold = (threshold + float(uppers[here + 1 + later[0]])) / 2
-                sides = (left[node, cut], right[node, cut])
-                row[:4] = [feature, threshold, len(own.nodes), len(own.nodes) + 1]
-                row[4:] = [0.0, float(gain[node, cut])]
-                for side in sides:
-                    value = _leaf(_whole(side[1], side[2]), _whole(side[3], side[4]), len(facts.classes))
+            split, row = next(splits), own.nodes[at]
+            row[4] = value(split.total)
+            if split.gain >= 0:
+                row[:4] = [split.feature, split.threshold, len(own.nodes), len(own.nodes) + 1]
+                row[4:] = [0.0, split.gain]
+                for side in (split.left, split.total - split.left):
                     if not last:
                         own.open.append(len(own.nodes))
-                    own.nodes.append([LEAF, 0.0, 0, 0, float(value), 0.0])
-            node += 1
+                    own.nodes.append([LEAF, 0.0, 0, 0, value(side), 0.0])
 
 
-def _grown(facts: Facts, depth: int, sums: Callable[[list[_Growing]], np.ndarray]) -> tuple[Tree, ...]:
-    """One round of trees from the sums that their levels ask for."""
+def _grown(facts: Facts, depth: int, best: Callable[[list[_Growing]], Sequence[_Split]]) -> tuple[Tree, ...]:
+    """One round of trees from the splits that their levels ask for."""
     growing = [_Growing() for _ in range(facts.outputs)]
     for level in range(depth):
         if not any(g.open for g in growing):
             break
-        _split(facts, growing, sums(growing), level == depth - 1)
+        _split(facts, growing, best(growing), level == depth - 1)
     return tuple(g.tree() for g in growing)
 
 
@@ -311,69 +357,103 @@ def _alone(facts: Facts, features: Sequence[str], trees: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         rows, rounds = Rows.read(facts, table, features), []
         for _ in range(trees):
-            rounds.append(_grown(facts, depth, rows.sums))
+            rounds.append(_grown(facts, depth, lambda growing: _best(facts, rows.sums(growing))))
             rows.add(rounds[-1])
         return _table(rounds)
 
     return run
 
 
-def _partial(facts: Facts, features: Sequence[str], pending: list[tuple[Tree, ...]], growing: list[_Growing]):
-    """A task's sums, as rows of node and bin."""
+def _pack(facts: Facts, features: Sequence[str]):
+    """Rows of points as packs, so that a pass reads whole arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((sum(len(g.open) for g in growing), int(facts.offsets[-1]), SUMS), dtype=np.int64)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                rows = Rows.read(facts, batch, features)
-                for trees in pending:
-                    rows.add(trees)
-                total += rows.sums(growing)
-        flat = total.reshape(-1, SUMS)
-        used = np.flatnonzero(flat[:, 0])
-        columns = [used, *(np.ascontiguousarray(flat[used, i]) for i in range(SUMS))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", *_SUM_NAMES])
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS_PER_TASK:
+                yield Rows.read(facts, pa.Table.from_batches(held), features).packed()
+                held = []
+        if any(b.num_rows for b in held):
+            yield Rows.read(facts, pa.Table.from_batches(held), features).packed()
 
     return run
 
 
-def _advance(facts: Facts, features: Sequence[str], pending: list[tuple[Tree, ...]]):
-    """Rows with the scores that the pending rounds give them."""
+def _unpacked(facts: Facts, pending: list[tuple[Tree, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """Packs with the scores that the pending rounds give them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows = Rows.unpack(facts, batch.slice(i, 1).to_pylist()[0])
+            for trees in pending:
+                rows.add(trees)
+            yield rows
+
+
+def _partial(facts: Facts, pending: list[tuple[Tree, ...]], growing: list[_Growing]):
+    """A task's sums, a row for each node; bins without rows are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((sum(len(g.open) for g in growing), int(facts.offsets[-1]), SUMS), dtype=np.int64)
+        for rows in _unpacked(facts, pending, batches):
+            total += rows.sums(growing)
+        for node, sums in enumerate(total):
+            used = np.flatnonzero(sums[:, 0])
+            columns = [pa.array([node]), *(pa.array([v.tobytes()], pa.binary()) for v in (used, sums[used]))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "used", "sums"])
+
+    return run
+
+
+def _merged(facts: Facts):
+    """The best splits of the nodes whose sums come to a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                rows = Rows.read(facts, batch, features)
-                for trees in pending:
-                    rows.add(trees)
-                columns = {f: batch.column(f) for f in (*features, "category", "videos")}
-                columns["score"] = pa.array(rows.score.T.tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_pydict(columns)
+            for node, used, sums in zip(*(batch.column(c).to_pylist() for c in ("node", "used", "sums"))):
+                total = nodes.setdefault(node, np.zeros((int(facts.offsets[-1]), SUMS), dtype=np.int64))
+                total[np.frombuffer(used, dtype=np.int64)] += np.frombuffer(sums, dtype=np.int64).reshape(-1, SUMS)
+        rows = [vars(_best(facts, total[None])[0]) | {"node": node} for node, total in nodes.items()]
+        if rows:
+            columns = {c: [r[c].tolist() if c in ("total", "left") else r[c] for r in rows] for c in _SPLIT_COLUMNS}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _advance(facts: Facts, pending: list[tuple[Tree, ...]]):
+    """Packs with the scores that the pending rounds give them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _unpacked(facts, pending, batches):
+            yield rows.packed()
 
     return run
 
 
-def _spread(points: DataFrame, facts: Facts, features: Sequence[str], trees: int, depth: int):
+def _spread(dealt: DataFrame, facts: Facts, features: Sequence[str], trees: int, depth: int):
     """All rounds, each level one pass over the points."""
-    columns = ", ".join(f"{f} long" for f in (*features, "category", "videos"))
+    tasks = dealt.rdd.getNumPartitions()
+    packs = settle(dealt.mapInArrow(_pack(facts, features), _PACKS), "packed")
     rounds: list[tuple[Tree, ...]] = []
     pending: list[tuple[Tree, ...]] = []
 
-    def sums(growing: list[_Growing]) -> np.ndarray:
-        """The merged sums; as many rows as open nodes have bins, however many rows are summed."""
-        parts = points.mapInArrow(_partial(facts, features, list(pending), growing), _SUM_COLUMNS)
-        merged = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in _SUM_NAMES]).toArrow()
-        out = np.zeros((sum(len(g.open) for g in growing) * int(facts.offsets[-1]), SUMS), dtype=np.int64)
-        out[merged.column("key").to_numpy()] = np.column_stack([merged.column(c).to_numpy() for c in _SUM_NAMES])
-        return out.reshape(-1, int(facts.offsets[-1]), SUMS)
+    def best(growing: list[_Growing]) -> list[_Split]:
+        """A row for each open node, however many rows and bins are summed."""
+        nodes = sum(len(g.open) for g in growing)
+        parts = packs.mapInArrow(_partial(facts, list(pending), growing), _PARTS)
+        met = parts.repartition(min(nodes, tasks), "node").mapInArrow(_merged(facts), _SPLITS)
+        found = {r.pop("node"): r for r in met.toArrow().to_pylist()}
+        whole = [{c: np.array(v) if c in ("total", "left") else v for c, v in found[n].items()} for n in range(nodes)]
+        return [_Split(**row) for row in whole]
 
     for _ in range(trees):
-        rounds.append(_grown(facts, depth, sums))
+        rounds.append(_grown(facts, depth, best))
         pending.append(rounds[-1])
         if len(pending) == SETTLED_ROUNDS and len(rounds) < trees:
-            advanced = points.mapInArrow(_advance(facts, features, pending), f"{columns}, score array<double>")
-            before, points = points, settle(advanced, "boosted")
-            points.count()  # computed from the points before, which then can go
+            before, packs = packs, settle(packs.mapInArrow(_advance(facts, pending), _PACKS), "boosted")
+            packs.count()  # computed from the packs before, which then can go
             before.unpersist()
             pending = []
     return rounds
@@ -426,7 +506,7 @@ def fit(points: DataFrame, features: Sequence[str], trees: int = TREES, depth: i
         rounds = trees_of(together.applyInArrow(_alone(facts, features, trees, depth), _TREES).collect())
     else:
         dealt = points.repartition(1 + size // ROWS_PER_TASK, *features)
-        rounds = tuple(_spread(settle(dealt, "dealt"), facts, features, trees, depth))
+        rounds = tuple(_spread(dealt, facts, features, trees, depth))
     return Booster(classes, start, rounds)
 
 

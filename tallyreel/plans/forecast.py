@@ -23,7 +23,7 @@ from tallyreel.sources.store import settle, shared_folder
 CLASSES = list(range(len(CLASS_LABELS)))
 FOLDS = 5
 # Changes with the way models are fitted, so that none fitted in another way is read.
-MODEL_KIND = "multinomial-1"
+MODEL_KIND = "multinomial-2"
 _NODES = f"array<struct<{boosting.TREE_FIELDS}>>"
 _MODEL = f"classes array<long>, start array<double>, trained_on long, nodes {_NODES}"
 

@@ -52,6 +52,22 @@ def test_spread_rows_give_the_same_trees(spark, monkeypatch):
     assert boosting.tree_rows(fitted(spark, rows, 5, 3)) == alone
 
 
+def test_spread_rows_send_the_driver_one_row_a_node(spark, monkeypatch):
+    kind, sent = type(spark.range(1)), []
+    plain = kind.toArrow
+
+    def counted(frame):
+        table = plain(frame)
+        sent.append(table.num_rows)
+        return table
+
+    monkeypatch.setattr(kind, "toArrow", counted)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 40)
+    fitted(spark, some_rows(400, (0, 1, 2)), 2, 3)
+    # At most 1, 2 and 4 open nodes of each class, not each one's bins.
+    assert len(sent) == 6 and all(n <= 3 * 2**level for n, level in zip(sent, (0, 1, 2) * 2))
+
+
 def test_many_values_share_bins(spark, monkeypatch):
     monkeypatch.setattr(boosting, "MOST_VALUES", 6)
     rows = some_rows(300, (0, 1, 2))
